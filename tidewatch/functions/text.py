@@ -15,6 +15,27 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def bind(col, fn) -> Column:
+    """Evaluate ``fn(x)`` with ``x`` bound to the value of ``col`` once.
+
+    The optimizer inlines projected expressions into later filters and
+    projections; a long text expression referenced many times by ``fn``
+    (once per term, say) would be recomputed for every reference.  Binding
+    it as a lambda variable computes it once per row.
+    """
+    return F.transform(F.array(_c(col)), fn)[0]
+
+
+def present(df, col: str, alias: str = "h"):
+    """Rows where ``col`` is not null, via a generator instead of a filter.
+
+    A filter on an expensive derived column is pushed below the projection
+    that computes it and re-evaluates it; exploding a zero-or-one element
+    array keeps one evaluation per row.
+    """
+    return df.select("*", F.explode(F.array_compact(F.array(col))).alias(alias))
+
+
 def strip_ws(col) -> Column:
     """``str.strip()``: remove Unicode whitespace from both ends."""
     return F.btrim(_c(col), F.lit(python_whitespace()))
@@ -25,16 +46,21 @@ def fold_ascii(col) -> Column:
 
     One ``translate`` for single-character folds; the few multi-character
     folds run only on rows that contain one of their source characters.
+    Pass a column reference (not a large expression): it is used twice.
     """
     src, dst, multi = fold_tables()
-    out = F.translate(_c(col), src, dst)
-    if not multi:
-        return out
-    replaced = out
+    return fold_multi(F.translate(_c(col), src, dst))
+
+
+def fold_multi(col) -> Column:
+    """The multi-character part of ``fold_ascii`` (applied after translate)."""
+    _, _, multi = fold_tables()
+    c = _c(col)
+    replaced = c
     for ch, rep in multi:
         replaced = F.replace(replaced, F.lit(ch), F.lit(rep))
     guard = "[" + "".join(ch for ch, _ in multi) + "]"
-    return F.when(out.rlike(guard), replaced).otherwise(out)
+    return F.when(c.rlike(guard), replaced).otherwise(c)
 
 
 def normalize_text(col) -> Column:
@@ -46,10 +72,17 @@ def normalize_text(col) -> Column:
 
 
 def with_normalized(df, text_col: str = "content"):
-    """Add ``stripped``, ``folded`` and ``lowered`` columns (one projection)."""
-    return (df.withColumn("_norm", normalize_text(text_col))
-              .select("*", "_norm.stripped", "_norm.folded", "_norm.lowered")
-              .drop("_norm"))
+    """Add ``stripped``, ``folded`` and ``lowered`` columns.
+
+    Built as successive projections over column references so the long
+    translate expression is evaluated once per row.
+    """
+    src, dst, _ = fold_tables()
+    return (df.withColumn("stripped", strip_ws(text_col))
+              .withColumn("_translated", F.translate("stripped", src, dst))
+              .withColumn("folded", fold_multi("_translated"))
+              .withColumn("lowered", F.lower("folded"))
+              .drop("_translated"))
 
 
 def parse_message_link(col) -> Column:

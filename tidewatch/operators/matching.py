@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip_ws
+from ..functions.text import bind, strip_ws
 from .common import INLINE_LIST_MAX, bounded_broadcast, small_list
 
 GRAM = 3            # probe key length of the n-gram join
@@ -61,11 +61,15 @@ def validate_patterns(spark, patterns: list[str]) -> list[str]:
 
 # ------------------------------------------------------- inline matching ----
 
-def _first(structs: list[Column]) -> Column:
-    """Smallest candidate by (start, -length, item); null when none hit."""
-    cands = F.filter(F.array(*structs), lambda x: x["pos"] > 0)
-    best = F.array_min(cands)
-    return F.when(F.size(cands) > 0, F.struct(
+def _best(cands: list[Column]) -> Column:
+    """Smallest non-null candidate ``struct(pos, neg_len, item)`` as a hit.
+
+    ``least`` skips nulls and compares structs field by field, so the
+    choice (earliest, then longest, then smallest text) needs no lambda and
+    stays inside generated code.
+    """
+    best = F.least(*cands) if len(cands) > 1 else cands[0]
+    return F.when(best.isNotNull(), F.struct(
         best["item"].alias("item"),
         (best["pos"] - 1).alias("start"),
         (best["pos"] - 1 - best["neg_len"]).alias("end"),
@@ -76,31 +80,38 @@ def first_term_hit(text: Column, terms: list[str]) -> Column:
     """First blocked term that occurs as a substring of ``text``."""
     if not terms:
         return F.lit(None).cast(HIT_TYPE)
-    return _first([F.struct(F.instr(text, t).alias("pos"),
-                            F.lit(-len(t)).alias("neg_len"),
-                            F.lit(t).alias("item")) for t in terms])
+    cands = []
+    for t in terms:
+        pos = F.instr(text, t)
+        cands.append(F.when(pos > 0, F.struct(pos.alias("pos"), F.lit(-len(t)).alias("neg_len"),
+                                              F.lit(t).alias("item"))))
+    return _best(cands)
 
 
 def all_term_hits(text: Column, terms: list[str]) -> Column:
     """Array of every term found in ``text`` (with its first offset)."""
     if not terms:
         return F.array().cast(f"array<{HIT_TYPE}>")
-    cands = F.array(*[F.struct(F.lit(t).alias("item"),
-                               (F.instr(text, t) - 1).alias("start"),
-                               (F.instr(text, t) - 1 + len(t)).alias("end"))
-                      for t in terms])
-    return F.filter(cands, lambda x: x["start"] >= 0)
+    cands = []
+    for t in terms:
+        pos = F.instr(text, t)
+        cands.append(F.when(pos > 0, F.struct(F.lit(t).alias("item"), (pos - 1).alias("start"),
+                                              (pos - 1 + len(t)).alias("end"))))
+    return F.array_compact(F.array(*cands))
 
 
 def first_pattern_hit(text: Column, patterns: list[str]) -> Column:
     """First pattern match; a combined alternation skips texts with none."""
     if not patterns:
         return F.lit(None).cast(HIT_TYPE)
-    structs = [F.struct(F.regexp_instr(text, F.lit(p)).alias("pos"),
-                        (-F.length(F.regexp_substr(text, F.lit(p)))).alias("neg_len"),
-                        F.lit(p).alias("item")) for p in patterns]
+    cands = []
+    for p in patterns:
+        pos = F.regexp_instr(text, F.lit(p))
+        cands.append(F.when(pos > 0, F.struct(
+            pos.alias("pos"), (-F.length(F.regexp_substr(text, F.lit(p)))).alias("neg_len"),
+            F.lit(p).alias("item"))))
     alternation = "|".join(f"(?:{p})" for p in patterns)
-    return F.when(text.rlike(alternation), _first(structs))
+    return F.when(text.rlike(alternation), _best(cands))
 
 
 # ------------------------------------------------------ operators (C1-C5) ----
@@ -116,7 +127,7 @@ def match_terms(msgs: DataFrame, terms, text_col: str = "lowered",
     """O-C1: add the first blocked-term hit (null when none)."""
     lst = _term_list(terms)
     if lst is not None:
-        return msgs.withColumn(out, first_term_hit(F.col(text_col), lst))
+        return msgs.withColumn(out, bind(text_col, lambda x: first_term_hit(x, lst)))
     firsts = (_ngram_hits(msgs, terms, text_col)
               .groupBy("message_id")
               .agg(F.min(F.struct("start", (-F.length("term")).alias("neg_len"),
@@ -131,7 +142,8 @@ def term_hits(msgs: DataFrame, terms, text_col: str = "lowered") -> DataFrame:
     """O-C4: the (message, term) hit relation with each term's first offset."""
     lst = _term_list(terms)
     if lst is not None:
-        return (msgs.select("message_id", F.explode(all_term_hits(F.col(text_col), lst)).alias("h"))
+        hits = bind(text_col, lambda x: all_term_hits(x, lst))
+        return (msgs.select("message_id", F.explode(hits).alias("h"))
                 .select("message_id", F.col("h.item").alias("term"),
                         F.col("h.start").alias("start"), F.col("h.end").alias("end")))
     return (_ngram_hits(msgs, terms, text_col)
@@ -144,7 +156,8 @@ def match_regexes(msgs: DataFrame, patterns: list[str], text_col: str = "folded"
     """O-C2: first blocked pattern found in the (case-preserving) folded text."""
     if len(patterns) > INLINE_LIST_MAX:
         raise ValueError("pattern lists are limited to INLINE_LIST_MAX entries")
-    return msgs.withColumn(out, first_pattern_hit(F.col(text_col), list(patterns)))
+    pats = list(patterns)
+    return msgs.withColumn(out, bind(text_col, lambda x: first_pattern_hit(x, pats)))
 
 
 def unmatched(msgs: DataFrame, terms, patterns: list[str] | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import render as R
-from ..functions.text import with_normalized
+from ..functions.text import present, with_normalized
 from ..operators import matching as M
 from . import sqltext as Q
 from . import standins as S
@@ -70,10 +70,9 @@ def q_normalize_text(spark, sf_dir):
             "FROM first_term")
 def q_blocklist_match(spark, sf_dir):
     m = M.match_terms(normalized_messages(spark, sf_dir), S.TEST_TERMS)
-    return (m.where(F.col("term_hit").isNotNull())
-            .select("message_id", F.col("term_hit.item").alias("term"),
-                    F.col("term_hit.start").alias("hit_start"),
-                    F.col("term_hit.end").alias("hit_end"),
+    return (present(m, "term_hit")
+            .select("message_id", F.col("h.item").alias("term"),
+                    F.col("h.start").alias("hit_start"), F.col("h.end").alias("hit_end"),
                     F.lit(1.0).alias("score")))
 
 
@@ -91,6 +90,230 @@ def q_match_all_terms(spark, sf_dir):
           + " || '\"' AS reason FROM first_term f JOIN norm n USING (message_id)")
 def q_highlight_hit(spark, sf_dir):
     m = M.match_terms(normalized_messages(spark, sf_dir), S.TEST_TERMS)
-    return (m.where(F.col("term_hit").isNotNull())
-            .select("message_id",
-                    R.hit_reason(R.REASON_TERM, F.col("term_hit"), F.col("stripped")).alias("reason")))
+    return (present(m, "term_hit")
+            .select("message_id", R.hit_reason(R.REASON_TERM, F.col("h"), F.col("stripped")).alias("reason")))
+
+
+# ------------------------------------------------------------- scoring ----
+
+from ..functions import replies as RP  # noqa: E402
+from ..operators import decide as D  # noqa: E402
+from ..operators import routing as RT  # noqa: E402
+
+_ATTR_COLS = [("TOXICITY", "toxicity"), ("SPAM", "spam"), ("IDENTITY_ATTACK", "identity_attack"),
+              ("INSULT", "insult"), ("THREAT", "threat")]
+
+
+def scored_messages(spark, sf_dir) -> DataFrame:
+    return S.synthetic_scorer(S.messages(spark, sf_dir).select("message_id"))
+
+
+@register("parse_attribute_reply", Q.with_(Q.MESSAGES, Q.SCORES)
+          + "SELECT message_id, " + ", ".join(f"{Q.SCORE_COLS[a]} AS {c}" for a, c in _ATTR_COLS)
+          + " FROM scores")
+def q_parse_attribute_reply(spark, sf_dir):
+    s = scored_messages(spark, sf_dir)
+    return s.select("message_id", *[F.try_element_at("attr_scores", F.lit(a)).alias(c)
+                                    for a, c in _ATTR_COLS])
+
+
+@register("score_attributes", Q.with_(Q.MESSAGES, Q.SCORES)
+          + "SELECT message_id, attribute, score FROM scores UNPIVOT (score FOR attribute IN ("
+          + ", ".join(f"{Q.SCORE_COLS[a]} AS '{a}'" for a, _ in _ATTR_COLS) + ")) WHERE score IS NOT NULL")
+def q_score_attributes(spark, sf_dir):
+    s = scored_messages(spark, sf_dir)
+    return s.select("message_id", F.explode("attr_scores").alias("attribute", "score"))
+
+
+@register("parse_chat_reply", Q.with_(Q.MESSAGES, Q.SCORES)
+          + "SELECT message_id, chat_content FROM scores")
+def q_parse_chat_reply(spark, sf_dir):
+    return scored_messages(spark, sf_dir).select("message_id", "chat_content")
+
+
+@register("verdict_prefix", Q.with_(Q.MESSAGES, Q.SCORES)
+          + "SELECT message_id, coalesce(starts_with(chat_content, 'Yes'), false) AS harassment, "
+            "coalesce(starts_with(chat_content, 'True'), false) AS address FROM scores")
+def q_verdict_prefix(spark, sf_dir):
+    s = scored_messages(spark, sf_dir)
+    return s.select("message_id", RP.verdict_prefix("chat_content", RP.HARASSMENT_PREFIX).alias("harassment"),
+                    RP.verdict_prefix("chat_content", RP.ADDRESS_PREFIX).alias("address"))
+
+
+@register("threshold_first", Q.with_(Q.MESSAGES, Q.SCORES)
+          + f"SELECT message_id, a IS NOT NULL AS flagged, a AS attribute FROM (SELECT message_id, "
+          + Q.threshold_first_sql(Q.SCORE_COLS, RP.PRODUCTION_THRESHOLDS) + " AS a FROM scores) x")
+def q_threshold_first(spark, sf_dir):
+    s = scored_messages(spark, sf_dir).withColumn("a", RP.threshold_first("attr_scores"))
+    return s.select("message_id", F.col("a").isNotNull().alias("flagged"), F.col("a").alias("attribute"))
+
+
+@register("fail_open", Q.with_(Q.MESSAGES, Q.SCORES)
+          + "SELECT message_id, attr_reply IS NULL AS attr_failed, chat_reply IS NULL AS chat_failed, "
+          + Q.threshold_first_sql(Q.SCORE_COLS, RP.PRODUCTION_THRESHOLDS) + " AS attribute, "
+            "coalesce(starts_with(chat_content, 'Yes'), false) AS chat_flag FROM scores "
+            "WHERE attr_reply IS NULL OR chat_reply IS NULL")
+def q_fail_open(spark, sf_dir):
+    idc = F.col("message_id")
+    s = (S.messages(spark, sf_dir).select("message_id")
+         .where(S.attribute_reply(idc).isNull() | S.chat_reply(idc).isNull()))
+    s = S.synthetic_scorer(s)
+    return s.select("message_id", S.attribute_reply(idc).isNull().alias("attr_failed"),
+                    S.chat_reply(idc).isNull().alias("chat_failed"),
+                    RP.threshold_first("attr_scores").alias("attribute"),
+                    RP.verdict_prefix("chat_content").alias("chat_flag"))
+
+
+@register("ensemble_decide", Q.with_(Q.MESSAGES, Q.SCORES)
+          + "SELECT message_id, CAST(CASE WHEN a IS NOT NULL AND h THEN 1 WHEN a IS NOT NULL OR h THEN 0.5 "
+            "ELSE 0 END AS DOUBLE) AS score FROM (SELECT message_id, "
+          + Q.threshold_first_sql(Q.SCORE_COLS, RP.PRODUCTION_THRESHOLDS) + " AS a, "
+            "coalesce(starts_with(chat_content, 'Yes'), false) AS h FROM scores) x")
+def q_ensemble_decide(spark, sf_dir):
+    s = scored_messages(spark, sf_dir)
+    e = D.ensemble(RP.threshold_first("attr_scores"), RP.verdict_prefix("chat_content"))
+    return s.select("message_id", e["score"].alias("score"))
+
+
+# ----------------------------------------------------- pattern + cascade ----
+
+@register("regex_match", Q.with_(Q.MESSAGES, Q.NORM, Q.regex_hits_cte())
+          + "SELECT message_id, pattern, hit_start, hit_end FROM first_regex")
+def q_regex_match(spark, sf_dir):
+    m = M.match_regexes(normalized_messages(spark, sf_dir), S.TEST_PATTERNS)
+    return (present(m, "regex_hit")
+            .select("message_id", F.col("h.item").alias("pattern"),
+                    F.col("h.start").alias("hit_start"), F.col("h.end").alias("hit_end")))
+
+
+@register("unmatched_messages", Q.with_(Q.MESSAGES, Q.NORM, Q.TERM_HITS, Q.regex_hits_cte())
+          + "SELECT message_id FROM norm WHERE message_id NOT IN (SELECT message_id FROM term_hits) "
+            "AND message_id NOT IN (SELECT message_id FROM regex_hits)")
+def q_unmatched_messages(spark, sf_dir):
+    return M.unmatched(normalized_messages(spark, sf_dir), S.TEST_TERMS, S.TEST_PATTERNS).select("message_id")
+
+
+@register("pii_street_flag", Q.with_(Q.MESSAGES, Q.NORM)
+          + f"SELECT message_id, {Q.pii_sql('folded')} AS pii FROM norm")
+def q_pii_street_flag(spark, sf_dir):
+    n = normalized_messages(spark, sf_dir)
+    return n.select("message_id", D.pii_flag(F.col("folded"), S.TEST_PII_RULES).alias("pii"))
+
+
+_EVAL_SQL = (Q.with_(Q.MESSAGES, Q.NORM, Q.TERM_HITS, Q.FIRST_TERM, Q.regex_hits_cte(), Q.SCORES) + f""",
+dec AS (
+  SELECT n.message_id, n.content, n.author_id, n.jump_url, n.stripped, ft.term, ft.hit_start AS t_s, ft.hit_end AS t_e,
+         fr.pattern, fr.hit_start AS r_s, fr.hit_end AS r_e, {Q.pii_sql('n.folded')} AS pii,
+         {Q.threshold_first_sql(Q.SCORE_COLS, RP.PRODUCTION_THRESHOLDS)} AS a,
+         coalesce(starts_with(s.chat_content, 'Yes'), false) AS h
+  FROM norm n LEFT JOIN first_term ft USING (message_id) LEFT JOIN first_regex fr USING (message_id)
+       JOIN scores s USING (message_id)
+),
+evaluated AS (
+  SELECT message_id, content, author_id, jump_url,
+    CAST(CASE WHEN term IS NOT NULL OR pattern IS NOT NULL OR pii THEN 1
+              WHEN a IS NOT NULL AND h THEN 1 WHEN a IS NOT NULL OR h THEN 0.5 ELSE 0 END AS DOUBLE) AS score,
+    CASE WHEN term IS NOT NULL THEN {Q.lit(R.REASON_TERM)} || '`' || term || '` at "' || {Q.highlight('stripped', 't_s', 't_e')} || '"'
+         WHEN pattern IS NOT NULL THEN {Q.lit(R.REASON_REGEX)} || '`' || pattern || '` at "' || {Q.highlight('stripped', 'r_s', 'r_e')} || '"'
+         WHEN pii THEN {Q.lit(R.REASON_PII)}
+         WHEN a IS NOT NULL AND h THEN {Q.lit(R.REASON_BOTH)}
+         WHEN h THEN {Q.lit(R.REASON_CHAT_ONLY)}
+         WHEN a IS NOT NULL THEN {Q.lit(R.REASON_ATTR_ONLY)}
+         ELSE {Q.lit(R.REASON_NONE)} END AS reason,
+    CASE WHEN term IS NOT NULL THEN 'term' WHEN pattern IS NOT NULL THEN 'regex' WHEN pii THEN 'pii'
+         WHEN a IS NOT NULL OR h THEN 'ensemble' ELSE 'none' END AS stage,
+    CASE WHEN term IS NULL AND pattern IS NULL AND NOT pii THEN a END AS attribute,
+    CASE WHEN term IS NULL AND pattern IS NULL AND NOT pii THEN h END AS chat_flag
+  FROM dec
+)
+""")
+
+
+def evaluated_messages(spark, sf_dir) -> DataFrame:
+    msgs = S.messages(spark, sf_dir).select("message_id", "author_id", "jump_url", "content")
+    return D.evaluate(msgs, S.TEST_TERMS, S.TEST_PATTERNS, S.TEST_PII_RULES, scorer=S.synthetic_scorer)
+
+
+@register("evaluate_messages", _EVAL_SQL
+          + "SELECT message_id, score, reason, stage, attribute, chat_flag FROM evaluated")
+def q_evaluate_messages(spark, sf_dir):
+    return evaluated_messages(spark, sf_dir).select(
+        "message_id", "score", "reason", "stage", "attribute", "chat_flag")
+
+
+@register("enforce_deletions", _EVAL_SQL
+          + "SELECT message_id, author_id AS recipient_id, 'Your message ' || jump_url || ' with text ' "
+            "|| content || ' has been deleted for reason: ' || reason || '.' AS text FROM evaluated "
+            "WHERE score = 1")
+def q_enforce_deletions(spark, sf_dir):
+    return D.deletions(evaluated_messages(spark, sf_dir))
+
+
+@register("format_evaluation", _EVAL_SQL
+          + "SELECT message_id, 'Evaluated: ''' || content || ''': ' || CASE WHEN score = 0.5 THEN '0.5' "
+            "ELSE CAST(CAST(score AS BIGINT) AS VARCHAR) END || ', reason: ' || reason AS evaluation "
+            "FROM evaluated")
+def q_format_evaluation(spark, sf_dir):
+    return D.format_evaluation(evaluated_messages(spark, sf_dir))
+
+
+@register("auto_reports", _EVAL_SQL
+          + f"SELECT substr(sha256('auto|' || CAST(message_id AS VARCHAR)), 1, 32) AS report_id, "
+            f"'{D.AUTO_REPORTER}' AS reporter, true AS is_auto, message_id, '{D.AUTO_TYPE}' AS abuse_type, "
+            f"CASE WHEN chat_flag THEN '{D.DETAIL_CHAT}' ELSE '{D.DETAIL_ATTR_PREFIX}' || attribute || "
+            f"'{D.DETAIL_ATTR_SUFFIX}' END AS other_details FROM evaluated WHERE score = 0.5")
+def q_auto_reports(spark, sf_dir):
+    return D.auto_reports(evaluated_messages(spark, sf_dir))
+
+
+# ------------------------------------------------------------- routing ----
+
+@register("drop_own_messages", Q.with_(Q.MESSAGES)
+          + f"SELECT message_id, author_id FROM messages WHERE author_id <> {S.BOT_ID}")
+def q_drop_own_messages(spark, sf_dir):
+    return RT.drop_own(S.messages(spark, sf_dir), S.BOT_ID).select("message_id", "author_id")
+
+
+@register("split_dm", Q.with_(Q.MESSAGES)
+          + "SELECT message_id, CASE WHEN guild_id IS NULL THEN 'dm' ELSE 'channel' END AS kind FROM messages")
+def q_split_dm(spark, sf_dir):
+    ch, dm = RT.split_dm(S.messages(spark, sf_dir))
+    return (ch.select("message_id", F.lit("channel").alias("kind"))
+            .unionByName(dm.select("message_id", F.lit("dm").alias("kind"))))
+
+
+@register("monitored_channel", Q.with_(Q.MESSAGES)
+          + f"SELECT message_id, channel_name FROM messages WHERE channel_name = 'group-{S.GROUP}'")
+def q_monitored_channel(spark, sf_dir):
+    return RT.monitored(S.messages(spark, sf_dir), S.GROUP).select("message_id", "channel_name")
+
+
+def channels(spark, sf_dir) -> DataFrame:
+    """Guild channels seen in the message table (position = channel id)."""
+    return (S.messages(spark, sf_dir).where(F.col("guild_id").isNotNull())
+            .select("guild_id", "channel_id", "channel_name",
+                    F.col("channel_id").alias("position")).distinct())
+
+
+_ROUTES_SQL = f"""
+routes AS (
+  SELECT guild_id,
+         max(CASE WHEN channel_name = 'group-{S.GROUP}-human-mod' THEN channel_id END) AS human_mod_channel,
+         max(CASE WHEN channel_name = 'group-{S.GROUP}-mod' THEN channel_id END) AS auto_mod_channel
+  FROM messages WHERE guild_id IS NOT NULL AND channel_name IN ('group-{S.GROUP}-human-mod', 'group-{S.GROUP}-mod')
+  GROUP BY guild_id
+)"""
+
+
+@register("build_routes", Q.with_(Q.MESSAGES, _ROUTES_SQL) + "SELECT * FROM routes")
+def q_build_routes(spark, sf_dir):
+    return RT.build_routes(channels(spark, sf_dir), S.BOT_NAME)
+
+
+@register("route_messages", Q.with_(Q.MESSAGES, _ROUTES_SQL)
+          + "SELECT m.message_id, m.guild_id, r.human_mod_channel, r.auto_mod_channel "
+            "FROM messages m LEFT JOIN routes r USING (guild_id) WHERE m.guild_id IS NOT NULL")
+def q_route_messages(spark, sf_dir):
+    ch, _ = RT.split_dm(S.messages(spark, sf_dir))
+    routes = RT.build_routes(channels(spark, sf_dir), S.BOT_NAME)
+    return RT.route(ch, routes).select("message_id", "guild_id", "human_mod_channel", "auto_mod_channel")

@@ -93,3 +93,70 @@ def highlight(orig: str, start: str, end: str) -> str:
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",".join(ctes) + "\n"
+
+
+def attribute_reply_sql(idc: str) -> str:
+    parts = [f"'\"{a}\": {{\"summaryScore\": {{\"value\": 0.' || lpad(CAST((({idc} % 1000) * {m} + {o}) % 1000 AS VARCHAR), 3, '0') || '}}}}'"
+             for a, m, o in S.ATTR_RULES]
+    body = " || ', ' || ".join(parts[:-1])
+    return (f"CASE WHEN {idc} % 13 <> 0 THEN '{{\"attributeScores\": {{' || {body} || "
+            f"CASE WHEN {idc} % 11 = 0 THEN '' ELSE ', ' || {parts[-1]} END || '}}}}' END")
+
+
+def chat_reply_sql(idc: str) -> str:
+    cases = " ".join(f"WHEN {i} THEN {lit(t)}" for i, t in enumerate(S.CHAT_TEXTS))
+    return (f"CASE WHEN {idc} % 19 <> 0 THEN '{{\"choices\": [{{\"message\": {{\"content\": \"' || "
+            f"(CASE {idc} % 6 {cases} END) || '\"}}}}]}}' END")
+
+
+def attr_score_sql(reply: str, attr: str) -> str:
+    return f"TRY_CAST(json_extract_string({reply}, '$.attributeScores.{attr}.summaryScore.value') AS DOUBLE)"
+
+
+def chat_content_sql(reply: str) -> str:
+    return f"json_extract_string({reply}, '$.choices[0].message.content')"
+
+
+def threshold_first_sql(score_cols: dict[str, str], thresholds) -> str:
+    whens = " ".join(f"WHEN {score_cols[a]} > CAST({t!r} AS DOUBLE) THEN '{a}'" for a, t in thresholds)
+    return f"CASE {whens} END"
+
+
+SCORES = f"""
+scores AS (
+  SELECT message_id, attr_reply, chat_reply,
+         {attr_score_sql('attr_reply', 'TOXICITY')} AS s_toxicity,
+         {attr_score_sql('attr_reply', 'SPAM')} AS s_spam,
+         {attr_score_sql('attr_reply', 'IDENTITY_ATTACK')} AS s_identity_attack,
+         {attr_score_sql('attr_reply', 'INSULT')} AS s_insult,
+         {attr_score_sql('attr_reply', 'THREAT')} AS s_threat,
+         {chat_content_sql('chat_reply')} AS chat_content
+  FROM (SELECT message_id, {attribute_reply_sql('message_id')} AS attr_reply,
+               {chat_reply_sql('message_id')} AS chat_reply FROM messages) r
+)"""
+
+SCORE_COLS = {"TOXICITY": "s_toxicity", "SPAM": "s_spam", "IDENTITY_ATTACK": "s_identity_attack",
+              "INSULT": "s_insult", "THREAT": "s_threat"}
+
+
+def regex_hits_cte() -> str:
+    pats = values("pattern", S.TEST_PATTERNS)
+    return f"""
+regex_hits AS (
+  SELECT n.message_id, v.pattern,
+         instr(n.folded, regexp_extract(n.folded, v.pattern)) - 1 AS hit_start,
+         instr(n.folded, regexp_extract(n.folded, v.pattern)) - 1
+           + length(regexp_extract(n.folded, v.pattern)) AS hit_end
+  FROM norm n JOIN {pats} ON regexp_matches(n.folded, v.pattern)
+),
+first_regex AS (
+  SELECT message_id, pattern, hit_start, hit_end FROM (
+    SELECT *, row_number() OVER (PARTITION BY message_id
+                                 ORDER BY hit_start, hit_end - hit_start DESC, pattern) AS rn
+    FROM regex_hits) x WHERE rn = 1
+)"""
+
+
+def pii_sql(e: str) -> str:
+    alt = "|".join(f"(?:{r})" for r in S.TEST_PII_RULES)
+    return f"regexp_matches({e}, {lit(alt)})"

@@ -35,9 +35,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread rows over all task slots when the scan yields fewer splits.
+
+    A file written as one row group is read by one task however many splits
+    it gets.  With at least as many splits as slots (any large input) the
+    scan is returned unchanged, so no shuffle is added at scale.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots)
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channel and direct messages (``guild_id`` null = direct message)."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     src_no = F.substring("source", 4, 16).try_cast("bigint")
     guild = F.when(src_no != 0, F.col("doc_id") % 25)
     channel_id = F.coalesce(guild, F.lit(99)) * 100 + src_no
@@ -68,3 +81,41 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     return c.select(F.col("c_name").alias("user_name"),
                     F.floor("c_acctbal").cast("bigint").alias("followers"))
+
+
+# ------------------------------------------------------------- scorers ----
+# Stand-in for the remote scorers: replies are computed from the message id
+# so both engines can state them; they include exact-threshold values,
+# failed calls (null reply) and a reply missing one attribute.
+
+# Fixed values: (attribute, multiplier, offset) of the synthetic scores.
+ATTR_RULES = [("TOXICITY", 7, 0), ("SPAM", 13, 100), ("IDENTITY_ATTACK", 31, 200),
+              ("INSULT", 37, 300), ("THREAT", 53, 400)]
+# Synthetic chat replies, chosen by message_id % 6.
+CHAT_TEXTS = ["Yes, the post is harassment.", "No.", "yes", " Yes", "No, it is not.", "Yes"]
+
+
+def _score_text(idcol, mult: int, off: int):
+    k = ((idcol % 1000) * mult + off) % 1000
+    return F.concat(F.lit("0."), F.lpad(k.cast("string"), 3, "0"))
+
+
+def attribute_reply(idcol):
+    parts = [F.concat(F.lit(f'"{a}": {{"summaryScore": {{"value": '), _score_text(idcol, m, o),
+                      F.lit("}}")) for a, m, o in ATTR_RULES]
+    body = F.concat_ws(", ", *parts[:-1])
+    threat = F.when(idcol % 11 == 0, F.lit("")).otherwise(F.concat(F.lit(", "), parts[-1]))
+    return F.when(idcol % 13 != 0, F.concat(F.lit('{"attributeScores": {'), body, threat, F.lit("}}")))
+
+
+def chat_reply(idcol):
+    text = F.element_at(F.array(*[F.lit(t) for t in CHAT_TEXTS]), (idcol % 6 + 1).cast("int"))
+    return F.when(idcol % 19 != 0, F.concat(
+        F.lit('{"choices": [{"message": {"content": "'), text, F.lit('"}}]}')))
+
+
+def synthetic_scorer(df: DataFrame) -> DataFrame:
+    """Scorer hook: adds ``attr_scores`` and ``chat_content`` from replies."""
+    from ..functions.replies import parse_attribute_reply, parse_chat_reply
+    return (df.withColumn("attr_scores", parse_attribute_reply(attribute_reply(F.col("message_id"))))
+              .withColumn("chat_content", parse_chat_reply(chat_reply(F.col("message_id")))))

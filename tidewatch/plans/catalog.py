@@ -317,3 +317,152 @@ def q_route_messages(spark, sf_dir):
     ch, _ = RT.split_dm(S.messages(spark, sf_dir))
     routes = RT.build_routes(channels(spark, sf_dir), S.BOT_NAME)
     return RT.route(ch, routes).select("message_id", "guild_id", "human_mod_channel", "auto_mod_channel")
+
+
+# ---------------------------------------------------------- evaluation ----
+
+from ..operators import evaluate as EV  # noqa: E402
+
+_VARIANT_SETS = {"low": RP.EVAL_THRESHOLDS_LOW, "high": RP.EVAL_THRESHOLDS_HIGH,
+                 "production": RP.PRODUCTION_THRESHOLDS}
+
+
+def labeled_posts(spark, sf_dir) -> DataFrame:
+    return EV.parse_labeled_lines(S.labeled_lines(spark, sf_dir), "value", S.NEGATIVE).select(
+        "post_id", "post", "label", "is_positive")
+
+
+def scored_posts(spark, sf_dir) -> DataFrame:
+    """Labelled posts with scorer results; failed calls dropped (O-H7)."""
+    p = labeled_posts(spark, sf_dir).select("post_id", "is_positive")
+    idc = F.col("post_id")
+    p = (p.withColumn("attr_reply", S.attribute_reply(idc))
+          .withColumn("chat_reply", S.chat_reply(idc)))
+    p = EV.drop_failed(p, ["attr_reply", "chat_reply"])
+    return (p.withColumn("attr_scores", RP.parse_attribute_reply("attr_reply"))
+             .withColumn("chat_content", RP.parse_chat_reply("chat_reply"))
+             .withColumn("attr_pred", RP.any_over("attr_scores", RP.EVAL_THRESHOLDS_HIGH))
+             .withColumn("chat_pred", RP.verdict_prefix("chat_content")))
+
+
+_POST_SCORES = (Q.LINES + "," + Q.scores_cte("pscores", "posts", "post_id") + f""",
+kept AS (
+  SELECT p.post_id, p.is_positive, {Q.order_key_sql('p.post_id')} AS k,
+         ({Q.threshold_first_sql(Q.SCORE_COLS, RP.EVAL_THRESHOLDS_HIGH)}) IS NOT NULL AS attr_pred,
+         coalesce(starts_with(s.chat_content, 'Yes'), false) AS chat_pred,
+         {', '.join(f"({Q.threshold_first_sql(Q.SCORE_COLS, v)}) IS NOT NULL AS v_{n}" for n, v in _VARIANT_SETS.items())}
+  FROM posts p JOIN pscores s USING (post_id)
+  WHERE s.attr_reply IS NOT NULL AND s.chat_reply IS NOT NULL
+),
+pairs AS (
+  SELECT p.pair_idx, p.post_id AS pos_id, n.post_id AS neg_id, p.attr_pred AS pa, p.chat_pred AS pc,
+         n.attr_pred AS na, n.chat_pred AS nc
+  FROM (SELECT *, row_number() OVER (ORDER BY k, post_id) AS pair_idx FROM kept WHERE is_positive) p
+  JOIN (SELECT *, row_number() OVER (ORDER BY k, post_id) AS pair_idx FROM kept WHERE NOT is_positive) n
+    USING (pair_idx)
+  WHERE pair_idx <= 500
+),
+pair_preds AS (
+  SELECT pair_idx, 0 AS variant, pa AND pc AS pos_pred, na AND nc AS neg_pred FROM pairs UNION ALL
+  SELECT pair_idx, 1, pa, na FROM pairs UNION ALL
+  SELECT pair_idx, 2, pc, nc FROM pairs UNION ALL
+  SELECT pair_idx, 3, pa OR pc, na OR nc FROM pairs
+)""")
+
+
+@register("read_labeled_posts", Q.with_(Q.LINES) + "SELECT post_id, post, label, is_positive FROM posts")
+def q_read_labeled_posts(spark, sf_dir):
+    return labeled_posts(spark, sf_dir)
+
+
+@register("drop_failed", Q.with_(_POST_SCORES) + "SELECT post_id, is_positive FROM kept")
+def q_drop_failed(spark, sf_dir):
+    return scored_posts(spark, sf_dir).select("post_id", "is_positive")
+
+
+def _pairs(spark, sf_dir):
+    sp = scored_posts(spark, sf_dir)
+    pairs = EV.balanced_pairs(sp, 500, S.order_key("post_id"))
+    return sp, pairs
+
+
+@register("balanced_pairs", Q.with_(_POST_SCORES) + "SELECT pair_idx, pos_id, neg_id FROM pairs")
+def q_balanced_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir)[1]
+
+
+@register("random_sample", Q.with_(_POST_SCORES)
+          + "SELECT post_id, is_positive FROM kept ORDER BY k, post_id LIMIT 1000")
+def q_random_sample(spark, sf_dir):
+    sp = scored_posts(spark, sf_dir)
+    return EV.random_sample(sp, 1000, S.order_key("post_id")).select("post_id", "is_positive")
+
+
+@register("threshold_variants", Q.with_(_POST_SCORES)
+          + "SELECT post_id, variant, pred FROM kept UNPIVOT (pred FOR variant IN ("
+          + ", ".join(f"v_{n} AS '{n}'" for n in _VARIANT_SETS) + "))")
+def q_threshold_variants(spark, sf_dir):
+    return EV.threshold_variants(scored_posts(spark, sf_dir), "attr_scores", _VARIANT_SETS)
+
+
+@register("ensemble_variants", Q.with_(_POST_SCORES)
+          + "SELECT post_id, 0 AS variant, attr_pred AND chat_pred AS pred FROM kept UNION ALL "
+            "SELECT post_id, 1, attr_pred FROM kept UNION ALL SELECT post_id, 2, chat_pred FROM kept "
+            "UNION ALL SELECT post_id, 3, attr_pred OR chat_pred FROM kept")
+def q_ensemble_variants(spark, sf_dir):
+    return EV.ensemble_variants(scored_posts(spark, sf_dir), keep=["post_id"])
+
+
+def pair_predictions(spark, sf_dir) -> DataFrame:
+    sp, pairs = _pairs(spark, sf_dir)
+    pv = sp.select("post_id", "attr_pred", "chat_pred")
+    j = (pairs.join(pv.select(F.col("post_id").alias("pos_id"), F.col("attr_pred").alias("pa"),
+                              F.col("chat_pred").alias("pc")), "pos_id")
+              .join(pv.select(F.col("post_id").alias("neg_id"), F.col("attr_pred").alias("na"),
+                              F.col("chat_pred").alias("nc")), "neg_id"))
+    pa, pc, na, nc = (F.col(c) for c in ("pa", "pc", "na", "nc"))
+    arr = F.array(
+        F.struct(F.lit(0).alias("variant"), (pa & pc).alias("pos_pred"), (na & nc).alias("neg_pred")),
+        F.struct(F.lit(1).alias("variant"), pa.alias("pos_pred"), na.alias("neg_pred")),
+        F.struct(F.lit(2).alias("variant"), pc.alias("pos_pred"), nc.alias("neg_pred")),
+        F.struct(F.lit(3).alias("variant"), (pa | pc).alias("pos_pred"), (na | nc).alias("neg_pred")))
+    return j.select("pair_idx", F.inline(arr))
+
+
+@register("confusion_matrix", Q.with_(_POST_SCORES)
+          + "SELECT variant, CAST(count_if(pos_pred) AS BIGINT) AS tp, CAST(count_if(neg_pred) AS BIGINT) AS fp, "
+            "CAST(count_if(NOT neg_pred) AS BIGINT) AS tn, CAST(count_if(NOT pos_pred) AS BIGINT) AS fn "
+            "FROM pair_preds GROUP BY variant")
+def q_confusion_matrix(spark, sf_dir):
+    pp = pair_predictions(spark, sf_dir)
+    long = pp.select("variant", F.inline(F.array(
+        F.struct(F.col("pos_pred").alias("pred"), F.lit(True).alias("is_positive")),
+        F.struct(F.col("neg_pred").alias("pred"), F.lit(False).alias("is_positive")))))
+    return EV.confusion(long, ["variant"])
+
+
+@register("running_confusion", Q.with_(_POST_SCORES)
+          + """SELECT * FROM (
+  SELECT variant, pair_idx,
+    CAST(sum(CAST(pos_pred AS INT)) OVER w AS BIGINT) AS tp,
+    CAST(sum(CAST(NOT neg_pred AS INT)) OVER w AS BIGINT) AS tn,
+    CAST(sum(CAST(neg_pred AS INT)) OVER w AS BIGINT) AS fp,
+    CAST(sum(CAST(NOT pos_pred AS INT)) OVER w AS BIGINT) AS fn
+  FROM pair_preds
+  WINDOW w AS (PARTITION BY variant ORDER BY pair_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+) x WHERE (tp + tn + fp + fn) % 50 = 0""")
+def q_running_confusion(spark, sf_dir):
+    return EV.running_confusion(pair_predictions(spark, sf_dir), 50)
+
+
+@register("sample_confusion", Q.with_(_POST_SCORES)
+          + f"""SELECT 'low' AS variant, CAST(count_if(v_low AND is_positive) AS BIGINT) AS tp,
+  CAST(count_if(v_low AND NOT is_positive) AS BIGINT) AS fp,
+  CAST(count_if(NOT v_low AND NOT is_positive) AS BIGINT) AS tn,
+  CAST(count_if(NOT v_low AND is_positive) AS BIGINT) AS fn
+FROM (SELECT * FROM kept ORDER BY k, post_id LIMIT 1000) s""")
+def q_sample_confusion(spark, sf_dir):
+    sample = EV.random_sample(scored_posts(spark, sf_dir), 1000, S.order_key("post_id"))
+    preds = sample.select("is_positive", F.lit("low").alias("variant"),
+                          RP.any_over("attr_scores", RP.EVAL_THRESHOLDS_LOW).alias("pred"))
+    return EV.confusion(preds, ["variant"])

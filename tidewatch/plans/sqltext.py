@@ -122,19 +122,23 @@ def threshold_first_sql(score_cols: dict[str, str], thresholds) -> str:
     return f"CASE {whens} END"
 
 
-SCORES = f"""
-scores AS (
-  SELECT message_id, attr_reply, chat_reply,
+def scores_cte(name: str = "scores", src: str = "messages", idc: str = "message_id") -> str:
+    return f"""
+{name} AS (
+  SELECT {idc}, attr_reply, chat_reply,
          {attr_score_sql('attr_reply', 'TOXICITY')} AS s_toxicity,
          {attr_score_sql('attr_reply', 'SPAM')} AS s_spam,
          {attr_score_sql('attr_reply', 'IDENTITY_ATTACK')} AS s_identity_attack,
          {attr_score_sql('attr_reply', 'INSULT')} AS s_insult,
          {attr_score_sql('attr_reply', 'THREAT')} AS s_threat,
          {chat_content_sql('chat_reply')} AS chat_content
-  FROM (SELECT message_id, {attribute_reply_sql('message_id')} AS attr_reply,
-               {chat_reply_sql('message_id')} AS chat_reply FROM messages) r
+  FROM (SELECT {idc}, {attribute_reply_sql(idc)} AS attr_reply,
+               {chat_reply_sql(idc)} AS chat_reply FROM {src}) r
 )"""
 
+
+SCORES = scores_cte()
+
 SCORE_COLS = {"TOXICITY": "s_toxicity", "SPAM": "s_spam", "IDENTITY_ATTACK": "s_identity_attack",
               "INSULT": "s_insult", "THREAT": "s_threat"}
 
@@ -160,3 +164,21 @@ first_regex AS (
 def pii_sql(e: str) -> str:
     alt = "|".join(f"(?:{r})" for r in S.TEST_PII_RULES)
     return f"regexp_matches({e}, {lit(alt)})"
+
+
+LINES = """
+lines AS (
+  SELECT d.doc_id AS post_id,
+         replace(d.text, chr(10), ' ') || ',' ||
+         CASE WHEN l.toxic = 1 THEN 'cyberbullying' ELSE 'not_cyberbullying' END AS value
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+),
+posts AS (
+  SELECT post_id, left(value, length(value) - length(label) - 1) AS post, label,
+         label <> 'not_cyberbullying' AS is_positive
+  FROM (SELECT *, regexp_extract(value, ',([^,]*)$', 1) AS label FROM lines WHERE contains(value, ',')) x
+)"""
+
+
+def order_key_sql(idc: str) -> str:
+    return f"(({idc} % 1000003) * 7919 + {S.SEED}) % 1000003"

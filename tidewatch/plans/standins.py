@@ -119,3 +119,23 @@ def synthetic_scorer(df: DataFrame) -> DataFrame:
     from ..functions.replies import parse_attribute_reply, parse_chat_reply
     return (df.withColumn("attr_scores", parse_attribute_reply(attribute_reply(F.col("message_id"))))
               .withColumn("chat_content", parse_chat_reply(chat_reply(F.col("message_id")))))
+
+
+# ---------------------------------------------------------- evaluation ----
+SEED = 42
+NEGATIVE = "not_cyberbullying"
+
+
+def labeled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``post,label`` lines: documents joined with their labels."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lab = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    label = F.when(F.col("toxic") == 1, F.lit("cyberbullying")).otherwise(F.lit(NEGATIVE))
+    return d.join(lab, "doc_id").select(
+        F.col("doc_id").alias("post_id"),
+        F.concat(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(","), label).alias("value"))
+
+
+def order_key(id_col: str = "post_id"):
+    """Seeded shuffle order both engines can compute (a modular permutation)."""
+    return ((F.col(id_col) % 1000003) * 7919 + SEED) % 1000003

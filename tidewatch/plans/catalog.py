@@ -466,3 +466,177 @@ def q_sample_confusion(spark, sf_dir):
     preds = sample.select("is_positive", F.lit("low").alias("variant"),
                           RP.any_over("attr_scores", RP.EVAL_THRESHOLDS_LOW).alias("pred"))
     return EV.confusion(preds, ["variant"])
+
+
+# ----------------------------------------------------- actions, strikes ----
+
+from ..functions.render import template  # noqa: E402,F401
+from ..operators import actions as AC  # noqa: E402
+from ..operators import strikes as ST  # noqa: E402
+
+
+def action_context(spark, sf_dir, mode: str = "window") -> DataFrame:
+    routes = RT.build_routes(channels(spark, sf_dir), S.BOT_NAME)
+    posts = S.report_posts(spark, sf_dir)
+    valid = AC.valid_actions(S.actions(spark, sf_dir), routes, posts, S.BOT_ID)
+    corr = AC.correlate(valid, posts, S.reports(spark, sf_dir))
+    return AC.with_strikes(corr, mode)
+
+
+_ACT_SQL = Q.with_(Q.MESSAGES, _ROUTES_SQL, Q.ACTIONS) + f""",
+valid AS (
+  SELECT a.* FROM actions a JOIN routes r ON a.guild_id = r.guild_id AND a.channel_id = r.human_mod_channel
+  WHERE a.post_id IN (SELECT post_id FROM report_posts)
+    AND a.emoji IN ({', '.join(Q.lit(x) for x in AC.ACTION_SET)}) AND a.actor_id <> {S.BOT_ID}
+),
+corr AS (
+  SELECT v.*, r.report_id, r.abuser_id, r.abuser_name, r.reporter_id, r.is_auto, r.report_created_at,
+         r.abuse_type, r.jump_url, r.content
+  FROM valid v JOIN report_posts p USING (post_id) JOIN reports r ON r.report_id = p.report_id
+),
+abuse AS ({Q.strikes_window_sql("(SELECT * FROM corr WHERE emoji IN ('❗', '‼️'))", 'abuser_id',
+                                 'report_created_at', 'action_seq', 365, 'action_seq')}),
+falses AS ({Q.strikes_window_sql("(SELECT * FROM corr WHERE emoji = '❔' AND NOT is_auto)", 'reporter_id',
+                                  'report_created_at', 'action_seq', 30, 'action_seq')}),
+struck AS (
+  SELECT c.*, a.n_strikes AS n_abuse, f.n_strikes AS n_false
+  FROM corr c LEFT JOIN abuse a USING (action_seq) LEFT JOIN falses f USING (action_seq)
+)
+"""
+
+
+@register("valid_actions", _ACT_SQL + "SELECT action_seq, post_id, emoji FROM valid")
+def q_valid_actions(spark, sf_dir):
+    routes = RT.build_routes(channels(spark, sf_dir), S.BOT_NAME)
+    v = AC.valid_actions(S.actions(spark, sf_dir), routes, S.report_posts(spark, sf_dir), S.BOT_ID)
+    return v.select("action_seq", "post_id", "emoji")
+
+
+@register("correlate_actions", _ACT_SQL
+          + "SELECT action_seq, report_id, abuser_id, reporter_id, is_auto FROM corr")
+def q_correlate_actions(spark, sf_dir):
+    return action_context(spark, sf_dir).select("action_seq", "report_id", "abuser_id",
+                                                "reporter_id", "is_auto")
+
+
+@register("report_status", _ACT_SQL + """SELECT report_id,
+  bool_or(emoji = '⏱️') AS slow_mode, bool_or(emoji = '🛑') AS blocked, bool_or(emoji = '🗑️') AS deleted,
+  bool_or(emoji = '❌' OR coalesce(n_abuse >= 3, false)) AS banned, bool_or(emoji = '⬆️') AS escalation,
+  bool_or(emoji IN ('❗', '‼️')) AS strike,
+  bool_or(emoji = '❔' AND coalesce(n_false < 3, false)) AS false_report_strike
+FROM struck GROUP BY report_id""")
+def q_report_status(spark, sf_dir):
+    return AC.report_status(action_context(spark, sf_dir))
+
+
+@register("action_strikes", _ACT_SQL
+          + "SELECT action_seq, abuser_id, n_abuse AS n_strikes FROM struck WHERE n_abuse IS NOT NULL")
+def q_action_strikes(spark, sf_dir):
+    s = action_context(spark, sf_dir).where(F.col("n_abuse").isNotNull())
+    return s.select("action_seq", "abuser_id", F.col("n_abuse").alias("n_strikes"))
+
+
+@register("false_report_strikes", _ACT_SQL
+          + "SELECT action_seq, reporter_id, n_false AS n_strikes, CASE WHEN n_false < 3 THEN 'struck' "
+            "ELSE 'restricted' END AS outcome FROM struck WHERE n_false IS NOT NULL")
+def q_false_report_strikes(spark, sf_dir):
+    s = action_context(spark, sf_dir).where(F.col("n_false").isNotNull())
+    return s.select("action_seq", "reporter_id", F.col("n_false").alias("n_strikes"),
+                    ST.false_report_ladder(F.col("n_false")).alias("outcome"))
+
+
+@register("strike_ladder", _ACT_SQL
+          + "SELECT action_seq, CASE WHEN n_abuse = 2 AND emoji = '‼️' THEN 'slowed' WHEN n_abuse < 3 "
+            "THEN 'warned' ELSE 'banned' END AS outcome FROM struck WHERE n_abuse IS NOT NULL")
+def q_strike_ladder(spark, sf_dir):
+    s = action_context(spark, sf_dir).where(F.col("n_abuse").isNotNull())
+    return s.select("action_seq", ST.abuse_ladder(F.col("n_abuse"), F.col("emoji")).alias("outcome"))
+
+
+def _notif_sql() -> str:
+    def t(text, **m):
+        import re
+        out, pos = [], 0
+        for mm in re.finditer(r"\{(\w+)\}", text):
+            if mm.start() > pos:
+                out.append(Q.lit(text[pos:mm.start()]))
+            out.append(f"CAST({m[mm.group(1)]} AS VARCHAR)")
+            pos = mm.end()
+        if pos < len(text):
+            out.append(Q.lit(text[pos:]))
+        return "(" + " || ".join(out) + ")"
+    c = dict(url="jump_url", content="content", type="abuse_type", id="report_id",
+             n="coalesce(n_abuse, n_false)")
+    strike = "emoji IN ('❗', '‼️')"
+    abuser = f"""CASE WHEN emoji = '⏱️' THEN {t(R.NOTICE_SLOW_ABUSER, **c)}
+      WHEN emoji = '🗑️' THEN {t(R.NOTICE_DELETED_ABUSER, **c)}
+      WHEN emoji = '❌' THEN {t(R.NOTICE_BANNED_ABUSER, **c)}
+      WHEN {strike} AND n_abuse = 2 AND emoji = '‼️' THEN {t(R.NOTICE_STRIKE_SLOWED, **c)}
+      WHEN {strike} AND n_abuse < 3 AND emoji <> '‼️' THEN {t(R.NOTICE_STRIKE_WARNED, **c)}
+      WHEN {strike} AND n_abuse < 3 THEN {t(R.NOTICE_STRIKE_WARNED_LARGE, **c)}
+      WHEN {strike} THEN {t(R.NOTICE_STRIKE_BANNED, **c)} END"""
+    reporter = f"""CASE WHEN is_auto THEN NULL
+      WHEN emoji = '⏱️' THEN {t(R.NOTICE_REPORTER_SLOW, **c)}
+      WHEN emoji = '🛑' THEN {t(R.NOTICE_REPORTER_BLOCK, **c)}
+      WHEN emoji = '🗑️' THEN {t(R.NOTICE_REPORTER_DELETED, **c)}
+      WHEN emoji = '❌' THEN {t(R.NOTICE_REPORTER_BANNED, **c)}
+      WHEN emoji = '⬆️' THEN {t(R.NOTICE_REPORTER_ESCALATED, **c)}
+      WHEN emoji = '❔' THEN CASE WHEN n_false < 3 THEN {t(R.NOTICE_FALSE_STRUCK, **c)} ELSE {t(R.NOTICE_FALSE_RESTRICTED, **c)} END
+      WHEN {strike} AND n_abuse = 2 AND emoji = '‼️' THEN {t(R.NOTICE_REPORTER_SLOWED, **c)}
+      WHEN {strike} AND n_abuse < 3 THEN {t(R.NOTICE_REPORTER_STRUCK, **c)}
+      WHEN {strike} THEN {t(R.NOTICE_REPORTER_BANNED, **c)} END"""
+    return (_ACT_SQL + f"""SELECT * FROM (
+  SELECT action_seq, 'abuser' AS recipient_role, abuser_id AS recipient_id, {abuser} AS text FROM struck
+  UNION ALL
+  SELECT action_seq, 'reporter', reporter_id, {reporter} FROM struck) x WHERE text IS NOT NULL""")
+
+
+@register("action_notifications", _notif_sql())
+def q_action_notifications(spark, sf_dir):
+    return AC.notifications(action_context(spark, sf_dir))
+
+
+# Strikes over the order history: customer = abuser, order date = report
+# creation time, order key = action order (365-day horizon).
+
+@register("abuse_strikes", Q.strikes_window_sql("orders", "o_custkey", "o_orderdate", "o_orderkey", 365,
+                                                "o_orderkey, o_custkey"))
+def q_abuse_strikes(spark, sf_dir):
+    o = S.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return ST.strikes_window(o, "o_custkey", "o_orderdate", "o_orderkey", 365).select(
+        "o_orderkey", "o_custkey", "n_strikes")
+
+
+_REPLAY_SQL = f"""WITH RECURSIVE ev AS (
+  SELECT o_custkey AS k, o_orderkey AS seq, epoch_us(o_orderdate) AS t,
+         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn
+  FROM orders),
+r(k, rn, seq, q) AS (
+  SELECT k, rn, seq, [t] FROM ev WHERE rn = 1
+  UNION ALL
+  SELECT e.k, e.rn, e.seq,
+         list_append(list_slice(r.q,
+            coalesce(list_position(list_transform(r.q, lambda y: e.t - y < {365 * ST.DAY_US}), true),
+                     len(r.q) + 1), len(r.q)), e.t)
+  FROM r JOIN ev e ON e.k = r.k AND e.rn = r.rn + 1
+)
+SELECT seq AS o_orderkey, k AS o_custkey, CAST(len(q) AS BIGINT) AS n_strikes FROM r"""
+
+
+@register("abuse_strikes_replay", _REPLAY_SQL)
+def q_abuse_strikes_replay(spark, sf_dir):
+    o = S.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return ST.strikes_replay(o, "o_custkey", "o_orderdate", "o_orderkey", 365).select(
+        "o_orderkey", "o_custkey", "n_strikes")
+
+
+@register("strike_balance", f"""SELECT c.c_custkey,
+  CAST(count_if(o.o_orderdate IS NOT NULL AND epoch_us(TIMESTAMP '{S.BALANCE_AS_OF}') - epoch_us(o.o_orderdate)
+       < {365 * ST.DAY_US}) AS BIGINT) AS abuse_strikes
+FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey""")
+def q_strike_balance(spark, sf_dir):
+    users = S.table(spark, sf_dir, "customer").select("c_custkey")
+    o = S.table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate")
+    return ST.strike_balance(users, o.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey",
+                             "o_orderdate", F.lit(S.BALANCE_AS_OF).cast("timestamp_ntz"), 365,
+                             "abuse_strikes")

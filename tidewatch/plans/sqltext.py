@@ -182,3 +182,36 @@ posts AS (
 
 def order_key_sql(idc: str) -> str:
     return f"(({idc} % 1000003) * 7919 + {S.SEED}) % 1000003"
+
+
+ACTIONS = f"""
+actions AS (
+  SELECT event_id AS action_seq, ts AS acted_at,
+         CASE WHEN event_id % 50 = 0 THEN CAST({S.BOT_ID} AS BIGINT) ELSE user_id % 7 + 1 END AS actor_id,
+         user_id % 25 AS guild_id,
+         CASE WHEN event_id % 23 = 0 THEN (user_id % 25) * 100 + 3 ELSE (user_id % 25) * 100 + 18 END AS channel_id,
+         user_id * 1000 + dayofyear(ts) AS post_id,
+         ({'[' + ', '.join(lit(x) for x in S.ACTION_EMOJIS + [S.OTHER_EMOJI]) + ']'})[(event_id + user_id) % 9 + 1] AS emoji
+  FROM events
+),
+reports AS (
+  SELECT 'R' || CAST(post_id AS VARCHAR) AS report_id, post_id, u AS abuser_id,
+         'Customer#' || lpad(CAST(u AS VARCHAR), 9, '0') AS abuser_name,
+         CASE WHEN u % 5 <> 0 THEN (u * 7 + 3) % 150 END AS reporter_id,
+         u % 5 = 0 AS is_auto,
+         TIMESTAMP '{S.EPOCH}' + to_days(CAST(post_id % 1000 - 1 AS INTEGER)) AS report_created_at,
+         ({'[' + ', '.join(lit(S.REPORT_CATEGORIES[k]) for k in sorted(S.REPORT_CATEGORIES)) + ']'})[post_id % 6 + 1] AS abuse_type,
+         '{S.LINK_BASE}0/0/' || CAST(post_id AS VARCHAR) AS jump_url,
+         'reported message ' || CAST(post_id AS VARCHAR) AS content
+  FROM (SELECT DISTINCT post_id, CAST(post_id // 1000 AS BIGINT) AS u FROM actions) p
+),
+report_posts AS (SELECT post_id, report_id FROM reports WHERE abuser_id % 10 <> 3)"""
+
+
+def strikes_window_sql(src: str, key: str, created: str, seq: str, days: int, cols: str) -> str:
+    h = days * 86_400_000_000
+    return f"""SELECT {cols},
+  count(*) OVER (PARTITION BY {key} ORDER BY epoch_us({created}) RANGE BETWEEN {h - 1} PRECEDING AND CURRENT ROW)
+  - (count(*) OVER (PARTITION BY {key}, {created})
+     - row_number() OVER (PARTITION BY {key}, {created} ORDER BY {seq})) AS n_strikes
+FROM {src}"""

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.codes import REPORT_CATEGORIES
+
 # The test term list and pattern list the queries match with.
 TEST_TERMS = ["idiot", "moron", "scum", "trash", "clown", "worthless",
               "pathetic", "loser", "disgusting", "stupid"]
@@ -139,3 +141,54 @@ def labeled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_key(id_col: str = "post_id"):
     """Seeded shuffle order both engines can compute (a modular permutation)."""
     return ((F.col(id_col) % 1000003) * 7919 + SEED) % 1000003
+
+
+# ------------------------------------------------------ actions, reports ----
+# The moderator reaction set, and the stand-in choice of
+# reaction per event ((event_id + user_id) % 9; the ninth is not in the set).
+ACTION_EMOJIS = ["⏱️", "🛑", "🗑️", "❗", "‼️", "❌", "❔", "⬆️"]
+OTHER_EMOJI = "👍"
+
+
+def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moderator reactions: one per event, on the post of report (user, day)."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
+    guild = F.col("user_id") % 25
+    emoji = F.element_at(F.array(*[F.lit(x) for x in ACTION_EMOJIS + [OTHER_EMOJI]]),
+                         ((F.col("event_id") + F.col("user_id")) % 9 + 1).cast("int"))
+    return e.select(
+        F.col("event_id").alias("action_seq"),
+        F.col("ts").alias("acted_at"),
+        F.when(F.col("event_id") % 50 == 0, F.lit(BOT_ID).cast("bigint"))
+         .otherwise(F.col("user_id") % 7 + 1).alias("actor_id"),
+        guild.alias("guild_id"),
+        F.when(F.col("event_id") % 23 == 0, guild * 100 + 3).otherwise(guild * 100 + 18).alias("channel_id"),
+        (F.col("user_id") * 1000 + F.dayofyear("ts")).alias("post_id"),
+        emoji.alias("emoji"))
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One report per posted report id seen in the action log."""
+    a = actions(spark, sf_dir).select("post_id").distinct()
+    user = (F.col("post_id") / 1000).cast("bigint")
+    is_auto = user % 5 == 0
+    return a.select(
+        F.concat(F.lit("R"), F.col("post_id").cast("string")).alias("report_id"),
+        "post_id",
+        user.alias("abuser_id"),
+        F.concat(F.lit("Customer#"), F.lpad(user.cast("string"), 9, "0")).alias("abuser_name"),
+        F.when(~is_auto, (user * 7 + 3) % 150).alias("reporter_id"),
+        is_auto.alias("is_auto"),
+        F.timestamp_add("DAY", F.col("post_id") % 1000 - 1,
+                        F.lit(EPOCH).cast("timestamp_ntz")).alias("report_created_at"),
+        F.element_at(F.array(*[F.lit(REPORT_CATEGORIES[k]) for k in sorted(REPORT_CATEGORIES)]),
+                     (F.col("post_id") % 6 + 1).cast("int")).alias("abuse_type"),
+        F.concat(F.lit(LINK_BASE + "0/0/"), F.col("post_id").cast("string")).alias("jump_url"),
+        F.concat(F.lit("reported message "), F.col("post_id").cast("string")).alias("content"))
+
+
+def report_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posted report -> report id bridge (posts of users 3, 13, ... unknown)."""
+    r = reports(spark, sf_dir)
+    return r.where(F.col("abuser_id") % 10 != 3).select("post_id", "report_id")
+BALANCE_AS_OF = "1999-06-30 00:00:00"

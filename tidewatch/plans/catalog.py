@@ -640,3 +640,55 @@ def q_strike_balance(spark, sf_dir):
     return ST.strike_balance(users, o.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey",
                              "o_orderdate", F.lit(S.BALANCE_AS_OF).cast("timestamp_ntz"), 365,
                              "abuse_strikes")
+
+
+# ---------------------------------------------------------- list edits ----
+
+from ..operators import lists as L  # noqa: E402
+
+
+@register("split_edit_lines", Q.with_(Q.list_edits_cte())
+          + "SELECT edit_seq, line_no, list_kind, op, item, valid FROM lines")
+def q_split_edit_lines(spark, sf_dir):
+    return L.edit_lines(S.list_edits(spark, sf_dir)).select(
+        "edit_seq", "line_no", "list_kind", "op", "item", "valid")
+
+
+@register("apply_edits", Q.with_(Q.list_edits_cte())
+          + "SELECT edit_seq, line_no, list_kind, item, status FROM statuses")
+def q_apply_edits(spark, sf_dir):
+    return L.apply_edits(S.list_edits(spark, sf_dir), S.TEST_TERMS).select(
+        "edit_seq", "line_no", "list_kind", "item", "status")
+
+
+@register("current_list", Q.with_(Q.list_edits_cte()) + "SELECT list_kind, item FROM current_items")
+def q_current_list(spark, sf_dir):
+    return L.current_list(S.list_edits(spark, sf_dir), S.TEST_TERMS)
+
+
+@register("render_list", Q.with_(Q.list_edits_cte()) + f"""SELECT k.list_kind,
+  CASE WHEN k.list_kind = 'word' THEN {Q.lit(L.WORDS_HEADER)} ELSE {Q.lit(L.REGEX_HEADER)} END ||
+  CASE WHEN c.items IS NULL OR len(c.items) = 0 THEN
+       CASE WHEN k.list_kind = 'word' THEN {Q.lit(L.WORDS_EMPTY)} ELSE {Q.lit(L.REGEX_EMPTY)} END
+       ELSE array_to_string(c.items, ',' || chr(10)) END AS view
+FROM (VALUES ('word'), ('regex')) k(list_kind)
+LEFT JOIN (SELECT list_kind, list_sort(list(item)) AS items FROM current_items GROUP BY list_kind) c
+  USING (list_kind)""")
+def q_render_list(spark, sf_dir):
+    return L.render_list(L.current_list(S.list_edits(spark, sf_dir), S.TEST_TERMS))
+
+
+@register("list_as_of", Q.with_(Q.MESSAGES, Q.NORM, Q.list_edits_cte()) + """,
+eff AS (SELECT * FROM statuses WHERE list_kind = 'word' AND status IN ('added', 'removed')),
+vers AS (
+  SELECT item AS term, edited_at AS valid_from, valid_to FROM (
+    SELECT *, lead(edited_at) OVER (PARTITION BY list_kind, item ORDER BY edit_seq, line_no) AS valid_to
+    FROM eff) x WHERE status = 'added'
+)
+SELECT DISTINCT n.message_id, v.term FROM norm n JOIN vers v ON instr(n.lowered, v.term) > 0
+WHERE (v.valid_from IS NULL OR n.created_at >= v.valid_from)
+  AND (v.valid_to IS NULL OR n.created_at < v.valid_to)""")
+def q_list_as_of(spark, sf_dir):
+    vers = L.versions(S.list_edits(spark, sf_dir), S.TEST_TERMS).where(F.col("list_kind") == "word")
+    msgs = normalized_messages(spark, sf_dir).select("message_id", "created_at", "lowered")
+    return L.list_as_of(msgs, vers)

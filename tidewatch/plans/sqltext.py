@@ -215,3 +215,66 @@ def strikes_window_sql(src: str, key: str, created: str, seq: str, days: int, co
   - (count(*) OVER (PARTITION BY {key}, {created})
      - row_number() OVER (PARTITION BY {key}, {created} ORDER BY {seq})) AS n_strikes
 FROM {src}"""
+
+
+def _arr(items) -> str:
+    return "[" + ", ".join(lit(x) for x in items) + "]"
+
+
+def list_edits_cte() -> str:
+    from ..operators.lists import LINE_BREAK
+    word = "event_type IN ('click', 'view', 'signup')"
+    wv, rv = S.WORD_VOCAB, S.REGEX_VOCAB
+
+    def pick(v, shift):
+        return f"({_arr(v)})[(user_id + {shift}) % {len(v)} + 1]"
+    return f"""
+edits AS (
+  SELECT event_id AS edit_seq, ts AS edited_at,
+         CASE WHEN {word} THEN 'word' ELSE 'regex' END AS list_kind,
+         CASE WHEN event_id % 3 = 0 THEN 'remove' ELSE 'add' END AS op,
+         CASE WHEN {word} THEN {pick(wv, 0)} ELSE {pick(rv, 0)} END
+         || CASE WHEN {word} AND event_id % 29 = 0 THEN chr(10) || '  ' ELSE '' END
+         || CASE WHEN event_id % 4 = 0 THEN chr(10) || CASE WHEN {word} THEN {pick(wv, 3)} ELSE {pick(rv, 3)} END ELSE '' END
+         || CASE WHEN event_id % 7 = 0 THEN chr(10) ELSE '' END AS content
+  FROM events
+),
+split AS (
+  SELECT *, regexp_split_to_array(content, {lit(LINE_BREAK)}) AS parts0 FROM edits
+),
+parts AS (
+  SELECT *, CASE WHEN parts0[-1] = '' THEN parts0[1:len(parts0) - 1] ELSE parts0 END AS parts FROM split
+),
+lines0 AS (
+  SELECT edit_seq, edited_at, list_kind, op, unnest(parts) AS raw,
+         generate_subscripts(parts, 1) - 1 AS line_no FROM parts
+),
+lines AS (
+  SELECT edit_seq, edited_at, list_kind, op, line_no, raw,
+         CASE WHEN list_kind = 'word' THEN lower({strip('raw')}) ELSE raw END AS item,
+         CASE WHEN list_kind = 'word' THEN length({strip('raw')}) > 0 ELSE true END AS valid
+  FROM lines0
+),
+seeded AS (
+  SELECT edit_seq, edited_at, list_kind, op, line_no, item, valid FROM lines
+  UNION ALL
+  SELECT DISTINCT CAST(-1 AS BIGINT), CAST(NULL AS TIMESTAMP), 'word', 'add', 0, v.term, true
+  FROM {values('term', S.TEST_TERMS)}
+),
+st AS (
+  SELECT *, lag(op) OVER (PARTITION BY list_kind, item ORDER BY edit_seq, line_no) AS prev_op
+  FROM seeded WHERE valid
+),
+statuses AS (
+  SELECT edit_seq, edited_at, line_no, list_kind, item,
+         CASE WHEN op = 'add' AND prev_op = 'add' THEN 'already' WHEN op = 'add' THEN 'added'
+              WHEN prev_op = 'add' THEN 'removed' ELSE 'missing' END AS status
+  FROM st
+  UNION ALL
+  SELECT edit_seq, edited_at, line_no, list_kind, item, 'invalid' FROM seeded WHERE NOT valid
+),
+current_items AS (
+  SELECT list_kind, item FROM (
+    SELECT list_kind, item, arg_max(op, edit_seq * 1000 + line_no) AS last_op FROM seeded WHERE valid
+    GROUP BY list_kind, item) x WHERE last_op = 'add'
+)"""

@@ -192,3 +192,29 @@ def report_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = reports(spark, sf_dir)
     return r.where(F.col("abuser_id") % 10 != 3).select("post_id", "report_id")
 BALANCE_AS_OF = "1999-06-30 00:00:00"
+
+
+# ----------------------------------------------------------- list edits ----
+# Items the stand-in edit log adds and removes.
+WORD_VOCAB = TEST_TERMS + ["  Stupid ", "jerk", "MORON"]
+REGEX_VOCAB = TEST_PATTERNS + ["[0-9]{9}", "[Ll]oser[0-9]+"]
+
+
+def list_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edit log: one multi-line edit per event (kind by event type)."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    word = F.col("event_type").isin("click", "view", "signup")
+
+    def pick(vocab, shift):
+        return F.element_at(F.array(*[F.lit(v) for v in vocab]),
+                            ((F.col("user_id") + shift) % len(vocab) + 1).cast("int"))
+    first = F.when(word, pick(WORD_VOCAB, 0)).otherwise(pick(REGEX_VOCAB, 0))
+    second = F.when(F.col("event_id") % 4 == 0, F.concat(
+        F.lit("\n"), F.when(word, pick(WORD_VOCAB, 3)).otherwise(pick(REGEX_VOCAB, 3)))).otherwise(F.lit(""))
+    blank = F.when(word & (F.col("event_id") % 29 == 0), F.lit("\n  ")).otherwise(F.lit(""))
+    trail = F.when(F.col("event_id") % 7 == 0, F.lit("\n")).otherwise(F.lit(""))
+    return e.select(
+        F.col("event_id").alias("edit_seq"), F.col("ts").alias("edited_at"),
+        F.when(word, F.lit("word")).otherwise(F.lit("regex")).alias("list_kind"),
+        F.when(F.col("event_id") % 3 == 0, F.lit("remove")).otherwise(F.lit("add")).alias("op"),
+        F.concat(first, blank, second, trail).alias("content"))

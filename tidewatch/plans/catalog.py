@@ -692,3 +692,233 @@ def q_list_as_of(spark, sf_dir):
     vers = L.versions(S.list_edits(spark, sf_dir), S.TEST_TERMS).where(F.col("list_kind") == "word")
     msgs = normalized_messages(spark, sf_dir).select("message_id", "created_at", "lowered")
     return L.list_as_of(msgs, vers)
+
+
+# --------------------------------------------------- dialogs and reports ----
+
+from ..functions.codes import REPORT_CATEGORIES  # noqa: E402
+from ..functions.text import decode_choice, parse_message_link  # noqa: E402
+from ..operators import dialog as DG  # noqa: E402
+from ..operators import reports as RE  # noqa: E402
+
+_LINK_RE = r"/([0-9]+)/([0-9]+)/([0-9]+)"
+
+
+def _dm_sql() -> str:
+    def link(m):
+        return (f"'{S.LINK_BASE}' || CAST(({m}) % 25 AS VARCHAR) || '/' || "
+                f"CAST((({m}) % 25) * 100 + ({m}) % 20 AS VARCHAR) || '/' || CAST({m} AS VARCHAR)")
+
+    def pick(opts, mod):
+        return f"([{', '.join(opts)}])[conv_id % {mod} + 1]"
+    mid = "conv_id * 10 + turn"
+    t0 = "CASE WHEN conv_id % 10 = 9 THEN 'blocklist' WHEN conv_id % 10 = 8 THEN 'help' ELSE 'report' END"
+    t1 = f"CASE WHEN conv_id % 7 = 0 THEN 'not a link' ELSE {link(mid)} END"
+    t2 = pick(["'1'", "'2'", "'5'", "'6'", "'9'"], 5)
+    t3 = pick(["' 2 '", "'1'", "'skip'", "'3'"], 4)
+    t4 = pick(["'1'", "'2'", "'cancel'", f"{link(mid + ' + 1')} || ' ' || {link(mid + ' + 2')} || ' junk'"], 4)
+    t5 = pick(["'1'", "'2'"], 2)
+    t6 = pick(["'2'", "'1'"], 2)
+    return f"""
+dm AS (
+  SELECT conv_id AS author_id, turn AS turn_seq, 'Reporter#' || CAST(conv_id AS VARCHAR) AS author_name,
+         CASE turn WHEN 0 THEN {t0} WHEN 1 THEN {t1} WHEN 2 THEN {t2} WHEN 3 THEN {t3}
+                   WHEN 4 THEN {t4} WHEN 5 THEN {t5} WHEN 6 THEN {t6} ELSE 'list' END AS content
+  FROM conversations
+)"""
+
+
+def dm_world(spark, sf_dir):
+    msgs = S.messages(spark, sf_dir)
+    chans = channels(spark, sf_dir)
+    guilds = chans.select("guild_id").distinct()
+    return S.dm_turns(spark, sf_dir), guilds, chans, msgs
+
+
+@register("classify_command", Q.with_(_dm_sql()) + """SELECT author_id, turn_seq,
+  CASE WHEN content = 'help' THEN 'help' WHEN starts_with(content, 'report') THEN 'report'
+       WHEN starts_with(content, 'blocklist') THEN 'blocklist' WHEN starts_with(content, 'list') THEN 'list'
+       WHEN starts_with(content, 'strike') THEN 'strike' WHEN starts_with(content, 'search') THEN 'search'
+       ELSE 'ignore' END AS command FROM dm""")
+def q_classify_command(spark, sf_dir):
+    t = S.dm_turns(spark, sf_dir).withColumn("in_report_session", F.lit(False)) \
+        .withColumn("in_list_session", F.lit(False))
+    return RT.classify_command(t).select("author_id", "turn_seq", "command")
+
+
+@register("parse_message_link", Q.with_(_dm_sql()) + f"""SELECT author_id, turn_seq,
+  regexp_matches(content, '{_LINK_RE}') AS matched,
+  CASE WHEN regexp_matches(content, '{_LINK_RE}') THEN TRY_CAST(regexp_extract(content, '{_LINK_RE}', 1) AS BIGINT) END AS guild_id,
+  CASE WHEN regexp_matches(content, '{_LINK_RE}') THEN TRY_CAST(regexp_extract(content, '{_LINK_RE}', 2) AS BIGINT) END AS channel_id,
+  CASE WHEN regexp_matches(content, '{_LINK_RE}') THEN TRY_CAST(regexp_extract(content, '{_LINK_RE}', 3) AS BIGINT) END AS message_id
+FROM dm""")
+def q_parse_message_link(spark, sf_dir):
+    t = S.dm_turns(spark, sf_dir)
+    return t.select("author_id", "turn_seq", parse_message_link(F.col("content")).alias("l")).select(
+        "author_id", "turn_seq", "l.matched", "l.guild_id", "l.channel_id", "l.message_id")
+
+
+_TOKENS_SQL = f""",
+toks0 AS (SELECT author_id, turn_seq, string_split_regex({Q.strip('content')}, '\\s+') AS toks FROM dm),
+toks AS (SELECT author_id, turn_seq, unnest(toks) AS tok, generate_subscripts(toks, 1) - 1 AS tok_no FROM toks0),
+links AS (
+  SELECT author_id, turn_seq, tok_no,
+         TRY_CAST(regexp_extract(tok, '{_LINK_RE}', 1) AS BIGINT) AS g,
+         TRY_CAST(regexp_extract(tok, '{_LINK_RE}', 2) AS BIGINT) AS c,
+         TRY_CAST(regexp_extract(tok, '{_LINK_RE}', 3) AS BIGINT) AS m
+  FROM toks WHERE regexp_matches(tok, '{_LINK_RE}')
+)"""
+
+
+@register("explode_links", Q.with_(_dm_sql()) + _TOKENS_SQL
+          + " SELECT author_id, turn_seq, tok_no, g AS guild_id, c AS channel_id, m AS message_id FROM links")
+def q_explode_links(spark, sf_dir):
+    x = DG.explode_links(S.dm_turns(spark, sf_dir), ["author_id", "turn_seq"])
+    return x.select("author_id", "turn_seq", "tok_no", "link.guild_id", "link.channel_id", "link.message_id")
+
+
+_WORLD_SQL = """,
+chans AS (SELECT DISTINCT guild_id, channel_id FROM messages WHERE guild_id IS NOT NULL),
+guilds AS (SELECT DISTINCT guild_id FROM chans)"""
+
+
+@register("resolve_link", Q.with_(Q.MESSAGES, _dm_sql()) + _WORLD_SQL + f""",
+p AS (
+  SELECT author_id, turn_seq, regexp_matches(content, '{_LINK_RE}') AS ok,
+         TRY_CAST(regexp_extract(content, '{_LINK_RE}', 1) AS BIGINT) AS g,
+         TRY_CAST(regexp_extract(content, '{_LINK_RE}', 2) AS BIGINT) AS c,
+         TRY_CAST(regexp_extract(content, '{_LINK_RE}', 3) AS BIGINT) AS m
+  FROM dm
+)
+SELECT p.author_id, p.turn_seq,
+  CASE WHEN NOT p.ok THEN '{DG.LINK_UNREADABLE}' WHEN gg.guild_id IS NULL THEN '{DG.LINK_GUILD_UNKNOWN}'
+       WHEN cc.channel_id IS NULL THEN '{DG.LINK_CHANNEL_UNKNOWN}'
+       WHEN mm.message_id IS NULL THEN '{DG.LINK_MESSAGE_UNKNOWN}' END AS link_reason,
+  CASE WHEN p.ok AND gg.guild_id IS NOT NULL AND cc.channel_id IS NOT NULL AND mm.message_id IS NOT NULL
+       THEN p.m END AS link_message_id
+FROM p LEFT JOIN guilds gg ON gg.guild_id = p.g
+LEFT JOIN chans cc ON cc.guild_id = p.g AND cc.channel_id = p.c
+LEFT JOIN messages mm ON mm.channel_id = p.c AND mm.message_id = p.m""")
+def q_resolve_link(spark, sf_dir):
+    turns, guilds, chans, msgs = dm_world(spark, sf_dir)
+    return DG.resolve_link(turns, guilds, chans, msgs).select(
+        "author_id", "turn_seq", "link_reason", "link_message_id")
+
+
+@register("resolve_links_multi", Q.with_(Q.MESSAGES, _dm_sql()) + _TOKENS_SQL + _WORLD_SQL + """
+SELECT author_id, turn_seq, array_to_string(list(m ORDER BY tok_no), ',') AS extra_ids
+FROM links l JOIN chans cc ON cc.guild_id = l.g AND cc.channel_id = l.c
+JOIN messages mm ON mm.channel_id = l.c AND mm.message_id = l.m
+GROUP BY author_id, turn_seq""")
+def q_resolve_links_multi(spark, sf_dir):
+    turns, guilds, chans, msgs = dm_world(spark, sf_dir)
+    r = DG.resolve_links(turns, ["author_id", "turn_seq"], chans, msgs)
+    return r.select("author_id", "turn_seq", F.array_join("extra_ids", ",").alias("extra_ids"))
+
+
+@register("decode_choice", Q.with_(_dm_sql()) + f"""SELECT author_id, turn_seq,
+  CASE WHEN regexp_matches({Q.strip('content')}, '^[0-9]+$') AND TRY_CAST({Q.strip('content')} AS INTEGER) BETWEEN 1 AND 6
+       THEN ([{', '.join(Q.lit(REPORT_CATEGORIES[k]) for k in sorted(REPORT_CATEGORIES))}])[TRY_CAST({Q.strip('content')} AS INTEGER)]
+  END AS category FROM dm""")
+def q_decode_choice(spark, sf_dir):
+    t = S.dm_turns(spark, sf_dir)
+    return t.select("author_id", "turn_seq", decode_choice(F.col("content"), REPORT_CATEGORIES).alias("category"))
+
+
+def completed_reports(spark, sf_dir) -> DataFrame:
+    turns, guilds, chans, msgs = dm_world(spark, sf_dir)
+    prepared = DG.prepare_turns(turns, guilds, chans, msgs)
+    done = DG.reports_from_turns(prepared)
+    names = turns.select("author_id", F.col("author_name").alias("reporter")).distinct()
+    r = RE.new_reports(done.join(names, "author_id", "left"), msgs, F.col("reporter"))
+    r = r.withColumn("report_created_at", F.timestamp_add(
+        "MINUTE", F.col("end_seq"), F.lit(S.EPOCH).cast("timestamp_ntz")))
+    return r
+
+
+def full_reports(spark, sf_dir) -> DataFrame:
+    msgs = S.messages(spark, sf_dir)
+    ex = RE.expand_related(completed_reports(spark, sf_dir), msgs)
+    return RE.account_size(RE.block_sets(ex, msgs), S.accounts(spark, sf_dir))
+
+
+@register("replay_report_dialog")
+def q_replay_report_dialog(spark, sf_dir):
+    turns, guilds, chans, msgs = dm_world(spark, sf_dir)
+    return DG.reports_from_turns(DG.prepare_turns(turns, guilds, chans, msgs))
+
+
+@register("replay_list_dialog")
+def q_replay_list_dialog(spark, sf_dir):
+    turns, guilds, chans, msgs = dm_world(spark, sf_dir)
+    return DG.list_edits_from_turns(DG.prepare_turns(turns, guilds, chans, msgs))
+
+
+@register("new_report")
+def q_new_report(spark, sf_dir):
+    return completed_reports(spark, sf_dir).select("report_id", "reporter_id", "message_id", "abuse_type",
+                                                   "safety_mode", "is_auto")
+
+
+@register("expand_related")
+def q_expand_related(spark, sf_dir):
+    ex = RE.expand_related(completed_reports(spark, sf_dir), S.messages(spark, sf_dir))
+    return ex.select("report_id", "parent_id", "message_id", "abuse_type", "harassment_type",
+                     "imminent_danger", "other_details", "safety_mode", "block_requested")
+
+
+@register("block_sets")
+def q_block_sets(spark, sf_dir):
+    msgs = S.messages(spark, sf_dir)
+    b = RE.block_sets(RE.expand_related(completed_reports(spark, sf_dir), msgs), msgs)
+    return b.select("report_id", F.array_join("block_user", ",").alias("block_user"))
+
+
+@register("account_size", Q.with_(Q.ACTIONS) + f"""SELECT r.report_id,
+  coalesce(CAST(floor(c.c_acctbal) AS BIGINT), {RE.DEFAULT_FOLLOWERS}) AS followers,
+  coalesce(CAST(floor(c.c_acctbal) AS BIGINT), {RE.DEFAULT_FOLLOWERS}) > {RE.LARGE_ACCOUNT_FOLLOWERS} AS large_account,
+  CASE WHEN coalesce(CAST(floor(c.c_acctbal) AS BIGINT), {RE.DEFAULT_FOLLOWERS}) > {RE.LARGE_ACCOUNT_FOLLOWERS}
+       THEN '{RE.STRIKE_LARGE}' ELSE '{RE.STRIKE_SMALL}' END AS strike_emoji
+FROM reports r LEFT JOIN customer c ON c.c_name = r.abuser_name""")
+def q_account_size(spark, sf_dir):
+    a = RE.account_size(S.reports(spark, sf_dir), S.accounts(spark, sf_dir), "abuser_name")
+    return a.select("report_id", "followers", "large_account", "strike_emoji")
+
+
+@register("format_report")
+def q_format_report(spark, sf_dir):
+    return RE.format_report(full_reports(spark, sf_dir))
+
+
+@register("acknowledge_report", Q.with_(Q.ACTIONS) + f"""SELECT report_id,
+  {Q.lit('Thank you for reporting ')} || abuse_type || '. Your report has been filed as report ' || report_id
+  || {Q.lit('.' + chr(10) + 'We will notify you when your report has been reviewed and appropriate actions has been taken.' + chr(10))}
+  || CASE WHEN abuse_type = 'Harassment' THEN {Q.lit(RE.ACK_HARASSMENT)}
+          WHEN abuse_type = 'Imminent Danger' THEN {Q.lit(RE.ACK_DANGER)} ELSE {Q.lit(RE.ACK_OTHER)} END AS ack_text
+FROM reports""")
+def q_acknowledge_report(spark, sf_dir):
+    return RE.acknowledge(S.reports(spark, sf_dir))
+
+
+@register("post_report")
+def q_post_report(spark, sf_dir):
+    return RE.report_posts(full_reports(spark, sf_dir))
+
+
+@register("list_my_reports")
+def q_list_my_reports(spark, sf_dir):
+    req = S.dm_turns(spark, sf_dir).select("author_id").distinct()
+    lst = RE.list_my_reports(req, full_reports(spark, sf_dir))
+    return lst.select("author_id", F.array_join("report_ids", ",").alias("report_ids"))
+
+
+@register("search_report")
+def q_search_report(spark, sf_dir):
+    reps = full_reports(spark, sf_dir)
+    own = reps.select("reporter_id", F.concat(F.lit("search "), F.col("report_id")).alias("content"))
+    other = reps.select((F.col("reporter_id") + 1).alias("reporter_id"),
+                        F.concat(F.lit("search "), F.col("report_id")).alias("content"))
+    bad = reps.select("reporter_id", F.lit("search not-an-id").alias("content"))
+    usage = reps.select("reporter_id", F.lit("search").alias("content"))
+    req = own.unionByName(other).unionByName(bad).unionByName(usage).withColumnRenamed("reporter_id", "author_id")
+    return RE.search_reports(req, reps).select("author_id", "content", "reply")

@@ -218,3 +218,35 @@ def list_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(word, F.lit("word")).otherwise(F.lit("regex")).alias("list_kind"),
         F.when(F.col("event_id") % 3 == 0, F.lit("remove")).otherwise(F.lit("add")).alias("op"),
         F.concat(first, blank, second, trail).alias("content"))
+
+
+# ------------------------------------------------------------ dm turns ----
+
+def _link(m):
+    g = m % 25
+    return F.concat(F.lit(LINK_BASE), g.cast("string"), F.lit("/"), (g * 100 + m % 20).cast("string"),
+                    F.lit("/"), m.cast("string"))
+
+
+def dm_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direct-message dialogs: each conversation is one user's DM thread;
+    turn texts are dialog inputs chosen by (conversation, turn)."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    cid, turn = F.col("conv_id"), F.col("turn")
+    mid = cid * 10 + turn
+
+    def pick(opts, mod):
+        return F.element_at(F.array(*opts), (cid % mod + 1).cast("int"))
+    L = F.lit
+    t0 = F.when(cid % 10 == 9, L("blocklist")).when(cid % 10 == 8, L("help")).otherwise(L("report"))
+    t1 = F.when(cid % 7 == 0, L("not a link")).otherwise(_link(mid))
+    t2 = pick([L("1"), L("2"), L("5"), L("6"), L("9")], 5)
+    t3 = pick([L(" 2 "), L("1"), L("skip"), L("3")], 4)
+    t4 = pick([L("1"), L("2"), L("cancel"),
+               F.concat(_link(mid + 1), L(" "), _link(mid + 2), L(" junk"))], 4)
+    t5 = pick([L("1"), L("2")], 2)
+    t6 = pick([L("2"), L("1")], 2)
+    content = (F.when(turn == 0, t0).when(turn == 1, t1).when(turn == 2, t2).when(turn == 3, t3)
+               .when(turn == 4, t4).when(turn == 5, t5).when(turn == 6, t6).otherwise(L("list")))
+    return c.select(cid.alias("author_id"), turn.alias("turn_seq"), content.alias("content"),
+                    F.concat(L("Reporter#"), cid.cast("string")).alias("author_name"))

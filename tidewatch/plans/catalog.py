@@ -806,10 +806,10 @@ def q_resolve_link(spark, sf_dir):
 
 
 @register("resolve_links_multi", Q.with_(Q.MESSAGES, _dm_sql()) + _TOKENS_SQL + _WORLD_SQL + """
-SELECT author_id, turn_seq, array_to_string(list(m ORDER BY tok_no), ',') AS extra_ids
+SELECT l.author_id, l.turn_seq, array_to_string(list(l.m ORDER BY l.tok_no), ',') AS extra_ids
 FROM links l JOIN chans cc ON cc.guild_id = l.g AND cc.channel_id = l.c
 JOIN messages mm ON mm.channel_id = l.c AND mm.message_id = l.m
-GROUP BY author_id, turn_seq""")
+GROUP BY l.author_id, l.turn_seq""")
 def q_resolve_links_multi(spark, sf_dir):
     turns, guilds, chans, msgs = dm_world(spark, sf_dir)
     r = DG.resolve_links(turns, ["author_id", "turn_seq"], chans, msgs)

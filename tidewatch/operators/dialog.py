@@ -102,8 +102,15 @@ LIST_MENU = {2: ("word", "add"), 3: ("word", "remove"), 5: ("regex", "add"), 6:
 
 def _fold_author(rows) -> tuple[list, list]:
     """The state machine over one author's ordered turns."""
+    reports, edits, _ = fold_resume(rows, None)
+    return reports, edits
+
+
+def fold_resume(rows, saved: dict | None) -> tuple[list, list, dict]:
+    """The state machine, resumable: ``saved`` is the open session (if any)."""
     reports, edits = [], []
-    mode, state, cur = None, None, None      # mode: None | 'report' | 'list'
+    saved = saved or {}
+    mode, state, cur = saved.get("mode"), saved.get("state"), saved.get("cur")
     for t in rows:
         content, choice = t["content"], t["choice"]
         if content == HELP_KEYWORD:
@@ -168,7 +175,7 @@ def _fold_author(rows) -> tuple[list, list]:
                 cur["end_seq"] = t["turn_seq"]
                 reports.append(cur)
                 mode, state, cur = None, None, None
-    return reports, edits
+    return reports, edits, {"mode": mode, "state": state, "cur": cur}
 
 
 def _records(pdf: pd.DataFrame):

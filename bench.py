@@ -28,7 +28,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = build_session("tidewatch-bench", master=f"local[{cpus}]", shuffle_partitions=cpus,
-                          extra={"spark.driver.memory": "16g"})
+                          extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "4g")})
     times, rows = {}, {}
     for name in HEADLINE:
         fn = catalog.QUERIES[name]

@@ -74,15 +74,17 @@ def normalize_text(col) -> Column:
 def with_normalized(df, text_col: str = "content"):
     """Add ``stripped``, ``folded`` and ``lowered`` columns.
 
-    Built as successive projections over column references so the long
-    translate expression is evaluated once per row.
+    Pure-ASCII texts (character count equals byte count, both O(1) or a
+    byte scan) skip transliteration entirely.  The others run one
+    ``translate`` bound once per row, then the multi-character folds.
     """
     src, dst, _ = fold_tables()
+    ascii_only = F.length("stripped") == F.octet_length("stripped")
+    folded = F.when(ascii_only, F.col("stripped")).otherwise(
+        bind(F.translate(F.col("stripped"), src, dst), fold_multi))
     return (df.withColumn("stripped", strip_ws(text_col))
-              .withColumn("_translated", F.translate("stripped", src, dst))
-              .withColumn("folded", fold_multi("_translated"))
-              .withColumn("lowered", F.lower("folded"))
-              .drop("_translated"))
+              .withColumn("folded", folded)
+              .withColumn("lowered", F.lower("folded")))
 
 
 def parse_message_link(col) -> Column:

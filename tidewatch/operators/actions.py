@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions import render as R
 from . import strikes as ST
-from .common import bounded_broadcast
 
 # Moderator reactions and what each one means.
 SLOW, BLOCK, DELETE, STRIKE, STRIKE_LARGE, BAN, FALSE_REPORT, ESCALATE = (
@@ -21,8 +20,10 @@ FALSE_REPORT_HORIZON_DAYS = 30
 def valid_actions(actions: DataFrame, routes: DataFrame, posts: DataFrame, bot_id: int) -> DataFrame:
     """O-G1: reaction in the guild's human-mod channel, on a posted report,
     with a known emoji, not by the bot.  Routes (one row per guild) are
-    broadcast behind a size check; posts are a semi-join."""
-    r = bounded_broadcast(routes.select("guild_id", "human_mod_channel"))
+    broadcast by adaptive execution from their measured size (they are an
+    aggregate, so a count beforehand would recompute them); posts are a
+    semi-join."""
+    r = routes.select("guild_id", "human_mod_channel")
     return (actions.where(F.col("emoji").isin(ACTION_SET) & (F.col("actor_id") != F.lit(bot_id)))
             .join(r, "guild_id")
             .where(F.col("channel_id") == F.col("human_mod_channel")).drop("human_mod_channel")
@@ -36,12 +37,25 @@ def correlate(valid: DataFrame, posts: DataFrame, reports: DataFrame) -> DataFra
 
 
 def with_strikes(corr: DataFrame, mode: str = "window") -> DataFrame:
-    """Attach ``n_abuse`` / ``n_false`` to strike actions (O-G4, O-G5)."""
-    abuse = ST.strikes(corr.where(F.col("emoji").isin(STRIKE, STRIKE_LARGE)),
-                       "abuser_id", "report_created_at", "action_seq",
+    """Attach ``n_abuse`` / ``n_false`` to strike actions (O-G4, O-G5).
+
+    Window mode counts both kinds in one pass over the correlated actions
+    (no recomputation, no join back).  Replay mode folds each kind.
+    """
+    e = F.col("emoji")
+    abuse_cond = e.isin(STRIKE, STRIKE_LARGE)
+    false_cond = (e == FALSE_REPORT) & ~F.col("is_auto")
+    if mode == "window":
+        res = ST.multi_horizon_strikes(corr, {
+            "abuse": (abuse_cond, F.col("abuser_id"), ABUSE_HORIZON_DAYS),
+            "false": (false_cond, F.col("reporter_id"), FALSE_REPORT_HORIZON_DAYS),
+        }, "action_seq", "report_created_at", "_n")
+        return (res.withColumn("n_abuse", F.when(F.col("strike_kind") == "abuse", F.col("_n")))
+                   .withColumn("n_false", F.when(F.col("strike_kind") == "false", F.col("_n")))
+                   .drop("_n", "strike_kind"))
+    abuse = ST.strikes(corr.where(abuse_cond), "abuser_id", "report_created_at", "action_seq",
                        ABUSE_HORIZON_DAYS, mode, "n_abuse").select("action_seq", "n_abuse")
-    false = ST.strikes(corr.where((F.col("emoji") == FALSE_REPORT) & ~F.col("is_auto")),
-                       "reporter_id", "report_created_at", "action_seq",
+    false = ST.strikes(corr.where(false_cond), "reporter_id", "report_created_at", "action_seq",
                        FALSE_REPORT_HORIZON_DAYS, mode, "n_false").select("action_seq", "n_false")
     return corr.join(abuse, "action_seq", "left").join(false, "action_seq", "left")
 

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import HARASSMENT_CATEGORIES, IMMINENT_DANGER_CATEGORIES, REPORT_CATEGORIES
 from ..functions.text import LINK_PATTERN, choice_number, parse_message_link, strip_ws
-from .common import bounded_broadcast
 from .routing import CANCEL_KEYWORD, HELP_KEYWORD, LIST_KEYWORD, REPORT_KEYWORD
 
 # Reasons a report link is refused.
@@ -30,14 +29,14 @@ def resolve_link(turns: DataFrame, guilds: DataFrame, chans: DataFrame, msgs: Da
                  col: str = "content") -> DataFrame:
     """O-F2: first link in the text -> message id, or the first failing step.
 
-    Guilds and channels are dimensions (broadcast behind a size check); the
-    message lookup is a shuffled left join on (channel, message) id.
+    Guilds and channels are small aggregates, broadcast by adaptive
+    execution from their measured size; the message lookup is a shuffled
+    left join on (channel, message) id.
     """
     p = turns.withColumn("_l", parse_message_link(F.col(col)))
-    g = bounded_broadcast(guilds.select(F.col("guild_id").alias("_g")).distinct()
-                          .withColumn("_g_ok", F.lit(True)))
-    c = bounded_broadcast(chans.select(F.col("guild_id").alias("_cg"), F.col("channel_id").alias("_c"))
-                          .distinct().withColumn("_c_ok", F.lit(True)))
+    g = guilds.select(F.col("guild_id").alias("_g")).distinct().withColumn("_g_ok", F.lit(True))
+    c = (chans.select(F.col("guild_id").alias("_cg"), F.col("channel_id").alias("_c"))
+         .distinct().withColumn("_c_ok", F.lit(True)))
     m = msgs.select(F.col("channel_id").alias("_mc"), F.col("message_id").alias("_m"),
                     F.lit(True).alias("_m_ok"))
     j = (p.join(g, F.col("_l.guild_id") == F.col("_g"), "left")
@@ -67,8 +66,7 @@ def resolve_links(turns: DataFrame, key: list[str], chans: DataFrame, msgs: Data
     Returns ``key + extra_ids array<bigint>`` in text order, duplicates kept.
     """
     x = explode_links(turns, key, col)
-    c = bounded_broadcast(chans.select(F.col("guild_id").alias("_cg"), F.col("channel_id").alias("_c"))
-                          .distinct())
+    c = chans.select(F.col("guild_id").alias("_cg"), F.col("channel_id").alias("_c")).distinct()
     m = msgs.select(F.col("channel_id").alias("_mc"), F.col("message_id").alias("_m"))
     ok = (x.join(c, (F.col("link.guild_id") == F.col("_cg")) & (F.col("link.channel_id") == F.col("_c")))
            .join(m, (F.col("link.channel_id") == F.col("_mc")) & (F.col("link.message_id") == F.col("_m"))))

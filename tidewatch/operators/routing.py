@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast
 
 # Direct-message command keywords.
 HELP_KEYWORD = "help"
@@ -61,9 +60,10 @@ def build_routes(channels: DataFrame, bot_name: str) -> DataFrame:
 def route(df: DataFrame, routes: DataFrame) -> DataFrame:
     """O-B5: attach the guild's mod channels (left join: unknown guild -> null).
 
-    Routes hold one row per guild, broadcast behind a size check.
+    Routes hold one row per guild; adaptive execution broadcasts them from
+    their measured size (a pre-count would recompute the aggregate).
     """
-    return df.join(bounded_broadcast(routes), "guild_id", "left")
+    return df.join(routes, "guild_id", "left")
 
 
 def classify_command(df: DataFrame, in_report: str = "in_report_session",

@@ -15,14 +15,14 @@ Two modes:
   over as many tasks as the history has horizons, and each partition holds
   at most two horizons of one user.
 * ``replay``: the literal head-only fold, exact for any arrival order.
-  It is sequential per user (a keyed fold in ``applyInPandas`` over two
-  8-byte columns); histories of one user must fit one task.
+  It is sequential per user: one shuffle by user, a sort by action order
+  inside each partition (spills like any sort), then one pass that keeps
+  only the current user's live list in memory.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,20 +34,19 @@ def _micros(col: str):
                             F.col(col).cast("timestamp_ntz"))
 
 
-def strikes_window(events: DataFrame, key: str, created: str, seq: str,
-                   horizon_days: int, out: str = "n_strikes") -> DataFrame:
-    """Active strikes after each strike event, by creation-time window."""
-    h = horizon_days * DAY_US
-    base = events.withColumn("_t", _micros(created)).withColumn("_b", F.floor(F.col("_t") / h))
-    # own rows (bucket b) plus context copies (counted by bucket b + 1's rows)
+def window_counts(df: DataFrame, keys: list[str], t_col: str, seq: str, h: int,
+                  out: str) -> DataFrame:
+    """Rows of the same keys in ``(t - h, t]`` (integer time), ties counted in
+    ``seq`` order; partitioned by ``keys`` and a time bucket of width h."""
+    base = df.withColumn("_b", F.floor(F.col(t_col) / h))
     both = base.select("*", F.explode(F.array(
         F.struct(F.col("_b").alias("_pb"), F.lit(True).alias("_own")),
         F.struct((F.col("_b") + 1).alias("_pb"), F.lit(False).alias("_own")))).alias("_x"))
     both = both.select("*", "_x._pb", "_x._own").drop("_x")
-    part = [key, "_pb"]
-    frame = Window.partitionBy(*part).orderBy("_t").rangeBetween(-(h - 1), 0)
-    peers = Window.partitionBy(*part, "_t")
-    in_peers = Window.partitionBy(*part, "_t").orderBy(seq)
+    part = [*keys, "_pb"]
+    frame = Window.partitionBy(*part).orderBy(t_col).rangeBetween(-(h - 1), 0)
+    peers = Window.partitionBy(*part, t_col)
+    in_peers = Window.partitionBy(*part, t_col).orderBy(seq)
     counted = both.select(
         "*",
         F.count(F.lit(1)).over(frame).alias("_range"),
@@ -55,33 +54,82 @@ def strikes_window(events: DataFrame, key: str, created: str, seq: str,
         F.row_number().over(in_peers).alias("_rn"))
     res = counted.where(F.col("_own")).withColumn(
         out, F.col("_range") - (F.col("_peers") - F.col("_rn")))
-    return res.drop("_t", "_b", "_pb", "_own", "_range", "_peers", "_rn")
-
-
-def _replay_group(h: int):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_seq", kind="mergesort")
-        t = pdf["_t"].to_numpy(dtype=np.int64)
-        n = np.empty(len(t), dtype=np.int64)
-        head = 0
-        for i in range(len(t)):
-            # pop from the head while the head is expired relative to t[i]
-            while head < i and t[i] - t[head] >= h:
-                head += 1
-            n[i] = i - head + 1
-        return pd.DataFrame({"_seq": pdf["_seq"].to_numpy(), "_n": n})
+    return res.drop("_b", "_pb", "_own", "_range", "_peers", "_rn")
+
+
+def strikes_window(events: DataFrame, key: str, created: str, seq: str,
+                   horizon_days: int, out: str = "n_strikes") -> DataFrame:
+    """Active strikes after each strike event, by creation-time window."""
+    t = events.withColumn("_t", _micros(created))
+    return window_counts(t, [key], "_t", seq, horizon_days * DAY_US, out).drop("_t")
+
+
+def multi_horizon_strikes(df: DataFrame, kinds: dict[str, tuple], seq: str, created: str,
+                          out: str = "n_strikes") -> DataFrame:
+    """Several strike kinds (each its own key and horizon) in one window pass.
+
+    ``kinds = {name: (condition Column, key Column, horizon_days)}``.  Time
+    is scaled per kind by ``P / horizon_days`` (P = product of the
+    horizons), so every kind's frame has the same width ``P`` days in
+    scaled units and exact integer arithmetic.  Rows of no kind are keyed
+    by their own ``seq`` (no shared partition) and get a null count.
+    """
+    prod = 1
+    for _, _, d in kinds.values():
+        prod *= d
+    kind = F.lit(None).cast("string")
+    key = F.col(seq).cast("bigint")
+    factor = F.lit(1).cast("bigint")
+    for name, (cond, k, d) in reversed(list(kinds.items())):
+        kind = F.when(cond, F.lit(name)).otherwise(kind)
+        key = F.when(cond, k.cast("bigint")).otherwise(key)
+        factor = F.when(cond, F.lit(prod // d).cast("bigint")).otherwise(factor)
+    t = (df.withColumn("_kind", kind).withColumn("_key", key)
+           .withColumn("_ts", _micros(created) * factor))
+    res = window_counts(t, ["_kind", "_key"], "_ts", seq, prod * DAY_US, out)
+    return (res.withColumn(out, F.when(F.col("_kind").isNotNull(), F.col(out)))
+               .withColumnRenamed("_kind", "strike_kind").drop("_key", "_ts"))
+
+
+def _replay_partitions(h: int, out: str):
+    """Head-only eviction over partitions sorted by (user, action order).
+
+    Rows of one user are contiguous, so only the current user's live list
+    is held in memory, whatever the length of the history.
+    """
+    from collections import deque
+
+    def fold(batches):
+        cur, q = None, deque()
+        for pdf in batches:
+            keys = pdf["_k"].to_numpy()
+            ts = pdf["_t"].to_numpy(dtype=np.int64)
+            n = np.empty(len(pdf), dtype=np.int64)
+            for i in range(len(pdf)):
+                if keys[i] != cur:
+                    cur, q = keys[i], deque()
+                t = ts[i]
+                while q and t - q[0] >= h:      # pop expired heads only
+                    q.popleft()
+                q.append(t)
+                n[i] = len(q)
+            yield pdf.drop(columns=["_k", "_t"]).assign(**{out: n})
     return fold
 
 
 def strikes_replay(events: DataFrame, key: str, created: str, seq: str,
                    horizon_days: int, out: str = "n_strikes") -> DataFrame:
-    """Active strikes after each strike event, by literal head-only eviction."""
+    """Active strikes after each strike event, by literal head-only eviction.
+
+    One shuffle by user, an external sort by (user, action order) inside
+    each partition, then a single pass per partition.
+    """
     h = horizon_days * DAY_US
-    slim = events.select(F.col(key).alias("_k"), F.col(seq).alias("_seq"),
-                         _micros(created).alias("_t"))
-    counts = slim.groupBy("_k").applyInPandas(_replay_group(h), "_seq long, _n long")
-    return (events.join(counts.withColumnRenamed("_seq", seq), seq)
-                  .withColumnRenamed("_n", out))
+    cols = events.columns
+    prepared = (events.withColumn("_k", F.col(key)).withColumn("_t", _micros(created))
+                .repartition("_k").sortWithinPartitions("_k", seq))
+    schema = events.schema.add(out, "long")
+    return prepared.mapInPandas(_replay_partitions(h, out), schema).select(*cols, out)
 
 
 def strikes(events: DataFrame, key: str, created: str, seq: str, horizon_days: int,

@@ -37,7 +37,10 @@ def _widen(df: DataFrame) -> DataFrame:
 
 def register(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
-        QUERIES[name] = lambda spark, sf_dir: _widen(fn(spark, sf_dir))
+        def run(spark, sf_dir):
+            S.clear_shared()
+            return _widen(fn(spark, sf_dir))
+        QUERIES[name] = run
         QUERIES[name].__name__ = fn.__name__
         if sql is not None:
             ORACLE[name] = sql
@@ -45,6 +48,7 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@S.shared
 def normalized_messages(spark, sf_dir) -> DataFrame:
     return with_normalized(S.messages(spark, sf_dir), "content")
 
@@ -104,6 +108,7 @@ _ATTR_COLS = [("TOXICITY", "toxicity"), ("SPAM", "spam"), ("IDENTITY_ATTACK", "i
               ("INSULT", "insult"), ("THREAT", "threat")]
 
 
+@S.shared
 def scored_messages(spark, sf_dir) -> DataFrame:
     return S.synthetic_scorer(S.messages(spark, sf_dir).select("message_id"))
 
@@ -229,6 +234,7 @@ evaluated AS (
 """)
 
 
+@S.shared
 def evaluated_messages(spark, sf_dir) -> DataFrame:
     msgs = S.messages(spark, sf_dir).select("message_id", "author_id", "jump_url", "content")
     return D.evaluate(msgs, S.TEST_TERMS, S.TEST_PATTERNS, S.TEST_PII_RULES, scorer=S.synthetic_scorer)
@@ -288,6 +294,7 @@ def q_monitored_channel(spark, sf_dir):
     return RT.monitored(S.messages(spark, sf_dir), S.GROUP).select("message_id", "channel_name")
 
 
+@S.shared
 def channels(spark, sf_dir) -> DataFrame:
     """Guild channels seen in the message table (position = channel id)."""
     return (S.messages(spark, sf_dir).where(F.col("guild_id").isNotNull())
@@ -327,11 +334,13 @@ _VARIANT_SETS = {"low": RP.EVAL_THRESHOLDS_LOW, "high": RP.EVAL_THRESHOLDS_HIGH,
                  "production": RP.PRODUCTION_THRESHOLDS}
 
 
+@S.shared
 def labeled_posts(spark, sf_dir) -> DataFrame:
     return EV.parse_labeled_lines(S.labeled_lines(spark, sf_dir), "value", S.NEGATIVE).select(
         "post_id", "post", "label", "is_positive")
 
 
+@S.shared
 def scored_posts(spark, sf_dir) -> DataFrame:
     """Labelled posts with scorer results; failed calls dropped (O-H7)."""
     p = labeled_posts(spark, sf_dir).select("post_id", "is_positive")
@@ -380,6 +389,7 @@ def q_drop_failed(spark, sf_dir):
     return scored_posts(spark, sf_dir).select("post_id", "is_positive")
 
 
+@S.shared
 def _pairs(spark, sf_dir):
     sp = scored_posts(spark, sf_dir)
     pairs = EV.balanced_pairs(sp, 500, S.order_key("post_id"))
@@ -413,6 +423,7 @@ def q_ensemble_variants(spark, sf_dir):
     return EV.ensemble_variants(scored_posts(spark, sf_dir), keep=["post_id"])
 
 
+@S.shared
 def pair_predictions(spark, sf_dir) -> DataFrame:
     sp, pairs = _pairs(spark, sf_dir)
     pv = sp.select("post_id", "attr_pred", "chat_pred")
@@ -475,6 +486,7 @@ from ..operators import actions as AC  # noqa: E402
 from ..operators import strikes as ST  # noqa: E402
 
 
+@S.shared
 def action_context(spark, sf_dir, mode: str = "window") -> DataFrame:
     routes = RT.build_routes(channels(spark, sf_dir), S.BOT_NAME)
     posts = S.report_posts(spark, sf_dir)
@@ -728,6 +740,7 @@ dm AS (
 )"""
 
 
+@S.shared
 def dm_world(spark, sf_dir):
     msgs = S.messages(spark, sf_dir)
     chans = channels(spark, sf_dir)
@@ -825,6 +838,7 @@ def q_decode_choice(spark, sf_dir):
     return t.select("author_id", "turn_seq", decode_choice(F.col("content"), REPORT_CATEGORIES).alias("category"))
 
 
+@S.shared
 def completed_reports(spark, sf_dir) -> DataFrame:
     turns, guilds, chans, msgs = dm_world(spark, sf_dir)
     prepared = DG.prepare_turns(turns, guilds, chans, msgs)
@@ -836,6 +850,7 @@ def completed_reports(spark, sf_dir) -> DataFrame:
     return r
 
 
+@S.shared
 def full_reports(spark, sf_dir) -> DataFrame:
     msgs = S.messages(spark, sf_dir)
     ex = RE.expand_related(completed_reports(spark, sf_dir), msgs)

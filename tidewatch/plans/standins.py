@@ -33,6 +33,30 @@ LINK_BASE = "https://chat.example/channels/"
 EPOCH = "2024-01-01 00:00:00"
 
 
+_MEMO: dict = {}
+
+
+def shared(fn):
+    """Build a stand-in frame once per query construction.
+
+    DataFrames are immutable, so helpers that need the same derived table
+    reuse one object (and one plan subtree).  ``clear_shared`` runs at the
+    start of every registered query, so each query still builds in full.
+    """
+    def wrapper(spark, sf_dir, *args):
+        key = (fn.__module__, fn.__qualname__, id(spark), sf_dir, args)
+        if key not in _MEMO:
+            _MEMO[key] = fn(spark, sf_dir, *args)
+        return _MEMO[key]
+    wrapper.__name__ = fn.__name__
+    wrapper.__doc__ = fn.__doc__
+    return wrapper
+
+
+def clear_shared() -> None:
+    _MEMO.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,6 +74,7 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(slots)
 
 
+@shared
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channel and direct messages (``guild_id`` null = direct message)."""
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -79,6 +104,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@shared
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     return c.select(F.col("c_name").alias("user_name"),
@@ -128,6 +154,7 @@ SEED = 42
 NEGATIVE = "not_cyberbullying"
 
 
+@shared
 def labeled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``post,label`` lines: documents joined with their labels."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -150,6 +177,7 @@ ACTION_EMOJIS = ["⏱️", "🛑", "🗑️", "❗", "‼️", "❌", "❔", "
 OTHER_EMOJI = "👍"
 
 
+@shared
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moderator reactions: one per event, on the post of report (user, day)."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
@@ -167,6 +195,7 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
         emoji.alias("emoji"))
 
 
+@shared
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One report per posted report id seen in the action log."""
     a = actions(spark, sf_dir).select("post_id").distinct()
@@ -187,6 +216,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("reported message "), F.col("post_id").cast("string")).alias("content"))
 
 
+@shared
 def report_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posted report -> report id bridge (posts of users 3, 13, ... unknown)."""
     r = reports(spark, sf_dir)
@@ -200,6 +230,7 @@ WORD_VOCAB = TEST_TERMS + ["  Stupid ", "jerk", "MORON"]
 REGEX_VOCAB = TEST_PATTERNS + ["[0-9]{9}", "[Ll]oser[0-9]+"]
 
 
+@shared
 def list_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edit log: one multi-line edit per event (kind by event type)."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
@@ -228,6 +259,7 @@ def _link(m):
                     F.lit("/"), m.cast("string"))
 
 
+@shared
 def dm_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Direct-message dialogs: each conversation is one user's DM thread;
     turn texts are dialog inputs chosen by (conversation, turn)."""

@@ -101,6 +101,8 @@ def evaluate(msgs: DataFrame, terms: list[str], patterns: list[str], pii_rules:
     # Python scorer: list stages first, scorer only on undecided rows.
     staged = norm.select(*out, *cols, bind(F.struct(*cols), lambda r: _list_stage(
         r, terms, patterns, pii_rules, lambda _: F.lit(None).cast(DECISION_TYPE))).alias("_d"))
+    from ..session import checkpoint_dir
+    checkpoint_dir(msgs.sparkSession)  # the cluster's shared folder when set
     staged = staged.checkpoint()  # one list pass feeds both branches
     decided = staged.where(F.col("_d").isNotNull()).select(*out, "_d.*")
     rest = scorer(staged.where(F.col("_d").isNull()).drop("_d"))

@@ -113,3 +113,26 @@ def test_list_dialog_and_edit_statuses(spark):
     assert st[(3, 0)] == "invalid" and st[(3, 1)] == "added"
     cur = sorted(r.item for r in L.current_list(log, ["idiot"]).collect())
     assert cur == ["idiot", "jerk"]
+
+
+def test_search_reply_details_and_guards(spark):
+    from tidewatch.operators import reports as RE
+    rid = "0123abcd-0000-4000-8000-00000000abcd"
+    rep = spark.createDataFrame(
+        [(rid, 7, "2024-01-02 03:04:05", "alice", "hi", "u", "bob", "Harassment", None, "Hate Speech",
+          False, None, True, ["alice"])],
+        "report_id string, reporter_id long, ts string, author_name string, content string, jump_url string, "
+        "reporter string, abuse_type string, other_details string, harassment_type string, "
+        "multiple_harassers boolean, imminent_danger string, safety_mode boolean, block_user array<string>"
+    ).withColumn("report_created_at", F.col("ts").cast("timestamp_ntz"))
+    status = spark.createDataFrame([(rid, True, False)], "report_id string, deleted boolean, strike boolean")
+    req = spark.createDataFrame([(7, f"search {rid}"), (8, f"search {rid}"), (7, "search bad"), (7, "search")],
+                                "author_id long, content string")
+    got = {(r.author_id, r.content): r.reply for r in RE.search_reports(req, rep, status).collect()}
+    details = got[(7, f"search {rid}")]
+    assert details.startswith(f"Report {rid} at time 2024-01-02 03:04:05:\n\tReported message:\n\talice: \"hi\"")
+    assert "\t\tHarassment Type: Hate Speech\n\t\tMultiple Harassers: False\n" in details
+    assert "\tHas the sender been blocked: True\n\tHas the message been deleted: True\n" in details
+    assert got[(8, f"search {rid}")] == RE.SEARCH_INVALID
+    assert got[(7, "search bad")] is None
+    assert got[(7, "search")] == RE.SEARCH_USAGE

@@ -76,3 +76,37 @@ def test_patterns_validated(spark):
     import pytest
     with pytest.raises(ValueError):
         M.validate_patterns(spark, ["ok[0-9]", "foo(bar"])
+
+
+def test_whole_word_and_folded_terms(spark):
+    df = spark.createDataFrame([(1, "stupidity is not stupid"), (2, "idiot!"), (3, "große dummheit")],
+                               "message_id long, lowered string")
+    sub = {r.message_id: r.term_hit for r in M.match_terms(df, ["stupid", "idiot"]).collect()}
+    ww = {r.message_id: r.term_hit for r in M.match_terms(df, ["stupid", "idiot"], whole_word=True).collect()}
+    assert sub[1].start == 0 and ww[1].start == 17 and ww[2].item == "idiot"
+    # an accented term never matches folded text unless terms are folded too
+    plain = {r.message_id: r.term_hit for r in M.match_terms(df.withColumn(
+        "lowered", F.regexp_replace("lowered", "ß", "ss")), ["Große"]).collect()}
+    folded = {r.message_id: r.term_hit for r in M.match_terms(df.withColumn(
+        "lowered", F.regexp_replace("lowered", "ß", "ss")), ["Große"], fold=True).collect()}
+    assert plain[3] is None and folded[3].item == "grosse"
+    t = M.load_terms(spark.createDataFrame([(" Größe ",)], "term string"), fold=True)
+    assert [r.term for r in t.collect()] == ["grosse"]
+
+
+def test_sources_and_sinks_roundtrip(spark, scratch):
+    import os
+    from tidewatch.sources import io as IO
+    m = S.messages(spark, SMALL)
+    p = os.path.join(scratch, "messages")
+    m.write.parquet(p)
+    back = IO.read_messages(spark, p)
+    assert back.count() == m.count() and back.schema["created_at"].dataType.simpleString() == "timestamp_ntz"
+    tp = os.path.join(scratch, "terms.txt")
+    with open(tp, "w") as f:
+        f.write("Idiot\n\n  moron \nidiot\n")
+    assert sorted(r.term for r in IO.read_terms(spark, tp).collect()) == ["idiot", "moron"]
+    out = os.path.join(scratch, "decisions")
+    IO.write_decisions(back.select("message_id").limit(3), out)
+    IO.write_decisions(back.select("message_id").limit(2), out)
+    assert spark.read.parquet(out).count() == 5

@@ -77,3 +77,12 @@ def fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
 def python_whitespace() -> str:
     """Every character ``str.strip()`` removes (Unicode White_Space)."""
     return "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
+
+
+def fold_python(text: str) -> str:
+    """The same folding for driver-side values (term lists)."""
+    src, dst, multi = fold_tables()
+    out = text.translate(str.maketrans(src, dst))
+    for ch, rep in multi:
+        out = out.replace(ch, rep)
+    return out

@@ -28,12 +28,18 @@ HIT_TYPE = "struct<item:string,start:int,end:int>"
 
 # ---------------------------------------------------------------- lists ----
 
-def load_terms(df: DataFrame, col: str = "term") -> DataFrame:
+def load_terms(df: DataFrame, col: str = "term", fold: bool = False) -> DataFrame:
     """Clean a user term list: strip, lower, drop blanks, de-duplicate.
 
     Blank terms are rejected: an empty term would match every message.
+    ``fold=True`` also transliterates terms like message text, so an
+    accented term can match (by default it cannot, as in the reference).
     """
-    t = F.lower(strip_ws(F.col(col)))
+    t = strip_ws(F.col(col))
+    if fold:
+        from ..functions.text import fold_ascii
+        t = fold_ascii(t)
+    t = F.lower(t)
     return df.select(t.alias("term")).where(F.length("term") > 0).distinct()
 
 
@@ -76,25 +82,37 @@ def _best(cands: list[Column]) -> Column:
     ))
 
 
-def first_term_hit(text: Column, terms: list[str]) -> Column:
-    """First blocked term that occurs as a substring of ``text``."""
+def _word_pattern(term: str) -> str:
+    return r"(?<![\p{L}\p{N}_])\Q" + term.replace("\\E", "\\E\\\\E\\Q") + r"\E(?![\p{L}\p{N}_])"
+
+
+def _position(text: Column, term: str, whole_word: bool) -> Column:
+    """1-based start of the first (whole-word) occurrence, 0 when none."""
+    if whole_word:
+        return F.regexp_instr(text, F.lit(_word_pattern(term)))
+    return F.instr(text, term)
+
+
+def first_term_hit(text: Column, terms: list[str], whole_word: bool = False) -> Column:
+    """First blocked term that occurs in ``text`` (as a substring, or as a
+    whole word when ``whole_word``)."""
     if not terms:
         return F.lit(None).cast(HIT_TYPE)
     cands = []
     for t in terms:
-        pos = F.instr(text, t)
+        pos = _position(text, t, whole_word)
         cands.append(F.when(pos > 0, F.struct(pos.alias("pos"), F.lit(-len(t)).alias("neg_len"),
                                               F.lit(t).alias("item"))))
     return _best(cands)
 
 
-def all_term_hits(text: Column, terms: list[str]) -> Column:
+def all_term_hits(text: Column, terms: list[str], whole_word: bool = False) -> Column:
     """Array of every term found in ``text`` (with its first offset)."""
     if not terms:
         return F.array().cast(f"array<{HIT_TYPE}>")
     cands = []
     for t in terms:
-        pos = F.instr(text, t)
+        pos = _position(text, t, whole_word)
         cands.append(F.when(pos > 0, F.struct(F.lit(t).alias("item"), (pos - 1).alias("start"),
                                               (pos - 1 + len(t)).alias("end"))))
     return F.array_compact(F.array(*cands))
@@ -116,18 +134,28 @@ def first_pattern_hit(text: Column, patterns: list[str]) -> Column:
 
 # ------------------------------------------------------ operators (C1-C5) ----
 
-def _term_list(terms) -> list[str] | None:
+def _term_list(terms, fold: bool = False) -> list[str] | None:
     if isinstance(terms, (list, tuple)):
+        if fold:
+            from ..functions.folding import fold_python
+            terms = [fold_python(t) for t in terms]
         return sorted({t.strip().lower() for t in terms if t.strip()})
     return small_list(terms, "term")
 
 
 def match_terms(msgs: DataFrame, terms, text_col: str = "lowered",
-                out: str = "term_hit") -> DataFrame:
-    """O-C1: add the first blocked-term hit (null when none)."""
-    lst = _term_list(terms)
+                out: str = "term_hit", whole_word: bool = False, fold: bool = False) -> DataFrame:
+    """O-C1: add the first blocked-term hit (null when none).
+
+    ``whole_word`` requires non-letter/digit neighbours (option of Q2);
+    ``fold`` folds Python-list terms like text (option of Q8; for a term
+    DataFrame use ``load_terms(fold=True)``).
+    """
+    lst = _term_list(terms, fold)
     if lst is not None:
-        return msgs.withColumn(out, bind(text_col, lambda x: first_term_hit(x, lst)))
+        return msgs.withColumn(out, bind(text_col, lambda x: first_term_hit(x, lst, whole_word)))
+    if whole_word:
+        raise ValueError("whole_word matching is limited to INLINE_LIST_MAX terms")
     firsts = (_ngram_hits(msgs, terms, text_col)
               .groupBy("message_id")
               .agg(F.min(F.struct("start", (-F.length("term")).alias("neg_len"),
@@ -138,11 +166,11 @@ def match_terms(msgs: DataFrame, terms, text_col: str = "lowered",
     return msgs.join(firsts, "message_id", "left")
 
 
-def term_hits(msgs: DataFrame, terms, text_col: str = "lowered") -> DataFrame:
+def term_hits(msgs: DataFrame, terms, text_col: str = "lowered", whole_word: bool = False) -> DataFrame:
     """O-C4: the (message, term) hit relation with each term's first offset."""
     lst = _term_list(terms)
     if lst is not None:
-        hits = bind(text_col, lambda x: all_term_hits(x, lst))
+        hits = bind(text_col, lambda x: all_term_hits(x, lst, whole_word))
         return (msgs.select("message_id", F.explode(hits).alias("h"))
                 .select("message_id", F.col("h.item").alias("term"),
                         F.col("h.start").alias("start"), F.col("h.end").alias("end")))

@@ -87,11 +87,8 @@ def _pybool(c: Column) -> Column:
     return F.when(c, F.lit("True")).otherwise(F.lit("False"))
 
 
-def format_report(df: DataFrame) -> DataFrame:
-    """O-F8: the mod-channel report text (user and automatic variants)."""
-    t = F.col("abuse_type")
-    auto = F.col("is_auto")
-    blocked = F.coalesce(F.array_contains("block_user", F.col("author_name")), F.lit(False))
+def _header(t: Column) -> Column:
+    """Report header and type-specific lines shared by all report texts."""
     sub = (F.when(t == "Other", F.concat(F.lit("\t\tAbuse Type Details: "),
                                           F.coalesce(F.col("other_details"), F.lit("None")), F.lit("\n")))
            .when(t == "Harassment", F.concat(
@@ -102,14 +99,25 @@ def format_report(df: DataFrame) -> DataFrame:
                                                   F.coalesce(F.col("imminent_danger"), F.lit("None")),
                                                   F.lit("\n")))
            .otherwise(F.lit("")))
-    text = F.concat(
+    return F.concat(
         F.lit("Report "), F.col("report_id"), F.lit(" at time "),
         F.date_format("report_created_at", "yyyy-MM-dd HH:mm:ss"), F.lit(":\n\tReported message:\n\t"),
         F.coalesce(F.col("author_name"), F.lit("")), F.lit(': "'), F.coalesce(F.col("content"), F.lit("")),
         F.lit('"\n\tLink:'), F.coalesce(F.col("jump_url"), F.lit("")),
-        F.lit("\n\tReporter: "), F.col("reporter"), F.lit("\n\tAbuse Type: "), t, F.lit("\n"), sub,
+        F.lit("\n\tReporter: "), F.col("reporter"), F.lit("\n\tAbuse Type: "), t, F.lit("\n"), sub)
+
+
+def _sender_blocked() -> Column:
+    return F.coalesce(F.array_contains("block_user", F.col("author_name")), F.lit(False))
+
+
+def format_report(df: DataFrame) -> DataFrame:
+    """O-F8: the mod-channel report text (user and automatic variants)."""
+    auto = F.col("is_auto")
+    text = F.concat(
+        _header(F.col("abuse_type")),
         F.lit("\tHas reporter turned on safety mode: "), _pybool(F.col("safety_mode")),
-        F.lit("\n\tHas reporter blocked message sender: "), _pybool(blocked),
+        F.lit("\n\tHas reporter blocked message sender: "), _pybool(_sender_blocked()),
         F.lit("\nPress ⏱️ to place abuser under slow mode.\n"),
         F.when(~auto, F.lit("Press 🛑 to block abuser for reporter.\n")).otherwise(F.lit("")),
         F.lit("Press 🗑️ to delete the message.\nPress "), F.col("strike_emoji"),
@@ -120,6 +128,24 @@ def format_report(df: DataFrame) -> DataFrame:
     return df.select("report_id", text.alias("report_text"))
 
 
+STATUS_FLAGS = ["false_report_strike", "slow_mode", "deleted", "strike", "escalation", "banned"]
+
+
+def report_details(df: DataFrame) -> Column:
+    """The details text of the search command (flags from the status fold)."""
+    def flag(c):
+        return _pybool(F.coalesce(F.col(c), F.lit(False)) if c in df.columns else F.lit(False))
+    return F.concat(
+        _header(F.col("abuse_type")),
+        F.lit("\tHas reporter turned on safety mode: "), _pybool(F.col("safety_mode")),
+        F.lit("\n\tIs this a false report: "), flag("false_report_strike"),
+        F.lit("\n\tHas the sender been placed on slow mode: "), flag("slow_mode"),
+        F.lit("\n\tHas the sender been blocked: "), _pybool(_sender_blocked()),
+        F.lit("\n\tHas the message been deleted: "), flag("deleted"),
+        F.lit("\n\tHas the message sender been given a strike: "), flag("strike"),
+        F.lit("\n\tHas the message been escalated: "), flag("escalation"), F.lit("\n"))
+
+
 # Closing texts by abuse type.
 ACK_HEAD = "Thank you for reporting {type}. Your report has been filed as report {id}.\n" \
            "We will notify you when your report has been reviewed and appropriate actions has been taken.\n"
@@ -159,21 +185,27 @@ SEARCH_USAGE = "Please search for report with command `search \\{report_id\\}`"
 SEARCH_INVALID = "Invalid ID. Please search for a report id that you have filed."
 
 
-def search_reports(requests: DataFrame, reports: DataFrame) -> DataFrame:
-    """O-F11: ``search <id>``: usage text unless exactly two tokens; silence
-    for a malformed id; "Invalid ID" unless the id exists and was filed by
-    the requester; else the report details."""
+def search_reports(requests: DataFrame, reports: DataFrame, status: DataFrame | None = None) -> DataFrame:
+    """O-F11: ``search <id>``: usage text unless exactly two space-separated
+    tokens; silence for a malformed id; "Invalid ID" unless the id exists and
+    was filed by the requester; else the report details (moderation flags
+    from ``status``, the O-G3 fold, false when absent)."""
     toks = F.split(strip_content(F.col("content")), " ", -1)
     q = (requests.withColumn("_n", F.size(toks)).withColumn("_id", F.get(toks, 1))
          .withColumn("_uuid", F.lower(F.regexp_replace("_id", "-", ""))))
-    r = reports.select(F.lower(F.regexp_replace("report_id", "-", "")).alias("_uuid"),
-                       F.col("reporter_id").alias("_owner"), F.col("report_id").alias("found_id"))
+    r = reports
+    if status is not None:
+        r = r.join(status.select("report_id", *[c for c in STATUS_FLAGS if c in status.columns]),
+                   "report_id", "left")
+    r = r.select(F.lower(F.regexp_replace("report_id", "-", "")).alias("_uuid"),
+                 F.col("reporter_id").alias("_owner"), F.col("report_id").alias("found_id"),
+                 report_details(r).alias("_details"))
     j = q.join(r, "_uuid", "left")
     reply = (F.when(F.col("_n") != 2, F.lit(SEARCH_USAGE))
              .when(~F.coalesce(F.col("_id").rlike(UUID_PATTERN), F.lit(False)), F.lit(None))
              .when(F.col("found_id").isNull() | (F.col("_owner") != F.col("author_id")), F.lit(SEARCH_INVALID))
-             .otherwise(F.concat(F.lit("Report "), F.col("found_id"))))
-    return j.withColumn("reply", reply).drop("_n", "_id", "_uuid", "_owner")
+             .otherwise(F.col("_details")))
+    return j.withColumn("reply", reply).drop("_n", "_id", "_uuid", "_owner", "_details")
 
 
 def strip_content(c: Column) -> Column:

@@ -72,3 +72,52 @@ def test_query_matches_duckdb_oracle(spark, name):
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() >= 0 and "score" in df.columns
+
+
+def _dialog_inputs(spark, sf):
+    from tidewatch.plans import catalog as C
+    S.clear_shared()
+    turns, guilds, chans, msgs = C.dm_world(spark, sf)
+    return turns, guilds, chans, msgs
+
+
+def test_sorted_dialog_pass_equals_brute_force(spark):
+    from collections import defaultdict
+    from tidewatch.operators import dialog as DG
+    from .conftest import MEDIUM
+    turns, guilds, chans, msgs = _dialog_inputs(spark, MEDIUM)
+    prepared = DG.prepare_turns(turns, guilds, chans, msgs)
+    rows = prepared.toPandas()
+    by_author = defaultdict(list)
+    for rec in DG._records(rows.sort_values(["author_id", "turn_seq"]), sort=False):
+        by_author[rec["author_id"]].append(rec)
+    want_r, want_e = [], []
+    for a, recs in by_author.items():
+        r, e = DG._fold_author(recs)
+        want_r += [(x["author_id"], x["start_seq"], x["message_id"], x["abuse_type"]) for x in r]
+        want_e += [tuple(x) for x in e]
+    got_r = [(r.author_id, r.start_seq, r.message_id, r.abuse_type)
+             for r in DG.reports_from_turns(prepared).collect()]
+    got_e = [tuple(r) for r in DG.list_edits_from_turns(prepared).collect()]
+    assert sorted(got_r) == sorted(want_r) and len(want_r) > 0
+    assert sorted(got_e) == sorted(want_e) and len(want_e) > 0
+
+
+def test_dialog_stream_equals_batch(spark, scratch):
+    import json
+    from tidewatch.operators import dialog as DG
+    from .conftest import MEDIUM
+    turns, guilds, chans, msgs = _dialog_inputs(spark, MEDIUM)
+    src = os.path.join(scratch, "turns")
+    turns.write.parquet(src)
+    stream = spark.readStream.schema(turns.schema).parquet(src)
+    q = (SS.dialog_stream(stream, guilds, chans, msgs).writeStream.format("memory").queryName("dlg_out")
+         .outputMode("append").option("checkpointLocation", os.path.join(scratch, "ck"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    out = spark.sql("select * from dlg_out").collect()
+    got = sorted((p["author_id"], p["start_seq"], p["message_id"]) for p in
+                 (json.loads(r.payload) for r in out if r.kind == "report"))
+    batch = DG.reports_from_turns(DG.prepare_turns(turns, guilds, chans, msgs))
+    want = sorted((r.author_id, r.start_seq, r.message_id) for r in batch.collect())
+    assert got == want and len(want) > 0

@@ -4,8 +4,9 @@ Link resolution is relational and runs first (joins against guilds,
 channels and messages), so every turn carries small resolved fields:
 ``link_ok / link_reason / link_message_id / extra_ids / choice``.  The
 per-author state machine then only looks those up.  It is sequential per
-author (a keyed fold): batch runs it with ``applyInPandas`` over the compact
-turn columns, streams with keyed state holding only the open session.
+author: batch sorts each partition by (author, turn) and makes one pass
+holding only the current author's open session; streams keep the same open
+session as keyed state.
 """
 
 from __future__ import annotations
@@ -176,8 +177,9 @@ def fold_resume(rows, saved: dict | None) -> tuple[list, list, dict]:
     return reports, edits, {"mode": mode, "state": state, "cur": cur}
 
 
-def _records(pdf: pd.DataFrame):
-    pdf = pdf.sort_values("turn_seq", kind="mergesort")
+def _records(pdf: pd.DataFrame, sort: bool = True):
+    if sort:
+        pdf = pdf.sort_values("turn_seq", kind="mergesort")
     for r in pdf.itertuples(index=False):
         yield {"author_id": int(r.author_id), "turn_seq": int(r.turn_seq), "content": r.content or "",
                "link_reason": r.link_reason if isinstance(r.link_reason, str) else None,
@@ -190,19 +192,47 @@ def _report_cols():
     return [c.split()[0] for c in REPORT_SCHEMA.split(", ")]
 
 
+EDIT_COLS = ["author_id", "turn_seq", "list_kind", "op", "content"]
+
+
+def _fold_sorted(want: str):
+    """One pass over a partition sorted by (author, turn): only the current
+    author's open session is held, however long the author's history."""
+    def fn(batches):
+        cur, saved = None, None
+        for pdf in batches:
+            reps, eds = [], []
+            authors = pdf["author_id"].to_numpy()
+            start = 0
+            for i in range(1, len(pdf) + 1):
+                if i == len(pdf) or authors[i] != authors[start]:
+                    a = authors[start]
+                    if a != cur:
+                        cur, saved = a, None
+                    r, e, saved = fold_resume(_records(pdf.iloc[start:i], sort=False), saved)
+                    reps += r
+                    eds += e
+                    start = i
+            if want == "reports":
+                yield pd.DataFrame(reps, columns=_report_cols())
+            else:
+                yield pd.DataFrame(eds, columns=EDIT_COLS)
+    return fn
+
+
+def _sorted_turns(prepared: DataFrame) -> DataFrame:
+    return prepared.repartition("author_id").sortWithinPartitions("author_id", "turn_seq")
+
+
 def reports_from_turns(prepared: DataFrame) -> DataFrame:
-    """O-F4: completed report rows (one per finished report dialog)."""
-    cols = _report_cols()
+    """O-F4: completed report rows (one per finished report dialog).
 
-    def fn(pdf):
-        reps, _ = _fold_author(_records(pdf))
-        return pd.DataFrame(reps, columns=cols)
-    return prepared.groupBy("author_id").applyInPandas(fn, REPORT_SCHEMA)
+    One shuffle by author, a sort by turn inside each partition, then a
+    single pass per partition (``mapInPandas``) carrying the open session.
+    """
+    return _sorted_turns(prepared).mapInPandas(_fold_sorted("reports"), REPORT_SCHEMA)
 
 
 def list_edits_from_turns(prepared: DataFrame) -> DataFrame:
-    """O-E7: list edits entered through the list dialog."""
-    def fn(pdf):
-        _, eds = _fold_author(_records(pdf))
-        return pd.DataFrame(eds, columns=["author_id", "turn_seq", "list_kind", "op", "content"])
-    return prepared.groupBy("author_id").applyInPandas(fn, EDIT_SCHEMA)
+    """O-E7: list edits entered through the list dialog (same pass)."""
+    return _sorted_turns(prepared).mapInPandas(_fold_sorted("edits"), EDIT_SCHEMA)

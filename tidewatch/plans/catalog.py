@@ -924,7 +924,7 @@ def q_post_report(spark, sf_dir):
 def q_list_my_reports(spark, sf_dir):
     req = S.dm_turns(spark, sf_dir).select("author_id").distinct()
     lst = RE.list_my_reports(req, full_reports(spark, sf_dir))
-    return lst.select("author_id", F.array_join("report_ids", ",").alias("report_ids"))
+    return lst.select("author_id", "report_id", "report_seq")
 
 
 @register("search_report")

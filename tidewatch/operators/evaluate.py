@@ -62,20 +62,24 @@ def random_sample(posts: DataFrame, n: int, order: Column, id_col: str = "post_i
 
 
 def balanced_pairs(posts: DataFrame, n: int, order: Column, id_col: str = "post_id",
-                   label_col: str = "is_positive") -> DataFrame:
+                   label_col: str = "is_positive", carry: list[str] | None = None) -> DataFrame:
     """O-H1: pair the i-th positive with the i-th negative, at most n pairs.
 
-    Pairs = min(#positive, #negative, n).  Output ``pair_idx, pos_id, neg_id``.
+    Pairs = min(#positive, #negative, n).  Output ``pair_idx, pos_id, neg_id``
+    plus ``pos_<c>`` / ``neg_<c>`` for every carried column, so per-post
+    predictions travel with the bounded sample instead of being joined back.
     """
     keyed = posts.withColumn("_k", order)
+    carry = carry or []
 
-    def side(flag: bool, name: str) -> DataFrame:
+    def side(flag: bool, prefix: str) -> DataFrame:
         top = (keyed.where(F.col(label_col) == F.lit(flag))
                .orderBy("_k", id_col).limit(n))
         idx = F.row_number().over(_bounded_window("_k", id_col))
-        return top.select(idx.alias("pair_idx"), F.col(id_col).alias(name))
+        return top.select(idx.alias("pair_idx"), F.col(id_col).alias(f"{prefix}_id"),
+                          *[F.col(c).alias(f"{prefix}_{c}") for c in carry])
 
-    return side(True, "pos_id").join(side(False, "neg_id"), "pair_idx")
+    return side(True, "pos").join(side(False, "neg"), "pair_idx")
 
 
 def _bounded_window(*order):

@@ -398,7 +398,7 @@ def _pairs(spark, sf_dir):
 
 @register("balanced_pairs", Q.with_(_POST_SCORES) + "SELECT pair_idx, pos_id, neg_id FROM pairs")
 def q_balanced_pairs(spark, sf_dir):
-    return _pairs(spark, sf_dir)[1]
+    return _pairs(spark, sf_dir)[1].select("pair_idx", "pos_id", "neg_id")
 
 
 @register("random_sample", Q.with_(_POST_SCORES)
@@ -425,13 +425,9 @@ def q_ensemble_variants(spark, sf_dir):
 
 @S.shared
 def pair_predictions(spark, sf_dir) -> DataFrame:
-    sp, pairs = _pairs(spark, sf_dir)
-    pv = sp.select("post_id", "attr_pred", "chat_pred")
-    j = (pairs.join(pv.select(F.col("post_id").alias("pos_id"), F.col("attr_pred").alias("pa"),
-                              F.col("chat_pred").alias("pc")), "pos_id")
-              .join(pv.select(F.col("post_id").alias("neg_id"), F.col("attr_pred").alias("na"),
-                              F.col("chat_pred").alias("nc")), "neg_id"))
-    pa, pc, na, nc = (F.col(c) for c in ("pa", "pc", "na", "nc"))
+    sp = scored_posts(spark, sf_dir)
+    j = EV.balanced_pairs(sp, 500, S.order_key("post_id"), carry=["attr_pred", "chat_pred"])
+    pa, pc, na, nc = (F.col(c) for c in ("pos_attr_pred", "pos_chat_pred", "neg_attr_pred", "neg_chat_pred"))
     arr = F.array(
         F.struct(F.lit(0).alias("variant"), (pa & pc).alias("pos_pred"), (na & nc).alias("neg_pred")),
         F.struct(F.lit(1).alias("variant"), pa.alias("pos_pred"), na.alias("neg_pred")),

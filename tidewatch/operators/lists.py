@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_ws
-from .common import INLINE_LIST_MAX, bounded_broadcast
 from .matching import term_hits
 
 # Line separators of str.splitlines(), as a JVM / RE2 pattern.
@@ -129,17 +128,34 @@ def versions(edits: DataFrame, seed_words: list[str] | None = None) -> DataFrame
                        F.col("_end").alias("valid_to")))
 
 
+def candidate_words(edits: DataFrame, seed_words: list[str] | None = None) -> DataFrame:
+    """Every word that was ever listed: the match vocabulary of ``list_as_of``.
+
+    Needs only the split edit lines (no statuses), so fetching it is cheap.
+    """
+    lines = edit_lines(edits).where(F.col("valid") & (F.col("list_kind") == "word"))
+    words = lines.select(F.col("item").alias("term"))
+    if seed_words:
+        seed = edits.sparkSession.createDataFrame(
+            [(w.strip().lower(),) for w in seed_words if w.strip()], "term string")
+        words = words.unionByName(seed)
+    return words.distinct()
+
+
 def list_as_of(msgs: DataFrame, word_versions: DataFrame, time_col: str = "created_at",
-               text_col: str = "lowered") -> DataFrame:
+               text_col: str = "lowered", candidates: DataFrame | None = None) -> DataFrame:
     """O-E6: (message, term) hits judged by the list as it stood on arrival.
 
-    Messages are matched once against every term that was ever listed
-    (a bounded dimension), then the few hits are joined to the versions on
-    the term with the interval condition.
+    Messages are matched once against every term that was ever listed (a
+    bounded vocabulary; ``candidates`` when given), carrying their arrival
+    time, then the few hits are joined to the versions on the term with the
+    interval condition.  The versions side is an aggregate of the edit log,
+    broadcast by adaptive execution from its measured size.
     """
-    terms = word_versions.select(F.col("item").alias("term")).distinct()
-    hits = term_hits(msgs, terms, text_col).join(msgs.select("message_id", time_col), "message_id")
-    v = bounded_broadcast(word_versions.select(F.col("item").alias("term"), "valid_from", "valid_to"))
+    terms = candidates if candidates is not None else \
+        word_versions.select(F.col("item").alias("term")).distinct()
+    hits = term_hits(msgs, terms, text_col, keep=[time_col])
+    v = word_versions.select(F.col("item").alias("term"), "valid_from", "valid_to")
     cond = ((F.col("valid_from").isNull() | (F.col(time_col) >= F.col("valid_from"))) &
             (F.col("valid_to").isNull() | (F.col(time_col) < F.col("valid_to"))))
     return hits.join(v, "term").where(cond).select("message_id", "term").distinct()

@@ -166,16 +166,21 @@ def match_terms(msgs: DataFrame, terms, text_col: str = "lowered",
     return msgs.join(firsts, "message_id", "left")
 
 
-def term_hits(msgs: DataFrame, terms, text_col: str = "lowered", whole_word: bool = False) -> DataFrame:
-    """O-C4: the (message, term) hit relation with each term's first offset."""
+def term_hits(msgs: DataFrame, terms, text_col: str = "lowered", whole_word: bool = False,
+              keep: list[str] | None = None) -> DataFrame:
+    """O-C4: the (message, term) hit relation with each term's first offset.
+
+    ``keep`` columns of the message row travel with each hit (no join back).
+    """
+    keep = keep or []
     lst = _term_list(terms)
     if lst is not None:
         hits = bind(text_col, lambda x: all_term_hits(x, lst, whole_word))
-        return (msgs.select("message_id", F.explode(hits).alias("h"))
-                .select("message_id", F.col("h.item").alias("term"),
+        return (msgs.select("message_id", *keep, F.explode(hits).alias("h"))
+                .select("message_id", *keep, F.col("h.item").alias("term"),
                         F.col("h.start").alias("start"), F.col("h.end").alias("end")))
-    return (_ngram_hits(msgs, terms, text_col)
-            .groupBy("message_id", "term").agg(F.min("start").alias("start"))
+    return (_ngram_hits(msgs, terms, text_col, keep)
+            .groupBy("message_id", *keep, "term").agg(F.min("start").alias("start"))
             .withColumn("end", F.col("start") + F.length("term")))
 
 
@@ -200,7 +205,8 @@ def unmatched(msgs: DataFrame, terms, patterns: list[str] | None = None) -> Data
 
 # ------------------------------------------------- large-list n-gram join ----
 
-def _ngram_hits(msgs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
+def _ngram_hits(msgs: DataFrame, terms: DataFrame, text_col: str,
+                keep: list[str] | None = None) -> DataFrame:
     """(message_id, term, start) for every occurrence, via a k-gram equi-join.
 
     Terms shorter than GRAM are few by construction (bounded alphabet) and
@@ -211,20 +217,21 @@ def _ngram_hits(msgs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
     short = small_list(t.where(F.length("term") < GRAM), "term") or []
     keyed = (t.where(F.length("term") >= GRAM)
               .select(F.substring("term", 1, GRAM).alias("gram"), "term"))
+    keep = keep or []
     txt = F.col(text_col)
-    probes = (msgs.select("message_id", txt.alias("_t"))
+    probes = (msgs.select("message_id", *keep, txt.alias("_t"))
               .where(F.length("_t") >= GRAM)
-              .select("message_id", "_t", F.explode(
+              .select("message_id", *keep, "_t", F.explode(
                   F.sequence(F.lit(1), F.length("_t") - GRAM + 1)).alias("pos"))
-              .select("message_id", "pos",
+              .select("message_id", *keep, "pos",
                       F.substring("_t", F.col("pos"), F.lit(GRAM)).alias("gram"),
                       F.substring("_t", F.col("pos"), F.lit(MAX_TERM_LEN)).alias("win")))
     long_hits = (probes.join(bounded_broadcast(keyed), "gram")
                  .where(F.col("win").startswith(F.col("term")))
-                 .select("message_id", "term", (F.col("pos") - 1).alias("start")))
+                 .select("message_id", *keep, "term", (F.col("pos") - 1).alias("start")))
     if not short:
         return long_hits
-    short_hits = (msgs.select("message_id", F.explode(all_term_hits(txt, short)).alias("h"))
-                  .select("message_id", F.col("h.item").alias("term"),
+    short_hits = (msgs.select("message_id", *keep, F.explode(all_term_hits(txt, short)).alias("h"))
+                  .select("message_id", *keep, F.col("h.item").alias("term"),
                           F.col("h.start").alias("start")))
     return long_hits.unionByName(short_hits)

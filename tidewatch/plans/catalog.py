@@ -697,9 +697,10 @@ SELECT DISTINCT n.message_id, v.term FROM norm n JOIN vers v ON instr(n.lowered,
 WHERE (v.valid_from IS NULL OR n.created_at >= v.valid_from)
   AND (v.valid_to IS NULL OR n.created_at < v.valid_to)""")
 def q_list_as_of(spark, sf_dir):
-    vers = L.versions(S.list_edits(spark, sf_dir), S.TEST_TERMS).where(F.col("list_kind") == "word")
+    edits = S.list_edits(spark, sf_dir)
+    vers = L.versions(edits, S.TEST_TERMS).where(F.col("list_kind") == "word")
     msgs = normalized_messages(spark, sf_dir).select("message_id", "created_at", "lowered")
-    return L.list_as_of(msgs, vers)
+    return L.list_as_of(msgs, vers, candidates=L.candidate_words(edits, S.TEST_TERMS))
 
 
 # --------------------------------------------------- dialogs and reports ----

@@ -121,3 +121,25 @@ def test_dialog_stream_equals_batch(spark, scratch):
     batch = DG.reports_from_turns(DG.prepare_turns(turns, guilds, chans, msgs))
     want = sorted((r.author_id, r.start_seq, r.message_id) for r in batch.collect())
     assert got == want and len(want) > 0
+
+
+def test_stream_rereads_lists_per_batch(spark, scratch):
+    import time
+    rows = [(1, "you idiot", 1, "u"), (2, "you moron", 1, "u")]
+    df = spark.createDataFrame(rows, "message_id long, content string, author_id long, jump_url string")
+    src = os.path.join(scratch, "m")
+    df.where("message_id = 1").coalesce(1).write.parquet(src + "/a")
+    time.sleep(1.1)
+    df.where("message_id = 2").coalesce(1).write.parquet(src + "/b")
+    lists = iter([["moron"], ["moron", "idiot"]])
+    current = {"terms": None}
+
+    def terms():
+        current["terms"] = next(lists)
+        return current["terms"]
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src + "/*/*.parquet")
+    out = os.path.join(scratch, "out")
+    SS.evaluate_stream(stream, terms, [], [], None, out, os.path.join(scratch, "ck")).awaitTermination()
+    got = {r.message_id: r.score for r in spark.read.parquet(out + "/decisions").collect()}
+    # batch 1 ran with ["moron"] only (idiot not yet listed); batch 2 with both
+    assert got == {1: 0.0, 2: 1.0}

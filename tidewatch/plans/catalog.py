@@ -934,3 +934,12 @@ def q_search_report(spark, sf_dir):
     usage = reps.select("reporter_id", F.lit("search").alias("content"))
     req = own.unionByName(other).unionByName(bad).unionByName(usage).withColumnRenamed("reporter_id", "author_id")
     return RE.search_reports(req, reps).select("author_id", "content", "reply")
+
+
+@register("load_terms", Q.with_(Q.list_edits_cte())
+          + f"SELECT DISTINCT lower({Q.strip('raw')}) AS term FROM lines "
+            f"WHERE list_kind = 'word' AND length({Q.strip('raw')}) > 0")
+def q_load_terms(spark, sf_dir):
+    """O-A5 on user-typed lists: every word line ever entered, cleaned."""
+    lines = L.edit_lines(S.list_edits(spark, sf_dir)).where(F.col("list_kind") == "word")
+    return M.load_terms(lines, "raw")

@@ -28,9 +28,17 @@ from ..sources.io import batch_overwrite
 
 def evaluate_stream(msgs: DataFrame, terms, patterns, pii_rules, scorer, out_dir: str,
                     checkpoint: str, trigger: dict | None = None):
-    """Start the evaluation query; returns the StreamingQuery."""
+    """Start the evaluation query; returns the StreamingQuery.
+
+    ``terms`` / ``patterns`` may be callables returning the current lists
+    (e.g. reading the list table): they are re-read for every micro-batch,
+    so list edits take effect on the next batch, as in the live bot.
+    """
+    def current(x):
+        return x() if callable(x) else x
+
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        dec = D.evaluate(batch, terms, patterns, pii_rules, scorer=scorer).persist()
+        dec = D.evaluate(batch, current(terms), current(patterns), pii_rules, scorer=scorer).persist()
         batch_overwrite(dec.select("message_id", "score", "reason", "stage"), f"{out_dir}/decisions", batch_id)
         batch_overwrite(D.auto_reports(dec), f"{out_dir}/reports", batch_id)
         batch_overwrite(D.deletions(dec), f"{out_dir}/notifications", batch_id)

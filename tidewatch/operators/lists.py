@@ -62,9 +62,13 @@ def with_seed(lines: DataFrame, seed_words: list[str] | None = None) -> DataFram
 
 
 def previous_op(lines: DataFrame) -> DataFrame:
-    """Add ``prev_op``: the op of the preceding valid line on the same item."""
+    """Add ``prev_op``: the op of the preceding line on the same item.
+
+    Invalid (blank) words all carry the item '' and so only ever see each
+    other; their status does not depend on it.
+    """
     keys = ["list_kind", "item"]
-    v = lines.where("valid").withColumn("_blk", F.floor(F.col("edit_seq") / BLOCK))
+    v = lines.withColumn("_blk", F.floor(F.col("edit_seq") / BLOCK))
     order = [F.col("edit_seq"), F.col("line_no")]
     w_in = Window.partitionBy(*keys, "_blk").orderBy(*order)
     v = v.withColumn("_lag", F.lag("op").over(w_in))
@@ -80,16 +84,13 @@ def previous_op(lines: DataFrame) -> DataFrame:
 def apply_edits(edits: DataFrame, seed_words: list[str] | None = None) -> DataFrame:
     """O-E2 / O-E3: per edited line, ``added | already | removed | missing``
     (``invalid`` for blank words)."""
-    lines = with_seed(edit_lines(edits), seed_words)
-    st = previous_op(lines)
-    status = (F.when((F.col("op") == "add") & (F.col("prev_op") == "add"), F.lit("already"))
+    st = previous_op(with_seed(edit_lines(edits), seed_words))
+    status = (F.when(~F.col("valid"), F.lit("invalid"))
+              .when((F.col("op") == "add") & (F.col("prev_op") == "add"), F.lit("already"))
               .when(F.col("op") == "add", F.lit("added"))
               .when(F.col("prev_op") == "add", F.lit("removed"))
               .otherwise(F.lit("missing")))
-    invalid = (lines.where(~F.col("valid"))
-               .withColumn("prev_op", F.lit(None).cast("string"))
-               .withColumn("status", F.lit("invalid")))
-    return st.withColumn("status", status).unionByName(invalid.select(*st.columns, "status"))
+    return st.withColumn("status", status)
 
 
 def current_list(edits: DataFrame, seed_words: list[str] | None = None) -> DataFrame:

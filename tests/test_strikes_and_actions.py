@@ -69,3 +69,18 @@ def test_report_status_and_notices_run(spark):
     assert st.count() > 0
     n = C.QUERIES["action_notifications"](spark, MEDIUM)
     assert n.where(F.col("text").isNull()).count() == 0
+
+
+def test_hot_user_is_split_and_exact(spark):
+    from pyspark.sql import Window
+    o = spark.read.parquet(f"{MEDIUM}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
+    # one customer owns a third of all strike events
+    hot = o.withColumn("o_custkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit(0)).otherwise(F.col("o_custkey")))
+    ranked = hot.withColumn("seq", F.row_number().over(Window.orderBy("o_orderdate", "o_orderkey")))
+    w = ST.strikes_window(ranked, "o_custkey", "o_orderdate", "seq", 365)
+    r = ST.strikes_replay(ranked, "o_custkey", "o_orderdate", "seq", 365)
+    assert w.select("seq", "n_strikes").exceptAll(r.select("seq", "n_strikes")).count() == 0
+    h = 365 * ST.DAY_US
+    buckets = (hot.where("o_custkey = 0").select(F.floor(ST._micros("o_orderdate") / h).alias("b"))
+               .distinct().count())
+    assert buckets >= 5          # the hot user's window work spans >= 5 partitions

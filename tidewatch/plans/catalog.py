@@ -857,7 +857,8 @@ def full_reports(spark, sf_dir) -> DataFrame:
 @register("replay_report_dialog")
 def q_replay_report_dialog(spark, sf_dir):
     turns, guilds, chans, msgs = dm_world(spark, sf_dir)
-    return DG.reports_from_turns(DG.prepare_turns(turns, guilds, chans, msgs))
+    r = DG.reports_from_turns(DG.prepare_turns(turns, guilds, chans, msgs))
+    return r.withColumn("other_message_ids", F.array_join("other_message_ids", ","))
 
 
 @register("replay_list_dialog")
@@ -943,3 +944,170 @@ def q_load_terms(spark, sf_dir):
     """O-A5 on user-typed lists: every word line ever entered, cleaned."""
     lines = L.edit_lines(S.list_edits(spark, sf_dir)).where(F.col("list_kind") == "word")
     return M.load_terms(lines, "raw")
+
+
+# ------------------------------------------------- dialog fold as SQL oracle ----
+# The state machine of operators/dialog.py, walked per author by a recursive
+# CTE over the resolved turns (DuckDB), one step per turn.
+
+def _dialog_fold_sql() -> str:
+    return Q.with_(Q.MESSAGES, _dm_sql()) + _TOKENS_SQL + _WORLD_SQL + f""",
+p AS (
+  SELECT author_id, turn_seq, content, regexp_matches(content, '{_LINK_RE}') AS ok,
+         TRY_CAST(regexp_extract(content, '{_LINK_RE}', 1) AS BIGINT) AS g,
+         TRY_CAST(regexp_extract(content, '{_LINK_RE}', 2) AS BIGINT) AS c,
+         TRY_CAST(regexp_extract(content, '{_LINK_RE}', 3) AS BIGINT) AS m
+  FROM dm
+),
+first_link AS (
+  SELECT p.author_id, p.turn_seq,
+         CASE WHEN p.ok AND gg.guild_id IS NOT NULL AND cc.channel_id IS NOT NULL AND mm.message_id IS NOT NULL
+              THEN p.m END AS link_msg
+  FROM p LEFT JOIN guilds gg ON gg.guild_id = p.g
+  LEFT JOIN chans cc ON cc.guild_id = p.g AND cc.channel_id = p.c
+  LEFT JOIN messages mm ON mm.channel_id = p.c AND mm.message_id = p.m
+),
+extra AS (
+  SELECT l.author_id, l.turn_seq, array_to_string(list(l.m ORDER BY l.tok_no), ',') AS extras
+  FROM links l JOIN chans cc ON cc.guild_id = l.g AND cc.channel_id = l.c
+  JOIN messages mm ON mm.channel_id = l.c AND mm.message_id = l.m
+  GROUP BY l.author_id, l.turn_seq
+),
+turns AS (
+  SELECT d.author_id, d.turn_seq, d.content, f.link_msg, coalesce(e.extras, '') AS extras,
+         CASE WHEN regexp_matches({Q.strip('d.content')}, '^[0-9]+$')
+                   AND TRY_CAST({Q.strip('d.content')} AS INTEGER) BETWEEN 1 AND 7
+              THEN TRY_CAST({Q.strip('d.content')} AS INTEGER) END AS ch,
+         row_number() OVER (PARTITION BY d.author_id ORDER BY d.turn_seq) AS rn
+  FROM dm d JOIN first_link f USING (author_id, turn_seq) LEFT JOIN extra e USING (author_id, turn_seq)
+),
+RECURSIVE_PLACEHOLDER"""
+
+
+def _dialog_steps_sql() -> str:
+    from ..functions.codes import HARASSMENT_CATEGORIES as HC, IMMINENT_DANGER_CATEGORIES as IC
+    cats = lambda d: "[" + ", ".join(Q.lit(d[k]) for k in sorted(d)) + "]"
+    ev = """CASE WHEN t.content = 'help' THEN 'noop'
+      WHEN r.mode IS NULL AND starts_with(t.content, 'report') THEN 'open_report'
+      WHEN r.mode IS NULL AND starts_with(t.content, 'blocklist') THEN 'open_list'
+      WHEN r.mode IS NULL THEN 'noop'
+      WHEN t.content = 'cancel' THEN 'cancel'
+      WHEN r.mode = 'list' AND r.state = 'AWAITING_COMMAND' AND t.ch IN (2, 3, 5, 6) THEN 'list_menu'
+      WHEN r.mode = 'list' AND r.state = 'AWAITING_COMMAND' THEN 'noop'
+      WHEN r.mode = 'list' THEN 'list_payload'
+      WHEN r.state = 'AWAITING_MESSAGE' AND t.link_msg IS NOT NULL THEN 'identified'
+      WHEN r.state = 'MESSAGE_IDENTIFIED' AND t.ch BETWEEN 1 AND 6 THEN 'type'
+      WHEN r.state = 'OTHER_DETAILS' THEN 'details'
+      WHEN r.state = 'HARASSMENT_TYPE' AND t.ch BETWEEN 1 AND 7 THEN 'htype'
+      WHEN r.state = 'MULTIPLE_HARASSER' AND t.ch BETWEEN 1 AND 7 THEN 'multi'
+      WHEN r.state = 'IMMINENT_DANGER' AND t.ch BETWEEN 1 AND 3 THEN 'danger'
+      WHEN r.state = 'ADD_MESSAGES' THEN 'extras'
+      WHEN r.state = 'SAFETY_MODE' AND t.ch BETWEEN 1 AND 2 THEN 'safety'
+      WHEN r.state = 'BLOCK_AWAITED' AND t.ch BETWEEN 1 AND 2 THEN 'block'
+      ELSE 'noop' END"""
+    return f"""steps(author_id, rn, turn_seq, mode, state, msg, atype, htype, multi, danger, details, extras,
+      safety, block, start_seq, done, edit_kind, edit_op, edit_content) AS (
+  SELECT DISTINCT author_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR),
+         CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS BOOLEAN),
+         CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS BOOLEAN),
+         CAST(NULL AS BOOLEAN), CAST(NULL AS BIGINT), false, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR),
+         CAST(NULL AS VARCHAR)
+  FROM turns
+  UNION ALL
+  SELECT author_id, rn, turn_seq,
+    CASE ev WHEN 'open_report' THEN 'report' WHEN 'open_list' THEN 'list' WHEN 'cancel' THEN NULL
+            WHEN 'block' THEN NULL ELSE mode END,
+    CASE ev WHEN 'open_report' THEN 'AWAITING_MESSAGE' WHEN 'open_list' THEN 'AWAITING_COMMAND'
+            WHEN 'cancel' THEN NULL WHEN 'list_menu' THEN 'L' || CAST(ch AS VARCHAR)
+            WHEN 'list_payload' THEN 'AWAITING_COMMAND' WHEN 'identified' THEN 'MESSAGE_IDENTIFIED'
+            WHEN 'type' THEN CASE ch WHEN 1 THEN 'HARASSMENT_TYPE' WHEN 5 THEN 'IMMINENT_DANGER'
+                                     WHEN 6 THEN 'OTHER_DETAILS' ELSE 'ADD_MESSAGES' END
+            WHEN 'details' THEN 'ADD_MESSAGES' WHEN 'htype' THEN 'MULTIPLE_HARASSER'
+            WHEN 'multi' THEN 'ADD_MESSAGES' WHEN 'danger' THEN 'ADD_MESSAGES'
+            WHEN 'extras' THEN 'SAFETY_MODE' WHEN 'safety' THEN 'BLOCK_AWAITED'
+            WHEN 'block' THEN NULL ELSE state END,
+    CASE WHEN ev = 'identified' THEN link_msg ELSE msg END,
+    CASE WHEN ev = 'identified' THEN NULL WHEN ev = 'type' THEN ({cats(REPORT_CATEGORIES)})[ch] ELSE atype END,
+    CASE WHEN ev = 'identified' THEN NULL WHEN ev = 'htype' THEN ({cats(HC)})[ch] ELSE htype END,
+    CASE WHEN ev = 'identified' THEN NULL WHEN ev = 'multi' THEN ch = 1 ELSE multi END,
+    CASE WHEN ev = 'identified' THEN NULL WHEN ev = 'danger' THEN ({cats(IC)})[ch] ELSE danger END,
+    CASE WHEN ev = 'identified' THEN NULL WHEN ev = 'details' THEN content ELSE details END,
+    CASE WHEN ev = 'identified' THEN '' WHEN ev = 'extras' THEN t_extras ELSE extras END,
+    CASE WHEN ev = 'identified' THEN false WHEN ev = 'safety' THEN ch = 1 ELSE safety END,
+    CASE WHEN ev = 'identified' THEN false WHEN ev = 'block' THEN ch = 1 ELSE block END,
+    CASE WHEN ev = 'identified' THEN turn_seq ELSE start_seq END,
+    ev = 'block',
+    CASE WHEN ev = 'list_payload' AND content <> '' THEN CASE WHEN state IN ('L2', 'L3') THEN 'word' ELSE 'regex' END END,
+    CASE WHEN ev = 'list_payload' AND content <> '' THEN CASE WHEN state IN ('L2', 'L5') THEN 'add' ELSE 'remove' END END,
+    CASE WHEN ev = 'list_payload' AND content <> '' THEN content END
+  FROM (
+    SELECT r.author_id, t.rn, t.turn_seq, r.mode, r.state, r.msg, r.atype, r.htype, r.multi, r.danger,
+           r.details, r.extras, r.safety, r.block, r.start_seq, t.content, t.ch, t.link_msg,
+           t.extras AS t_extras, {ev} AS ev
+    FROM steps r JOIN turns t ON t.author_id = r.author_id AND t.rn = r.rn + 1
+  ) x
+)
+"""
+
+
+def _dialog_sql(final: str) -> str:
+    head = _dialog_fold_sql().replace("RECURSIVE_PLACEHOLDER", _dialog_steps_sql())
+    return head.replace("WITH ", "WITH RECURSIVE ", 1) + final
+
+
+_REPLAY_REPORTS_SQL = _dialog_sql("""SELECT author_id, start_seq, turn_seq AS end_seq, msg AS message_id,
+  atype AS abuse_type, htype AS harassment_type, multi AS multiple_harassers, danger AS imminent_danger,
+  details AS other_details, extras AS other_message_ids, safety AS safety_mode, block AS block_requested
+FROM steps WHERE done""")
+
+_REPLAY_EDITS_SQL = _dialog_sql("""SELECT author_id, turn_seq, edit_kind AS list_kind, edit_op AS op,
+  edit_content AS content FROM steps WHERE edit_kind IS NOT NULL""")
+
+
+ORACLE["replay_report_dialog"] = _REPLAY_REPORTS_SQL
+ORACLE["replay_list_dialog"] = _REPLAY_EDITS_SQL
+
+
+def _uuid_sql(*parts: str) -> str:
+    h = "sha256(" + " || '|' || ".join(f"CAST({p} AS VARCHAR)" for p in parts) + ")"
+    return (f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13, 4) || '-' || "
+            f"substr({h}, 17, 4) || '-' || substr({h}, 21, 12)")
+
+
+_FULL_REPORTS_CTE = f""",
+parents AS (
+  SELECT {_uuid_sql('author_id', 'start_seq')} AS report_id, CAST(NULL AS VARCHAR) AS parent_id,
+         author_id AS reporter_id, turn_seq AS report_seq, msg AS message_id, atype AS abuse_type,
+         htype AS harassment_type, danger AS imminent_danger, details AS other_details,
+         safety AS safety_mode, block AS block_requested, extras
+  FROM steps WHERE done
+),
+kid_ids AS (
+  SELECT *, unnest(string_split(extras, ',')) AS kid, generate_subscripts(string_split(extras, ','), 1) - 1 AS pos
+  FROM parents WHERE extras <> ''
+),
+kids AS (
+  SELECT {_uuid_sql('report_id', 'pos')} AS report_id, report_id AS parent_id, reporter_id, report_seq,
+         CAST(kid AS BIGINT) AS message_id, abuse_type, harassment_type, imminent_danger, other_details,
+         safety_mode, block_requested, '' AS extras
+  FROM kid_ids
+),
+allrep AS (SELECT * FROM parents UNION ALL SELECT * FROM kids),
+blocked AS (
+  SELECT a.report_id, m.author_name AS name FROM allrep a JOIN messages m ON m.message_id = a.message_id
+  WHERE a.block_requested
+  UNION ALL
+  SELECT k.parent_id, m.author_name FROM kids k JOIN messages m ON m.message_id = k.message_id
+  WHERE k.block_requested
+)
+"""
+
+ORACLE["new_report"] = _dialog_sql(_FULL_REPORTS_CTE + """SELECT report_id, reporter_id, message_id, abuse_type,
+  safety_mode, false AS is_auto FROM parents""")
+ORACLE["expand_related"] = _dialog_sql(_FULL_REPORTS_CTE + """SELECT report_id, parent_id, message_id, abuse_type,
+  harassment_type, imminent_danger, other_details, safety_mode, block_requested FROM allrep""")
+ORACLE["block_sets"] = _dialog_sql(_FULL_REPORTS_CTE + """SELECT a.report_id,
+  coalesce(array_to_string(list_sort(list_distinct(list(b.name) FILTER (WHERE b.name IS NOT NULL))), ','), '') AS block_user
+FROM allrep a LEFT JOIN blocked b ON b.report_id = a.report_id GROUP BY a.report_id""")
+ORACLE["list_my_reports"] = _dialog_sql(_FULL_REPORTS_CTE + """SELECT d.author_id, a.report_id, a.report_seq
+FROM (SELECT DISTINCT author_id FROM dm) d LEFT JOIN allrep a ON a.reporter_id = d.author_id""")

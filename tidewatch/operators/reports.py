@@ -165,8 +165,12 @@ def acknowledge(df: DataFrame) -> DataFrame:
 
 
 def report_posts(reports: DataFrame) -> DataFrame:
-    """O-F13: posted report message id <-> report id (bridge table)."""
-    return reports.select(F.xxhash64("report_id").alias("post_id"), "report_id")
+    """O-F13: posted report message id <-> report id (bridge table).
+
+    The post id is derived from the report id (60 bits of its SHA-256), so a
+    replay posts under the same id."""
+    post = F.conv(F.substring(F.sha2(F.col("report_id"), 256), 1, 15), 16, 10).cast("bigint")
+    return reports.select(post.alias("post_id"), "report_id")
 
 
 def list_my_reports(requests: DataFrame, reports: DataFrame) -> DataFrame:

@@ -839,7 +839,11 @@ def q_decode_choice(spark, sf_dir):
 def completed_reports(spark, sf_dir) -> DataFrame:
     turns, guilds, chans, msgs = dm_world(spark, sf_dir)
     prepared = DG.prepare_turns(turns, guilds, chans, msgs)
-    done = DG.reports_from_turns(prepared)
+    # The fold output (one row per finished report) feeds several branches
+    # downstream; cut lineage here so the link joins and the fold run once.
+    from ..session import checkpoint_dir
+    checkpoint_dir(spark)
+    done = DG.reports_from_turns(prepared).checkpoint()
     names = turns.select("author_id", F.col("author_name").alias("reporter")).distinct()
     r = RE.new_reports(done.join(names, "author_id", "left"), msgs, F.col("reporter"))
     r = r.withColumn("report_created_at", F.timestamp_add(
@@ -928,12 +932,13 @@ def q_list_my_reports(spark, sf_dir):
 @register("search_report")
 def q_search_report(spark, sf_dir):
     reps = full_reports(spark, sf_dir)
-    own = reps.select("reporter_id", F.concat(F.lit("search "), F.col("report_id")).alias("content"))
-    other = reps.select((F.col("reporter_id") + 1).alias("reporter_id"),
-                        F.concat(F.lit("search "), F.col("report_id")).alias("content"))
-    bad = reps.select("reporter_id", F.lit("search not-an-id").alias("content"))
-    usage = reps.select("reporter_id", F.lit("search").alias("content"))
-    req = own.unionByName(other).unionByName(bad).unionByName(usage).withColumnRenamed("reporter_id", "author_id")
+    q = F.concat(F.lit("search "), F.col("report_id"))
+    variants = F.array(  # own id, someone else's id, malformed id, missing id
+        F.struct(F.col("reporter_id").alias("author_id"), q.alias("content")),
+        F.struct((F.col("reporter_id") + 1).alias("author_id"), q.alias("content")),
+        F.struct(F.col("reporter_id").alias("author_id"), F.lit("search not-an-id").alias("content")),
+        F.struct(F.col("reporter_id").alias("author_id"), F.lit("search").alias("content")))
+    req = reps.select(F.inline(variants))
     return RE.search_reports(req, reps).select("author_id", "content", "reply")
 
 
@@ -1078,8 +1083,8 @@ _FULL_REPORTS_CTE = f""",
 parents AS (
   SELECT {_uuid_sql('author_id', 'start_seq')} AS report_id, CAST(NULL AS VARCHAR) AS parent_id,
          author_id AS reporter_id, turn_seq AS report_seq, msg AS message_id, atype AS abuse_type,
-         htype AS harassment_type, danger AS imminent_danger, details AS other_details,
-         safety AS safety_mode, block AS block_requested, extras
+         htype AS harassment_type, multi AS multiple_harassers, danger AS imminent_danger,
+         details AS other_details, safety AS safety_mode, block AS block_requested, extras
   FROM steps WHERE done
 ),
 kid_ids AS (
@@ -1088,8 +1093,8 @@ kid_ids AS (
 ),
 kids AS (
   SELECT {_uuid_sql('report_id', 'pos')} AS report_id, report_id AS parent_id, reporter_id, report_seq,
-         CAST(kid AS BIGINT) AS message_id, abuse_type, harassment_type, imminent_danger, other_details,
-         safety_mode, block_requested, '' AS extras
+         CAST(kid AS BIGINT) AS message_id, abuse_type, harassment_type, multiple_harassers, imminent_danger,
+         other_details, safety_mode, block_requested, '' AS extras
   FROM kid_ids
 ),
 allrep AS (SELECT * FROM parents UNION ALL SELECT * FROM kids),
@@ -1111,3 +1116,106 @@ ORACLE["block_sets"] = _dialog_sql(_FULL_REPORTS_CTE + """SELECT a.report_id,
 FROM allrep a LEFT JOIN blocked b ON b.report_id = a.report_id GROUP BY a.report_id""")
 ORACLE["list_my_reports"] = _dialog_sql(_FULL_REPORTS_CTE + """SELECT d.author_id, a.report_id, a.report_seq
 FROM (SELECT DISTINCT author_id FROM dm) d LEFT JOIN allrep a ON a.reporter_id = d.author_id""")
+
+
+ORACLE["post_report"] = _dialog_sql(_FULL_REPORTS_CTE + """SELECT
+  CAST(('0x' || substr(sha256(report_id), 1, 15)) AS BIGINT) AS post_id, report_id FROM allrep""")
+
+
+def _format_report_sql() -> str:
+    nl, tab = "chr(10)", "chr(9)"
+
+    def pybool(e):
+        return f"CASE WHEN {e} THEN 'True' ELSE 'False' END"
+    sub = (f"CASE WHEN a.abuse_type = 'Other' THEN {tab} || {tab} || 'Abuse Type Details: ' || "
+           f"coalesce(a.other_details, 'None') || {nl} "
+           f"WHEN a.abuse_type = 'Harassment' THEN {tab} || {tab} || 'Harassment Type: ' || "
+           f"coalesce(a.harassment_type, 'None') || {nl} || {tab} || {tab} || 'Multiple Harassers: ' || "
+           f"coalesce({pybool('a.multiple_harassers')}, 'None') || {nl} "
+           f"WHEN a.abuse_type = 'Imminent Danger' THEN {tab} || {tab} || 'Imminent Danger Type: ' || "
+           f"coalesce(a.imminent_danger, 'None') || {nl} ELSE '' END")
+    followers = f"coalesce(CAST(floor(c.c_acctbal) AS BIGINT), {RE.DEFAULT_FOLLOWERS})"
+    emoji = f"CASE WHEN {followers} > {RE.LARGE_ACCOUNT_FOLLOWERS} THEN '{RE.STRIKE_LARGE}' ELSE '{RE.STRIKE_SMALL}' END"
+    blocked = ("EXISTS (SELECT 1 FROM blocked b WHERE b.report_id = a.report_id AND b.name = m.author_name)")
+    text = " || ".join([
+        "'Report ' || a.report_id || ' at time '",
+        f"strftime(TIMESTAMP '{S.EPOCH}' + to_minutes(a.report_seq), '%Y-%m-%d %H:%M:%S')",
+        f"':' || {nl} || {tab} || 'Reported message:' || {nl} || {tab}",
+        "coalesce(m.author_name, '') || ': \"' || coalesce(m.content, '') || '\"'",
+        f"{nl} || {tab} || 'Link:' || coalesce(m.jump_url, '')",
+        f"{nl} || {tab} || 'Reporter: ' || 'Reporter#' || CAST(a.reporter_id AS VARCHAR)",
+        f"{nl} || {tab} || 'Abuse Type: ' || a.abuse_type || {nl}",
+        f"({sub})",
+        f"{tab} || 'Has reporter turned on safety mode: ' || {pybool('a.safety_mode')}",
+        f"{nl} || {tab} || 'Has reporter blocked message sender: ' || {pybool(blocked)}",
+        f"{nl} || 'Press ⏱️ to place abuser under slow mode.' || {nl}",
+        f"'Press 🛑 to block abuser for reporter.' || {nl}",
+        f"'Press 🗑️ to delete the message.' || {nl} || 'Press ' || {emoji}",
+        f"' to send strike and warning to abuser.' || {nl} || 'Press ❌ to ban abuser.' || {nl}",
+        f"'Press ❔ to strike reporter for false report. (Only strike if false report is intentional and malicious)' || {nl}",
+        "'Press ⬆️ to escalate to a specialized team that handles organized harassment'",
+    ])
+    return _dialog_sql(_FULL_REPORTS_CTE + f"""SELECT a.report_id, {text} AS report_text
+FROM allrep a LEFT JOIN messages m ON m.message_id = a.message_id
+LEFT JOIN customer c ON c.c_name = m.author_name""")
+
+
+ORACLE["format_report"] = _format_report_sql()
+
+
+def _search_report_sql() -> str:
+    nl, tab = "chr(10)", "chr(9)"
+
+    def pybool(e):
+        return f"CASE WHEN {e} THEN 'True' ELSE 'False' END"
+    sub = (f"CASE WHEN a.abuse_type = 'Other' THEN {tab} || {tab} || 'Abuse Type Details: ' || "
+           f"coalesce(a.other_details, 'None') || {nl} "
+           f"WHEN a.abuse_type = 'Harassment' THEN {tab} || {tab} || 'Harassment Type: ' || "
+           f"coalesce(a.harassment_type, 'None') || {nl} || {tab} || {tab} || 'Multiple Harassers: ' || "
+           f"coalesce({pybool('a.multiple_harassers')}, 'None') || {nl} "
+           f"WHEN a.abuse_type = 'Imminent Danger' THEN {tab} || {tab} || 'Imminent Danger Type: ' || "
+           f"coalesce(a.imminent_danger, 'None') || {nl} ELSE '' END")
+    blocked = "EXISTS (SELECT 1 FROM blocked b WHERE b.report_id = a.report_id AND b.name = m.author_name)"
+    false = "'False'"
+    details = " || ".join([
+        "'Report ' || a.report_id || ' at time '",
+        f"strftime(TIMESTAMP '{S.EPOCH}' + to_minutes(a.report_seq), '%Y-%m-%d %H:%M:%S')",
+        f"':' || {nl} || {tab} || 'Reported message:' || {nl} || {tab}",
+        "coalesce(m.author_name, '') || ': \"' || coalesce(m.content, '') || '\"'",
+        f"{nl} || {tab} || 'Link:' || coalesce(m.jump_url, '')",
+        f"{nl} || {tab} || 'Reporter: ' || 'Reporter#' || CAST(a.reporter_id AS VARCHAR)",
+        f"{nl} || {tab} || 'Abuse Type: ' || a.abuse_type || {nl}",
+        f"({sub})",
+        f"{tab} || 'Has reporter turned on safety mode: ' || {pybool('a.safety_mode')}",
+        f"{nl} || {tab} || 'Is this a false report: ' || {false}",
+        f"{nl} || {tab} || 'Has the sender been placed on slow mode: ' || {false}",
+        f"{nl} || {tab} || 'Has the sender been blocked: ' || {pybool(blocked)}",
+        f"{nl} || {tab} || 'Has the message been deleted: ' || {false}",
+        f"{nl} || {tab} || 'Has the message sender been given a strike: ' || {false}",
+        f"{nl} || {tab} || 'Has the message been escalated: ' || {false} || {nl}",
+    ])
+    usage = Q.lit(RE.SEARCH_USAGE)
+    invalid = Q.lit(RE.SEARCH_INVALID)
+    return _dialog_sql(_FULL_REPORTS_CTE + f""",
+det AS (
+  SELECT a.report_id, a.reporter_id, lower(replace(a.report_id, '-', '')) AS u, {details} AS details
+  FROM allrep a LEFT JOIN messages m ON m.message_id = a.message_id
+),
+req AS (
+  SELECT reporter_id AS author_id, 'search ' || report_id AS content FROM allrep UNION ALL
+  SELECT reporter_id + 1, 'search ' || report_id FROM allrep UNION ALL
+  SELECT reporter_id, 'search not-an-id' FROM allrep UNION ALL
+  SELECT reporter_id, 'search' FROM allrep
+),
+q AS (
+  SELECT author_id, content, string_split({Q.strip('content')}, ' ') AS toks FROM req
+)
+SELECT q.author_id, q.content,
+  CASE WHEN len(q.toks) <> 2 THEN {usage}
+       WHEN NOT coalesce(regexp_matches(q.toks[2], {Q.lit(RE.UUID_PATTERN)}), false) THEN NULL
+       WHEN d.report_id IS NULL OR d.reporter_id <> q.author_id THEN {invalid}
+       ELSE d.details END AS reply
+FROM q LEFT JOIN det d ON d.u = lower(replace(q.toks[2], '-', ''))""")
+
+
+ORACLE["search_report"] = _search_report_sql()

@@ -221,6 +221,8 @@ def _fold_sorted(want: str):
 
 
 def _sorted_turns(prepared: DataFrame) -> DataFrame:
+    from ..session import ship_package
+    ship_package(prepared.sparkSession)
     return prepared.repartition("author_id").sortWithinPartitions("author_id", "turn_seq")
 
 

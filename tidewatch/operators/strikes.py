@@ -124,6 +124,8 @@ def strikes_replay(events: DataFrame, key: str, created: str, seq: str,
     One shuffle by user, an external sort by (user, action order) inside
     each partition, then a single pass per partition.
     """
+    from ..session import ship_package
+    ship_package(events.sparkSession)
     h = horizon_days * DAY_US
     cols = events.columns
     prepared = (events.withColumn("_k", F.col(key)).withColumn("_t", _micros(created))

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ..functions import render as R
 from ..functions.text import present, with_normalized
 from ..operators import matching as M
+from ..session import ship_package
 from . import sqltext as Q
 from . import standins as S
 
@@ -38,6 +39,7 @@ def _widen(df: DataFrame) -> DataFrame:
 def register(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         def run(spark, sf_dir):
+            ship_package(spark)
             S.clear_shared()
             return _widen(fn(spark, sf_dir))
         QUERIES[name] = run

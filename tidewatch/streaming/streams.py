@@ -50,6 +50,8 @@ def evaluate_stream(msgs: DataFrame, terms, patterns, pii_rules, scorer, out_dir
 
 def strike_stream(events: DataFrame, key: str, created: str, seq: str, horizon_days: int) -> DataFrame:
     """Streaming O-G4/O-G5 (replay semantics): ``(key, seq, n_strikes)`` per event."""
+    from ..session import ship_package
+    ship_package(events.sparkSession)
     h = horizon_days * DAY_US
     slim = events.select(F.col(key).alias("k"), F.col(seq).alias("seq"), _micros(created).alias("t"))
 
@@ -76,6 +78,8 @@ def dialog_stream(turns: DataFrame, guilds: DataFrame, chans: DataFrame, msgs: D
 
     Output rows carry ``kind`` ('report' | 'edit') and a JSON payload.
     """
+    from ..session import ship_package
+    ship_package(turns.sparkSession)
     key = ["author_id", "turn_seq"]
     first = DG.resolve_link(turns, guilds, chans, msgs)
     toks = DG.explode_links(turns, key)

@@ -84,3 +84,30 @@ def test_hot_user_is_split_and_exact(spark):
     buckets = (hot.where("o_custkey = 0").select(F.floor(ST._micros("o_orderdate") / h).alias("b"))
                .distinct().count())
     assert buckets >= 5          # the hot user's window work spans >= 5 partitions
+
+
+def test_status_and_notice_quirks(spark):
+    import datetime as dt
+    from tidewatch.operators import actions as AC
+    from tidewatch.functions import render as R
+    t = dt.datetime(2024, 1, 1)
+    # (seq, report, abuser, reporter, is_auto, created, emoji)
+    rows = [(1, "R1", 5, 9, False, t, "‼️"), (2, "R2", 5, 9, False, t + dt.timedelta(days=1), "‼️"),
+            (3, "R3", 6, 8, False, t, "❔"), (4, "R4", 6, 8, False, t + dt.timedelta(days=1), "❔"),
+            (5, "R5", 6, 8, False, t + dt.timedelta(days=2), "❔"), (6, "R6", 7, None, True, t, "❔")]
+    corr = spark.createDataFrame(rows, "action_seq long, report_id string, abuser_id long, reporter_id long, "
+                                       "is_auto boolean, report_created_at timestamp_ntz, emoji string")
+    corr = (corr.withColumn("jump_url", F.lit("u")).withColumn("content", F.lit("c"))
+                .withColumn("abuse_type", F.lit("Spam")))
+    struck = AC.with_strikes(corr)
+    st = {r.report_id: r for r in AC.report_status(struck).collect()}
+    assert st["R2"].strike and not st["R2"].slow_mode          # "slowed" never sets the flag (Q10)
+    assert st["R4"].false_report_strike and not st["R5"].false_report_strike  # third: restricted (Q11)
+    assert not st["R6"].false_report_strike                     # auto report: ignored
+    notes = {(r.action_seq, r.recipient_role): r.text for r in AC.notifications(struck).collect()}
+    assert "has been slowed down for 2 strikes" in notes[(2, "abuser")]
+    assert notes[(2, "reporter")] == "Your report R2 has been resolved. The abuser has been placed on slow mode."
+    assert notes[(5, "reporter")].startswith("Your report R5 has been resolved and classified as a malicious")
+    assert "You have reached three strikes for false reports." in notes[(5, "reporter")]
+    assert not any(k[0] == 6 for k in notes)                      # nothing sent for ❔ on auto report
+    assert (3, "abuser") not in notes                             # no abuser notice for ❔

@@ -136,3 +136,12 @@ def test_search_reply_details_and_guards(spark):
     assert got[(8, f"search {rid}")] == RE.SEARCH_INVALID
     assert got[(7, "search bad")] is None
     assert got[(7, "search")] == RE.SEARCH_USAGE
+
+
+def test_invalid_patterns_in_edit_log(spark):
+    log = spark.createDataFrame(
+        [(1, None, "regex", "add", "[0-9]{3}\nfoo(bar"), (2, None, "regex", "add", "foo(bar")],
+        "edit_seq long, edited_at timestamp_ntz, list_kind string, op string, content string")
+    st = {(r.edit_seq, r.line_no): r.status for r in L.apply_edits(log, check_patterns=True).collect()}
+    assert st == {(1, 0): "added", (1, 1): "invalid", (2, 0): "invalid"}
+    assert [r.item for r in L.current_list(log, check_patterns=True).collect()] == ["[0-9]{3}"]

@@ -36,14 +36,27 @@ def split_lines(col: Column) -> Column:
                   F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
 
 
-def edit_lines(edits: DataFrame) -> DataFrame:
+def edit_lines(edits: DataFrame, check_patterns: bool = False) -> DataFrame:
     """O-E1: one row per edited item: words stripped and lowered, patterns
     kept verbatim.  Blank words are marked invalid (they would match every
-    message)."""
+    message).  With ``check_patterns`` a pattern the JVM cannot compile is
+    invalid too: the distinct pattern items are a bounded list, validated
+    once on the driver."""
     x = edits.select("*", F.posexplode(split_lines(F.col("content"))).alias("line_no", "raw"))
     item = F.when(F.col("list_kind") == "word", F.lower(strip_ws(F.col("raw")))).otherwise(F.col("raw"))
     valid = F.when(F.col("list_kind") == "word", F.length(item) > 0).otherwise(F.lit(True))
-    return x.withColumn("item", item).withColumn("valid", valid)
+    x = x.withColumn("item", item).withColumn("valid", valid)
+    if check_patterns:
+        from .common import small_list
+        from .matching import invalid_patterns
+        items = small_list(x.where(F.col("list_kind") == "regex").select("item"), "item")
+        if items is None:
+            raise ValueError("pattern lists are limited to INLINE_LIST_MAX distinct items")
+        bad = invalid_patterns(edits.sparkSession, items)
+        if bad:
+            x = x.withColumn("valid", F.col("valid") & ~((F.col("list_kind") == "regex") &
+                                                          F.col("item").isin(bad)))
+    return x
 
 
 def with_seed(lines: DataFrame, seed_words: list[str] | None = None) -> DataFrame:
@@ -81,10 +94,12 @@ def previous_op(lines: DataFrame) -> DataFrame:
     return v.withColumn("prev_op", F.coalesce("_lag", "_carry")).drop("_blk", "_lag", "_carry")
 
 
-def apply_edits(edits: DataFrame, seed_words: list[str] | None = None) -> DataFrame:
+def apply_edits(edits: DataFrame, seed_words: list[str] | None = None,
+                check_patterns: bool = False) -> DataFrame:
     """O-E2 / O-E3: per edited line, ``added | already | removed | missing``
-    (``invalid`` for blank words)."""
-    st = previous_op(with_seed(edit_lines(edits), seed_words))
+    (``invalid`` for blank words and, with ``check_patterns``, for patterns
+    the JVM cannot compile)."""
+    st = previous_op(with_seed(edit_lines(edits, check_patterns), seed_words))
     status = (F.when(~F.col("valid"), F.lit("invalid"))
               .when((F.col("op") == "add") & (F.col("prev_op") == "add"), F.lit("already"))
               .when(F.col("op") == "add", F.lit("added"))
@@ -93,9 +108,10 @@ def apply_edits(edits: DataFrame, seed_words: list[str] | None = None) -> DataFr
     return st.withColumn("status", status)
 
 
-def current_list(edits: DataFrame, seed_words: list[str] | None = None) -> DataFrame:
+def current_list(edits: DataFrame, seed_words: list[str] | None = None,
+                 check_patterns: bool = False) -> DataFrame:
     """O-E4: items present after all edits (last valid op is an add)."""
-    lines = with_seed(edit_lines(edits), seed_words).where("valid")
+    lines = with_seed(edit_lines(edits, check_patterns), seed_words).where("valid")
     last = lines.groupBy("list_kind", "item").agg(
         F.max_by("op", F.struct("edit_seq", "line_no")).alias("last_op"))
     return last.where(F.col("last_op") == "add").select("list_kind", "item")

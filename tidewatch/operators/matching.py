@@ -48,18 +48,34 @@ def terms_frame(spark, terms: list[str]) -> DataFrame:
     return load_terms(spark.createDataFrame([(t,) for t in terms], "term string"))
 
 
-def validate_patterns(spark, patterns: list[str]) -> list[str]:
-    """Reject patterns the JVM regex engine cannot compile (fail fast).
+def invalid_patterns(spark, patterns: list[str]) -> list[str]:
+    """Patterns the JVM regex engine cannot compile.
 
-    Compiles every pattern once on a one-row frame, so a bad pattern fails
-    at registration instead of failing every later evaluation.
+    All patterns are compiled in one tiny job; only when that fails is each
+    pattern tried alone to find the culprits.
     """
+    if not patterns:
+        return []
+    probe = lambda ps: spark.range(1).select(
+        *[F.regexp_instr(F.lit(""), F.lit(p)).alias(f"p{i}") for i, p in enumerate(ps)]).collect()
+    try:
+        probe(patterns)
+        return []
+    except Exception:  # noqa: BLE001 - the JVM reports a pattern error
+        pass
     bad = []
     for p in patterns:
         try:
-            spark.range(1).select(F.regexp_instr(F.lit(""), F.lit(p))).collect()
-        except Exception:  # noqa: BLE001 - the JVM reports a pattern error
+            probe([p])
+        except Exception:  # noqa: BLE001
             bad.append(p)
+    return bad
+
+
+def validate_patterns(spark, patterns: list[str]) -> list[str]:
+    """Reject patterns the JVM regex engine cannot compile (fail fast), so a
+    bad pattern fails at registration instead of every later evaluation."""
+    bad = invalid_patterns(spark, patterns)
     if bad:
         raise ValueError(f"invalid regular expressions: {bad!r}")
     return patterns

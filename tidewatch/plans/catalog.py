@@ -667,13 +667,13 @@ def q_split_edit_lines(spark, sf_dir):
 @register("apply_edits", Q.with_(Q.list_edits_cte())
           + "SELECT edit_seq, line_no, list_kind, item, status FROM statuses")
 def q_apply_edits(spark, sf_dir):
-    return L.apply_edits(S.list_edits(spark, sf_dir), S.TEST_TERMS).select(
+    return L.apply_edits(S.list_edits(spark, sf_dir), S.TEST_TERMS, check_patterns=True).select(
         "edit_seq", "line_no", "list_kind", "item", "status")
 
 
 @register("current_list", Q.with_(Q.list_edits_cte()) + "SELECT list_kind, item FROM current_items")
 def q_current_list(spark, sf_dir):
-    return L.current_list(S.list_edits(spark, sf_dir), S.TEST_TERMS)
+    return L.current_list(S.list_edits(spark, sf_dir), S.TEST_TERMS, check_patterns=True)
 
 
 @register("render_list", Q.with_(Q.list_edits_cte()) + f"""SELECT k.list_kind,

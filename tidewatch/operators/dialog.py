@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import HARASSMENT_CATEGORIES, IMMINENT_DANGER_CATEGORIES, REPORT_CATEGORIES
 from ..functions.text import LINK_PATTERN, choice_number, parse_message_link, strip_ws
+from .common import bounded_broadcast
 from .routing import CANCEL_KEYWORD, HELP_KEYWORD, LIST_KEYWORD, REPORT_KEYWORD
 
 # Reasons a report link is refused.
@@ -38,8 +39,9 @@ def resolve_link(turns: DataFrame, guilds: DataFrame, chans: DataFrame, msgs: Da
     g = guilds.select(F.col("guild_id").alias("_g")).distinct().withColumn("_g_ok", F.lit(True))
     c = (chans.select(F.col("guild_id").alias("_cg"), F.col("channel_id").alias("_c"))
          .distinct().withColumn("_c_ok", F.lit(True)))
-    m = msgs.select(F.col("channel_id").alias("_mc"), F.col("message_id").alias("_m"),
-                    F.lit(True).alias("_m_ok"))
+    wanted = (p.where(F.col("_l.message_id").isNotNull())
+               .select(F.col("_l.channel_id").alias("_mc"), F.col("_l.message_id").alias("_m")).distinct())
+    m = _linked_messages(msgs, wanted).withColumn("_m_ok", F.lit(True))
     j = (p.join(g, F.col("_l.guild_id") == F.col("_g"), "left")
           .join(c, (F.col("_l.guild_id") == F.col("_cg")) & (F.col("_l.channel_id") == F.col("_c")), "left")
           .join(m, (F.col("_l.channel_id") == F.col("_mc")) & (F.col("_l.message_id") == F.col("_m")), "left"))
@@ -52,6 +54,17 @@ def resolve_link(turns: DataFrame, guilds: DataFrame, chans: DataFrame, msgs: Da
              .drop("_l", "_g", "_g_ok", "_cg", "_c", "_c_ok", "_mc", "_m", "_m_ok"))
 
 
+def _linked_messages(msgs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The few messages that links point at, as ``(_mc, _m)``.
+
+    The message table is the large side: it is semi-joined against the
+    broadcast set of linked ids (size checked) and so filtered where it is
+    scanned, instead of being shuffled for a lookup join.
+    """
+    m = msgs.select(F.col("channel_id").alias("_mc"), F.col("message_id").alias("_m"))
+    return m.join(bounded_broadcast(wanted), ["_mc", "_m"], "left_semi")
+
+
 def explode_links(turns: DataFrame, key: list[str], col: str = "content") -> DataFrame:
     """O-B9: whitespace-separated tokens, each parsed as a link (order kept)."""
     toks = F.split(strip_ws(F.col(col)), r"\s+", -1)
@@ -68,7 +81,8 @@ def resolve_links(turns: DataFrame, key: list[str], chans: DataFrame, msgs: Data
     """
     x = explode_links(turns, key, col)
     c = chans.select(F.col("guild_id").alias("_cg"), F.col("channel_id").alias("_c")).distinct()
-    m = msgs.select(F.col("channel_id").alias("_mc"), F.col("message_id").alias("_m"))
+    wanted = x.select(F.col("link.channel_id").alias("_mc"), F.col("link.message_id").alias("_m")).distinct()
+    m = _linked_messages(msgs, wanted)
     ok = (x.join(c, (F.col("link.guild_id") == F.col("_cg")) & (F.col("link.channel_id") == F.col("_c")))
            .join(m, (F.col("link.channel_id") == F.col("_mc")) & (F.col("link.message_id") == F.col("_m"))))
     return (ok.groupBy(*key)

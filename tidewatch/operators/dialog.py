@@ -62,6 +62,9 @@ def _linked_messages(msgs: DataFrame, wanted: DataFrame) -> DataFrame:
     scanned, instead of being shuffled for a lookup join.
     """
     m = msgs.select(F.col("channel_id").alias("_mc"), F.col("message_id").alias("_m"))
+    if wanted.isStreaming:
+        # in a stream the ids arrive per micro-batch: plain stream-static lookup
+        return m
     return m.join(bounded_broadcast(wanted), ["_mc", "_m"], "left_semi")
 
 

@@ -190,7 +190,7 @@ actions AS (
          CASE WHEN event_id % 50 = 0 THEN CAST({S.BOT_ID} AS BIGINT) ELSE user_id % 7 + 1 END AS actor_id,
          user_id % 25 AS guild_id,
          CASE WHEN event_id % 23 = 0 THEN (user_id % 25) * 100 + 3 ELSE (user_id % 25) * 100 + 18 END AS channel_id,
-         user_id * 1000 + dayofyear(ts) AS post_id,
+         user_id * 1000 + dayofyear(ts) + CASE WHEN event_id % 37 = 0 THEN 500 ELSE 0 END AS post_id,
          ({'[' + ', '.join(lit(x) for x in S.ACTION_EMOJIS + [S.OTHER_EMOJI]) + ']'})[(event_id + user_id) % 9 + 1] AS emoji
   FROM events
 ),
@@ -203,9 +203,10 @@ reports AS (
          ({'[' + ', '.join(lit(S.REPORT_CATEGORIES[k]) for k in sorted(S.REPORT_CATEGORIES)) + ']'})[post_id % 6 + 1] AS abuse_type,
          '{S.LINK_BASE}0/0/' || CAST(post_id AS VARCHAR) AS jump_url,
          'reported message ' || CAST(post_id AS VARCHAR) AS content
-  FROM (SELECT DISTINCT post_id, CAST(post_id // 1000 AS BIGINT) AS u FROM actions) p
+  FROM (SELECT DISTINCT post_id, CAST(post_id // 1000 AS BIGINT) AS u
+        FROM (SELECT user_id * 1000 + dayofyear(ts) AS post_id FROM events) e) p
 ),
-report_posts AS (SELECT post_id, report_id FROM reports WHERE abuser_id % 10 <> 3)"""
+report_posts AS (SELECT post_id, report_id FROM reports)"""
 
 
 def strikes_window_sql(src: str, key: str, created: str, seq: str, days: int, cols: str) -> str:

@@ -176,3 +176,59 @@ def strike_balance(users: DataFrame, strike_events: DataFrame, user_key: str, cr
               .agg(F.count_if(age_ok).alias(out)))
     return (users.join(active, users[user_key] == active["_u"], "left").drop("_u")
                  .withColumn(out, F.coalesce(F.col(out), F.lit(0))))
+
+
+def _balance_partitions(h: int, as_of: int, out: str):
+    """Per user: replay the strike list, then evict expired heads at ``as_of``."""
+    from collections import deque
+
+    def fold(batches):
+        cur, q = None, deque()
+        rows = []
+
+        def close():
+            if cur is not None:
+                while q and as_of - q[0] >= h:
+                    q.popleft()
+                rows.append((cur, len(q)))
+        for pdf in batches:
+            keys = pdf["_k"].to_numpy()
+            ts = pdf["_t"].to_numpy(dtype=np.int64)
+            for i in range(len(pdf)):
+                if keys[i] != cur:
+                    close()
+                    cur, q = keys[i], deque()
+                while q and ts[i] - q[0] >= h:
+                    q.popleft()
+                q.append(ts[i])
+            if rows:
+                import pandas as pd
+                yield pd.DataFrame(rows, columns=["_k", out])
+                rows = []
+        close()
+        if rows:
+            import pandas as pd
+            yield pd.DataFrame(rows, columns=["_k", out])
+    return fold
+
+
+def strike_balance_replay(users: DataFrame, strike_events: DataFrame, user_key: str,
+                          created: str, seq: str, as_of: str, horizon_days: int,
+                          out: str) -> DataFrame:
+    """O-G7 in replay mode: the list left after replaying every strike in
+    action order and evicting expired heads at ``as_of`` (a timestamp
+    literal); 0 for users without strikes.  Same sorted single pass as
+    ``strikes_replay``: only one user's live list is held at a time."""
+    from ..session import ship_package
+    ship_package(strike_events.sparkSession)
+    h = horizon_days * DAY_US
+    as_of_us = strike_events.sparkSession.range(1).select(
+        F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                         F.lit(as_of).cast("timestamp_ntz"))).first()[0]
+    prepared = (strike_events.select(F.col(user_key).alias("_k"), F.col(seq).alias("_seq"),
+                                     _micros(created).alias("_t"))
+                .repartition("_k").sortWithinPartitions("_k", "_seq"))
+    key_type = strike_events.schema[user_key].dataType.simpleString()
+    bal = prepared.mapInPandas(_balance_partitions(h, as_of_us, out), f"_k {key_type}, {out} long")
+    return (users.join(bal, users[user_key] == bal["_k"], "left").drop("_k")
+                 .withColumn(out, F.coalesce(F.col(out), F.lit(0))))

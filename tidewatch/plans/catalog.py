@@ -1221,3 +1221,32 @@ FROM q LEFT JOIN det d ON d.u = lower(replace(q.toks[2], '-', ''))""")
 
 
 ORACLE["search_report"] = _search_report_sql()
+
+
+@register("strike_balance_replay", f"""WITH RECURSIVE ev AS (
+  SELECT o_custkey AS k, o_orderkey AS seq, epoch_us(o_orderdate) AS t,
+         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn
+  FROM orders),
+r(k, rn, q) AS (
+  SELECT k, rn, [t] FROM ev WHERE rn = 1
+  UNION ALL
+  SELECT e.k, e.rn,
+         list_append(list_slice(r.q,
+            coalesce(list_position(list_transform(r.q, lambda y: e.t - y < {365 * ST.DAY_US}), true),
+                     len(r.q) + 1), len(r.q)), e.t)
+  FROM r JOIN ev e ON e.k = r.k AND e.rn = r.rn + 1
+),
+final AS (SELECT k, arg_max(q, rn) AS q FROM r GROUP BY k),
+bal AS (
+  SELECT k, CAST(len(q) + 1 - coalesce(list_position(list_transform(q,
+            lambda y: epoch_us(TIMESTAMP '{S.BALANCE_AS_OF}') - y < {365 * ST.DAY_US}), true), len(q) + 1)
+         AS BIGINT) AS n FROM final
+)
+SELECT c.c_custkey, coalesce(b.n, 0) AS abuse_strikes
+FROM customer c LEFT JOIN bal b ON b.k = c.c_custkey""")
+def q_strike_balance_replay(spark, sf_dir):
+    users = S.table(spark, sf_dir, "customer").select("c_custkey")
+    o = S.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey",
+                                                "o_orderdate")
+    return ST.strike_balance_replay(users, o, "c_custkey", "o_orderdate", "o_orderkey",
+                                    S.BALANCE_AS_OF, 365, "abuse_strikes")

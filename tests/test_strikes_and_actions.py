@@ -111,3 +111,18 @@ def test_status_and_notice_quirks(spark):
     assert "You have reached three strikes for false reports." in notes[(5, "reporter")]
     assert not any(k[0] == 6 for k in notes)                      # nothing sent for ❔ on auto report
     assert (3, "abuser") not in notes                             # no abuser notice for ❔
+
+
+def test_replay_balance_evicts_only_expired_heads(spark):
+    users = spark.createDataFrame([(1,), (2,), (3,)], "u long")
+    e = _events(spark, ["2024-02-10", "2024-01-01", "2024-03-01"])          # user 1, out of order
+    e = e.unionByName(_events(spark, ["2024-01-01"], user=2))
+    got = {r.u: r.n for r in ST.strike_balance_replay(users, e, "u", "created", "seq", "2024-03-15 00:00:00",
+                                                      30, "n").collect()}
+    # user 1: list after replay is [Feb 10, Jan 1, Mar 1]; at Mar 15 the head (Feb 10, 34 days)
+    # is evicted, then Jan 1 is the head and also expired, then Mar 1 is live -> 1
+    assert got == {1: 1, 2: 0, 3: 0}
+    got2 = {r.u: r.n for r in ST.strike_balance_replay(users, e, "u", "created", "seq", "2024-03-05 00:00:00",
+                                                       30, "n").collect()}
+    # at Mar 5 the head (Feb 10, 24 days) is live, so the expired Jan 1 behind it survives -> 3
+    assert got2[1] == 3

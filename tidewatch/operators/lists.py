@@ -74,24 +74,31 @@ def with_seed(lines: DataFrame, seed_words: list[str] | None = None) -> DataFram
     return lines.unionByName(seed.select(*lines.columns))
 
 
+def neighbour(df: DataFrame, keys: list[str], value: str, out: str, direction: str = "lag") -> DataFrame:
+    """``lag`` / ``lead`` of ``value`` per ``keys`` in (edit_seq, line_no) order,
+    computed in two levels so no partition holds more than one block of
+    ``BLOCK`` sequence numbers of one item: within blocks, then across a
+    one-row-per-block summary (previous block's last / next block's first)."""
+    v = df.withColumn("_blk", F.floor(F.col("edit_seq") / BLOCK))
+    order = [F.col("edit_seq"), F.col("line_no")]
+    w_in = Window.partitionBy(*keys, "_blk").orderBy(*order)
+    step = F.lag if direction == "lag" else F.lead
+    v = v.withColumn("_in", step(value).over(w_in))
+    edge = F.max_by if direction == "lag" else F.min_by
+    ends = v.groupBy(*keys, "_blk").agg(edge(value, F.struct(*order)).alias("_edge"))
+    w_blk = Window.partitionBy(*keys).orderBy("_blk")
+    carry = ends.select(*keys, "_blk", step("_edge").over(w_blk).alias("_carry"))
+    v = v.join(carry, keys + ["_blk"], "left")
+    return v.withColumn(out, F.coalesce("_in", "_carry")).drop("_blk", "_in", "_carry")
+
+
 def previous_op(lines: DataFrame) -> DataFrame:
     """Add ``prev_op``: the op of the preceding line on the same item.
 
     Invalid (blank) words all carry the item '' and so only ever see each
     other; their status does not depend on it.
     """
-    keys = ["list_kind", "item"]
-    v = lines.withColumn("_blk", F.floor(F.col("edit_seq") / BLOCK))
-    order = [F.col("edit_seq"), F.col("line_no")]
-    w_in = Window.partitionBy(*keys, "_blk").orderBy(*order)
-    v = v.withColumn("_lag", F.lag("op").over(w_in))
-    # last op of every (item, block), then the previous block's last op
-    last = (v.groupBy(*keys, "_blk")
-             .agg(F.max_by("op", F.struct(*order)).alias("_last")))
-    w_blk = Window.partitionBy(*keys).orderBy("_blk")
-    carry = last.select(*keys, "_blk", F.lag("_last").over(w_blk).alias("_carry"))
-    v = v.join(carry, keys + ["_blk"], "left")
-    return v.withColumn("prev_op", F.coalesce("_lag", "_carry")).drop("_blk", "_lag", "_carry")
+    return neighbour(lines, ["list_kind", "item"], "op", "prev_op", "lag")
 
 
 def apply_edits(edits: DataFrame, seed_words: list[str] | None = None,
@@ -118,7 +125,15 @@ def current_list(edits: DataFrame, seed_words: list[str] | None = None,
 
 
 def render_list(current: DataFrame) -> DataFrame:
-    """O-E5: the list views (sorted, since set order is unspecified)."""
+    """O-E5: the list views (sorted, since set order is unspecified).
+
+    A view is one message per list, so the list must be a bounded
+    dimension: larger than ``INLINE_LIST_MAX`` items is refused (the
+    matcher could not inline it either).
+    """
+    from .common import INLINE_LIST_MAX, row_count_at_most
+    if row_count_at_most(current, 2 * INLINE_LIST_MAX) is None:
+        raise ValueError("list views are limited to INLINE_LIST_MAX items per list")
     kinds = current.sparkSession.createDataFrame([("word",), ("regex",)], "list_kind string")
     agg = current.groupBy("list_kind").agg(F.array_sort(F.collect_list("item")).alias("items"))
     j = kinds.join(agg, "list_kind", "left")
@@ -137,9 +152,7 @@ def versions(edits: DataFrame, seed_words: list[str] | None = None) -> DataFrame
     ``removed`` line for it (null end = still live).
     """
     st = apply_edits(edits, seed_words).where(F.col("status").isin("added", "removed"))
-    w = Window.partitionBy("list_kind", "item").orderBy("edit_seq", "line_no")
-    nxt = st.select("*", F.lead("edited_at").over(w).alias("_end"),
-                    F.lead("status").over(w).alias("_next"))
+    nxt = neighbour(st, ["list_kind", "item"], "edited_at", "_end", "lead")
     return (nxt.where(F.col("status") == "added")
                .select("list_kind", "item", F.col("edited_at").alias("valid_from"),
                        F.col("_end").alias("valid_to")))

@@ -479,7 +479,6 @@ def q_sample_confusion(spark, sf_dir):
 
 # ----------------------------------------------------- actions, strikes ----
 
-from ..functions.render import template  # noqa: E402,F401
 from ..operators import actions as AC  # noqa: E402
 from ..operators import strikes as ST  # noqa: E402
 

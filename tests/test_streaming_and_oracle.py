@@ -49,7 +49,7 @@ def test_evaluate_stream_writes_batch_results(spark, scratch):
 
 FAST = ["blocklist_match", "match_all_terms", "highlight_hit", "regex_match", "evaluate_messages",
         "abuse_strikes", "abuse_strikes_replay", "apply_edits", "confusion_matrix", "report_status",
-        "resolve_link", "action_notifications"]
+        "resolve_link", "action_notifications", "strike_balance_replay", "load_terms"]
 
 
 @pytest.mark.parametrize("name", FAST)

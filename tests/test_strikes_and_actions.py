@@ -126,3 +126,28 @@ def test_replay_balance_evicts_only_expired_heads(spark):
                                                        30, "n").collect()}
     # at Mar 5 the head (Feb 10, 24 days) is live, so the expired Jan 1 behind it survives -> 3
     assert got2[1] == 3
+
+
+def test_followers_boundary_and_repeated_strikes(spark):
+    import datetime as dt
+    from tidewatch.operators import reports as RE
+    reps = spark.createDataFrame([("a", "u5000"), ("b", "u5001"), ("c", "nobody")],
+                                 "report_id string, author_name string")
+    acc = spark.createDataFrame([("u5000", 5000), ("u5001", 5001)], "user_name string, followers long")
+    got = {r.report_id: (r.large_account, r.strike_emoji) for r in RE.account_size(reps, acc).collect()}
+    assert got == {"a": (False, "❗"), "b": (True, "‼️"), "c": (False, "❗")}   # strictly > 5000
+    # the same report struck twice appends twice (no dedup)
+    t = dt.datetime(2024, 1, 1)
+    e = spark.createDataFrame([(1, 0, t), (1, 1, t)], "u long, seq long, created timestamp_ntz")
+    for mode in ("window", "replay"):
+        assert [r.n_strikes for r in ST.strikes(e, "u", "created", "seq", 365, mode).orderBy("seq").collect()] == [1, 2]
+
+
+def test_command_routing_precedence(spark):
+    from tidewatch.operators import routing as RT
+    df = spark.createDataFrame(
+        [("help", True, False), ("report x", False, True), ("list", False, False), ("reporting", False, False),
+         ("blocklist", False, False), ("searching", False, False), ("hello", False, False)],
+        "content string, in_report_session boolean, in_list_session boolean")
+    got = [r.command for r in RT.classify_command(df).collect()]
+    assert got == ["help", "list_session", "list", "report", "blocklist", "search", "ignore"]

@@ -34,10 +34,10 @@ def test_strike_stream_equals_batch_replay(spark, scratch):
 
 
 def test_evaluate_stream_writes_batch_results(spark, scratch):
-    msgs = S.messages(spark, SMALL).select("message_id", "author_id", "jump_url", "content")
+    from tidewatch.sources.io import read_messages
     src = os.path.join(scratch, "msgs")
-    msgs.write.parquet(src)
-    stream = spark.readStream.schema(msgs.schema).parquet(src)
+    S.messages(spark, SMALL).write.parquet(src)
+    stream = read_messages(spark, src, streaming=True).select("message_id", "author_id", "jump_url", "content")
     out = os.path.join(scratch, "out")
     q = SS.evaluate_stream(stream, S.TEST_TERMS, S.TEST_PATTERNS, S.TEST_PII_RULES, S.synthetic_scorer,
                            out, os.path.join(scratch, "ck"))

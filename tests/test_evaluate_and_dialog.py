@@ -145,3 +145,20 @@ def test_invalid_patterns_in_edit_log(spark):
     st = {(r.edit_seq, r.line_no): r.status for r in L.apply_edits(log, check_patterns=True).collect()}
     assert st == {(1, 0): "added", (1, 1): "invalid", (2, 0): "invalid"}
     assert [r.item for r in L.current_list(log, check_patterns=True).collect()] == ["[0-9]{3}"]
+
+
+def test_two_level_lag_and_lead_across_blocks(spark, monkeypatch):
+    from tidewatch.plans import standins as S
+    from .conftest import MEDIUM
+    S.clear_shared()
+    edits = S.list_edits(spark, MEDIUM)
+
+    def snapshot():
+        st = {(r.edit_seq, r.line_no): r.status for r in L.apply_edits(edits, S.TEST_TERMS).collect()}
+        vs = sorted((r.list_kind, r.item, str(r.valid_from), str(r.valid_to))
+                    for r in L.versions(edits, S.TEST_TERMS).collect())
+        return st, vs
+    one_block = snapshot()
+    monkeypatch.setattr(L, "BLOCK", 7)       # every item spans hundreds of blocks
+    many_blocks = snapshot()
+    assert one_block == many_blocks and len(one_block[0]) > 10000

@@ -143,3 +143,26 @@ def test_stream_rereads_lists_per_batch(spark, scratch):
     got = {r.message_id: r.score for r in spark.read.parquet(out + "/decisions").collect()}
     # batch 1 ran with ["moron"] only (idiot not yet listed); batch 2 with both
     assert got == {1: 0.0, 2: 1.0}
+
+
+def test_sorted_passes_carry_state_across_arrow_batches(spark):
+    from tidewatch.operators import dialog as DG
+    from .conftest import MEDIUM
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    o = spark.read.parquet(f"{MEDIUM}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
+    turns, guilds, chans, msgs = _dialog_inputs(spark, MEDIUM)
+    prepared = DG.prepare_turns(turns, guilds, chans, msgs).checkpoint()
+
+    def run():
+        s = sorted((r.o_orderkey, r.n_strikes) for r in
+                   ST.strikes_replay(o, "o_custkey", "o_orderdate", "o_orderkey", 365).collect())
+        d = sorted((r.author_id, r.start_seq, r.message_id) for r in DG.reports_from_turns(prepared).collect())
+        return s, d
+    base = run()
+    try:
+        spark.conf.set(key, "3")               # users and authors span many batches
+        small = run()
+    finally:
+        spark.conf.set(key, old)
+    assert base == small and len(base[1]) > 0

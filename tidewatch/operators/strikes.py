@@ -130,7 +130,9 @@ def strikes_replay(events: DataFrame, key: str, created: str, seq: str,
     cols = events.columns
     prepared = (events.withColumn("_k", F.col(key)).withColumn("_t", _micros(created))
                 .repartition("_k").sortWithinPartitions("_k", seq))
-    schema = events.schema.add(out, "long")
+    from pyspark.sql import types as T
+    # a new StructType: ``df.schema`` is cached per DataFrame and ``add`` mutates
+    schema = T.StructType(list(events.schema.fields) + [T.StructField(out, T.LongType())])
     return prepared.mapInPandas(_replay_partitions(h, out), schema).select(*cols, out)
 
 

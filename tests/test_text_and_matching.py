@@ -110,3 +110,18 @@ def test_sources_and_sinks_roundtrip(spark, scratch):
     IO.write_decisions(back.select("message_id").limit(3), out)
     IO.write_decisions(back.select("message_id").limit(2), out)
     assert spark.read.parquet(out).count() == 5
+
+
+def test_large_list_path_matches_inline(spark, monkeypatch):
+    msgs = TX.with_normalized(S.messages(spark, SMALL)).select("message_id", "lowered")
+    terms = M.terms_frame(spark, S.TEST_TERMS + ["the end", "and"])
+    inline_first = {(r.message_id, r.term_hit.item, r.term_hit.start)
+                    for r in M.match_terms(msgs, terms).where("term_hit is not null").collect()}
+    inline_all = {tuple(r) for r in M.term_hits(msgs, terms).collect()}
+    # pretend the list is too large to inline: the k-gram equi-join path runs
+    monkeypatch.setattr(M, "small_list", lambda df, col, max_items=0: None)
+    joined_first = {(r.message_id, r.term_hit.item, r.term_hit.start)
+                    for r in M.match_terms(msgs, terms).where("term_hit is not null").collect()}
+    joined_all = {(r.message_id, r.term, r.start, r.end) for r in M.term_hits(msgs, terms).collect()}
+    assert inline_first == joined_first and len(inline_first) > 0
+    assert {(a, b, c, d) for a, b, c, d in inline_all} == joined_all

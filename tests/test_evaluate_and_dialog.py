@@ -162,3 +162,17 @@ def test_two_level_lag_and_lead_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(L, "BLOCK", 7)       # every item spans hundreds of blocks
     many_blocks = snapshot()
     assert one_block == many_blocks and len(one_block[0]) > 10000
+
+
+def test_header_option_and_empty_list_views(spark, tmp_path):
+    p = tmp_path / "posts.csv"
+    p.write_text("tweet_text,cyberbullying_type\nhello,not_cyberbullying\n")
+    assert [tuple(r) for r in EV.read_labeled_posts(spark, str(p)).collect()] == [
+        ("tweet_text", "cyberbullying_type", True), ("hello", "not_cyberbullying", False)]   # parity: header read
+    assert [tuple(r) for r in EV.read_labeled_posts(spark, str(p), header=True).collect()] == [
+        ("hello", "not_cyberbullying", False)]
+    cur = spark.createDataFrame([("word", "b"), ("word", "a")], "list_kind string, item string")
+    views = {r.list_kind: r.view for r in L.render_list(cur).collect()}
+    assert views["word"] == "The list of blocked words are:\na,\nb"
+    # the regex view tests its own list for emptiness (Q7)
+    assert views["regex"] == "The list of blocked regex expressions are:\nThere are currently no regex expressions blocked."

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import exact, mixing
+from tidewatch.llm import counts, exact, language, mixing, quality, warc
 
 QUERIES = {
+    "op3_language_id": language.op3_language_id,
+    "op4_quality": quality.op4_quality,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op10_warc": warc.op10_warc,
+    "op8_token_counts": counts.op8_token_counts,
     "op7_exact_dedup": exact.op7_exact_dedup,
 }
 
 ORACLE = {
     "op5_mix_sources": mixing.SQL,
     "op7_exact_dedup": exact.SQL,
+    "op10_warc": warc.SQL,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import counts, exact, language, mixing, quality, warc
+from tidewatch.llm import counts, exact, language, mixing, packing, quality, warc
 
 QUERIES = {
     "op3_language_id": language.op3_language_id,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_mix_sources": mixing.op5_mix_sources,
     "op10_warc": warc.op10_warc,
     "op8_token_counts": counts.op8_token_counts,
+    "op6_packing": packing.op6_packing,
     "op7_exact_dedup": exact.op7_exact_dedup,
 }
 

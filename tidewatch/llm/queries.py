@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import counts, exact, language, mixing, packing, quality, warc
+from tidewatch.llm import counts, exact, jaccard, language, mixing, packing, quality, warc
 
 QUERIES = {
+    "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
     "op3_language_id": language.op3_language_id,
     "op4_quality": quality.op4_quality,
     "op5_mix_sources": mixing.op5_mix_sources,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_ngram_jaccard": jaccard.SQL,
     "op5_mix_sources": mixing.SQL,
     "op7_exact_dedup": exact.SQL,
     "op10_warc": warc.SQL,

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import counts, exact, jaccard, language, mixing, packing, quality, warc
+from tidewatch.llm import counts, exact, jaccard, language, mixing, packing, quality, vectors, warc
 
 QUERIES = {
+    "op2_near_vectors": vectors.op2_near_vectors,
     "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
     "op3_language_id": language.op3_language_id,
     "op4_quality": quality.op4_quality,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_near_vectors": vectors.SQL,
     "op1_ngram_jaccard": jaccard.SQL,
     "op5_mix_sources": mixing.SQL,
     "op7_exact_dedup": exact.SQL,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import counts, exact, jaccard, language, mixing, packing, quality, vectors, warc
+from tidewatch.llm import counts, exact, jaccard, language, mixing, packing, quality, suffixes, vectors, warc
 
 QUERIES = {
     "op2_near_vectors": vectors.op2_near_vectors,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_language_id": language.op3_language_id,
     "op4_quality": quality.op4_quality,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op9_suffix_dedup": suffixes.op9_suffix_dedup,
     "op10_warc": warc.op10_warc,
     "op8_token_counts": counts.op8_token_counts,
     "op6_packing": packing.op6_packing,

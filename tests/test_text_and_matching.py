@@ -62,14 +62,33 @@ def test_highlight_uses_folded_offsets_on_original(spark):
     assert m == 'contains blocked word or expression: `idiot` at "Große i`diot`"'
 
 
-def test_ngram_join_equals_inline(spark):
+def brute_hits(text, terms):
+    return {(t, text.find(t), text.find(t) + len(t)) for t in terms if t in text}
+
+
+def test_term_hits_equal_brute_force(spark, monkeypatch):
     msgs = TX.with_normalized(S.messages(spark, SMALL)).select("message_id", "lowered")
-    terms = M.terms_frame(spark, S.TEST_TERMS + ["an", "of the"])
-    inline = {(r.message_id, r.term, r.start) for r in M.term_hits(msgs, terms).collect()}
-    joined = {(r.message_id, r.term, r.start) for r in
-              M._ngram_hits(msgs, terms, "lowered").groupBy("message_id", "term")
-              .agg(F.min("start").alias("start")).collect()}
-    assert inline == joined and len(inline) > 0
+    texts = {r.message_id: r.lowered for r in msgs.collect()}
+    terms = S.TEST_TERMS + ["an", "of the", "a", "t", "ä", "x" * 300]  + [max(texts.values(), key=len)[40:340]]
+    clean = {t.strip().lower() for t in terms if t.strip()}
+    want = {(i, *h) for i, t in texts.items() for h in brute_hits(t, clean)}
+    first = {i: min(((s, -len(t), t) for t, s, _ in brute_hits(x, clean)), default=None) for i, x in texts.items()}
+    for block in (100_000, 3):
+        monkeypatch.setattr(M, "TERM_BLOCK", block)
+        for given in (terms, spark.createDataFrame([(t,) for t in terms], "term string")):
+            assert {tuple(r) for r in M.term_hits(msgs, given).collect()} == want
+        hits = {r.message_id: r.term_hit for r in M.match_terms(msgs, terms).collect()}
+        assert {i: h and (h.start, h.start - h.end, h.item) for i, h in hits.items()} == first
+
+
+def test_terms_of_any_length_and_number(spark):
+    text = "the quick brown fox " * 40
+    df = spark.createDataFrame([(1, text + "é"), (2, ""), (3, None)], "message_id long, lowered string")
+    many = [f"absent{i}" for i in range(12_000)] + ["é", "ox", text.strip()[:699]]
+    hits = {r.term: r.start for r in M.term_hits(df, many).collect()}
+    assert hits == {"é": len(text), "ox": 17, text.strip()[:699]: 0}
+    got = {r.message_id: r.term_hit for r in M.match_terms(df, []).collect()}
+    assert set(got.values()) == {None}
 
 
 def test_patterns_validated(spark):
@@ -112,16 +131,18 @@ def test_sources_and_sinks_roundtrip(spark, scratch):
     assert spark.read.parquet(out).count() == 5
 
 
-def test_large_list_path_matches_inline(spark, monkeypatch):
-    msgs = TX.with_normalized(S.messages(spark, SMALL)).select("message_id", "lowered")
-    terms = M.terms_frame(spark, S.TEST_TERMS + ["the end", "and"])
-    inline_first = {(r.message_id, r.term_hit.item, r.term_hit.start)
-                    for r in M.match_terms(msgs, terms).where("term_hit is not null").collect()}
-    inline_all = {tuple(r) for r in M.term_hits(msgs, terms).collect()}
-    # pretend the list is too large to inline: the k-gram equi-join path runs
-    monkeypatch.setattr(M, "small_list", lambda df, col, max_items=0: None)
-    joined_first = {(r.message_id, r.term_hit.item, r.term_hit.start)
-                    for r in M.match_terms(msgs, terms).where("term_hit is not null").collect()}
-    joined_all = {(r.message_id, r.term, r.start, r.end) for r in M.term_hits(msgs, terms).collect()}
-    assert inline_first == joined_first and len(inline_first) > 0
-    assert {(a, b, c, d) for a, b, c, d in inline_all} == joined_all
+def test_many_patterns_in_blocks(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "call 555 now"), (2, "nothing"), (3, "id77 or call")], "message_id long, folded string")
+    patterns = [f"zz{i}" for i in range(30)] + ["[0-9]{3}", "call", "id[0-9]+"]
+    whole = [r.regex_hit for r in M.match_regexes(df, patterns).orderBy("message_id").collect()]
+    monkeypatch.setattr(M, "PATTERN_BLOCK", 4)
+    assert [r.regex_hit for r in M.match_regexes(df, patterns).orderBy("message_id").collect()] == whole
+    assert [h and h.item for h in whole] == ["call", None, "id[0-9]+"]
+
+
+def test_evaluate_cleans_terms(spark):
+    from tidewatch.operators import decide as D
+    df = spark.createDataFrame([(1, "you IDIOT"), (2, "hello")], "message_id long, content string")
+    for terms in (["", "  ", "Idiot "], spark.createDataFrame([("",), (" Idiot",)], "term string")):
+        got = {r.message_id: (r.score, r.stage) for r in D.evaluate(df, terms, [], []).collect()}
+        assert got == {1: (1.0, "term"), 2: (0.0, "none")}

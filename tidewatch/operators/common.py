@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 # Largest dimension (rows) shipped to every executor as a broadcast side.
 BROADCAST_MAX_ROWS = 1_000_000
-# Largest term / pattern list inlined into the plan as a literal array.
-INLINE_LIST_MAX = 5_000
-
 
 def row_count_at_most(df: DataFrame, bound: int) -> int | None:
     """Row count if it is <= bound, else None (reads at most bound+1 rows)."""
@@ -24,15 +21,3 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
     it at run time from real statistics).
     """
     return F.broadcast(df) if row_count_at_most(df, max_rows) is not None else df
-
-
-def small_list(df: DataFrame, col: str, max_items: int = INLINE_LIST_MAX) -> list | None:
-    """Collect a dimension column as a sorted Python list if it is small.
-
-    Returns None when the list is larger than ``max_items`` so callers can
-    switch to a join-based plan instead of inlining literals.
-    """
-    rows = df.select(col).distinct().limit(max_items + 1).collect()
-    if len(rows) > max_items:
-        return None
-    return sorted(r[0] for r in rows)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import render as R
 from ..functions.replies import PRODUCTION_THRESHOLDS, threshold_first, verdict_prefix
 from ..functions.text import bind, with_normalized
-from .matching import first_pattern_hit, first_term_hit
+from .matching import first_pattern_hit, first_term_hit, term_blocks, validate_patterns
 
 DECISION_TYPE = ("struct<score:double,reason:string,stage:string,"
                  "attribute:string,chat_flag:boolean>")
@@ -56,30 +56,35 @@ def ensemble(attribute: Column, chat_flag: Column) -> Column:
             .otherwise(_decision(0.0, R.REASON_NONE, "none", attribute, chat_flag)))
 
 
-def _list_stage(r: Column, terms, patterns, pii_rules, rest) -> Column:
-    """Term -> pattern -> address; ``rest(r)`` decides undecided rows."""
-    def after_term(th):
-        def after_regex(rh):
-            return (F.when(rh.isNotNull(),
-                           _decision(1.0, R.hit_reason(R.REASON_REGEX, rh, r["stripped"]), "regex"))
-                    .when(pii_flag(r["folded"], pii_rules), _decision(1.0, R.REASON_PII, "pii"))
-                    .otherwise(rest(r)))
-        return (F.when(th.isNotNull(),
-                       _decision(1.0, R.hit_reason(R.REASON_TERM, th, r["stripped"]), "term"))
-                .otherwise(bind(first_pattern_hit(r["folded"], patterns), after_regex)))
-    return bind(first_term_hit(r["lowered"], terms), after_term)
+def _list_stage(r: Column, patterns, pii_rules, rest) -> Column:
+    """Term (``r.term_hit``) -> pattern -> address; ``rest(r)`` decides
+    undecided rows."""
+    def after_regex(rh):
+        return (F.when(rh.isNotNull(),
+                       _decision(1.0, R.hit_reason(R.REASON_REGEX, rh, r["stripped"]), "regex"))
+                .when(pii_flag(r["folded"], pii_rules), _decision(1.0, R.REASON_PII, "pii"))
+                .otherwise(rest(r)))
+    return (F.when(r["term_hit"].isNotNull(),
+                   _decision(1.0, R.hit_reason(R.REASON_TERM, r["term_hit"], r["stripped"]), "term"))
+            .otherwise(bind(first_pattern_hit(r["folded"], patterns), after_regex)))
 
 
-def evaluate(msgs: DataFrame, terms: list[str], patterns: list[str], pii_rules: list[str],
+def evaluate(msgs: DataFrame, terms, patterns: list[str], pii_rules: list[str],
              scorer=None, thresholds=PRODUCTION_THRESHOLDS,
              python_scorer: bool = False, text_col: str = "content") -> DataFrame:
     """O-D6: add ``score, reason, stage, attribute, chat_flag`` per message.
 
+    ``terms`` is a Python list or a term DataFrame, cleaned alike (a blank
+    term never matches).  Patterns are validated here, before any row is read.
+
     ``scorer(df) -> df`` adds ``attr_scores map<string,double>`` and
     ``chat_content string`` (null = failed call, treated as not flagged).
     """
+    validate_patterns(msgs.sparkSession, patterns)
+    blocks = term_blocks(msgs.sparkSession, terms)
     norm = with_normalized(msgs, text_col)
-    cols = ["stripped", "folded", "lowered"]
+    norm = norm.withColumn("term_hit", first_term_hit(F.col("lowered"), blocks)).drop("lowered")
+    cols = ["stripped", "folded", "term_hit"]
     out = list(msgs.columns)
 
     def scored_rest(r):
@@ -95,12 +100,12 @@ def evaluate(msgs: DataFrame, terms: list[str], patterns: list[str], pii_rules:
 
     if not python_scorer:
         expr = bind(F.struct(*cols, "attr_scores", "chat_content"),
-                    lambda r: _list_stage(r, terms, patterns, pii_rules, scored_rest))
+                    lambda r: _list_stage(r, patterns, pii_rules, scored_rest))
         return norm.select(*out, F.inline(F.array(expr)))
 
     # Python scorer: list stages first, scorer only on undecided rows.
     staged = norm.select(*out, *cols, bind(F.struct(*cols), lambda r: _list_stage(
-        r, terms, patterns, pii_rules, lambda _: F.lit(None).cast(DECISION_TYPE))).alias("_d"))
+        r, patterns, pii_rules, lambda _: F.lit(None).cast(DECISION_TYPE))).alias("_d"))
     from ..session import checkpoint_dir
     checkpoint_dir(msgs.sparkSession)  # the cluster's shared folder when set
     staged = staged.checkpoint()  # one list pass feeds both branches

@@ -40,22 +40,21 @@ def edit_lines(edits: DataFrame, check_patterns: bool = False) -> DataFrame:
     """O-E1: one row per edited item: words stripped and lowered, patterns
     kept verbatim.  Blank words are marked invalid (they would match every
     message).  With ``check_patterns`` a pattern the JVM cannot compile is
-    invalid too: the distinct pattern items are a bounded list, validated
-    once on the driver."""
+    invalid too: each distinct pattern is compiled once."""
     x = edits.select("*", F.posexplode(split_lines(F.col("content"))).alias("line_no", "raw"))
     item = F.when(F.col("list_kind") == "word", F.lower(strip_ws(F.col("raw")))).otherwise(F.col("raw"))
     valid = F.when(F.col("list_kind") == "word", F.length(item) > 0).otherwise(F.lit(True))
     x = x.withColumn("item", item).withColumn("valid", valid)
     if check_patterns:
-        from .common import small_list
         from .matching import invalid_patterns
-        items = small_list(x.where(F.col("list_kind") == "regex").select("item"), "item")
-        if items is None:
-            raise ValueError("pattern lists are limited to INLINE_LIST_MAX distinct items")
-        bad = invalid_patterns(edits.sparkSession, items)
+        spark = edits.sparkSession
+        items = x.where(F.col("list_kind") == "regex").select("item").distinct()
+        bad = invalid_patterns(spark, [r[0] for r in items.toLocalIterator()])
         if bad:
-            x = x.withColumn("valid", F.col("valid") & ~((F.col("list_kind") == "regex") &
-                                                          F.col("item").isin(bad)))
+            wrong = spark.createDataFrame([("regex", p, False) for p in bad], "list_kind string, item string, _ok boolean")
+            x = (x.join(F.broadcast(wrong), ["list_kind", "item"], "left")
+                  .withColumn("valid", F.col("valid") & F.coalesce("_ok", F.lit(True)))
+                  .drop("_ok").select(*x.columns))
     return x
 
 
@@ -127,13 +126,8 @@ def current_list(edits: DataFrame, seed_words: list[str] | None = None,
 def render_list(current: DataFrame) -> DataFrame:
     """O-E5: the list views (sorted, since set order is unspecified).
 
-    A view is one message per list, so the list must be a bounded
-    dimension: larger than ``INLINE_LIST_MAX`` items is refused (the
-    matcher could not inline it either).
+    A view is one text per list and as long as its list.
     """
-    from .common import INLINE_LIST_MAX, row_count_at_most
-    if row_count_at_most(current, 2 * INLINE_LIST_MAX) is None:
-        raise ValueError("list views are limited to INLINE_LIST_MAX items per list")
     kinds = current.sparkSession.createDataFrame([("word",), ("regex",)], "list_kind string")
     agg = current.groupBy("list_kind").agg(F.array_sort(F.collect_list("item")).alias("items"))
     j = kinds.join(agg, "list_kind", "left")

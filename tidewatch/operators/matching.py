@@ -1,11 +1,11 @@
 """Term and pattern matching (theta joins between messages and lists).
 
-Small lists (the normal case: tens to a few thousand entries) are inlined
-into the plan as literals, so matching is a map-only projection with no
-shuffle and no join.  Term lists beyond ``INLINE_LIST_MAX`` switch to an
-n-gram equi-join: every k-gram of a text is a probe key into the term table,
-keyed by each term's first k characters, with a bounded verification window
-instead of the whole text carried per probe.
+Terms of any length and any number take one path: the cleaned list is split
+into blocks of at most ``TERM_BLOCK`` terms, each block is one Aho-Corasick
+automaton on the executors, and every text is scanned once per block in
+Arrow batches.  Nothing is shuffled and no text is copied; the scan time
+does not depend on the number of terms in a block.  Patterns stay JVM
+regular expressions, ``PATTERN_BLOCK`` at a time behind one alternation.
 
 A hit is ``struct(item, start, end)`` with 0-based, end-exclusive offsets
 into the matched text.  Among several hits the first is the one that starts
@@ -14,16 +14,20 @@ earliest, then the longest, then the alphabetically smallest.
 
 from __future__ import annotations
 
+import functools
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bind, strip_ws
-from .common import INLINE_LIST_MAX, bounded_broadcast, small_list
 
-GRAM = 3            # probe key length of the n-gram join
-MAX_TERM_LEN = 256  # longest term the n-gram join verifies
+TERM_BLOCK = 100_000    # terms of one broadcast block and automaton
+PATTERN_BLOCK = 100     # patterns of one alternation
 
 HIT_TYPE = "struct<item:string,start:int,end:int>"
+_CANDIDATE = "struct<pos:int,neg_len:int,item:string>"
 
 
 # ---------------------------------------------------------------- lists ----
@@ -49,25 +53,18 @@ def terms_frame(spark, terms: list[str]) -> DataFrame:
 
 
 def invalid_patterns(spark, patterns: list[str]) -> list[str]:
-    """Patterns the JVM regex engine cannot compile.
+    """Patterns the JVM regex engine cannot compile, in their order.
 
-    All patterns are compiled in one tiny job; only when that fails is each
-    pattern tried alone to find the culprits.
+    The driver's JVM compiles each one: no job runs, so a lost executor or
+    any other failure is never taken for a bad pattern.
     """
-    if not patterns:
-        return []
-    probe = lambda ps: spark.range(1).select(
-        *[F.regexp_instr(F.lit(""), F.lit(p)).alias(f"p{i}") for i, p in enumerate(ps)]).collect()
-    try:
-        probe(patterns)
-        return []
-    except Exception:  # noqa: BLE001 - the JVM reports a pattern error
-        pass
+    from pyspark.errors import IllegalArgumentException   # a PatternSyntaxException is one
+    java = spark._jvm.java.util.regex
     bad = []
     for p in patterns:
         try:
-            probe([p])
-        except Exception:  # noqa: BLE001
+            java.Pattern.compile(p)
+        except IllegalArgumentException:
             bad.append(p)
     return bad
 
@@ -81,14 +78,94 @@ def validate_patterns(spark, patterns: list[str]) -> list[str]:
     return patterns
 
 
-# ------------------------------------------------------- inline matching ----
+# --------------------------------------------------------- term matching ----
+
+def term_blocks(spark, terms, fold: bool = False) -> list:
+    """Broadcast blocks of a cleaned term list (a Python list or a DataFrame
+    with a ``term`` column; both are cleaned by ``load_terms``)."""
+    if isinstance(terms, DataFrame):
+        clean = load_terms(terms, fold=fold)
+    else:
+        clean = load_terms(spark.createDataFrame([(t,) for t in terms], "term string"), fold=fold)
+    from ..session import ship_package
+    ship_package(spark)
+    clean = clean.persist()
+    try:
+        blocks = -(-clean.count() // TERM_BLOCK)
+        number = F.pmod(F.xxhash64("term"), F.lit(max(blocks, 1)))
+        return [spark.sparkContext.broadcast(sorted(r[0] for r in clean.where(number == k).collect()))
+                for k in range(blocks)]
+    finally:
+        clean.unpersist()
+
+
+@functools.lru_cache(maxsize=8)
+def _automaton(block):
+    """The automaton of a broadcast block, built once per Python worker."""
+    a = ahocorasick.Automaton()
+    for t in block.value:
+        a.add_word(t, t)
+    a.make_automaton()
+    return a, max(map(len, block.value))
+
+
+def _alone(text: str, start: int, end: int) -> bool:
+    """Whether no letter, digit or underscore touches ``text[start:end]``."""
+    return not any(c == "_" or c.isalnum() for c in (text[start - 1:start] + text[end:end + 1]))
+
+
+def _occurrences(text: str, automaton, whole_word: bool):
+    for last, term in automaton.iter(text):
+        start = last + 1 - len(term)
+        if not whole_word or _alone(text, start, last + 1):
+            yield start, term
+
+
+def earliest_hit(text: str | None, automaton, longest: int, whole_word: bool):
+    """(start, -length, term) of the first occurrence, or None; the scan
+    stops where no later end can belong to an earlier start."""
+    best = None
+    for last, term in automaton.iter(text or ""):
+        if best is not None and last - longest + 1 > best[0]:
+            break
+        start = last + 1 - len(term)
+        if not whole_word or _alone(text, start, last + 1):
+            hit = (start, -len(term), term)
+            if best is None or hit < best:
+                best = hit
+    return best
+
+
+def _first_udf(block, whole_word: bool):
+    @F.arrow_udf(_CANDIDATE)
+    def first(texts: pa.Array) -> pa.Array:
+        automaton, longest = _automaton(block)
+        hits = (earliest_hit(t, automaton, longest, whole_word) for t in texts.to_pylist())
+        rows = [h and {"pos": h[0] + 1, "neg_len": h[1], "item": h[2]} for h in hits]
+        return pa.array(rows, pa.struct([("pos", pa.int32()), ("neg_len", pa.int32()), ("item", pa.string())]))
+    return first
+
+
+def _all_udf(block, whole_word: bool):
+    @F.arrow_udf(f"array<{HIT_TYPE}>")
+    def every(texts: pa.Array) -> pa.Array:
+        automaton, _ = _automaton(block)
+        rows = []
+        for t in texts.to_pylist():
+            seen: dict[str, int] = {}
+            for start, term in _occurrences(t or "", automaton, whole_word):
+                if start < seen.get(term, start + 1):
+                    seen[term] = start
+            rows.append([{"item": term, "start": start, "end": start + len(term)} for term, start in seen.items()])
+        return pa.array(rows, pa.list_(pa.struct([("item", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))
+    return every
+
 
 def _best(cands: list[Column]) -> Column:
     """Smallest non-null candidate ``struct(pos, neg_len, item)`` as a hit.
 
-    ``least`` skips nulls and compares structs field by field, so the
-    choice (earliest, then longest, then smallest text) needs no lambda and
-    stays inside generated code.
+    ``least`` skips nulls and compares structs field by field, so the choice
+    (earliest, then longest, then smallest text) needs no lambda.
     """
     best = F.least(*cands) if len(cands) > 1 else cands[0]
     return F.when(best.isNotNull(), F.struct(
@@ -98,88 +175,51 @@ def _best(cands: list[Column]) -> Column:
     ))
 
 
-def _word_pattern(term: str) -> str:
-    return r"(?<![\p{L}\p{N}_])\Q" + term.replace("\\E", "\\E\\\\E\\Q") + r"\E(?![\p{L}\p{N}_])"
-
-
-def _position(text: Column, term: str, whole_word: bool) -> Column:
-    """1-based start of the first (whole-word) occurrence, 0 when none."""
-    if whole_word:
-        return F.regexp_instr(text, F.lit(_word_pattern(term)))
-    return F.instr(text, term)
-
-
-def first_term_hit(text: Column, terms: list[str], whole_word: bool = False) -> Column:
+def first_term_hit(text: Column, blocks: list, whole_word: bool = False) -> Column:
     """First blocked term that occurs in ``text`` (as a substring, or as a
-    whole word when ``whole_word``)."""
-    if not terms:
+    whole word when ``whole_word``); ``blocks`` from ``term_blocks``."""
+    if not blocks:
         return F.lit(None).cast(HIT_TYPE)
-    cands = []
-    for t in terms:
-        pos = _position(text, t, whole_word)
-        cands.append(F.when(pos > 0, F.struct(pos.alias("pos"), F.lit(-len(t)).alias("neg_len"),
-                                              F.lit(t).alias("item"))))
-    return _best(cands)
+    return _best([_first_udf(b, whole_word)(text) for b in blocks])
 
 
-def all_term_hits(text: Column, terms: list[str], whole_word: bool = False) -> Column:
+def all_term_hits(text: Column, blocks: list, whole_word: bool = False) -> Column:
     """Array of every term found in ``text`` (with its first offset)."""
-    if not terms:
+    if not blocks:
         return F.array().cast(f"array<{HIT_TYPE}>")
-    cands = []
-    for t in terms:
-        pos = _position(text, t, whole_word)
-        cands.append(F.when(pos > 0, F.struct(F.lit(t).alias("item"), (pos - 1).alias("start"),
-                                              (pos - 1 + len(t)).alias("end"))))
-    return F.array_compact(F.array(*cands))
+    return F.concat(*[_all_udf(b, whole_word)(text) for b in blocks])
 
 
 def first_pattern_hit(text: Column, patterns: list[str]) -> Column:
-    """First pattern match; a combined alternation skips texts with none."""
+    """First pattern match; per block of patterns a combined alternation
+    skips texts with none."""
     if not patterns:
         return F.lit(None).cast(HIT_TYPE)
-    cands = []
-    for p in patterns:
-        pos = F.regexp_instr(text, F.lit(p))
-        cands.append(F.when(pos > 0, F.struct(
-            pos.alias("pos"), (-F.length(F.regexp_substr(text, F.lit(p)))).alias("neg_len"),
-            F.lit(p).alias("item"))))
-    alternation = "|".join(f"(?:{p})" for p in patterns)
-    return F.when(text.rlike(alternation), _best(cands))
+    blocks = []
+    for lo in range(0, len(patterns), PATTERN_BLOCK):
+        own, cands = patterns[lo:lo + PATTERN_BLOCK], []
+        for p in own:
+            pos = F.regexp_instr(text, F.lit(p))
+            cands.append(F.when(pos > 0, F.struct(
+                pos.alias("pos"), (-F.length(F.regexp_substr(text, F.lit(p)))).alias("neg_len"),
+                F.lit(p).alias("item"))))
+        best = F.least(*cands) if len(cands) > 1 else cands[0]
+        blocks.append(F.when(text.rlike("|".join(f"(?:{p})" for p in own)), best))
+    return _best(blocks)
 
 
 # ------------------------------------------------------ operators (C1-C5) ----
 
-def _term_list(terms, fold: bool = False) -> list[str] | None:
-    if isinstance(terms, (list, tuple)):
-        if fold:
-            from ..functions.folding import fold_python
-            terms = [fold_python(t) for t in terms]
-        return sorted({t.strip().lower() for t in terms if t.strip()})
-    return small_list(terms, "term")
-
-
 def match_terms(msgs: DataFrame, terms, text_col: str = "lowered",
                 out: str = "term_hit", whole_word: bool = False, fold: bool = False) -> DataFrame:
     """O-C1: add the first blocked-term hit (null when none).
 
+    ``terms`` is a Python list or a DataFrame with a ``term`` column.
     ``whole_word`` requires non-letter/digit neighbours (option of Q2);
-    ``fold`` folds Python-list terms like text (option of Q8; for a term
-    DataFrame use ``load_terms(fold=True)``).
+    ``fold`` folds terms like text (option of Q8).
     """
-    lst = _term_list(terms, fold)
-    if lst is not None:
-        return msgs.withColumn(out, bind(text_col, lambda x: first_term_hit(x, lst, whole_word)))
-    if whole_word:
-        raise ValueError("whole_word matching is limited to INLINE_LIST_MAX terms")
-    firsts = (_ngram_hits(msgs, terms, text_col)
-              .groupBy("message_id")
-              .agg(F.min(F.struct("start", (-F.length("term")).alias("neg_len"),
-                                  "term")).alias("b"))
-              .select("message_id", F.struct(
-                  F.col("b.term").alias("item"), F.col("b.start").alias("start"),
-                  (F.col("b.start") - F.col("b.neg_len")).alias("end")).alias(out)))
-    return msgs.join(firsts, "message_id", "left")
+    blocks = term_blocks(msgs.sparkSession, terms, fold)
+    return msgs.withColumn(out, first_term_hit(F.col(text_col), blocks, whole_word))
 
 
 def term_hits(msgs: DataFrame, terms, text_col: str = "lowered", whole_word: bool = False,
@@ -189,22 +229,15 @@ def term_hits(msgs: DataFrame, terms, text_col: str = "lowered", whole_word: boo
     ``keep`` columns of the message row travel with each hit (no join back).
     """
     keep = keep or []
-    lst = _term_list(terms)
-    if lst is not None:
-        hits = bind(text_col, lambda x: all_term_hits(x, lst, whole_word))
-        return (msgs.select("message_id", *keep, F.explode(hits).alias("h"))
-                .select("message_id", *keep, F.col("h.item").alias("term"),
-                        F.col("h.start").alias("start"), F.col("h.end").alias("end")))
-    return (_ngram_hits(msgs, terms, text_col, keep)
-            .groupBy("message_id", *keep, "term").agg(F.min("start").alias("start"))
-            .withColumn("end", F.col("start") + F.length("term")))
+    hits = all_term_hits(F.col(text_col), term_blocks(msgs.sparkSession, terms), whole_word)
+    return (msgs.select("message_id", *keep, F.explode(hits).alias("h"))
+            .select("message_id", *keep, F.col("h.item").alias("term"),
+                    F.col("h.start").alias("start"), F.col("h.end").alias("end")))
 
 
 def match_regexes(msgs: DataFrame, patterns: list[str], text_col: str = "folded",
                   out: str = "regex_hit") -> DataFrame:
     """O-C2: first blocked pattern found in the (case-preserving) folded text."""
-    if len(patterns) > INLINE_LIST_MAX:
-        raise ValueError("pattern lists are limited to INLINE_LIST_MAX entries")
     pats = list(patterns)
     return msgs.withColumn(out, bind(text_col, lambda x: first_pattern_hit(x, pats)))
 
@@ -217,37 +250,3 @@ def unmatched(msgs: DataFrame, terms, patterns: list[str] | None = None) -> Data
         m = match_regexes(m, patterns)
         cond = cond & F.col("regex_hit").isNull()
     return m.where(cond).drop("term_hit", "regex_hit")
-
-
-# ------------------------------------------------- large-list n-gram join ----
-
-def _ngram_hits(msgs: DataFrame, terms: DataFrame, text_col: str,
-                keep: list[str] | None = None) -> DataFrame:
-    """(message_id, term, start) for every occurrence, via a k-gram equi-join.
-
-    Terms shorter than GRAM are few by construction (bounded alphabet) and
-    are matched inline; the rest are keyed by their first GRAM characters.
-    Each probe row carries only a MAX_TERM_LEN window of the text.
-    """
-    t = terms.select("term").where(F.length("term") <= MAX_TERM_LEN)
-    short = small_list(t.where(F.length("term") < GRAM), "term") or []
-    keyed = (t.where(F.length("term") >= GRAM)
-              .select(F.substring("term", 1, GRAM).alias("gram"), "term"))
-    keep = keep or []
-    txt = F.col(text_col)
-    probes = (msgs.select("message_id", *keep, txt.alias("_t"))
-              .where(F.length("_t") >= GRAM)
-              .select("message_id", *keep, "_t", F.explode(
-                  F.sequence(F.lit(1), F.length("_t") - GRAM + 1)).alias("pos"))
-              .select("message_id", *keep, "pos",
-                      F.substring("_t", F.col("pos"), F.lit(GRAM)).alias("gram"),
-                      F.substring("_t", F.col("pos"), F.lit(MAX_TERM_LEN)).alias("win")))
-    long_hits = (probes.join(bounded_broadcast(keyed), "gram")
-                 .where(F.col("win").startswith(F.col("term")))
-                 .select("message_id", *keep, "term", (F.col("pos") - 1).alias("start")))
-    if not short:
-        return long_hits
-    short_hits = (msgs.select("message_id", *keep, F.explode(all_term_hits(txt, short)).alias("h"))
-                  .select("message_id", *keep, F.col("h.item").alias("term"),
-                          F.col("h.start").alias("start")))
-    return long_hits.unionByName(short_hits)

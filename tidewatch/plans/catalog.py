@@ -82,6 +82,15 @@ def q_blocklist_match(spark, sf_dir):
                     F.lit(1.0).alias("score")))
 
 
+@register("large_blocklist_match", Q.with_(Q.MESSAGES, Q.NORM, Q.LARGE_HITS, Q.FIRST_TERM)
+          + "SELECT message_id, term, hit_start, hit_end FROM first_term")
+def q_large_blocklist_match(spark, sf_dir):
+    m = M.match_terms(normalized_messages(spark, sf_dir), S.large_terms(spark, sf_dir))
+    return (present(m, "term_hit")
+            .select("message_id", F.col("h.item").alias("term"),
+                    F.col("h.start").alias("hit_start"), F.col("h.end").alias("hit_end")))
+
+
 @register("match_all_terms", Q.with_(Q.MESSAGES, Q.NORM, Q.TERM_HITS)
           + "SELECT message_id, term, hit_start, hit_end FROM term_hits")
 def q_match_all_terms(spark, sf_dir):
@@ -207,7 +216,8 @@ def q_pii_street_flag(spark, sf_dir):
     return n.select("message_id", D.pii_flag(F.col("folded"), S.TEST_PII_RULES).alias("pii"))
 
 
-_EVAL_SQL = (Q.with_(Q.MESSAGES, Q.NORM, Q.TERM_HITS, Q.FIRST_TERM, Q.regex_hits_cte(), Q.SCORES) + f""",
+def _eval_sql(term_hits: str) -> str:
+    return Q.with_(Q.MESSAGES, Q.NORM, term_hits, Q.FIRST_TERM, Q.regex_hits_cte(), Q.SCORES) + f""",
 dec AS (
   SELECT n.message_id, n.content, n.author_id, n.jump_url, n.stripped, ft.term, ft.hit_start AS t_s, ft.hit_end AS t_e,
          fr.pattern, fr.hit_start AS r_s, fr.hit_end AS r_e, {Q.pii_sql('n.folded')} AS pii,
@@ -233,7 +243,10 @@ evaluated AS (
     CASE WHEN term IS NULL AND pattern IS NULL AND NOT pii THEN h END AS chat_flag
   FROM dec
 )
-""")
+"""
+
+
+_EVAL_SQL = _eval_sql(Q.TERM_HITS)
 
 
 @S.shared
@@ -249,6 +262,14 @@ def q_evaluate_messages(spark, sf_dir):
         "message_id", "score", "reason", "stage", "attribute", "chat_flag")
 
 
+@register("evaluate_large_list", _eval_sql(Q.LARGE_HITS)
+          + "SELECT message_id, score, reason, stage, attribute, chat_flag FROM evaluated")
+def q_evaluate_large_list(spark, sf_dir):
+    msgs = S.messages(spark, sf_dir).select("message_id", "content")
+    dec = D.evaluate(msgs, S.large_terms(spark, sf_dir), S.TEST_PATTERNS, S.TEST_PII_RULES, scorer=S.synthetic_scorer)
+    return dec.select("message_id", "score", "reason", "stage", "attribute", "chat_flag")
+
+
 @register("enforce_deletions", _EVAL_SQL
           + "SELECT message_id, author_id AS recipient_id, 'Your message ' || jump_url || ' with text ' "
             "|| content || ' has been deleted for reason: ' || reason || '.' AS text FROM evaluated "

@@ -77,6 +77,22 @@ term_hits AS (
   FROM norm n JOIN {values('term', S.TEST_TERMS)} ON instr(n.lowered, v.term) > 0
 )"""
 
+LARGE_TERMS = f"""
+raw_terms AS (
+  SELECT substr(text, (doc_id * 31 + j * 97) % greatest(length(text) - 20, 1) + 1, n) AS term
+  FROM documents, (SELECT unnest({S.PASSAGE_LENGTHS}) AS n, unnest(range({len(S.PASSAGE_LENGTHS)})) AS j) v
+  UNION SELECT CAST(c_nationkey % 10 AS VARCHAR) FROM customer
+  UNION SELECT CAST(c_nationkey + 10 AS VARCHAR) FROM customer
+),
+large_terms AS (SELECT DISTINCT lower({strip('term')}) AS term FROM raw_terms WHERE length({strip('term')}) > 0)"""
+
+LARGE_HITS = LARGE_TERMS + """,
+term_hits AS (
+  SELECT n.message_id, v.term, instr(n.lowered, v.term) - 1 AS hit_start,
+         instr(n.lowered, v.term) - 1 + length(v.term) AS hit_end
+  FROM norm n JOIN large_terms v ON instr(n.lowered, v.term) > 0
+)"""
+
 FIRST_TERM = """
 first_term AS (
   SELECT message_id, term, hit_start, hit_end FROM (

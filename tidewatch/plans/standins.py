@@ -111,6 +111,25 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.floor("c_acctbal").cast("bigint").alias("followers"))
 
 
+# Lengths of the listed passages.
+PASSAGE_LENGTHS = [6, 9, 12, 15, 20, 30, 40, 60, 90, 120, 200, 300]
+
+
+@shared
+def large_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A long term list: passages of the documents, and one- and two-digit
+    numbers from the customers."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lengths = F.array(*[F.lit(n) for n in PASSAGE_LENGTHS])
+    start = (F.col("doc_id") * 31 + F.col("j") * 97) % F.greatest(F.length("text") - 20, F.lit(1)) + 1
+    passages = d.select("doc_id", "text", F.posexplode(lengths).alias("j", "n")).select(
+        F.substring("text", start.cast("int"), F.col("n")).alias("term"))
+    key = table(spark, sf_dir, "customer").select("c_nationkey")
+    numbers = key.select(F.explode(F.array((F.col("c_nationkey") % 10).cast("string"),
+                                           (F.col("c_nationkey") + 10).cast("string"))).alias("term"))
+    return passages.unionByName(numbers).distinct()
+
+
 # ------------------------------------------------------------- scorers ----
 # Stand-in for the remote scorers: replies are computed from the message id
 # so both engines can state them; they include exact-threshold values,

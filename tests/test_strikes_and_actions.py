@@ -151,3 +151,72 @@ def test_command_routing_precedence(spark):
         "content string, in_report_session boolean, in_list_session boolean")
     got = [r.command for r in RT.classify_command(df).collect()]
     assert got == ["help", "list_session", "list", "report", "blocklist", "search", "ignore"]
+
+
+def head_only(rows, h):
+    """The strike list itself: rows (key, seq, micros) -> {seq: count}."""
+    lists, out = {}, {}
+    for key, seq, t in sorted(rows, key=lambda r: r[1]):
+        if key is None:
+            out[seq] = None
+            continue
+        live = lists.setdefault(key, [])
+        while live and t - live[0] >= h:
+            live.pop(0)
+        live.append(t)
+        out[seq] = len(live)
+    return out
+
+
+def test_replay_out_of_order_large_ids_and_null_keys(spark):
+    import random
+    rng = random.Random(3)
+    big = 2**60
+    rows = [(rng.choice([big + 1, big + 2, 7, None]), big + i, rng.randrange(0, 900) * ST.DAY_US) for i in range(400)]
+    df = spark.createDataFrame(rows, "u long, seq long, us long").selectExpr("u", "seq", "timestamp_micros(us) as at", "'text' as note")
+    got = ST.strikes_replay(df, "u", "at", "seq", 30)
+    assert got.columns == ["u", "seq", "at", "note", "n_strikes"]
+    assert {r.seq: r.n_strikes for r in got.collect()} == head_only(rows, 30 * ST.DAY_US)
+    assert {(r.u, r.seq) for r in got.collect()} == {(u, s) for u, s, _ in rows}
+    users = spark.createDataFrame([(big + 1,), (big + 2,), (5,)], "u long")
+    balance = {r.u: r.n for r in ST.strike_balance_replay(users, df, "u", "at", "seq", "1972-06-01 00:00:00", 30, "n").collect()}
+    as_of = 882 * ST.DAY_US
+    want = {5: 0}
+    for u in (big + 1, big + 2):
+        live = []
+        for k, s, t in sorted(rows, key=lambda r: r[1]):
+            if k == u:
+                while live and t - live[0] >= 30 * ST.DAY_US:
+                    live.pop(0)
+                live.append(t)
+        while live and as_of - live[0] >= 30 * ST.DAY_US:
+            live.pop(0)
+        want[u] = len(live)
+    assert balance == want
+
+
+def test_handling_order_counts_not_report_order(spark):
+    rows = [(1, 1, "2024-06-01"), (1, 2, "2023-05-01"), (1, 3, "2024-07-01")]
+    df = spark.createDataFrame(rows, "u long, seq long, d string").selectExpr("u", "seq", "cast(d as timestamp) as at")
+    assert [r.n_strikes for r in ST.strikes(df, "u", "at", "seq", 365).orderBy("seq").collect()] == [1, 2, 3]
+
+
+def test_one_user_with_many_strikes(spark):
+    import time
+    n = 300_000
+    df = spark.range(n).selectExpr("1L as u", "id as seq", "timestamp_micros(id * 60000000) as at")
+    for mode in ("window", "replay"):
+        start = time.time()
+        top = ST.strikes(df, "u", "at", "seq", 30, mode).agg(F.max("n_strikes"), F.count("*")).first()
+        assert tuple(top) == (30 * 24 * 60, n) and time.time() - start < 60
+
+
+def test_both_kinds_in_one_pass(spark):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([(1, 5, "a", 0), (2, 5, "b", 40), (3, 5, "a", 40), (4, 5, "a", 20), (5, None, "a", 1), (6, 5, "x", 1)],
+                               "seq long, u long, e string, day int").withColumn("at", F.expr("timestamp_micros(day * 86400000000L)"))
+    kinds = {"abuse": (F.col("e") == "a", F.col("u"), 365), "false": (F.col("e") == "b", F.col("u"), 30)}
+    for mode in ("replay", "window"):
+        got = {r.seq: (r.strike_kind, r.n_strikes) for r in ST.multi_horizon_strikes(df, kinds, "seq", "at", mode=mode).collect()}
+        late = 3 if mode == "replay" else 2
+        assert got == {1: ("abuse", 1), 2: ("false", 1), 3: ("abuse", 2 if mode == "replay" else 3), 4: ("abuse", late), 5: (None, None), 6: (None, None)}

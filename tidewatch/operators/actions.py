@@ -36,28 +36,21 @@ def correlate(valid: DataFrame, posts: DataFrame, reports: DataFrame) -> DataFra
                  .join(reports.drop("post_id"), "report_id"))
 
 
-def with_strikes(corr: DataFrame, mode: str = "window") -> DataFrame:
+def with_strikes(corr: DataFrame, mode: str = "replay") -> DataFrame:
     """Attach ``n_abuse`` / ``n_false`` to strike actions (O-G4, O-G5).
 
-    Window mode counts both kinds in one pass over the correlated actions
-    (no recomputation, no join back).  Replay mode folds each kind.
+    Both kinds are counted in one pass over (kind, user, time, sequence) and
+    attached by the action; the default is exact for actions handled out of
+    report order.
     """
     e = F.col("emoji")
-    abuse_cond = e.isin(STRIKE, STRIKE_LARGE)
-    false_cond = (e == FALSE_REPORT) & ~F.col("is_auto")
-    if mode == "window":
-        res = ST.multi_horizon_strikes(corr, {
-            "abuse": (abuse_cond, F.col("abuser_id"), ABUSE_HORIZON_DAYS),
-            "false": (false_cond, F.col("reporter_id"), FALSE_REPORT_HORIZON_DAYS),
-        }, "action_seq", "report_created_at", "_n")
-        return (res.withColumn("n_abuse", F.when(F.col("strike_kind") == "abuse", F.col("_n")))
-                   .withColumn("n_false", F.when(F.col("strike_kind") == "false", F.col("_n")))
-                   .drop("_n", "strike_kind"))
-    abuse = ST.strikes(corr.where(abuse_cond), "abuser_id", "report_created_at", "action_seq",
-                       ABUSE_HORIZON_DAYS, mode, "n_abuse").select("action_seq", "n_abuse")
-    false = ST.strikes(corr.where(false_cond), "reporter_id", "report_created_at", "action_seq",
-                       FALSE_REPORT_HORIZON_DAYS, mode, "n_false").select("action_seq", "n_false")
-    return corr.join(abuse, "action_seq", "left").join(false, "action_seq", "left")
+    res = ST.multi_horizon_strikes(corr, {
+        "abuse": (e.isin(STRIKE, STRIKE_LARGE), F.col("abuser_id"), ABUSE_HORIZON_DAYS),
+        "false": ((e == FALSE_REPORT) & ~F.col("is_auto"), F.col("reporter_id"), FALSE_REPORT_HORIZON_DAYS),
+    }, "action_seq", "report_created_at", "_n", mode)
+    return (res.withColumn("n_abuse", F.when(F.col("strike_kind") == "abuse", F.col("_n")))
+               .withColumn("n_false", F.when(F.col("strike_kind") == "false", F.col("_n")))
+               .drop("_n", "strike_kind"))
 
 
 def report_status(struck: DataFrame) -> DataFrame:

@@ -4,140 +4,137 @@ Semantics: a strike list per user, in action order; on each new strike the
 head of the list is evicted while it is at least ``H`` days older (by report
 creation time) than the new strike's report; then the strike is appended and
 the list length is the count.  A strike exactly H days old is expired.
+Strikes with a null key belong to nobody: their count is null.
 
 Two modes:
 
-* ``window`` (default): exact when each user's strikes arrive in creation
-  order.  Counts rows in the half-open frame ``(t - H, t]``; ties at one
-  instant are counted in action order.  The frame is evaluated per
-  ``(user, time bucket of width H)``: every row also joins the next bucket as
-  context, so a user whose strikes hold a large share of all rows is split
-  over as many tasks as the history has horizons, and each partition holds
-  at most two horizons of one user.
-* ``replay``: the literal head-only fold, exact for any arrival order.
-  It is sequential per user: one shuffle by user, a sort by action order
-  inside each partition (spills like any sort), then one pass that keeps
-  only the current user's live list in memory.
+* ``replay`` (default): the head-only eviction itself, exact for any arrival
+  order.  A strike at least H after all earlier ones of its user empties the
+  list, so a history splits there; each part is one ordered pass over Arrow
+  columns that keeps only the live list.
+* ``window``: for strikes that arrive in creation order.  Every strike adds
+  one at its time and takes it back H later (before a strike at that very
+  time), and the count is the running sum.  Sums are taken per block of time
+  and carried over, so a user with most of the rows is split.
 """
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame, Window
+from collections import deque
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DAY_US = 86_400_000_000
+TIME_BLOCKS = 64        # blocks of a horizon in window mode
 
 
-def _micros(col: str):
+def _micros(col):
+    c = F.col(col) if isinstance(col, str) else col
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
-                            F.col(col).cast("timestamp_ntz"))
+                            c.cast("timestamp_ntz"))
 
 
-def window_counts(df: DataFrame, keys: list[str], t_col: str, seq: str, h: int,
-                  out: str) -> DataFrame:
+def window_counts(df: DataFrame, keys: list[str], t_col: str, seq: str, h: int, out: str) -> DataFrame:
     """Rows of the same keys in ``(t - h, t]`` (integer time), ties counted in
-    ``seq`` order; partitioned by ``keys`` and a time bucket of width h."""
-    base = df.withColumn("_b", F.floor(F.col(t_col) / h))
-    both = base.select("*", F.explode(F.array(
-        F.struct(F.col("_b").alias("_pb"), F.lit(True).alias("_own")),
-        F.struct((F.col("_b") + 1).alias("_pb"), F.lit(False).alias("_own")))).alias("_x"))
-    both = both.select("*", "_x._pb", "_x._own").drop("_x")
-    part = [*keys, "_pb"]
-    frame = Window.partitionBy(*part).orderBy(t_col).rangeBetween(-(h - 1), 0)
-    peers = Window.partitionBy(*part, t_col)
-    in_peers = Window.partitionBy(*part, t_col).orderBy(seq)
-    counted = both.select(
-        "*",
-        F.count(F.lit(1)).over(frame).alias("_range"),
-        F.count(F.lit(1)).over(peers).alias("_peers"),
-        F.row_number().over(in_peers).alias("_rn"))
-    res = counted.where(F.col("_own")).withColumn(
-        out, F.col("_range") - (F.col("_peers") - F.col("_rn")))
-    return res.drop("_b", "_pb", "_own", "_range", "_peers", "_rn")
+    ``seq`` order, as a running sum of arrivals and expiries."""
+    width = max(1, h // TIME_BLOCKS)
+    own = df.withColumn("_at", F.col(t_col)).withColumn("_d", F.lit(1))
+    gone = df.select(*keys, seq, (F.col(t_col) + h).alias("_at"), F.lit(-1).alias("_d"))
+    both = own.unionByName(gone, allowMissingColumns=True).withColumn("_blk", F.floor(F.col("_at") / width))
+    sums = both.groupBy(*keys, "_blk").agg(F.sum("_d").alias("_s"))
+    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = sums.select(*keys, "_blk", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_c"))
+    # expiries first at one time, arrivals in order
+    run = Window.partitionBy(*keys, "_blk").orderBy("_at", "_d", seq).rowsBetween(Window.unboundedPreceding, 0)
+    counted = both.join(carry, [*keys, "_blk"]).withColumn(out, F.col("_c") + F.sum("_d").over(run))
+    return counted.where(F.col("_d") == 1).select(*df.columns, out)
 
 
 def strikes_window(events: DataFrame, key: str, created: str, seq: str,
                    horizon_days: int, out: str = "n_strikes") -> DataFrame:
     """Active strikes after each strike event, by creation-time window."""
     t = events.withColumn("_t", _micros(created))
-    return window_counts(t, [key], "_t", seq, horizon_days * DAY_US, out).drop("_t")
-
+    known = window_counts(t.where(F.col(key).isNotNull()), [key], "_t", seq, horizon_days * DAY_US, out)
+    rest = t.where(F.col(key).isNull()).withColumn(out, F.lit(None).cast("bigint"))
+    return known.unionByName(rest).drop("_t")
 
-def multi_horizon_strikes(df: DataFrame, kinds: dict[str, tuple], seq: str, created: str,
-                          out: str = "n_strikes") -> DataFrame:
-    """Several strike kinds (each its own key and horizon) in one window pass.
-
-    ``kinds = {name: (condition Column, key Column, horizon_days)}``.  Time
-    is scaled per kind by ``P / horizon_days`` (P = product of the
-    horizons), so every kind's frame has the same width ``P`` days in
-    scaled units and exact integer arithmetic.  Rows of no kind are keyed
-    by their own ``seq`` (no shared partition) and get a null count.
-    """
-    prod = 1
-    for _, _, d in kinds.values():
-        prod *= d
-    kind = F.lit(None).cast("string")
-    key = F.col(seq).cast("bigint")
-    factor = F.lit(1).cast("bigint")
-    for name, (cond, k, d) in reversed(list(kinds.items())):
-        kind = F.when(cond, F.lit(name)).otherwise(kind)
-        key = F.when(cond, k.cast("bigint")).otherwise(key)
-        factor = F.when(cond, F.lit(prod // d).cast("bigint")).otherwise(factor)
-    t = (df.withColumn("_kind", kind).withColumn("_key", key)
-           .withColumn("_ts", _micros(created) * factor))
-    res = window_counts(t, ["_kind", "_key"], "_ts", seq, prod * DAY_US, out)
-    return (res.withColumn(out, F.when(F.col("_kind").isNotNull(), F.col(out)))
-               .withColumnRenamed("_kind", "strike_kind").drop("_key", "_ts"))
 
+def _parts(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
+    """Add ``_part``: the seq of the last row (itself included) that empties
+    its list.  ``rows`` has ``_t`` and the horizon ``_h``.
 
-def _replay_partitions(h: int, out: str):
-    """Head-only eviction over partitions sorted by (user, action order).
-
-    Rows of one user are contiguous, so only the current user's live list
-    is held in memory, whatever the length of the history.
+    The largest earlier time is taken in blocks of the sequence and carried
+    over, so no task holds a whole history.
     """
-    from collections import deque
-
-    def fold(batches):
-        cur, q = None, deque()
-        for pdf in batches:
-            keys = pdf["_k"].to_numpy()
-            ts = pdf["_t"].to_numpy(dtype=np.int64)
-            n = np.empty(len(pdf), dtype=np.int64)
-            for i in range(len(pdf)):
-                if keys[i] != cur:
-                    cur, q = keys[i], deque()
-                t = ts[i]
-                while q and t - q[0] >= h:      # pop expired heads only
-                    q.popleft()
-                q.append(t)
-                n[i] = len(q)
-            yield pdf.drop(columns=["_k", "_t"]).assign(**{out: n})
-    return fold
+    spark = rows.sparkSession
+    ends = rows.agg(F.min(seq), F.max(seq)).first()
+    lo, hi = ends[0] or 0, ends[1] or 0
+    blocks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("_blk", F.floor((F.col(seq) - lo) / max(1, (hi - lo) // blocks + 1)))
+    inside = Window.partitionBy(*keys, "_blk").orderBy(seq)
+    earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.groupBy(*keys, "_blk").agg(F.max("_t").alias("_top"))
+    tops = tops.select(*keys, "_blk", F.max("_top").over(earlier).alias("_top"))
+    rows = rows.join(tops, [*keys, "_blk"]).withColumn(
+        "_top", F.greatest("_top", F.max("_t").over(inside.rowsBetween(Window.unboundedPreceding, -1))))
+    empties = F.col("_top").isNull() | (F.col("_t") - F.col("_top") >= F.col("_h"))
+    rows = rows.withColumn("_cut", F.when(empties, F.col(seq))).drop("_top")
+    cuts = rows.groupBy(*keys, "_blk").agg(F.max("_cut").alias("_last"))
+    cuts = cuts.select(*keys, "_blk", F.max("_last").over(earlier).alias("_last"))
+    return (rows.join(cuts, [*keys, "_blk"])
+            .withColumn("_part", F.greatest("_last", F.max("_cut").over(inside.rowsBetween(Window.unboundedPreceding, 0))))
+            .drop("_blk", "_cut", "_last"))
+
+
+def _replay_batches(batches):
+    """Head-only eviction over rows sorted by (keys, part, seq): the columns
+    after the last three (``_part``, ``_t``, ``_h``) are the group's keys."""
+    cur, live = None, deque()
+    for b in batches:
+        names = b.schema.names
+        at = names.index("_part")
+        counts = []
+        for *group, t, h in zip(*(b.column(i).to_pylist() for i in range(at + 3, len(names))),
+                                b.column(at).to_pylist(), b.column(at + 1).to_pylist(), b.column(at + 2).to_pylist()):
+            if group != cur:
+                cur, live = group, deque()
+            while live and t - live[0] >= h:      # expired heads only
+                live.popleft()
+            live.append(t)
+            counts.append(len(live))
+        kept = [b.column(i) for i in range(at)]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64())], names=[*names[:at], "_n"])
+
+
+def replay_counts(rows: DataFrame, keys: list[str], seq: str, out: str) -> DataFrame:
+    """Live strikes after each row, by head-only eviction; ``rows`` has
+    non-null keys, ``_t`` and the horizon ``_h``, both in microseconds."""
+    from ..session import ship_package
+    ship_package(rows.sparkSession)
+    cols = [c for c in rows.columns if c not in ("_t", "_h")]
+    copies = [F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]
+    parts = _parts(rows, keys, seq).select(*cols, "_part", "_t", "_h", *copies)
+    group = [*[f"_key{i}" for i in range(len(keys))], "_part"]
+    ordered = parts.repartition(*group).sortWithinPartitions(*group, seq)
+    fields = [f for f in rows.schema.fields if f.name in cols]
+    schema = T.StructType([*fields, T.StructField("_n", T.LongType())])
+    return ordered.mapInArrow(_replay_batches, schema).withColumnRenamed("_n", out)
 
 
 def strikes_replay(events: DataFrame, key: str, created: str, seq: str,
                    horizon_days: int, out: str = "n_strikes") -> DataFrame:
-    """Active strikes after each strike event, by literal head-only eviction.
-
-    One shuffle by user, an external sort by (user, action order) inside
-    each partition, then a single pass per partition.
-    """
-    from ..session import ship_package
-    ship_package(events.sparkSession)
-    h = horizon_days * DAY_US
-    cols = events.columns
-    prepared = (events.withColumn("_k", F.col(key)).withColumn("_t", _micros(created))
-                .repartition("_k").sortWithinPartitions("_k", seq))
-    from pyspark.sql import types as T
-    # a new StructType: ``df.schema`` is cached per DataFrame and ``add`` mutates
-    schema = T.StructType(list(events.schema.fields) + [T.StructField(out, T.LongType())])
-    return prepared.mapInPandas(_replay_partitions(h, out), schema).select(*cols, out)
+    """Active strikes after each strike event, by literal head-only eviction."""
+    t = events.withColumn("_t", _micros(created)).withColumn("_h", F.lit(horizon_days * DAY_US))
+    known = replay_counts(t.where(F.col(key).isNotNull()), [key], seq, out)
+    rest = events.where(F.col(key).isNull()).withColumn(out, F.lit(None).cast("bigint"))
+    return known.unionByName(rest)
 
 
 def strikes(events: DataFrame, key: str, created: str, seq: str, horizon_days: int,
-            mode: str = "window", out: str = "n_strikes") -> DataFrame:
+            mode: str = "replay", out: str = "n_strikes") -> DataFrame:
     """O-G4 / O-G5 dispatcher."""
     if mode == "window":
         return strikes_window(events, key, created, seq, horizon_days, out)
@@ -146,6 +143,32 @@ def strikes(events: DataFrame, key: str, created: str, seq: str, horizon_days: i
     raise ValueError(f"unknown strike mode {mode!r}")
 
 
+def multi_horizon_strikes(df: DataFrame, kinds: dict[str, tuple], seq: str, created: str,
+                          out: str = "n_strikes", mode: str = "replay") -> DataFrame:
+    """Several strike kinds (each its own key and horizon) in one pass.
+
+    ``kinds = {name: (condition Column, key Column, horizon_days)}``.  Only
+    kind, key, time and ``seq`` go through the count; the result is attached
+    by ``seq``.  Adds ``strike_kind`` and ``out`` (null for rows of no kind).
+    """
+    kind, key, h = F.lit(None).cast("string"), F.lit(None).cast("bigint"), F.lit(None).cast("bigint")
+    for name, (cond, k, d) in reversed(list(kinds.items())):
+        kind = F.when(cond, F.lit(name)).otherwise(kind)
+        key = F.when(cond, k.cast("bigint")).otherwise(key)
+        h = F.when(cond, F.lit(d * DAY_US)).otherwise(h)
+    slim = df.select(F.col(seq).alias("_seq"), kind.alias("strike_kind"), key.alias("_key"),
+                     _micros(created).alias("_t"), h.alias("_h")).where("strike_kind is not null and _key is not null")
+    if mode == "replay":
+        counted = replay_counts(slim, ["strike_kind", "_key"], "_seq", out)
+    else:
+        counted = None
+        for name, (_, _, d) in kinds.items():
+            one = window_counts(slim.where(F.col("strike_kind") == name).drop("_h"), ["_key"], "_t", "_seq", d * DAY_US, out)
+            counted = one if counted is None else counted.unionByName(one)
+    counted = counted.select("_seq", "strike_kind", out)
+    return df.join(counted, df[seq] == counted["_seq"], "left").drop("_seq")
+
+
 # Escalation outcomes.
 ABUSE_SLOWED, ABUSE_WARNED, ABUSE_BANNED = "slowed", "warned", "banned"
 FALSE_STRUCK, FALSE_RESTRICTED = "struck", "restricted"
@@ -180,37 +203,31 @@ def strike_balance(users: DataFrame, strike_events: DataFrame, user_key: str, cr
                  .withColumn(out, F.coalesce(F.col(out), F.lit(0))))
 
 
-def _balance_partitions(h: int, as_of: int, out: str):
-    """Per user: replay the strike list, then evict expired heads at ``as_of``."""
-    from collections import deque
-
+def _balance_batches(as_of: int):
+    """Per key: replay the strikes, then evict expired heads at ``as_of``."""
     def fold(batches):
-        cur, q = None, deque()
-        rows = []
+        cur, live, horizon = None, deque(), 0
 
         def close():
-            if cur is not None:
-                while q and as_of - q[0] >= h:
-                    q.popleft()
-                rows.append((cur, len(q)))
-        for pdf in batches:
-            keys = pdf["_k"].to_numpy()
-            ts = pdf["_t"].to_numpy(dtype=np.int64)
-            for i in range(len(pdf)):
-                if keys[i] != cur:
-                    close()
-                    cur, q = keys[i], deque()
-                while q and ts[i] - q[0] >= h:
-                    q.popleft()
-                q.append(ts[i])
-            if rows:
-                import pandas as pd
-                yield pd.DataFrame(rows, columns=["_k", out])
-                rows = []
-        close()
-        if rows:
-            import pandas as pd
-            yield pd.DataFrame(rows, columns=["_k", out])
+            while live and as_of - live[0] >= horizon:
+                live.popleft()
+            return cur, len(live)
+        for b in batches:
+            keys, counts = [], []
+            for k, t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if k != cur:
+                    if cur is not None:
+                        for x, y in zip((keys, counts), close()):
+                            x.append(y)
+                    cur, live, horizon = k, deque(), h
+                while live and t - live[0] >= h:
+                    live.popleft()
+                live.append(t)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), pa.array(counts, pa.int64())], ["_k", "_n"])
+            kind = b.column(0).type
+        if cur is not None:
+            k, n = close()
+            yield pa.RecordBatch.from_arrays([pa.array([k], kind), pa.array([n], pa.int64())], ["_k", "_n"])
     return fold
 
 
@@ -219,18 +236,18 @@ def strike_balance_replay(users: DataFrame, strike_events: DataFrame, user_key:
                           out: str) -> DataFrame:
     """O-G7 in replay mode: the list left after replaying every strike in
     action order and evicting expired heads at ``as_of`` (a timestamp
-    literal); 0 for users without strikes.  Same sorted single pass as
-    ``strikes_replay``: only one user's live list is held at a time."""
+    literal); 0 for users without strikes.  Only the strikes since the last
+    one that emptied a user's list are replayed."""
     from ..session import ship_package
-    ship_package(strike_events.sparkSession)
-    h = horizon_days * DAY_US
-    as_of_us = strike_events.sparkSession.range(1).select(
-        F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
-                         F.lit(as_of).cast("timestamp_ntz"))).first()[0]
-    prepared = (strike_events.select(F.col(user_key).alias("_k"), F.col(seq).alias("_seq"),
-                                     _micros(created).alias("_t"))
-                .repartition("_k").sortWithinPartitions("_k", "_seq"))
+    spark = strike_events.sparkSession
+    ship_package(spark)
+    as_of_us = spark.range(1).select(_micros(F.lit(as_of))).first()[0]
+    rows = strike_events.where(F.col(user_key).isNotNull()).select(
+        F.col(user_key).alias("_k"), F.col(seq).alias("_seq"), _micros(created).alias("_t"), F.lit(horizon_days * DAY_US).alias("_h"))
+    parts = _parts(rows, ["_k"], "_seq")
+    last = parts.groupBy("_k").agg(F.max("_part").alias("_part"))
+    live = parts.join(last, ["_k", "_part"]).select("_k", "_t", "_h", "_seq").repartition("_k").sortWithinPartitions("_k", "_seq")
     key_type = strike_events.schema[user_key].dataType.simpleString()
-    bal = prepared.mapInPandas(_balance_partitions(h, as_of_us, out), f"_k {key_type}, {out} long")
+    bal = live.select("_k", "_t", "_h").mapInArrow(_balance_batches(as_of_us), f"_k {key_type}, _n long")
     return (users.join(bal, users[user_key] == bal["_k"], "left").drop("_k")
-                 .withColumn(out, F.coalesce(F.col(out), F.lit(0))))
+                 .withColumn(out, F.coalesce("_n", F.lit(0))).drop("_n"))

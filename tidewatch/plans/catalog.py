@@ -505,15 +505,15 @@ from ..operators import strikes as ST  # noqa: E402
 
 
 @S.shared
-def action_context(spark, sf_dir, mode: str = "window") -> DataFrame:
+def action_context(spark, sf_dir) -> DataFrame:
     routes = RT.build_routes(channels(spark, sf_dir), S.BOT_NAME)
     posts = S.report_posts(spark, sf_dir)
     valid = AC.valid_actions(S.actions(spark, sf_dir), routes, posts, S.BOT_ID)
     corr = AC.correlate(valid, posts, S.reports(spark, sf_dir))
-    return AC.with_strikes(corr, mode)
+    return AC.with_strikes(corr)
 
 
-_ACT_SQL = Q.with_(Q.MESSAGES, _ROUTES_SQL, Q.ACTIONS) + f""",
+_ACT_SQL = Q.with_(Q.MESSAGES, _ROUTES_SQL, Q.ACTIONS).replace("WITH", "WITH RECURSIVE", 1) + f""",
 valid AS (
   SELECT a.* FROM actions a JOIN routes r ON a.guild_id = r.guild_id AND a.channel_id = r.human_mod_channel
   WHERE a.post_id IN (SELECT post_id FROM report_posts)
@@ -524,13 +524,13 @@ corr AS (
          r.abuse_type, r.jump_url, r.content
   FROM valid v JOIN report_posts p USING (post_id) JOIN reports r ON r.report_id = p.report_id
 ),
-abuse AS ({Q.strikes_window_sql("(SELECT * FROM corr WHERE emoji IN ('❗', '‼️'))", 'abuser_id',
-                                 'report_created_at', 'action_seq', 365, 'action_seq')}),
-falses AS ({Q.strikes_window_sql("(SELECT * FROM corr WHERE emoji = '❔' AND NOT is_auto)", 'reporter_id',
-                                  'report_created_at', 'action_seq', 30, 'action_seq')}),
+abuse_src AS (SELECT * FROM corr WHERE emoji IN ('❗', '‼️')),
+false_src AS (SELECT * FROM corr WHERE emoji = '❔' AND NOT is_auto),
+{Q.strikes_replay_ctes("abuse", "abuse_src", "abuser_id", "report_created_at", "action_seq", 365)},
+{Q.strikes_replay_ctes("falses", "false_src", "reporter_id", "report_created_at", "action_seq", 30)},
 struck AS (
   SELECT c.*, a.n_strikes AS n_abuse, f.n_strikes AS n_false
-  FROM corr c LEFT JOIN abuse a USING (action_seq) LEFT JOIN falses f USING (action_seq)
+  FROM corr c LEFT JOIN abuse a ON a.seq = c.action_seq LEFT JOIN falses f ON f.seq = c.action_seq
 )
 """
 
@@ -637,20 +637,8 @@ def q_abuse_strikes(spark, sf_dir):
         "o_orderkey", "o_custkey", "n_strikes")
 
 
-_REPLAY_SQL = f"""WITH RECURSIVE ev AS (
-  SELECT o_custkey AS k, o_orderkey AS seq, epoch_us(o_orderdate) AS t,
-         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn
-  FROM orders),
-r(k, rn, seq, q) AS (
-  SELECT k, rn, seq, [t] FROM ev WHERE rn = 1
-  UNION ALL
-  SELECT e.k, e.rn, e.seq,
-         list_append(list_slice(r.q,
-            coalesce(list_position(list_transform(r.q, lambda y: e.t - y < {365 * ST.DAY_US}), true),
-                     len(r.q) + 1), len(r.q)), e.t)
-  FROM r JOIN ev e ON e.k = r.k AND e.rn = r.rn + 1
-)
-SELECT seq AS o_orderkey, k AS o_custkey, CAST(len(q) AS BIGINT) AS n_strikes FROM r"""
+_REPLAY_SQL = ("WITH RECURSIVE " + Q.strikes_replay_ctes("s", "orders", "o_custkey", "o_orderdate", "o_orderkey", 365)
+               + " SELECT seq AS o_orderkey, k AS o_custkey, n_strikes FROM s")
 
 
 @register("abuse_strikes_replay", _REPLAY_SQL)

@@ -202,7 +202,7 @@ def order_key_sql(idc: str) -> str:
 
 ACTIONS = f"""
 actions AS (
-  SELECT event_id AS action_seq, ts AS acted_at,
+  SELECT xor(event_id, {S.ORDER_FLIP}) AS action_seq, ts AS acted_at,
          CASE WHEN event_id % 50 = 0 THEN CAST({S.BOT_ID} AS BIGINT) ELSE user_id % 7 + 1 END AS actor_id,
          user_id % 25 AS guild_id,
          CASE WHEN event_id % 23 = 0 THEN (user_id % 25) * 100 + 3 ELSE (user_id % 25) * 100 + 18 END AS channel_id,
@@ -234,6 +234,24 @@ def strikes_window_sql(src: str, key: str, created: str, seq: str, days: int, co
 FROM {src}"""
 
 
+def strikes_replay_ctes(name: str, src: str, key: str, created: str, seq: str, days: int) -> str:
+    """``name(seq, k, n_strikes)``: the strike list itself, one step at a time."""
+    h = days * 86_400_000_000
+    return f"""
+{name}_ev AS (
+  SELECT {key} AS k, {seq} AS seq, epoch_us({created}) AS t, row_number() OVER (PARTITION BY {key} ORDER BY {seq}) AS rn
+  FROM {src} WHERE {key} IS NOT NULL),
+{name}_r(k, rn, seq, q) AS (
+  SELECT k, rn, seq, [t] FROM {name}_ev WHERE rn = 1
+  UNION ALL
+  SELECT e.k, e.rn, e.seq,
+         list_append(list_slice(r.q,
+            coalesce(list_position(list_transform(r.q, lambda y: e.t - y < {h}), true), len(r.q) + 1), len(r.q)), e.t)
+  FROM {name}_r r JOIN {name}_ev e ON e.k = r.k AND e.rn = r.rn + 1
+),
+{name} AS (SELECT seq, k, CAST(len(q) AS BIGINT) AS n_strikes FROM {name}_r)"""
+
+
 def _arr(items) -> str:
     return "[" + ", ".join(lit(x) for x in items) + "]"
 

@@ -194,6 +194,9 @@ def order_key(id_col: str = "post_id"):
 # reaction per event ((event_id + user_id) % 9; the ninth is not in the set).
 ACTION_EMOJIS = ["⏱️", "🛑", "🗑️", "❗", "‼️", "❌", "❔", "⬆️"]
 OTHER_EMOJI = "👍"
+# Flipped bits of the event id, so that moderators handle
+# reports out of their order of creation.
+ORDER_FLIP = 2048 + 21
 
 
 @shared
@@ -204,7 +207,7 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     emoji = F.element_at(F.array(*[F.lit(x) for x in ACTION_EMOJIS + [OTHER_EMOJI]]),
                          ((F.col("event_id") + F.col("user_id")) % 9 + 1).cast("int"))
     return e.select(
-        F.col("event_id").alias("action_seq"),
+        F.col("event_id").bitwiseXOR(F.lit(ORDER_FLIP)).alias("action_seq"),
         F.col("ts").alias("acted_at"),
         F.when(F.col("event_id") % 50 == 0, F.lit(BOT_ID).cast("bigint"))
          .otherwise(F.col("user_id") % 7 + 1).alias("actor_id"),

@@ -160,21 +160,20 @@ def _inputs(df: DataFrame, id_col: str, text_col: str, chars_col: str | None) ->
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), chars.cast("double").alias("c"))
 
 
-def train_quality_model(df: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars",
-                        sample_rows: int = SAMPLE_ROWS) -> FactorisationMachine | None:
-    """Fit on at most ``sample_rows`` labelled rows, those with the smallest
-    hash of the text; only their features come to the driver. None if no row
-    has a label."""
+def train_quality_model(df: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text",
+                        chars_col: str | None = "n_chars", sample_rows: int = SAMPLE_ROWS) -> FactorisationMachine | None:
+    """Fit on at most ``sample_rows`` rows of ``labels`` (``id_col``,
+    ``label_col``), those with the smallest hash of the id; texts are looked
+    up for these only, and only their features come to the driver. None if
+    no text has a label."""
     ship_package(df.sparkSession)
-    labelled = df.where(F.col(label_col).isNotNull()).withColumn("__hash", F.xxhash64(text_col, id_col))
-    rows = labelled.orderBy("__hash").limit(sample_rows)
-    rows = rows.select(F.col(label_col).cast("long").alias("y"), F.col(text_col).alias("t"),
-                       (F.col(chars_col) if chars_col else F.length(text_col)).cast("double").alias("c"), F.col("__hash").alias("h"))
+    sample = (labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("sid"), F.col(label_col).cast("long").alias("y"))
+              .withColumn("h", F.xxhash64("sid")).orderBy("h", "sid", "y").limit(sample_rows))
+    rows = _inputs(df, id_col, text_col, chars_col).join(F.broadcast(sample), F.col("id") == F.col("sid")).select("y", "t", "c", "h")
 
     def extract(batches):
         for b in batches:
-            shaped = b.select(["y", "t", "c"])
-            for lo, hi, (f, x, r) in _chunks(shaped):
+            for lo, hi, (f, x, r) in _chunks(b):
                 yield pa.RecordBatch.from_arrays([
                     b.column(3).slice(lo, hi - lo), b.column(0).slice(lo, hi - lo),
                     pa.ListArray.from_arrays(pa.array(r, pa.int32()), pa.array(f, pa.int32())),
@@ -219,5 +218,5 @@ def op4_quality(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
     held = F.pmod(crc_of_id(F.col("doc_id")), F.lit(5)) == 0
-    model = train_quality_model(docs.join(labels.where(~held), "doc_id"), "quality")
+    model = train_quality_model(docs, labels.where(~held), "quality")
     return quality_score(docs, model).select(F.col("id").alias("doc_id"), (F.pmod(crc_of_id(F.col("id")), F.lit(5)) == 0).alias("held_out"), "score", "predicted")

@@ -87,15 +87,18 @@ def test_sorted_dialog_pass_equals_brute_force(spark):
     from .conftest import MEDIUM
     turns, guilds, chans, msgs = _dialog_inputs(spark, MEDIUM)
     prepared = DG.prepare_turns(turns, guilds, chans, msgs)
-    rows = prepared.toPandas()
     by_author = defaultdict(list)
-    for rec in DG._records(rows.sort_values(["author_id", "turn_seq"]), sort=False):
-        by_author[rec["author_id"]].append(rec)
-    want_r, want_e = [], []
+    for r in prepared.orderBy("author_id", "turn_seq").collect():
+        by_author[r.author_id].append(r.asDict())
+    want_r, want_e, seen, edits = [], [], set(), set()
     for a, recs in by_author.items():
-        r, e = DG._fold_author(recs)
+        r, e, _ = DG.fold_resume(recs, None)
         want_r += [(x["author_id"], x["start_seq"], x["message_id"], x["abuse_type"]) for x in r]
         want_e += [tuple(x) for x in e]
+        seen |= {x["abuse_type"] for x in r}
+        edits |= {x[2:4] for x in e}
+    assert seen == set(DG.REPORT_CATEGORIES.values()) and edits == set(DG.LIST_MENU.values())
+    assert all(m >= S.ID_BASE for _, _, m, _ in want_r)
     got_r = [(r.author_id, r.start_seq, r.message_id, r.abuse_type)
              for r in DG.reports_from_turns(prepared).collect()]
     got_e = [tuple(r) for r in DG.list_edits_from_turns(prepared).collect()]

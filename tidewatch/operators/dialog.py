@@ -11,13 +11,14 @@ session as keyed state.
 
 from __future__ import annotations
 
-import pandas as pd
+from typing import NamedTuple
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import HARASSMENT_CATEGORIES, IMMINENT_DANGER_CATEGORIES, REPORT_CATEGORIES
 from ..functions.text import LINK_PATTERN, choice_number, parse_message_link, strip_ws
-from .common import bounded_broadcast
 from .routing import CANCEL_KEYWORD, HELP_KEYWORD, LIST_KEYWORD, REPORT_KEYWORD
 
 # Reasons a report link is refused.
@@ -57,15 +58,14 @@ def resolve_link(turns: DataFrame, guilds: DataFrame, chans: DataFrame, msgs: Da
 def _linked_messages(msgs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The few messages that links point at, as ``(_mc, _m)``.
 
-    The message table is the large side: it is semi-joined against the
-    broadcast set of linked ids (size checked) and so filtered where it is
-    scanned, instead of being shuffled for a lookup join.
+    Only two id columns of the message table are read; adaptive execution
+    broadcasts the linked ids if their measured size allows it.
     """
     m = msgs.select(F.col("channel_id").alias("_mc"), F.col("message_id").alias("_m"))
     if wanted.isStreaming:
         # in a stream the ids arrive per micro-batch: plain stream-static lookup
         return m
-    return m.join(bounded_broadcast(wanted), ["_mc", "_m"], "left_semi")
+    return m.join(wanted, ["_mc", "_m"], "left_semi")
 
 
 def explode_links(turns: DataFrame, key: list[str], col: str = "content") -> DataFrame:
@@ -116,124 +116,125 @@ EDIT_SCHEMA = "author_id long, turn_seq long, list_kind string, op string, conte
 LIST_MENU = {2: ("word", "add"), 3: ("word", "remove"), 5: ("regex", "add"), 6: ("regex", "remove")}
 
 
-def _fold_author(rows) -> tuple[list, list]:
-    """The state machine over one author's ordered turns."""
-    reports, edits, _ = fold_resume(rows, None)
-    return reports, edits
-
 
-def fold_resume(rows, saved: dict | None) -> tuple[list, list, dict]:
-    """The state machine, resumable: ``saved`` is the open session (if any)."""
+class Step(NamedTuple):
+    """One question of a dialog: the answer it takes, the field it sets and
+    the question that follows (by choice where ``after`` names one)."""
+    answer: str                 # link | choice | text | links
+    field: str
+    then: str | None            # None: the dialog is complete
+    values: dict | None = None  # choice -> value
+    after: dict | None = None   # choice -> next question
+
+
+_YES_NO = {1: True, 2: False}
+# The report dialog: every question with its answers and successors.
+REPORT_STEPS = {
+    "message": Step("link", "message_id", "type"),
+    "type": Step("choice", "abuse_type", "extras", REPORT_CATEGORIES, {1: "harassment", 5: "danger", 6: "details"}),
+    "details": Step("text", "other_details", "extras"),
+    "harassment": Step("choice", "harassment_type", "multiple", HARASSMENT_CATEGORIES),
+    "multiple": Step("choice", "multiple_harassers", "extras", {k: k == 1 for k in range(1, 8)}),
+    "danger": Step("choice", "imminent_danger", "extras", IMMINENT_DANGER_CATEGORIES),
+    "extras": Step("links", "other_message_ids", "safety"),
+    "safety": Step("choice", "safety_mode", "block", _YES_NO),
+    "block": Step("choice", "block_requested", None, _YES_NO),
+}
+FIRST_STEP = "message"
+EMPTY_REPORT = {"message_id": None, "abuse_type": None, "harassment_type": None, "multiple_harassers": None,
+                "imminent_danger": None, "other_details": None, "other_message_ids": [], "safety_mode": False,
+                "block_requested": False}
+
+
+def _answer(step: Step, turn: dict):
+    """(accepted, value) of a turn as the answer to a question."""
+    if step.answer == "link":
+        return turn["link_reason"] is None and turn["link_message_id"] is not None, turn["link_message_id"]
+    if step.answer == "choice":
+        return turn["choice"] in step.values, step.values.get(turn["choice"])
+    return True, turn["content"] if step.answer == "text" else list(turn["extra_ids"])
+
+
+def advance(session: dict | None, turn: dict) -> tuple[dict | None, dict | None, tuple | None]:
+    """One turn of one author: (session after it, finished report, list edit).
+
+    A session is ``{"list": None | menu number}`` or ``{"ask": question,
+    "report": fields}``; None when no dialog is open.
+    """
+    content = turn["content"]
+    if content == HELP_KEYWORD:
+        return session, None, None            # answered, not consumed
+    if session is None:
+        if content.startswith(REPORT_KEYWORD):
+            return {"ask": FIRST_STEP, "report": None}, None, None
+        return ({"list": None} if content.startswith(LIST_KEYWORD) else None), None, None
+    if content == CANCEL_KEYWORD:
+        return None, None, None
+    if "list" in session:
+        if session["list"] is None:
+            return {"list": turn["choice"] if turn["choice"] in LIST_MENU else None}, None, None
+        edit = (turn["author_id"], turn["turn_seq"], *LIST_MENU[session["list"]], content)
+        return {"list": None}, None, edit if content else None
+    step = REPORT_STEPS[session["ask"]]
+    accepted, value = _answer(step, turn)
+    if not accepted:
+        return session, None, None
+    report = session["report"] or {"author_id": turn["author_id"], "start_seq": turn["turn_seq"], **EMPTY_REPORT}
+    report = {**report, step.field: value}
+    follow = (step.after or {}).get(turn["choice"], step.then)
+    if follow is None:
+        return None, {**report, "end_seq": turn["turn_seq"]}, None
+    return {"ask": follow, "report": report}, None, None
+
+
+def fold_resume(rows, session: dict | None) -> tuple[list, list, dict | None]:
+    """All turns of one author in order, from an open session (if any)."""
     reports, edits = [], []
-    saved = saved or {}
-    mode, state, cur = saved.get("mode"), saved.get("state"), saved.get("cur")
-    for t in rows:
-        content, choice = t["content"], t["choice"]
-        if content == HELP_KEYWORD:
-            continue                          # answered, not consumed
-        if mode is None:
-            if content.startswith(REPORT_KEYWORD):
-                mode, state = "report", "AWAITING_MESSAGE"
-            elif content.startswith(LIST_KEYWORD):
-                mode, state = "list", "AWAITING_COMMAND"
-            continue
-        if content == CANCEL_KEYWORD:
-            mode, state, cur = None, None, None
-            continue
-        if mode == "list":
-            if state == "AWAITING_COMMAND":
-                if choice is not None and 1 <= choice <= 6 and choice in LIST_MENU:
-                    state = choice
-            else:
-                kind, op = LIST_MENU[state]
-                if content:
-                    edits.append((t["author_id"], t["turn_seq"], kind, op, content))
-                state = "AWAITING_COMMAND"
-            continue
-        # report dialog
-        if state == "AWAITING_MESSAGE":
-            if t["link_reason"] is None and t["link_message_id"] is not None:
-                cur = dict(author_id=t["author_id"], start_seq=t["turn_seq"], end_seq=None,
-                           message_id=t["link_message_id"], abuse_type=None, harassment_type=None,
-                           multiple_harassers=None, imminent_danger=None, other_details=None,
-                           other_message_ids=[], safety_mode=False, block_requested=False)
-                state = "MESSAGE_IDENTIFIED"
-        elif state == "MESSAGE_IDENTIFIED":
-            if choice is not None and 1 <= choice <= 6:
-                cur["abuse_type"] = REPORT_CATEGORIES[choice]
-                state = {1: "HARASSMENT_TYPE", 5: "IMMINENT_DANGER", 6: "OTHER_DETAILS"}.get(
-                    choice, "ADD_MESSAGES")
-        elif state == "OTHER_DETAILS":
-            cur["other_details"] = content
-            state = "ADD_MESSAGES"
-        elif state == "HARASSMENT_TYPE":
-            if choice is not None and 1 <= choice <= 7:
-                cur["harassment_type"] = HARASSMENT_CATEGORIES[choice]
-                state = "MULTIPLE_HARASSER"
-        elif state == "MULTIPLE_HARASSER":
-            if choice is not None and 1 <= choice <= 7:
-                cur["multiple_harassers"] = choice == 1
-                state = "ADD_MESSAGES"
-        elif state == "IMMINENT_DANGER":
-            if choice is not None and 1 <= choice <= 3:
-                cur["imminent_danger"] = IMMINENT_DANGER_CATEGORIES[choice]
-                state = "ADD_MESSAGES"
-        elif state == "ADD_MESSAGES":
-            cur["other_message_ids"] = list(t["extra_ids"])
-            state = "SAFETY_MODE"
-        elif state == "SAFETY_MODE":
-            if choice is not None and 1 <= choice <= 2:
-                cur["safety_mode"] = choice == 1
-                state = "BLOCK_AWAITED"
-        elif state == "BLOCK_AWAITED":
-            if choice is not None and 1 <= choice <= 2:
-                cur["block_requested"] = choice == 1
-                cur["end_seq"] = t["turn_seq"]
-                reports.append(cur)
-                mode, state, cur = None, None, None
-    return reports, edits, {"mode": mode, "state": state, "cur": cur}
-
-
-def _records(pdf: pd.DataFrame, sort: bool = True):
-    if sort:
-        pdf = pdf.sort_values("turn_seq", kind="mergesort")
-    for r in pdf.itertuples(index=False):
-        yield {"author_id": int(r.author_id), "turn_seq": int(r.turn_seq), "content": r.content or "",
-               "link_reason": r.link_reason if isinstance(r.link_reason, str) else None,
-               "link_message_id": None if pd.isna(r.link_message_id) else int(r.link_message_id),
-               "extra_ids": [] if r.extra_ids is None else [int(x) for x in r.extra_ids],
-               "choice": None if pd.isna(r.choice) else int(r.choice)}
-
-
-def _report_cols():
-    return [c.split()[0] for c in REPORT_SCHEMA.split(", ")]
-
-
+    for turn in rows:
+        session, report, edit = advance(session, turn)
+        if report:
+            reports.append(report)
+        if edit:
+            edits.append(edit)
+    return reports, edits, session
+
+
+def turn_rows(batch: pa.RecordBatch) -> list[dict]:
+    """Turns of an Arrow batch; ids stay 64-bit integers, nulls included."""
+    rows = batch.to_pylist()
+    for r in rows:
+        r["content"] = r["content"] or ""
+        r["extra_ids"] = r["extra_ids"] or []
+    return rows
+
+
+REPORT_ARROW = pa.schema([
+    ("author_id", pa.int64()), ("start_seq", pa.int64()), ("end_seq", pa.int64()), ("message_id", pa.int64()),
+    ("abuse_type", pa.string()), ("harassment_type", pa.string()), ("multiple_harassers", pa.bool_()),
+    ("imminent_danger", pa.string()), ("other_details", pa.string()), ("other_message_ids", pa.list_(pa.int64())),
+    ("safety_mode", pa.bool_()), ("block_requested", pa.bool_())])
 EDIT_COLS = ["author_id", "turn_seq", "list_kind", "op", "content"]
+EDIT_ARROW = pa.schema([("author_id", pa.int64()), ("turn_seq", pa.int64()), ("list_kind", pa.string()),
+                        ("op", pa.string()), ("content", pa.string())])
 
 
 def _fold_sorted(want: str):
     """One pass over a partition sorted by (author, turn): only the current
     author's open session is held, however long the author's history."""
     def fn(batches):
-        cur, saved = None, None
-        for pdf in batches:
-            reps, eds = [], []
-            authors = pdf["author_id"].to_numpy()
-            start = 0
-            for i in range(1, len(pdf) + 1):
-                if i == len(pdf) or authors[i] != authors[start]:
-                    a = authors[start]
-                    if a != cur:
-                        cur, saved = a, None
-                    r, e, saved = fold_resume(_records(pdf.iloc[start:i], sort=False), saved)
-                    reps += r
-                    eds += e
-                    start = i
-            if want == "reports":
-                yield pd.DataFrame(reps, columns=_report_cols())
-            else:
-                yield pd.DataFrame(eds, columns=EDIT_COLS)
+        author, session = object(), None
+        for b in batches:
+            reports, edits = [], []
+            for turn in turn_rows(b):
+                if turn["author_id"] != author:
+                    author, session = turn["author_id"], None
+                session, report, edit = advance(session, turn)
+                if report:
+                    reports.append(report)
+                if edit:
+                    edits.append(dict(zip(EDIT_COLS, edit)))
+            yield pa.RecordBatch.from_pylist(reports if want == "reports" else edits,
+                                             REPORT_ARROW if want == "reports" else EDIT_ARROW)
     return fn
 
 
@@ -247,11 +248,31 @@ def reports_from_turns(prepared: DataFrame) -> DataFrame:
     """O-F4: completed report rows (one per finished report dialog).
 
     One shuffle by author, a sort by turn inside each partition, then a
-    single pass per partition (``mapInPandas``) carrying the open session.
+    single pass per partition over Arrow rows carrying the open session.
     """
-    return _sorted_turns(prepared).mapInPandas(_fold_sorted("reports"), REPORT_SCHEMA)
+    return _sorted_turns(prepared).mapInArrow(_fold_sorted("reports"), REPORT_SCHEMA)
 
 
 def list_edits_from_turns(prepared: DataFrame) -> DataFrame:
     """O-E7: list edits entered through the list dialog (same pass)."""
-    return _sorted_turns(prepared).mapInPandas(_fold_sorted("edits"), EDIT_SCHEMA)
+    return _sorted_turns(prepared).mapInArrow(_fold_sorted("edits"), EDIT_SCHEMA)
+
+
+def session_flags(prepared: DataFrame) -> DataFrame:
+    """The turns with ``in_report_session`` and ``in_list_session`` as they
+    stand when each turn arrives (what command routing needs)."""
+    def fn(batches):
+        author, session = object(), None
+        for b in batches:
+            flags = []
+            for turn in turn_rows(b):
+                if turn["author_id"] != author:
+                    author, session = turn["author_id"], None
+                flags.append((session is not None and "ask" in session, session is not None and "list" in session))
+                session, _, _ = advance(session, turn)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("author_id").cast(pa.int64()), b.column("turn_seq").cast(pa.int64()), b.column("content"),
+                 pa.array([r for r, _ in flags], pa.bool_()), pa.array([x for _, x in flags], pa.bool_())],
+                ["author_id", "turn_seq", "content", "in_report_session", "in_list_session"])
+    schema = "author_id long, turn_seq long, content string, in_report_session boolean, in_list_session boolean"
+    return _sorted_turns(prepared).mapInArrow(fn, schema)

@@ -6,8 +6,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast
-
 # Account size limit and the strike reaction offered per size.
 LARGE_ACCOUNT_FOLLOWERS = 5000
 DEFAULT_FOLLOWERS = 1
@@ -33,6 +31,7 @@ def new_reports(done: DataFrame, msgs: DataFrame, reporter_name: Column) -> Data
             .withColumn("is_auto", F.lit(False))
             .withColumn("message_created_at", F.col("created_at"))
             .withColumn("report_seq", F.col("end_seq"))
+            .withColumn("position", F.lit(0))
             .withColumn("parent_id", F.lit(None).cast("string"))
             .drop("created_at"))
 
@@ -48,6 +47,7 @@ def expand_related(reports: DataFrame, msgs: DataFrame) -> DataFrame:
             .withColumnRenamed("created_at", "message_created_at")
             .withColumn("parent_id", F.col("report_id"))
             .withColumn("report_id", uuid_like("report_id", "_pos"))
+            .withColumn("position", F.col("_pos") + 1)
             .withColumn("other_message_ids", F.array().cast("array<bigint>"))
             .drop("_pos"))
     return reports.unionByName(kids.select(*reports.columns))
@@ -74,7 +74,7 @@ def account_size(reports: DataFrame, accounts: DataFrame, name_col: str = "autho
     """O-F7: followers > 5000 (strict) -> large account -> strike ‼️ else ❗.
 
     Unknown accounts get the default (small)."""
-    a = bounded_broadcast(accounts.select(F.col("user_name").alias("_u"), "followers"))
+    a = accounts.select(F.col("user_name").alias("_u"), "followers")
     j = reports.join(a, reports[name_col] == F.col("_u"), "left").drop("_u")
     f = F.coalesce(F.col("followers"), F.lit(DEFAULT_FOLLOWERS))
     return (j.withColumn("followers", f)
@@ -128,19 +128,22 @@ def format_report(df: DataFrame) -> DataFrame:
     return df.select("report_id", text.alias("report_text"))
 
 
-STATUS_FLAGS = ["false_report_strike", "slow_mode", "deleted", "strike", "escalation", "banned"]
+STATUS_FLAGS = ["false_report_strike", "slow_mode", "blocked", "deleted", "strike", "escalation", "banned"]
 
 
 def report_details(df: DataFrame) -> Column:
     """The details text of the search command (flags from the status fold)."""
+    def given(c):
+        return F.coalesce(F.col(c), F.lit(False)) if c in df.columns else F.lit(False)
+
     def flag(c):
-        return _pybool(F.coalesce(F.col(c), F.lit(False)) if c in df.columns else F.lit(False))
+        return _pybool(given(c))
     return F.concat(
         _header(F.col("abuse_type")),
         F.lit("\tHas reporter turned on safety mode: "), _pybool(F.col("safety_mode")),
         F.lit("\n\tIs this a false report: "), flag("false_report_strike"),
         F.lit("\n\tHas the sender been placed on slow mode: "), flag("slow_mode"),
-        F.lit("\n\tHas the sender been blocked: "), _pybool(_sender_blocked()),
+        F.lit("\n\tHas the sender been blocked: "), _pybool(_sender_blocked() | given("blocked")),
         F.lit("\n\tHas the message been deleted: "), flag("deleted"),
         F.lit("\n\tHas the message sender been given a strike: "), flag("strike"),
         F.lit("\n\tHas the message been escalated: "), flag("escalation"), F.lit("\n"))
@@ -175,10 +178,10 @@ def report_posts(reports: DataFrame) -> DataFrame:
 
 def list_my_reports(requests: DataFrame, reports: DataFrame) -> DataFrame:
     """O-F10: the reports filed by each requesting user, one row per report
-    with its filing order (``report_seq``); users without reports are kept
-    with a null id.  Rows, not one array per user: a user may have filed
+    with its filing order (``report_seq``, and ``position`` among the reports
+    of one dialog); users without reports are kept with a null id.  Rows, not one array per user: a user may have filed
     any number of reports."""
-    r = reports.select(F.col("reporter_id").alias("author_id"), "report_id", "report_seq")
+    r = reports.select(F.col("reporter_id").alias("author_id"), "report_id", "report_seq", "position")
     return requests.join(r, "author_id", "left")
 
 

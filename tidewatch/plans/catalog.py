@@ -726,24 +726,19 @@ _LINK_RE = r"/([0-9]+)/([0-9]+)/([0-9]+)"
 def _dm_sql() -> str:
     def link(m):
         return (f"'{S.LINK_BASE}' || CAST(({m}) % 25 AS VARCHAR) || '/' || "
-                f"CAST((({m}) % 25) * 100 + ({m}) % 20 AS VARCHAR) || '/' || CAST({m} AS VARCHAR)")
-
-    def pick(opts, mod):
-        return f"([{', '.join(opts)}])[conv_id % {mod} + 1]"
-    mid = "conv_id * 10 + turn"
-    t0 = "CASE WHEN conv_id % 10 = 9 THEN 'blocklist' WHEN conv_id % 10 = 8 THEN 'help' ELSE 'report' END"
-    t1 = f"CASE WHEN conv_id % 7 = 0 THEN 'not a link' ELSE {link(mid)} END"
-    t2 = pick(["'1'", "'2'", "'5'", "'6'", "'9'"], 5)
-    t3 = pick(["' 2 '", "'1'", "'skip'", "'3'"], 4)
-    t4 = pick(["'1'", "'2'", "'cancel'", f"{link(mid + ' + 1')} || ' ' || {link(mid + ' + 2')} || ' junk'"], 4)
-    t5 = pick(["'1'", "'2'"], 2)
-    t6 = pick(["'2'", "'1'"], 2)
+                f"CAST((({m}) % 25) * 100 + ({m}) % 20 AS VARCHAR) || '/' || CAST({m} + {S.ID_BASE} AS VARCHAR)")
+    scripts = "[" + ", ".join("[" + ", ".join(Q.lit(x) for x in row) + "]" for row in S.DM_SCRIPTS) + "]"
+    mid = "author_id * 40 + k"
     return f"""
 dm AS (
-  SELECT conv_id AS author_id, turn AS turn_seq, 'Reporter#' || CAST(conv_id AS VARCHAR) AS author_name,
-         CASE turn WHEN 0 THEN {t0} WHEN 1 THEN {t1} WHEN 2 THEN {t2} WHEN 3 THEN {t3}
-                   WHEN 4 THEN {t4} WHEN 5 THEN {t5} WHEN 6 THEN {t6} ELSE 'list' END AS content
-  FROM conversations
+  SELECT author_id, turn_seq, 'Reporter#' || CAST(author_id AS VARCHAR) AS author_name,
+         CASE WHEN typed = '<LINK>' THEN {link(mid)}
+              WHEN typed = '<LINKS>' THEN {link(mid + ' + 1')} || ' ' || {link(mid + ' + 2')} || ' junk'
+              WHEN typed = '<TEXT>' THEN substr(text, 1, 40) ELSE coalesce(typed, 'list') END AS content
+  FROM (SELECT *, ({scripts})[author_id % 8 + 1][k] AS typed
+        FROM (SELECT conv_id // 4 AS author_id, (conv_id % 4) * 10 + turn AS turn_seq, text,
+                     row_number() OVER (PARTITION BY conv_id // 4 ORDER BY conv_id, turn) AS k
+              FROM conversations WHERE role = 'user') a) b
 )"""
 
 
@@ -755,15 +750,11 @@ def dm_world(spark, sf_dir):
     return S.dm_turns(spark, sf_dir), guilds, chans, msgs
 
 
-@register("classify_command", Q.with_(_dm_sql()) + """SELECT author_id, turn_seq,
-  CASE WHEN content = 'help' THEN 'help' WHEN starts_with(content, 'report') THEN 'report'
-       WHEN starts_with(content, 'blocklist') THEN 'blocklist' WHEN starts_with(content, 'list') THEN 'list'
-       WHEN starts_with(content, 'strike') THEN 'strike' WHEN starts_with(content, 'search') THEN 'search'
-       ELSE 'ignore' END AS command FROM dm""")
+@register("classify_command")
 def q_classify_command(spark, sf_dir):
-    t = S.dm_turns(spark, sf_dir).withColumn("in_report_session", F.lit(False)) \
-        .withColumn("in_list_session", F.lit(False))
-    return RT.classify_command(t).select("author_id", "turn_seq", "command")
+    turns, guilds, chans, msgs = dm_world(spark, sf_dir)
+    flagged = DG.session_flags(DG.prepare_turns(turns, guilds, chans, msgs))
+    return RT.classify_command(flagged).select("author_id", "turn_seq", "command")
 
 
 @register("parse_message_link", Q.with_(_dm_sql()) + f"""SELECT author_id, turn_seq,
@@ -868,6 +859,17 @@ def full_reports(spark, sf_dir) -> DataFrame:
     return RE.account_size(RE.block_sets(ex, msgs), S.accounts(spark, sf_dir))
 
 
+@S.shared
+def dialog_status(spark, sf_dir) -> DataFrame:
+    """Status of the dialog reports: one moderator reaction each."""
+    seq = F.col("reporter_id") * 10000 + F.col("report_seq") * 10 + F.col("position")
+    emoji = F.element_at(F.array(*[F.lit(x) for x in AC.ACTION_SET]), (seq % 8 + 1).cast("int"))
+    acted = full_reports(spark, sf_dir).select(
+        "report_id", "reporter_id", "is_auto", "report_created_at", seq.alias("action_seq"), emoji.alias("emoji"),
+        F.substring("author_name", 10, 20).try_cast("bigint").alias("abuser_id"))
+    return AC.report_status(AC.with_strikes(acted))
+
+
 @register("replay_report_dialog")
 def q_replay_report_dialog(spark, sf_dir):
     turns, guilds, chans, msgs = dm_world(spark, sf_dir)
@@ -936,7 +938,7 @@ def q_post_report(spark, sf_dir):
 def q_list_my_reports(spark, sf_dir):
     req = S.dm_turns(spark, sf_dir).select("author_id").distinct()
     lst = RE.list_my_reports(req, full_reports(spark, sf_dir))
-    return lst.select("author_id", "report_id", "report_seq")
+    return lst.select("author_id", "report_id", "report_seq", "position")
 
 
 @register("search_report")
@@ -949,7 +951,7 @@ def q_search_report(spark, sf_dir):
         F.struct(F.col("reporter_id").alias("author_id"), F.lit("search not-an-id").alias("content")),
         F.struct(F.col("reporter_id").alias("author_id"), F.lit("search").alias("content")))
     req = reps.select(F.inline(variants))
-    return RE.search_reports(req, reps).select("author_id", "content", "reply")
+    return RE.search_reports(req, reps, dialog_status(spark, sf_dir)).select("author_id", "content", "reply")
 
 
 @register("load_terms", Q.with_(Q.list_edits_cte())
@@ -1080,6 +1082,14 @@ _REPLAY_EDITS_SQL = _dialog_sql("""SELECT author_id, turn_seq, edit_kind AS list
 
 
 ORACLE["replay_report_dialog"] = _REPLAY_REPORTS_SQL
+ORACLE["classify_command"] = _dialog_sql("""SELECT t.author_id, t.turn_seq,
+  CASE WHEN t.content = 'help' THEN 'help' WHEN s.mode = 'report' THEN 'report_session'
+       WHEN s.mode = 'list' THEN 'list_session'
+       WHEN starts_with(t.content, 'report') THEN 'report'
+       WHEN starts_with(t.content, 'blocklist') THEN 'blocklist' WHEN starts_with(t.content, 'list') THEN 'list'
+       WHEN starts_with(t.content, 'strike') THEN 'strike' WHEN starts_with(t.content, 'search') THEN 'search'
+       ELSE 'ignore' END AS command
+FROM turns t JOIN steps s ON s.author_id = t.author_id AND s.rn = t.rn - 1""")
 ORACLE["replay_list_dialog"] = _REPLAY_EDITS_SQL
 
 
@@ -1092,7 +1102,7 @@ def _uuid_sql(*parts: str) -> str:
 _FULL_REPORTS_CTE = f""",
 parents AS (
   SELECT {_uuid_sql('author_id', 'start_seq')} AS report_id, CAST(NULL AS VARCHAR) AS parent_id,
-         author_id AS reporter_id, turn_seq AS report_seq, msg AS message_id, atype AS abuse_type,
+         author_id AS reporter_id, turn_seq AS report_seq, 0 AS position, msg AS message_id, atype AS abuse_type,
          htype AS harassment_type, multi AS multiple_harassers, danger AS imminent_danger,
          details AS other_details, safety AS safety_mode, block AS block_requested, extras
   FROM steps WHERE done
@@ -1102,7 +1112,7 @@ kid_ids AS (
   FROM parents WHERE extras <> ''
 ),
 kids AS (
-  SELECT {_uuid_sql('report_id', 'pos')} AS report_id, report_id AS parent_id, reporter_id, report_seq,
+  SELECT {_uuid_sql('report_id', 'pos')} AS report_id, report_id AS parent_id, reporter_id, report_seq, pos + 1 AS position,
          CAST(kid AS BIGINT) AS message_id, abuse_type, harassment_type, multiple_harassers, imminent_danger,
          other_details, safety_mode, block_requested, '' AS extras
   FROM kid_ids
@@ -1124,7 +1134,7 @@ ORACLE["expand_related"] = _dialog_sql(_FULL_REPORTS_CTE + """SELECT report_id,
 ORACLE["block_sets"] = _dialog_sql(_FULL_REPORTS_CTE + """SELECT a.report_id,
   coalesce(array_to_string(list_sort(list_distinct(list(b.name) FILTER (WHERE b.name IS NOT NULL))), ','), '') AS block_user
 FROM allrep a LEFT JOIN blocked b ON b.report_id = a.report_id GROUP BY a.report_id""")
-ORACLE["list_my_reports"] = _dialog_sql(_FULL_REPORTS_CTE + """SELECT d.author_id, a.report_id, a.report_seq
+ORACLE["list_my_reports"] = _dialog_sql(_FULL_REPORTS_CTE + """SELECT d.author_id, a.report_id, a.report_seq, a.position
 FROM (SELECT DISTINCT author_id FROM dm) d LEFT JOIN allrep a ON a.reporter_id = d.author_id""")
 
 
@@ -1185,8 +1195,7 @@ def _search_report_sql() -> str:
            f"coalesce({pybool('a.multiple_harassers')}, 'None') || {nl} "
            f"WHEN a.abuse_type = 'Imminent Danger' THEN {tab} || {tab} || 'Imminent Danger Type: ' || "
            f"coalesce(a.imminent_danger, 'None') || {nl} ELSE '' END")
-    blocked = "EXISTS (SELECT 1 FROM blocked b WHERE b.report_id = a.report_id AND b.name = m.author_name)"
-    false = "'False'"
+    blocked = ("(st.blocked OR EXISTS (SELECT 1 FROM blocked b WHERE b.report_id = a.report_id AND b.name = m.author_name))")
     details = " || ".join([
         "'Report ' || a.report_id || ' at time '",
         f"strftime(TIMESTAMP '{S.EPOCH}' + to_minutes(a.report_seq), '%Y-%m-%d %H:%M:%S')",
@@ -1197,19 +1206,35 @@ def _search_report_sql() -> str:
         f"{nl} || {tab} || 'Abuse Type: ' || a.abuse_type || {nl}",
         f"({sub})",
         f"{tab} || 'Has reporter turned on safety mode: ' || {pybool('a.safety_mode')}",
-        f"{nl} || {tab} || 'Is this a false report: ' || {false}",
-        f"{nl} || {tab} || 'Has the sender been placed on slow mode: ' || {false}",
+        f"{nl} || {tab} || 'Is this a false report: ' || {pybool('st.false_report_strike')}",
+        f"{nl} || {tab} || 'Has the sender been placed on slow mode: ' || {pybool('st.slow_mode')}",
         f"{nl} || {tab} || 'Has the sender been blocked: ' || {pybool(blocked)}",
-        f"{nl} || {tab} || 'Has the message been deleted: ' || {false}",
-        f"{nl} || {tab} || 'Has the message sender been given a strike: ' || {false}",
-        f"{nl} || {tab} || 'Has the message been escalated: ' || {false} || {nl}",
+        f"{nl} || {tab} || 'Has the message been deleted: ' || {pybool('st.deleted')}",
+        f"{nl} || {tab} || 'Has the message sender been given a strike: ' || {pybool('st.strike')}",
+        f"{nl} || {tab} || 'Has the message been escalated: ' || {pybool('st.escalation')} || {nl}",
     ])
     usage = Q.lit(RE.SEARCH_USAGE)
     invalid = Q.lit(RE.SEARCH_INVALID)
+    emojis = "[" + ", ".join(Q.lit(x) for x in AC.ACTION_SET) + "]"
     return _dialog_sql(_FULL_REPORTS_CTE + f""",
+acted AS (
+  SELECT *, ({emojis})[action_seq % 8 + 1] AS emoji FROM (
+    SELECT a.report_id, a.reporter_id, a.reporter_id * 10000 + a.report_seq * 10 + a.position AS action_seq,
+           TIMESTAMP '{S.EPOCH}' + to_minutes(a.report_seq) AS report_created_at,
+           TRY_CAST(substr(m.author_name, 10) AS BIGINT) AS abuser_id
+    FROM allrep a LEFT JOIN messages m ON m.message_id = a.message_id) x
+),
+{Q.strikes_replay_ctes("abuse", "(SELECT * FROM acted WHERE emoji IN ('❗', '‼️'))", "abuser_id", "report_created_at", "action_seq", 365)},
+{Q.strikes_replay_ctes("falses", "(SELECT * FROM acted WHERE emoji = '❔')", "reporter_id", "report_created_at", "action_seq", 30)},
+st AS (
+  SELECT report_id, bool_or(emoji = '⏱️') AS slow_mode, bool_or(emoji = '🛑') AS blocked, bool_or(emoji = '🗑️') AS deleted,
+         bool_or(emoji = '⬆️') AS escalation, bool_or(emoji IN ('❗', '‼️')) AS strike,
+         bool_or(emoji = '❔' AND coalesce(f.n_strikes < 3, false)) AS false_report_strike
+  FROM acted c LEFT JOIN falses f ON f.seq = c.action_seq GROUP BY report_id
+),
 det AS (
   SELECT a.report_id, a.reporter_id, lower(replace(a.report_id, '-', '')) AS u, {details} AS details
-  FROM allrep a LEFT JOIN messages m ON m.message_id = a.message_id
+  FROM allrep a LEFT JOIN messages m ON m.message_id = a.message_id JOIN st ON st.report_id = a.report_id
 ),
 req AS (
   SELECT reporter_id AS author_id, 'search ' || report_id AS content FROM allrep UNION ALL

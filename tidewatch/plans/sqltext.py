@@ -45,7 +45,7 @@ def values(col: str, items: list[str]) -> str:
 
 MESSAGES = f"""
 messages AS (
-  SELECT doc_id AS message_id,
+  SELECT doc_id + {S.ID_BASE} AS message_id,
          CASE WHEN src_no <> 0 THEN doc_id % 25 END AS guild_id,
          coalesce(CASE WHEN src_no <> 0 THEN doc_id % 25 END, 99) * 100 + src_no AS channel_id,
          CASE WHEN src_no = 18 THEN 'group-{S.GROUP}-human-mod'
@@ -59,7 +59,7 @@ messages AS (
          TIMESTAMP '{S.EPOCH}' + to_minutes(doc_id) AS created_at,
          '{S.LINK_BASE}' || coalesce(CAST(CASE WHEN src_no <> 0 THEN doc_id % 25 END AS VARCHAR), '@me')
            || '/' || CAST(coalesce(CASE WHEN src_no <> 0 THEN doc_id % 25 END, 99) * 100 + src_no AS VARCHAR)
-           || '/' || CAST(doc_id AS VARCHAR) AS jump_url
+           || '/' || CAST(doc_id + {S.ID_BASE} AS VARCHAR) AS jump_url
   FROM (SELECT *, TRY_CAST(substr(source, 4, 16) AS BIGINT) AS src_no FROM documents) d
 )"""
 

@@ -11,7 +11,7 @@ the same tables in SQL (see ``oracle.py``).  All work grows with the input.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import REPORT_CATEGORIES
@@ -31,6 +31,8 @@ BOT_NAME = "Group 7 Bot"
 BOT_ID = 0
 LINK_BASE = "https://chat.example/channels/"
 EPOCH = "2024-01-01 00:00:00"
+# Fixed value: message ids start here (chat platforms use ids of this size).
+ID_BASE = 2**60
 
 
 _MEMO: dict = {}
@@ -89,7 +91,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(" He lives at "), (F.col("doc_id") % 900 + 100).cast("string"),
         F.lit(" Maple Street."))).otherwise(F.lit(""))
     return d.select(
-        F.col("doc_id").alias("message_id"),
+        (F.col("doc_id") + ID_BASE).alias("message_id"),
         guild.alias("guild_id"),
         channel_id.alias("channel_id"),
         name.alias("channel_name"),
@@ -100,7 +102,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.lit(EPOCH).cast("timestamp_ntz")).alias("created_at"),
         F.concat(F.lit(LINK_BASE), F.coalesce(guild.cast("string"), F.lit("@me")), F.lit("/"),
                  channel_id.cast("string"), F.lit("/"),
-                 F.col("doc_id").cast("string")).alias("jump_url"),
+                 (F.col("doc_id") + ID_BASE).cast("string")).alias("jump_url"),
     )
 
 
@@ -276,33 +278,41 @@ def list_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------ dm turns ----
+# What the author of a thread types, by (author % 8), in order;
+# afterwards 'list'.  <LINK> and <LINKS> become links to messages, <TEXT> the
+# beginning of the conversation turn.
+DM_SCRIPTS = [
+    ["report", "<LINK>", "1", "3", "1", "skip", "1", "1", "blocklist", "2", "jerk"],
+    ["report", "<LINK>", "5", "2", "<LINKS>", "2", "1", "blocklist", "5", "[0-9]{9}", "6"],
+    ["report", "not a link", "<LINK>", "6", "<TEXT>", "<LINKS>", "1", "2", "help", "search x"],
+    ["report me", "<LINK>", "2", "skip", "1", "1", "report", "<LINK>", "3", "<LINKS>", "2", "2"],
+    ["blocklist", "3", " Moron ", "6", "[0-9]{9}", "9", "2", "one\ntwo", "cancel", "report", "<LINK>"],
+    ["report", "<LINK>", "4", "<LINKS>", " 2 ", "2", "list", "strike", "search a b"],
+    ["help", "report", "<LINK>", "9", "1", "7", "2", "<LINKS>", "1", "1"],
+    ["report", "cancel", "report", "help", "<LINK>", "5", "9", "3", "skip", "2", "1"],
+]
+
 
 def _link(m):
     g = m % 25
     return F.concat(F.lit(LINK_BASE), g.cast("string"), F.lit("/"), (g * 100 + m % 20).cast("string"),
-                    F.lit("/"), m.cast("string"))
+                    F.lit("/"), (m + ID_BASE).cast("string"))
 
 
 @shared
 def dm_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Direct-message dialogs: each conversation is one user's DM thread;
-    turn texts are dialog inputs chosen by (conversation, turn)."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    cid, turn = F.col("conv_id"), F.col("turn")
-    mid = cid * 10 + turn
-
-    def pick(opts, mod):
-        return F.element_at(F.array(*opts), (cid % mod + 1).cast("int"))
-    L = F.lit
-    t0 = F.when(cid % 10 == 9, L("blocklist")).when(cid % 10 == 8, L("help")).otherwise(L("report"))
-    t1 = F.when(cid % 7 == 0, L("not a link")).otherwise(_link(mid))
-    t2 = pick([L("1"), L("2"), L("5"), L("6"), L("9")], 5)
-    t3 = pick([L(" 2 "), L("1"), L("skip"), L("3")], 4)
-    t4 = pick([L("1"), L("2"), L("cancel"),
-               F.concat(_link(mid + 1), L(" "), _link(mid + 2), L(" junk"))], 4)
-    t5 = pick([L("1"), L("2")], 2)
-    t6 = pick([L("2"), L("1")], 2)
-    content = (F.when(turn == 0, t0).when(turn == 1, t1).when(turn == 2, t2).when(turn == 3, t3)
-               .when(turn == 4, t4).when(turn == 5, t5).when(turn == 6, t6).otherwise(L("list")))
-    return c.select(cid.alias("author_id"), turn.alias("turn_seq"), content.alias("content"),
-                    F.concat(L("Reporter#"), cid.cast("string")).alias("author_name"))
+    """Direct-message threads: the user turns of four conversations are one
+    author's thread, whose n-th turn is the n-th input of a script."""
+    c = table(spark, sf_dir, "conversations").where(F.col("role") == "user").select("conv_id", "turn", "text")
+    author = F.floor(F.col("conv_id") / 4).cast("bigint")
+    k = F.row_number().over(Window.partitionBy(author).orderBy("conv_id", "turn"))
+    c = c.select(author.alias("author_id"), ((F.col("conv_id") % 4) * 10 + F.col("turn")).cast("bigint").alias("turn_seq"), "text", k.alias("k"))
+    scripts = F.array(*[F.array(*[F.lit(x) for x in row]) for row in DM_SCRIPTS])
+    typed = F.try_element_at(F.element_at(scripts, (F.col("author_id") % 8 + 1).cast("int")), F.col("k"))
+    mid = F.col("author_id") * 40 + F.col("k")
+    content = (F.when(typed == "<LINK>", _link(mid))
+               .when(typed == "<LINKS>", F.concat(_link(mid + 1), F.lit(" "), _link(mid + 2), F.lit(" junk")))
+               .when(typed == "<TEXT>", F.substring("text", 1, 40))
+               .otherwise(F.coalesce(typed, F.lit("list"))))
+    return c.select("author_id", "turn_seq", content.alias("content"),
+                    F.concat(F.lit("Reporter#"), F.col("author_id").cast("string")).alias("author_name"))

@@ -13,13 +13,14 @@
 from __future__ import annotations
 
 import json
+from collections import deque
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..functions.text import choice_number
 from ..operators import decide as D
 from ..operators import dialog as DG
 from ..operators.strikes import DAY_US, _micros
@@ -48,35 +49,50 @@ def evaluate_stream(msgs: DataFrame, terms, patterns, pii_rules, scorer, out_dir
     return w.start()
 
 
-def strike_stream(events: DataFrame, key: str, created: str, seq: str, horizon_days: int) -> DataFrame:
-    """Streaming O-G4/O-G5 (replay semantics): ``(key, seq, n_strikes)`` per event."""
+def strike_stream(events: DataFrame, key: str, created: str, seq: str, horizon_days: int,
+                  forget: bool = False) -> DataFrame:
+    """Streaming O-G4/O-G5 (replay semantics): ``(k, seq, n_strikes)`` per event.
+
+    A user's rows of a micro-batch are taken together and in action order.
+    Ids travel as text, so 64-bit values stay exact; strikes without a key
+    are left out, as in batch their count is null.  The state of a user is
+    the live list.  With ``forget`` (for queries that run on; a query that
+    ends with its input would wait for the timeouts) it is removed after
+    ``horizon_days`` without a strike of the user: all in it has expired.
+    """
     from ..session import ship_package
     ship_package(events.sparkSession)
     h = horizon_days * DAY_US
-    slim = events.select(F.col(key).alias("k"), F.col(seq).alias("seq"), _micros(created).alias("t"))
+    slim = (events.where(F.col(key).isNotNull())
+            .select(F.col(key).alias("k"), F.col(seq).cast("string").alias("seq"), _micros(created).cast("string").alias("t")))
 
     def fn(k, pdfs, state):
-        q = list(state.get[0]) if state.exists else []
-        outs = []
-        for pdf in pdfs:
-            pdf = pdf.sort_values("seq", kind="mergesort")
-            n = np.empty(len(pdf), dtype=np.int64)
-            for i, t in enumerate(pdf["t"].to_numpy(dtype=np.int64)):
-                while q and t - q[0] >= h:
-                    q.pop(0)
-                q.append(int(t))
-                n[i] = len(q)
-            outs.append(pd.DataFrame({"k": k[0], "seq": pdf["seq"].to_numpy(), "n_strikes": n}))
-        state.update((q,))
-        yield from outs
+        if state.hasTimedOut:
+            state.remove()
+            return
+        live = deque(state.get[0]) if state.exists else deque()
+        rows = sorted((int(s), int(t)) for pdf in pdfs for s, t in zip(pdf["seq"], pdf["t"]))
+        counts = []
+        for _, t in rows:
+            while live and t - live[0] >= h:
+                live.popleft()
+            live.append(t)
+            counts.append(len(live))
+        state.update((list(live),))
+        if forget:
+            state.setTimeoutDuration(horizon_days * 86_400_000)
+        yield pd.DataFrame({"k": pd.array([int(k[0])] * len(rows), "int64"), "seq": pd.array([s for s, _ in rows], "int64"), "n_strikes": counts})
     return slim.groupBy("k").applyInPandasWithState(
-        fn, "k long, seq long, n_strikes long", "q array<long>", "append", GroupStateTimeout.NoTimeout)
+        fn, "k long, seq long, n_strikes long", "q array<long>", "append",
+        GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout)
 
 
 def dialog_stream(turns: DataFrame, guilds: DataFrame, chans: DataFrame, msgs: DataFrame) -> DataFrame:
     """Streaming O-F4 / O-E7: completed reports and list edits as they finish.
 
-    Output rows carry ``kind`` ('report' | 'edit') and a JSON payload.
+    Output rows carry ``kind`` ('report' | 'edit') and a JSON payload.  The
+    turns take the same steps as in batch; the state of an author is the open
+    session and is removed when none is open.
     """
     from ..session import ship_package
     ship_package(turns.sparkSession)
@@ -86,37 +102,34 @@ def dialog_stream(turns: DataFrame, guilds: DataFrame, chans: DataFrame, msgs: D
     c = chans.select(F.col("guild_id").alias("_cg"), F.col("channel_id").alias("_c")).distinct()
     m = msgs.select(F.col("channel_id").alias("_mc"), F.col("message_id").alias("_m"))
     ok = (toks.join(c, (F.col("link.guild_id") == F.col("_cg")) & (F.col("link.channel_id") == F.col("_c")))
-              .join(m, (F.col("link.channel_id") == F.col("_mc")) & (F.col("link.message_id") == F.col("_m")))
-              .select(*key, "tok_no", F.col("_m").alias("extra_id")))
-    base = first.select(*key, "content", "link_reason", "link_message_id",
-                        F.lit(None).cast("bigint").alias("tok_no"), F.lit(None).cast("bigint").alias("extra_id"))
-    rows = base.unionByName(ok.select(*key, F.lit(None).cast("string").alias("content"),
-                                      F.lit(None).cast("string").alias("link_reason"),
-                                      F.lit(None).cast("bigint").alias("link_message_id"),
-                                      "tok_no", "extra_id"))
-    rows = rows.withColumn("choice", F.lit(None).cast("int"))
+              .join(m, (F.col("link.channel_id") == F.col("_mc")) & (F.col("link.message_id") == F.col("_m"))))
+    # ids as text: a nullable 64-bit column would pass through floats
+    nothing = F.lit(None).cast("string")
+    base = first.select(*key, "content", "link_reason", F.col("link_message_id").cast("string").alias("link_message_id"),
+                        choice_number(F.col("content"), 7).cast("string").alias("choice"), F.lit(-1).alias("tok_no"), nothing.alias("extra_id"))
+    rows = base.unionByName(ok.select(*key, nothing.alias("content"), nothing.alias("link_reason"), nothing.alias("link_message_id"),
+                                      nothing.alias("choice"), "tok_no", F.col("_m").cast("string").alias("extra_id")))
+    rows = rows.withColumn("turn_seq", F.col("turn_seq").cast("string"))
 
     def fn(k, pdfs, state):
-        saved = json.loads(state.get[0]) if state.exists else None
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        turns_pdf = pdf[pdf["content"].notna()].copy()
-        extra = pdf[pdf["extra_id"].notna()].sort_values(["turn_seq", "tok_no"])
-        ids = extra.groupby("turn_seq")["extra_id"].apply(lambda s: [int(x) for x in s]).to_dict()
-        turns_pdf["extra_ids"] = turns_pdf["turn_seq"].map(lambda s: ids.get(s, []))
-        turns_pdf["choice"] = turns_pdf["content"].map(_choice)
-        reps, eds, saved = DG.fold_resume(DG._records(turns_pdf), saved)
-        state.update((json.dumps(saved),))
-        out = [("report", json.dumps(r, default=str)) for r in reps] + \
-              [("edit", json.dumps(dict(zip(["author_id", "turn_seq", "list_kind", "op", "content"], e))))
-               for e in eds]
+        turns_by, extra = {}, {}
+        for pdf in pdfs:
+            for seq, content, reason, link, choice, tok, other in zip(*(pdf[c] for c in (
+                    "turn_seq", "content", "link_reason", "link_message_id", "choice", "tok_no", "extra_id"))):
+                if tok >= 0:
+                    extra.setdefault(int(seq), []).append((int(tok), int(other)))
+                else:
+                    turns_by[int(seq)] = {
+                        "author_id": int(k[0]), "turn_seq": int(seq), "content": content or "", "link_reason": reason or None,
+                        "link_message_id": int(link) if link else None, "choice": int(choice) if choice else None}
+        rows = [{**t, "extra_ids": [i for _, i in sorted(extra.get(s, []))]} for s, t in sorted(turns_by.items())]
+        reports, edits, session = DG.fold_resume(rows, json.loads(state.get[0]) if state.exists else None)
+        if session is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((json.dumps(session),))
+        out = [("report", json.dumps(r)) for r in reports] + [("edit", json.dumps(dict(zip(DG.EDIT_COLS, e)))) for e in edits]
         yield pd.DataFrame(out, columns=["kind", "payload"])
     return rows.groupBy("author_id").applyInPandasWithState(
         fn, "kind string, payload string", "session string", "append", GroupStateTimeout.NoTimeout)
-
-
-def _choice(text: str):
-    t = (text or "").strip()
-    if t.isascii() and t.isdigit() and len(t) < 10:
-        v = int(t)
-        return v if 1 <= v <= 7 else None
-    return None

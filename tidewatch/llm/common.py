@@ -3,6 +3,7 @@ batch sizes and chunked access to Arrow text."""
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -57,6 +58,12 @@ class Scratch:
         out._scratch = path
         return out
 
+    def free(self) -> None:
+        """Let Spark's cleaner remove the shuffle files of finished steps now;
+        otherwise they stay until the driver happens to collect garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch)

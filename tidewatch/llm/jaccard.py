@@ -84,13 +84,23 @@ def tile_keys(h: np.ndarray, bounds: np.ndarray, bands: Bands) -> tuple[np.ndarr
     return np.concatenate(sets), np.concatenate(keys)
 
 
+def signature(h: np.ndarray) -> np.ndarray:
+    """Hashed bitmap of a set, at least two bits wide for each hash (up to
+    a limit); a power of two, so that it folds to any smaller one."""
+    width = min(max(256, 1 << (2 * len(h) - 1).bit_length()), 1 << 16)
+    bits = np.zeros(width, bool)
+    bits[(h & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def folded(signatures: list[np.ndarray]) -> np.ndarray:
+    """Signatures at the width of the smallest, as rows of 64-bit words."""
+    width = min(map(len, signatures))
+    return np.stack([np.bitwise_or.reduce(s.reshape(-1, width), axis=0) for s in signatures]).view(np.uint64)
+
+
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Hashed bitmap signature of each set, wide enough for the largest."""
-    width = min(max(256, 1 << (2 * max(map(len, sets)) - 1).bit_length()), 1 << 16)
-    bits = np.zeros((len(sets), width), bool)
-    for row, h in zip(bits, sets):
-        row[(h & np.uint64(width - 1)).astype(np.int64)] = True
-    return np.packbits(bits, axis=1).view(np.uint64)
+    return folded([signature(h) for h in sets])
 
 
 def may_link(size: np.ndarray, other: int, differ: np.ndarray, percent: int) -> np.ndarray:
@@ -220,11 +230,30 @@ def star_links(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(compare, "a long, b long").distinct()
 
 
-def block_links(tiles: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """Links between different labels of a tile (``tile``, ``node``, ``label``).
+def able_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose signatures leave a link possible."""
+    one = nodes.select(F.col("node").alias("pivot"), F.col("n").alias("n1"), F.col("bits").alias("bits1"))
+    rows = pairs.join(nodes.select("node", "n", "bits"), "node").join(one, "pivot").select("pivot", "node", "n1", "bits1", "n", "bits")
+
+    def screen(batches):
+        for b in batches:
+            able = []
+            for n1, x, n2, y in zip(b.column(2).to_pylist(), b.column(3), b.column(4).to_pylist(), b.column(5)):
+                u, v = folded([np.frombuffer(z.as_buffer(), np.uint8) for z in (x, y)])
+                able.append(bool(may_link(np.array([n2]), n1, np.array([int(np.bitwise_count(u ^ v).sum())]), percent)[0]))
+            yield b.select(["pivot", "node"]).filter(pa.array(able, pa.bool_()))
 
-    The members with the commonest label are compared with the others only,
-    in blocks of about ``BLOCK`` x ``BLOCK``, and the others among each other.
+    return rows.mapInArrow(screen, "pivot long, node long")
+
+
+def able_blocks(tiles: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """``block``, ``node``, ``label``: of each block of pairs the members that
+    may link with a member of another label by their signatures.
+
+    The members of a tile (``tile``, ``node``, ``label``) with the commonest
+    label are compared with the others only, in blocks of about ``BLOCK`` x
+    ``BLOCK``, and the others among each other. Blocks left with the same
+    members are one block.
     """
     spark = tiles.sparkSession
     labels = tiles.groupBy("tile", "label").agg(F.count("*").alias("n"))
@@ -237,7 +266,47 @@ def block_links(tiles: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     among = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
     main = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda x: F.struct((-1 - F.col("own")).alias("i"), x.alias("j")))
     rows = rows.withColumn("block", F.explode(F.when(F.col("is_main"), main).otherwise(F.concat(with_main, among))))
-    rows = rows.select("tile", "block.i", "block.j", "node", "label").join(arrays, "node").select("tile", "i", "j", "node", "label", "hashes")
+    rows = rows.select("tile", "block.i", "block.j", "node", "label").join(nodes.select("node", "n", "bits"), "node").select("tile", "i", "j", "node", "label", "n", "bits")
+
+    def screen(members):
+        nodes, labels, sizes, signs = (list(c) for c in zip(*members))
+        signs, labels, sizes = folded(signs), np.array(labels), np.array(sizes)
+        able = np.zeros(len(nodes), bool)
+        for i in range(len(nodes) - 1):
+            later = np.flatnonzero(labels[i + 1:] != labels[i]) + i + 1
+            differ = np.bitwise_count(signs[later] ^ signs[i]).sum(axis=1).astype(np.int64)
+            hit = later[may_link(sizes[later], sizes[i], differ, percent)]
+            able[hit] = True
+            able[i] |= len(hit) > 0
+        at = np.flatnonzero(able)
+        block = int(np.sort(np.array(nodes)[at]).view(np.uint64).dot(K.BASE + np.arange(len(at), dtype=np.uint64) * np.uint64(2)).view(np.int64)) if len(at) else 0
+        return [(block, nodes[k], int(labels[k])) for k in at.tolist()]
+
+    def blocks(batches):
+        key, members = None, []
+        for b in batches:
+            out = []
+            for t, i, j, node, label, n, bits in zip(*(c.to_pylist() for c in b.columns)):
+                if (t, i, j) != key:
+                    out += screen(members) if len(members) > 1 else []
+                    key, members = (t, i, j), []
+                members.append((node, label, n, np.frombuffer(bits, np.uint8)))
+            yield member_batch(out)
+        yield member_batch(screen(members) if len(members) > 1 else [])
+
+    rows = rows.repartition(partitions(spark), "tile", "i", "j").sortWithinPartitions("tile", "i", "j", "node")
+    return rows.mapInArrow(blocks, "block long, node long, label long").distinct()
+
+
+def member_batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    cols = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["block", "node", "label"])
+
+
+def block_links(blocks: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+    """Links that join different labels of a block."""
+    spark = blocks.sparkSession
+    rows = blocks.join(arrays, "node").select("block", "node", "label", "hashes")
 
     def compare(batches):
         key, nodes, labels, sets = None, [], [], []
@@ -248,17 +317,17 @@ def block_links(tiles: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
 
         for b in batches:
             out = []
-            for t, i, j, node, label, hashes in zip(*(c.to_pylist() for c in b.columns)):
-                if (t, i, j) != key:
+            for block, node, label, hashes in zip(*(c.to_pylist() for c in b.columns)):
+                if block != key:
                     out += links()
-                    key, nodes, labels, sets = (t, i, j), [], [], []
+                    key, nodes, labels, sets = block, [], [], []
                 nodes.append(node)
                 labels.append(label)
                 sets.append(np.frombuffer(hashes, np.uint64))
             yield link_batch(out)
         yield link_batch(links())
 
-    rows = rows.repartition(partitions(spark), "tile", "i", "j").sortWithinPartitions("tile", "i", "j", "node")
+    rows = rows.repartition(partitions(spark), "block").sortWithinPartitions("block", "node")
     return rows.mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -294,16 +363,19 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kind = texts.schema["id"].dataType.simpleString()
 
     def describe(batches):
-        for b, _, bounds, ids in _hash_sets(batches, width):
+        for b, h, bounds, ids in _hash_sets(batches, width):
             size = np.diff(bounds)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(ids, mask=size == 0)], ["id", "n", "node"])
+            signs = [signature(h[lo:hi]) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            bits = binary_column(np.concatenate(signs), np.concatenate(([0], np.cumsum([len(s) for s in signs]))))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(ids, mask=size == 0), bits], ["id", "n", "node", "bits"])
 
-    sets = scratch.put(texts.mapInArrow(describe, f"id {kind}, n long, node long"), "sets")
-    nodes = sets.where("node is not null").groupBy("node").agg(F.min("id").alias("id"))
+    sets = scratch.put(texts.mapInArrow(describe, f"id {kind}, n long, node long, bits binary"), "sets")
+    nodes = sets.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"))
+    nodes = scratch.put(nodes, "nodes")
     tiles = scratch.put(find_tiles(texts, width, percent), "tiles")
-    pairs = scratch.put(tiles.where("node != pivot").select("pivot", "node").distinct(), "pairs")
-    used = pairs.select("node").union(pairs.select("pivot")).distinct()
-    wanted = nodes.join(used, "node").select(F.col("node").alias("want"), F.col("id").alias("want_id"))
+    scratch.free()
+    pairs = tiles.where("node != pivot").select("pivot", "node").distinct()
+    pairs = scratch.put(able_pairs(pairs, nodes, percent), "pairs")
 
     def hashes(batches):
         for b, h, bounds, ids in _hash_sets(batches, width):
@@ -311,18 +383,31 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             rows = binary_column(h.view(np.uint8), bounds * 8)
             yield pa.RecordBatch.from_arrays([pa.array(ids), rows], ["node", "hashes"]).filter(right)
 
+    def arrays_of(used):
+        """The sorted sets of some nodes, from the text of one document each."""
+        wanted = nodes.join(used, "node").select(F.col("node").alias("want"), F.col("id").alias("want_id"))
+        found = texts.join(wanted, texts["id"].eqNullSafe(wanted["want_id"])).select("t", "want")
+        return scratch.put(found.mapInArrow(hashes, "node long, hashes binary"), "arrays")
+
     with arrow_rows(spark, 500):
-        arrays = texts.join(wanted, texts["id"].eqNullSafe(wanted["want_id"])).select("t", "want").mapInArrow(hashes, "node long, hashes binary")
-        arrays = scratch.put(arrays, "arrays")
+        arrays = arrays_of(pairs.select("node").union(pairs.select("pivot")).distinct())
+        scratch.free()
         links = scratch.put(star_links(pairs, arrays, percent), "links")
+        scratch.drop(arrays)
+        scratch.free()
         roots = components(links, scratch)
         rest = tiles.where("node != pivot").join(roots, "node", "left").select("tile", "node", F.coalesce("root", "node").alias("label"))
         mixed = rest.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("tile")
         rest = scratch.put(rest.join(mixed, "tile"), "rest")
-        more = scratch.put(block_links(rest, arrays, percent), "more")
-    scratch.drop(arrays)
-    if not more.isEmpty():
-        roots = components(links.union(more), scratch)
+        blocks = scratch.put(able_blocks(rest, nodes, percent), "blocks")
+        scratch.free()
+        if not blocks.isEmpty():
+            arrays = arrays_of(blocks.select("node").distinct())
+            scratch.free()
+            more = scratch.put(block_links(blocks, arrays, percent), "more")
+            scratch.drop(arrays)
+            roots = components(links.union(more), scratch)
+        scratch.free()
     classes = nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("id").alias("component_id"))
     classes = scratch.put(classes.join(smallest, "root").select("node", "component_id"), "classes")
@@ -336,7 +421,8 @@ def op1_ngram_jaccard(spark, sf_dir):
 
 SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS ws FROM documents),
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS ws FROM documents),
 s AS (
   SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
     ELSE list_distinct(list_transform(generate_series(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS sh FROM w),

@@ -176,3 +176,64 @@ def test_header_option_and_empty_list_views(spark, tmp_path):
     assert views["word"] == "The list of blocked words are:\na,\nb"
     # the regex view tests its own list for emptiness (Q7)
     assert views["regex"] == "The list of blocked regex expressions are:\nThere are currently no regex expressions blocked."
+
+
+def test_header_option_skips_first_lines_only(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("text,label\nx,age\ntext,label\n")
+    (tmp_path / "b.csv").write_text("text,label\n \"q, \\ y,not_cyberbullying\n")
+    got = sorted(tuple(r) for r in EV.read_labeled_posts(spark, str(tmp_path), header=True).collect())
+    assert got == [(' "q, \\ y', "not_cyberbullying", False), ("text", "label", True), ("x", "age", True)]
+    assert EV.read_labeled_posts(spark, str(tmp_path)).count() == 5
+
+
+def test_multiline_labelled_posts(spark, tmp_path):
+    (tmp_path / "m.csv").write_text('post,label\n"two\nlines, ""quoted""",age\nplain,not_cyberbullying\n')
+    got = sorted(tuple(r) for r in EV.read_labeled_posts(spark, str(tmp_path), header=True, multiline=True).collect())
+    assert got == [("plain", "not_cyberbullying", False), ('two\nlines, "quoted"', "age", True)]
+
+
+def test_removal_without_time_ends_its_own_version(spark):
+    log = spark.createDataFrame(
+        [(1, "2024-01-01", "word", "add", "bad"), (2, None, "word", "remove", "bad"), (2_500_000, "2025-01-01", "word", "remove", "bad")],
+        "edit_seq long, at string, list_kind string, op string, content string").withColumn("edited_at", F.col("at").cast("timestamp_ntz"))
+    got = [(str(r.valid_from), r.valid_to) for r in L.versions(log.drop("at")).collect()]
+    assert got == [("2024-01-01 00:00:00", None)]
+
+
+def test_list_as_of_across_blocks_and_ties(spark):
+    log = spark.createDataFrame(
+        [(1, "2024-01-05 10:00:00", "word", "add", "bad"), (2, "2024-01-09 10:00:00", "word", "remove", "bad"),
+         (3, "2024-01-09 10:00:00", "word", "add", "Bad"), (4, "2024-02-01 00:00:00", "word", "remove", "bad"), (5, None, "word", "add", "old")],
+        "edit_seq long, at string, list_kind string, op string, content string").withColumn("edited_at", F.col("at").cast("timestamp_ntz"))
+    times = ["2024-01-05 09:59:59", "2024-01-05 10:00:00", "2024-01-09 10:00:00", "2024-01-31 23:00:00", "2024-02-01 00:00:00"]
+    msgs = spark.createDataFrame([(i, t, "so bad and old") for i, t in enumerate(times)], "message_id long, t string, lowered string")
+    msgs = msgs.select("message_id", "lowered", F.col("t").cast("timestamp_ntz").alias("created_at"))
+    got = sorted(tuple(r) for r in L.list_as_of(msgs, L.list_changes(log.drop("at"))).collect())
+    assert got == [(0, "old"), (1, "bad"), (1, "old"), (2, "bad"), (2, "old"), (3, "bad"), (3, "old"), (4, "old")]
+
+
+def test_pairs_and_running_totals_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(EV, "RUN_BLOCK", 7)
+    posts = spark.range(300).select(F.col("id").alias("post_id"), (F.col("id") % 3 == 0).alias("is_positive"), (F.col("id") % 5 == 0).alias("p"))
+    pairs = EV.balanced_pairs(posts, None, EV.hash_key("post_id", 1), carry=["p"]).orderBy("pair_idx").collect()
+    assert [r.pair_idx for r in pairs] == list(range(1, 101))
+    assert all(r.pos_id % 3 == 0 and r.neg_id % 3 for r in pairs)
+    few = EV.balanced_pairs(posts, 9, EV.hash_key("post_id", 1)).orderBy("pair_idx").collect()
+    assert [(r.pos_id, r.neg_id) for r in few] == [(r.pos_id, r.neg_id) for r in pairs[:9]]
+    preds = spark.createDataFrame([(0, r.pair_idx, r.pos_p, r.neg_p) for r in pairs], "variant int, pair_idx long, pos_pred boolean, neg_pred boolean")
+    got = {r.pair_idx: (r.tp, r.tn, r.fp, r.fn) for r in EV.running_confusion(preds, 50).collect()}
+    assert set(got) == {25, 50, 75, 100}
+    for k, v in got.items():
+        tp, fp = sum(r.pos_p for r in pairs[:k]), sum(r.neg_p for r in pairs[:k])
+        assert v == (tp, k - fp, fp, k - tp)
+
+
+def test_word_scorer_prefers_abusive_words(spark):
+    from tidewatch.operators import scorer as SC
+    posts = spark.createDataFrame([("you fool fool", True), ("fool again", True), ("a fine day", False), ("fine words", False), (None, None)], "post string, y boolean")
+    w = SC.fit_word_weights(posts, "post", "y")
+    texts = spark.createDataFrame([(1, "such a FOOL"), (2, "a fine thing"), (3, "unseen"), (4, None)], "message_id long, content string")
+    got = {r.message_id: r.score for r in SC.score_texts(texts, w, "message_id", "content").collect()}
+    assert got[1] > 0.5 > got[2] and got[3] == got[4] == 0.5
+    dec = {r.message_id: r.score for r in D.evaluate(texts, [], [], [], scorer=SC.word_scorer(w)).collect()}
+    assert dec == {1: 0.5, 2: 0.0, 3: 0.0, 4: 0.0}

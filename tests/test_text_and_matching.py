@@ -146,3 +146,30 @@ def test_evaluate_cleans_terms(spark):
     for terms in (["", "  ", "Idiot "], spark.createDataFrame([("",), (" Idiot",)], "term string")):
         got = {r.message_id: (r.score, r.stage) for r in D.evaluate(df, terms, [], []).collect()}
         assert got == {1: (1.0, "term"), 2: (0.0, "none")}
+
+
+def test_folding_of_evasions(spark):
+    cases = {"i\u0301di\u0308ot": "idiot", "ｉｄｉｏｔ": "idiot", "𝓲𝓭𝓲𝓸𝓽": "idiot", "ⓘⓓiot": "idiot", "идиот": "idiot", "ΙΔΙΟΤ": "IDIOT",
+             "Ёж и щука": "Ezh i shchuka", "ﬁne": "fine", "日本": "日本", "Ærø": "AEro", "naïve 😀": "naive 😀"}
+    df = spark.createDataFrame([(k,) for k in cases], "content string")
+    got = {r.content: r.folded for r in TX.with_normalized(df).collect()}
+    assert got == cases
+    from tidewatch.functions.folding import fold_python
+    assert {k: fold_python(k) for k in cases} == cases
+
+
+def test_sinks_append_and_stream(spark, scratch):
+    import os
+    from tidewatch.sources import io as IO
+    for write, name in ((IO.write_reports, "reports"), (IO.write_notifications, "notices"), (IO.write_decisions, "decisions")):
+        out = os.path.join(scratch, name)
+        rows = spark.range(5).select(F.col("id").alias("report_id"), (F.col("id") % 2).alias("day"))
+        write(rows, out)
+        write(rows.limit(2), out)
+        assert spark.read.parquet(out).count() == 7
+        src, live = os.path.join(scratch, name + "_in"), os.path.join(scratch, name + "_live")
+        rows.write.parquet(src)
+        q = write(spark.readStream.schema(rows.schema).parquet(src), live, os.path.join(scratch, name + "_ck"))
+        q.processAllAvailable()
+        q.stop()
+        assert sorted(r.report_id for r in spark.read.parquet(live).collect()) == [0, 1, 2, 3, 4]

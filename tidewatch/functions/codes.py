@@ -2,7 +2,6 @@
 
 REPORT_CATEGORIES = {1: "Harassment", 2: "Spam", 3: "Fraud", 4: "Graphic/Violent Content, Gore",
                      5: "Imminent Danger", 6: "Other"}
-TARGETS = {1: "Against Myself", 2: "Against Someone Else", 3: "Against a group of people"}
 IMMINENT_DANGER_CATEGORIES = {1: "Credible threat of violence", 2: "Self-harm or suicidal intent",
                               3: "Doxxing"}
 HARASSMENT_CATEGORIES = {1: "Organizing of Harassment", 2: "Misinformation/Impersonation",

@@ -63,14 +63,6 @@ def fold_multi(col) -> Column:
     return F.when(c.rlike(guard), replaced).otherwise(c)
 
 
-def normalize_text(col) -> Column:
-    """struct(stripped, folded, lowered) — the three forms evaluation uses."""
-    stripped = strip_ws(col)
-    folded = fold_ascii(stripped)
-    return F.struct(stripped.alias("stripped"), folded.alias("folded"),
-                    F.lower(folded).alias("lowered"))
-
-
 def with_normalized(df, text_col: str = "content"):
     """Add ``stripped``, ``folded`` and ``lowered`` columns.
 
@@ -114,11 +106,3 @@ def decode_choice(col, codes: dict[int, str]) -> Column:
     n = max(codes)
     m = F.create_map(*[x for k in sorted(codes) for x in (F.lit(k), F.lit(codes[k]))])
     return F.try_element_at(m, choice_number(col, n))
-
-
-def split_lines(col) -> Column:
-    """``str.splitlines()`` as an array (the one trailing empty piece dropped)."""
-    parts = F.split(_c(col), r"\R", -1)
-    return F.when(F.element_at(parts, -1) == "",
-                  F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-                  ).otherwise(parts)

@@ -1,18 +1,20 @@
 """Classifier-quality measurement (O-A2, O-H1..H7).
 
-Samples are bounded by design (at most ``n`` pairs / rows): each class is
-reduced with a top-n (every partition keeps its n best, one task merges
-n x partitions rows), so the only window runs over the bounded sample and
-no task ever sorts a whole class.
+Ranks and running totals over all rows are taken in blocks: each block is
+ranked or summed on its own, and the totals of the blocks before are carried
+over, so no task orders a whole class.  ``random_sample`` and an explicit
+``n`` of ``balanced_pairs`` are top-n (every partition keeps its n best).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The label that marks a post as not abusive.
 NEGATIVE_LABEL = "not_cyberbullying"
+# A character that separates nothing: files hold no such control character.
+NO_SEPARATOR = "\x01"
 # The four ensemble variants, in reporting order.
 ENSEMBLE_VARIANTS = [(0, "and"), (1, "attribute"), (2, "chat"), (3, "or")]
 
@@ -32,23 +34,28 @@ def parse_labeled_lines(df: DataFrame, col: str = "value",
 
 
 def read_labeled_posts(spark, path: str, negative: str = NEGATIVE_LABEL,
-                       header: bool = False) -> DataFrame:
-    """O-A2: a line file of ``post,label`` records.
+                       header: bool = False, multiline: bool = False) -> DataFrame:
+    """O-A2: files of ``post,label`` records, one per line.
 
-    ``header=True`` skips the first line (by default it is read as a post,
-    like any other line).  Line ends (``\\n`` or ``\\r\\n``) are removed.
+    ``header=True`` skips the first line of each file (by default it is read
+    as a post, like any other line).  Line ends (``\\n`` or ``\\r\\n``) are
+    removed.  ``multiline=True`` reads quoted CSV whose posts may hold line
+    ends.
     """
-    lines = spark.read.text(path)
-    if header:
-        first = lines.limit(1).collect()
-        if first:
-            lines = lines.where(F.col("value") != F.lit(first[0][0]))
+    if multiline:
+        rows = spark.read.csv(path, schema="post string, label string", header=header, multiLine=True, escape='"')
+        return rows.where("label is not null").withColumn("is_positive", F.col("label") != F.lit(negative))
+    # the reader itself skips each file's first line; a separator that no
+    # text holds keeps every line whole
+    lines = spark.read.csv(path, schema="value string", header=header, sep=NO_SEPARATOR, quote="", escape="",
+                           ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, enforceSchema=True)
     return parse_labeled_lines(lines, "value", negative).select("post", "label", "is_positive")
 
 
-def seeded_key(id_col: str, seed: int) -> Column:
-    """Default shuffle order: a seeded 64-bit hash of the row id."""
-    return F.xxhash64(F.col(id_col), F.lit(seed))
+def hash_key(id_col: str, seed: int) -> Column:
+    """Seeded shuffle order: 60 bits of an MD5 hash of id and seed."""
+    text = F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
 def drop_failed(preds: DataFrame, score_cols: list[str]) -> DataFrame:
@@ -61,34 +68,39 @@ def random_sample(posts: DataFrame, n: int, order: Column, id_col: str = "post_i
     return posts.withColumn("_k", order).orderBy("_k", id_col).limit(n).drop("_k")
 
 
-def balanced_pairs(posts: DataFrame, n: int, order: Column, id_col: str = "post_id",
+RANK_BITS, BIN_BITS = 60, 16
+RUN_BLOCK = 4096
+
+
+def balanced_pairs(posts: DataFrame, n: int | None, order: Column, id_col: str = "post_id",
                    label_col: str = "is_positive", carry: list[str] | None = None) -> DataFrame:
-    """O-H1: pair the i-th positive with the i-th negative, at most n pairs.
+    """O-H1: pair the i-th positive with the i-th negative (at most ``n``
+    pairs if given, else all).
 
-    Pairs = min(#positive, #negative, n).  Output ``pair_idx, pos_id, neg_id``
-    plus ``pos_<c>`` / ``neg_<c>`` for every carried column, so per-post
-    predictions travel with the bounded sample instead of being joined back.
+    Pairs = min(#positive, #negative).  Output ``pair_idx, pos_id, neg_id``
+    plus ``pos_<c>`` / ``neg_<c>`` for every carried column.  ``order`` is a
+    uniform key of ``RANK_BITS`` bits: its leading bits are the block of a
+    row, whose rank is its place there plus the size of the blocks before.
     """
-    keyed = posts.withColumn("_k", order)
     carry = carry or []
+    keyed = posts.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_pos"), *carry, order.alias("_k"))
+    if n is not None:
+        keyed = (keyed.where("_pos").orderBy("_k", "_id").limit(n)
+                 .unionByName(keyed.where("not _pos").orderBy("_k", "_id").limit(n)))
+    keyed = keyed.withColumn("_bin", F.shiftright("_k", RANK_BITS - BIN_BITS))
+    before = Window.partitionBy("_pos").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = keyed.groupBy("_pos", "_bin").agg(F.count("*").alias("_n"))
+    sizes = sizes.select("_pos", "_bin", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_pos", "_bin").orderBy("_k", "_id"))
+    ranked = keyed.withColumn("_own", own).join(sizes, ["_pos", "_bin"]).withColumn("pair_idx", F.col("_own") + F.col("_before"))
 
     def side(flag: bool, prefix: str) -> DataFrame:
-        top = (keyed.where(F.col(label_col) == F.lit(flag))
-               .orderBy("_k", id_col).limit(n))
-        idx = F.row_number().over(_bounded_window("_k", id_col))
-        return top.select(idx.alias("pair_idx"), F.col(id_col).alias(f"{prefix}_id"),
-                          *[F.col(c).alias(f"{prefix}_{c}") for c in carry])
+        return ranked.where(F.col("_pos") == F.lit(flag)).select(
+            "pair_idx", F.col("_id").alias(f"{prefix}_id"), *[F.col(c).alias(f"{prefix}_{c}") for c in carry])
 
     return side(True, "pos").join(side(False, "neg"), "pair_idx")
 
 
-def _bounded_window(*order):
-    from pyspark.sql import Window
-    # The input is a top-n result (at most n rows), so one ordered
-    # partition is bounded by n.
-    return Window.orderBy(*order)
-
-
 def threshold_variants(scored: DataFrame, score_col: str, variants: dict[str, list],
                        id_col: str = "post_id") -> DataFrame:
     """O-H3: any-attribute-over-threshold prediction per threshold set."""
@@ -122,15 +134,16 @@ def running_confusion(pair_preds: DataFrame, every: int = 50) -> DataFrame:
     """O-H6: cumulative counters after each pair, kept whenever the total
     number of judged posts is a multiple of ``every``.
 
-    ``pair_preds(variant, pair_idx, pos_pred, neg_pred)`` comes from the
-    bounded pair sample, so the per-variant window is bounded too.
+    ``pair_preds(variant, pair_idx, pos_pred, neg_pred)`` is summed in blocks
+    of ``RUN_BLOCK`` pairs; the sums of the blocks before are carried over.
     """
-    from pyspark.sql import Window
-    w = Window.partitionBy("variant").orderBy("pair_idx").rowsBetween(Window.unboundedPreceding, 0)
-    run = pair_preds.select(
-        "variant", "pair_idx",
-        F.sum(F.col("pos_pred").cast("int")).over(w).alias("tp"),
-        F.sum((~F.col("neg_pred")).cast("int")).over(w).alias("tn"),
-        F.sum(F.col("neg_pred").cast("int")).over(w).alias("fp"),
-        F.sum((~F.col("pos_pred")).cast("int")).over(w).alias("fn"))
+    counters = {"tp": F.col("pos_pred"), "tn": ~F.col("neg_pred"), "fp": F.col("neg_pred"), "fn": ~F.col("pos_pred")}
+    rows = pair_preds.select("variant", "pair_idx", F.floor((F.col("pair_idx") - 1) / RUN_BLOCK).alias("_blk"),
+                             *[c.cast("int").alias(k) for k, c in counters.items()])
+    sums = rows.groupBy("variant", "_blk").agg(*[F.sum(k).alias(k) for k in counters])
+    before = Window.partitionBy("variant").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = sums.select("variant", "_blk", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"_{k}") for k in counters])
+    upto = Window.partitionBy("variant", "_blk").orderBy("pair_idx").rowsBetween(Window.unboundedPreceding, 0)
+    run = rows.join(carry, ["variant", "_blk"]).select(
+        "variant", "pair_idx", *[(F.col(f"_{k}") + F.sum(k).over(upto)).alias(k) for k in counters])
     return run.where(((F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")) % every) == 0)

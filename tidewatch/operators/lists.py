@@ -82,13 +82,14 @@ def neighbour(df: DataFrame, keys: list[str], value: str, out: str, direction: s
     order = [F.col("edit_seq"), F.col("line_no")]
     w_in = Window.partitionBy(*keys, "_blk").orderBy(*order)
     step = F.lag if direction == "lag" else F.lead
-    v = v.withColumn("_in", step(value).over(w_in))
+    # values travel in a struct: a row whose value is null is still a row
+    v = v.withColumn("_in", step(F.struct(value)).over(w_in))
     edge = F.max_by if direction == "lag" else F.min_by
-    ends = v.groupBy(*keys, "_blk").agg(edge(value, F.struct(*order)).alias("_edge"))
+    ends = v.groupBy(*keys, "_blk").agg(edge(F.struct(value), F.struct(*order)).alias("_edge"))
     w_blk = Window.partitionBy(*keys).orderBy("_blk")
     carry = ends.select(*keys, "_blk", step("_edge").over(w_blk).alias("_carry"))
     v = v.join(carry, keys + ["_blk"], "left")
-    return v.withColumn(out, F.coalesce("_in", "_carry")).drop("_blk", "_in", "_carry")
+    return v.withColumn(out, F.coalesce("_in", "_carry")[value]).drop("_blk", "_in", "_carry")
 
 
 def previous_op(lines: DataFrame) -> DataFrame:
@@ -143,7 +144,8 @@ def versions(edits: DataFrame, seed_words: list[str] | None = None) -> DataFrame
     """Validity intervals ``[valid_from, valid_to)`` of every list item.
 
     An item becomes live at an ``added`` line and leaves at the next
-    ``removed`` line for it (null end = still live).
+    ``removed`` line for it (null end = still live, or removed at no known
+    time).
     """
     st = apply_edits(edits, seed_words).where(F.col("status").isin("added", "removed"))
     nxt = neighbour(st, ["list_kind", "item"], "edited_at", "_end", "lead")
@@ -166,20 +168,39 @@ def candidate_words(edits: DataFrame, seed_words: list[str] | None = None) -> Da
     return words.distinct()
 
 
-def list_as_of(msgs: DataFrame, word_versions: DataFrame, time_col: str = "created_at",
-               text_col: str = "lowered", candidates: DataFrame | None = None) -> DataFrame:
+def list_changes(edits: DataFrame, seed_words: list[str] | None = None) -> DataFrame:
+    """``term, at, seq, live``: each word line that adds or removes, as it is
+    (repeated adds change nothing); a line without a time counts from the
+    beginning."""
+    lines = with_seed(edit_lines(edits), seed_words).where(F.col("valid") & (F.col("list_kind") == "word"))
+    return lines.select(F.col("item").alias("term"), F.col("edited_at").alias("at"),
+                        F.struct("edit_seq", "line_no").alias("seq"), (F.col("op") == "add").alias("live"))
+
+
+def list_as_of(msgs: DataFrame, changes: DataFrame, time_col: str = "created_at",
+               text_col: str = "lowered", block: str = "DAY") -> DataFrame:
     """O-E6: (message, term) hits judged by the list as it stood on arrival.
 
-    Messages are matched once against every term that was ever listed (a
-    bounded vocabulary; ``candidates`` when given), carrying their arrival
-    time, then the few hits are joined to the versions on the term with the
-    interval condition.  The versions side is an aggregate of the edit log,
-    broadcast by adaptive execution from its measured size.
+    Messages are matched once against every term that was ever listed.  Hits
+    and list changes of a term are put in order of time, and each hit takes
+    the last change before it: within blocks of ``block`` length first, then
+    across blocks from the last change of each, so neither a term that is
+    listed often nor one that hits often is ordered by one task, and no hit
+    meets more than one change.
     """
-    terms = candidates if candidates is not None else \
-        word_versions.select(F.col("item").alias("term")).distinct()
-    hits = term_hits(msgs, terms, text_col, keep=[time_col])
-    v = word_versions.select(F.col("item").alias("term"), "valid_from", "valid_to")
-    cond = ((F.col("valid_from").isNull() | (F.col(time_col) >= F.col("valid_from"))) &
-            (F.col("valid_to").isNull() | (F.col(time_col) < F.col("valid_to"))))
-    return hits.join(v, "term").where(cond).select("message_id", "term").distinct()
+    hits = term_hits(msgs, changes.select("term").distinct(), text_col, keep=[time_col])
+    first = F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")
+    both = hits.select("term", F.col(time_col).cast("timestamp_ntz").alias("at"), "message_id",
+                       F.lit(None).cast(changes.schema["seq"].dataType).alias("seq"), F.lit(None).cast("boolean").alias("live"))
+    both = both.unionByName(changes.select("term", F.coalesce(F.col("at").cast("timestamp_ntz"), first).alias("at"),
+                                           F.lit(None).cast("bigint").alias("message_id"), "seq", "live"))
+    both = both.withColumn("_blk", F.date_trunc(block, "at"))
+    last = both.where("live is not null").groupBy("term", "_blk").agg(F.max_by("live", F.struct("at", "seq")).alias("_live"))
+    touched = both.select("term", "_blk").distinct().join(last, ["term", "_blk"], "left")
+    earlier = Window.partitionBy("term").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = touched.select("term", "_blk", F.last("_live", ignorenulls=True).over(earlier).alias("_carry"))
+    upto = (Window.partitionBy("term", "_blk").orderBy("at", F.col("seq").asc_nulls_last())
+            .rowsBetween(Window.unboundedPreceding, 0))
+    state = both.join(carry, ["term", "_blk"]).withColumn(
+        "_on", F.coalesce(F.last("live", ignorenulls=True).over(upto), "_carry", F.lit(False)))
+    return state.where("message_id is not null and _on").select("message_id", "term").distinct()

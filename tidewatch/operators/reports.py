@@ -36,6 +36,24 @@ def new_reports(done: DataFrame, msgs: DataFrame, reporter_name: Column) -> Data
             .drop("created_at"))
 
 
+def auto_report_rows(auto: DataFrame, msgs: DataFrame) -> DataFrame:
+    """O-F9: automatic reports (from the cascade) in the report schema, so
+    that they are posted, rendered and folded like the others.  They are
+    filed when the message arrives, by no user, and block nobody."""
+    none = F.lit(None).cast("string")
+    m = msgs.select("message_id", "author_name", "created_at", "content", "jump_url")
+    return (auto.join(m, "message_id")
+            .withColumn("report_created_at", F.col("created_at"))
+            .withColumnRenamed("created_at", "message_created_at")
+            .withColumn("reporter_id", F.lit(None).cast("bigint"))
+            .withColumn("report_seq", F.lit(None).cast("bigint")).withColumn("position", F.lit(0))
+            .withColumn("parent_id", none).withColumn("harassment_type", none).withColumn("imminent_danger", none)
+            .withColumn("multiple_harassers", F.lit(None).cast("boolean"))
+            .withColumn("other_message_ids", F.array().cast("array<bigint>"))
+            .withColumn("safety_mode", F.lit(False)).withColumn("block_requested", F.lit(False))
+            .withColumn("block_user", F.array().cast("array<string>")))
+
+
 def expand_related(reports: DataFrame, msgs: DataFrame) -> DataFrame:
     """O-F5: every extra message becomes its own report, copying type,
     subtype and safety; it blocks its own author iff the parent blocked."""

@@ -392,7 +392,6 @@ pairs AS (
   FROM (SELECT *, row_number() OVER (ORDER BY k, post_id) AS pair_idx FROM kept WHERE is_positive) p
   JOIN (SELECT *, row_number() OVER (ORDER BY k, post_id) AS pair_idx FROM kept WHERE NOT is_positive) n
     USING (pair_idx)
-  WHERE pair_idx <= 500
 ),
 pair_preds AS (
   SELECT pair_idx, 0 AS variant, pa AND pc AS pos_pred, na AND nc AS neg_pred FROM pairs UNION ALL
@@ -415,7 +414,7 @@ def q_drop_failed(spark, sf_dir):
 @S.shared
 def _pairs(spark, sf_dir):
     sp = scored_posts(spark, sf_dir)
-    pairs = EV.balanced_pairs(sp, 500, S.order_key("post_id"))
+    pairs = EV.balanced_pairs(sp, None, S.order_key("post_id"))
     return sp, pairs
 
 
@@ -449,7 +448,7 @@ def q_ensemble_variants(spark, sf_dir):
 @S.shared
 def pair_predictions(spark, sf_dir) -> DataFrame:
     sp = scored_posts(spark, sf_dir)
-    j = EV.balanced_pairs(sp, 500, S.order_key("post_id"), carry=["attr_pred", "chat_pred"])
+    j = EV.balanced_pairs(sp, None, S.order_key("post_id"), carry=["attr_pred", "chat_pred"])
     pa, pc, na, nc = (F.col(c) for c in ("pos_attr_pred", "pos_chat_pred", "neg_attr_pred", "neg_chat_pred"))
     arr = F.array(
         F.struct(F.lit(0).alias("variant"), (pa & pc).alias("pos_pred"), (na & nc).alias("neg_pred")),
@@ -490,14 +489,61 @@ def q_running_confusion(spark, sf_dir):
   CAST(count_if(v_low AND NOT is_positive) AS BIGINT) AS fp,
   CAST(count_if(NOT v_low AND NOT is_positive) AS BIGINT) AS tn,
   CAST(count_if(NOT v_low AND is_positive) AS BIGINT) AS fn
-FROM (SELECT * FROM kept ORDER BY k, post_id LIMIT 1000) s""")
+FROM kept""")
 def q_sample_confusion(spark, sf_dir):
-    sample = EV.random_sample(scored_posts(spark, sf_dir), 1000, S.order_key("post_id"))
-    preds = sample.select("is_positive", F.lit("low").alias("variant"),
+    preds = scored_posts(spark, sf_dir).select("is_positive", F.lit("low").alias("variant"),
                           RP.any_over("attr_scores", RP.EVAL_THRESHOLDS_LOW).alias("pred"))
     return EV.confusion(preds, ["variant"])
 
 
+# ------------------------------------------------- scorer on the texts ----
+
+from ..operators import scorer as SC  # noqa: E402
+
+# Cut-offs of the word scorer that are measured.
+MODEL_CUTOFFS = [0.3, 0.5, 0.7]
+
+
+@S.shared
+def word_weights(spark, sf_dir) -> DataFrame:
+    return SC.fit_word_weights(labeled_posts(spark, sf_dir), "post", "is_positive")
+
+
+@register("fit_word_weights", Q.with_(Q.LINES, Q.WORD_WEIGHTS) + "SELECT word, weight FROM weights")
+def q_fit_word_weights(spark, sf_dir):
+    return word_weights(spark, sf_dir)
+
+
+@register("score_texts", Q.with_(Q.MESSAGES, Q.LINES, Q.WORD_WEIGHTS, Q.text_scores_cte("scored", "messages", "message_id", "content"))
+          + "SELECT message_id, score FROM scored")
+def q_score_texts(spark, sf_dir):
+    return SC.score_texts(S.messages(spark, sf_dir), word_weights(spark, sf_dir), "message_id", "content")
+
+
+@register("model_confusion", Q.with_(Q.LINES, Q.WORD_WEIGHTS, Q.text_scores_cte("scored", "posts", "post_id", "post"))
+          + f"""SELECT variant, CAST(count_if(score > variant AND is_positive) AS BIGINT) AS tp,
+  CAST(count_if(score > variant AND NOT is_positive) AS BIGINT) AS fp,
+  CAST(count_if(NOT score > variant AND NOT is_positive) AS BIGINT) AS tn,
+  CAST(count_if(NOT score > variant AND is_positive) AS BIGINT) AS fn
+FROM scored JOIN posts USING (post_id), (SELECT unnest({MODEL_CUTOFFS})::DOUBLE AS variant) v GROUP BY variant""")
+def q_model_confusion(spark, sf_dir):
+    posts = labeled_posts(spark, sf_dir)
+    scored = SC.score_texts(posts, word_weights(spark, sf_dir), "post_id", "post").join(posts.select("post_id", "is_positive"), "post_id")
+    cutoffs = F.array(*[F.struct(F.lit(c).alias("variant"), (F.col("score") > F.lit(c)).alias("pred")) for c in MODEL_CUTOFFS])
+    return EV.confusion(scored.select("is_positive", F.inline(cutoffs)), ["variant"])
+
+
+@register("evaluate_with_model", Q.with_(Q.MESSAGES, Q.NORM, Q.TERM_HITS, Q.FIRST_TERM, Q.regex_hits_cte(), Q.LINES, Q.WORD_WEIGHTS,
+                                         Q.text_scores_cte("scored", "messages", "message_id", "content"))
+          + f"""SELECT n.message_id, CAST(CASE WHEN t.term IS NOT NULL OR r.pattern IS NOT NULL OR {Q.pii_sql('n.folded')} THEN 1
+    WHEN s.score > {dict(RP.PRODUCTION_THRESHOLDS)[SC.MODEL_ATTRIBUTE]} THEN 0.5 ELSE 0 END AS DOUBLE) AS score
+FROM norm n LEFT JOIN first_term t USING (message_id) LEFT JOIN first_regex r USING (message_id) JOIN scored s USING (message_id)""")
+def q_evaluate_with_model(spark, sf_dir):
+    msgs = S.messages(spark, sf_dir).select("message_id", "content")
+    scorer = SC.word_scorer(word_weights(spark, sf_dir))
+    return D.evaluate(msgs, S.TEST_TERMS, S.TEST_PATTERNS, S.TEST_PII_RULES, scorer=scorer).select("message_id", "score")
+
+
 # ----------------------------------------------------- actions, strikes ----
 
 from ..operators import actions as AC  # noqa: E402
@@ -707,10 +753,8 @@ SELECT DISTINCT n.message_id, v.term FROM norm n JOIN vers v ON instr(n.lowered,
 WHERE (v.valid_from IS NULL OR n.created_at >= v.valid_from)
   AND (v.valid_to IS NULL OR n.created_at < v.valid_to)""")
 def q_list_as_of(spark, sf_dir):
-    edits = S.list_edits(spark, sf_dir)
-    vers = L.versions(edits, S.TEST_TERMS).where(F.col("list_kind") == "word")
     msgs = normalized_messages(spark, sf_dir).select("message_id", "created_at", "lowered")
-    return L.list_as_of(msgs, vers, candidates=L.candidate_words(edits, S.TEST_TERMS))
+    return L.list_as_of(msgs, L.list_changes(S.list_edits(spark, sf_dir), S.TEST_TERMS))
 
 
 # --------------------------------------------------- dialogs and reports ----
@@ -919,6 +963,36 @@ def q_format_report(spark, sf_dir):
     return RE.format_report(full_reports(spark, sf_dir))
 
 
+def _auto_report_sql() -> str:
+    emoji = (f"CASE WHEN coalesce(CAST(floor(c.c_acctbal) AS BIGINT), {RE.DEFAULT_FOLLOWERS}) > {RE.LARGE_ACCOUNT_FOLLOWERS} "
+             f"THEN '{RE.STRIKE_LARGE}' ELSE '{RE.STRIKE_SMALL}' END")
+    lines = [
+        "'Report ' || substr(sha256('auto|' || CAST(e.message_id AS VARCHAR)), 1, 32) || ' at time ' || strftime(m.created_at, '%Y-%m-%d %H:%M:%S') || ':'",
+        "chr(9) || 'Reported message:'",
+        "chr(9) || m.author_name || ': \"' || m.content || '\"'",
+        "chr(9) || 'Link:' || m.jump_url",
+        f"chr(9) || 'Reporter: {D.AUTO_REPORTER}'",
+        f"chr(9) || 'Abuse Type: {D.AUTO_TYPE}'",
+        f"chr(9) || chr(9) || 'Abuse Type Details: ' || CASE WHEN e.chat_flag THEN '{D.DETAIL_CHAT}' ELSE '{D.DETAIL_ATTR_PREFIX}' || e.attribute || '{D.DETAIL_ATTR_SUFFIX}' END",
+        "chr(9) || 'Has reporter turned on safety mode: False'",
+        "chr(9) || 'Has reporter blocked message sender: False'",
+        "'Press ⏱️ to place abuser under slow mode.'",
+        "'Press 🗑️ to delete the message.'",
+        f"'Press ' || {emoji} || ' to send strike and warning to abuser.'",
+        "'Press ❌ to ban abuser.'",
+        "'Press ⬆️ to escalate to a specialized team that handles organized harassment'",
+    ]
+    text = " || chr(10) || ".join(lines)
+    return _EVAL_SQL + f"""SELECT substr(sha256('auto|' || CAST(e.message_id AS VARCHAR)), 1, 32) AS report_id, {text} AS report_text
+FROM evaluated e JOIN messages m USING (message_id) LEFT JOIN customer c ON c.c_name = m.author_name WHERE e.score = 0.5"""
+
+
+@register("format_auto_report", _auto_report_sql())
+def q_format_auto_report(spark, sf_dir):
+    auto = RE.auto_report_rows(D.auto_reports(evaluated_messages(spark, sf_dir)), S.messages(spark, sf_dir))
+    return RE.format_report(RE.account_size(auto, S.accounts(spark, sf_dir)))
+
+
 @register("acknowledge_report", Q.with_(Q.ACTIONS) + f"""SELECT report_id,
   {Q.lit('Thank you for reporting ')} || abuse_type || '. Your report has been filed as report ' || report_id
   || {Q.lit('.' + chr(10) + 'We will notify you when your report has been reviewed and appropriate actions has been taken.' + chr(10))}

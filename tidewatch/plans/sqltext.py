@@ -197,7 +197,31 @@ posts AS (
 
 
 def order_key_sql(idc: str) -> str:
-    return f"(({idc} % 1000003) * 7919 + {S.SEED}) % 1000003"
+    return f"CAST(('0x' || substr(md5(CAST({idc} AS VARCHAR) || ':{S.SEED}'), 1, 15)) AS BIGINT)"
+
+
+# the word scorer: counts per word, log-odds in thousandths, mean per text
+WORD_WEIGHTS = """
+post_words AS (
+  SELECT p.post_id, p.is_positive AS y, unnest(list_distinct(regexp_extract_all(lower(p.post), '[a-z]+'))) AS word FROM posts p
+),
+word_counts AS (SELECT word, count_if(y) AS pos, count_if(NOT y) AS neg FROM post_words GROUP BY word),
+word_totals AS (SELECT sum(pos) AS p, sum(neg) AS n, count(*) AS v FROM word_counts),
+weights AS (
+  SELECT word, CAST(round((ln((pos + 1)::DOUBLE / (neg + 1)::DOUBLE) + ln((n + v)::DOUBLE / (p + v)::DOUBLE)) * 1000) AS BIGINT) AS weight
+  FROM word_counts, word_totals
+)"""
+
+
+def text_scores_cte(name: str, src: str, idc: str, text: str) -> str:
+    return f"""
+{name} AS (
+  SELECT t.{idc}, round(coalesce(1 / (1 + exp(-s.logit * 10)), 0.5::DOUBLE), 6) AS score
+  FROM {src} t LEFT JOIN (
+    SELECT w.{idc}, sum(x.weight)::DOUBLE / (count(*) * 1000)::DOUBLE AS logit
+    FROM (SELECT {idc}, unnest(list_distinct(regexp_extract_all(lower({text}), '[a-z]+'))) AS word FROM {src}) w
+    JOIN weights x ON x.word = w.word GROUP BY w.{idc}) s ON s.{idc} = t.{idc}
+)"""
 
 
 ACTIONS = f"""

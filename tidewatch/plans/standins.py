@@ -187,8 +187,9 @@ def labeled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_key(id_col: str = "post_id"):
-    """Seeded shuffle order both engines can compute (a modular permutation)."""
-    return ((F.col(id_col) % 1000003) * 7919 + SEED) % 1000003
+    """Seeded shuffle order both engines can compute (a 60-bit hash)."""
+    from ..operators.evaluate import hash_key
+    return hash_key(id_col, SEED)
 
 
 # ------------------------------------------------------ actions, reports ----

@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Account size limit and the strike reaction offered per size.
@@ -21,19 +21,23 @@ def uuid_like(*cols) -> Column:
                        h.substr(21, 12))
 
 
-def new_reports(done: DataFrame, msgs: DataFrame, reporter_name: Column) -> DataFrame:
-    """O-F1: report rows with id, times and all moderation flags false."""
-    m = msgs.select("message_id", "author_name", "created_at", "content", "jump_url")
-    return (done.join(m, "message_id", "left")
-            .withColumn("report_id", uuid_like("author_id", "start_seq"))
+def new_reports(done: DataFrame, reporter_name: Column) -> DataFrame:
+    """O-F1: report rows with id, filing order and all moderation flags
+    false; the message columns come with ``attach_messages``."""
+    return (done.withColumn("report_id", uuid_like("author_id", "start_seq"))
             .withColumn("reporter_id", F.col("author_id"))
             .withColumn("reporter", reporter_name)
             .withColumn("is_auto", F.lit(False))
-            .withColumn("message_created_at", F.col("created_at"))
             .withColumn("report_seq", F.col("end_seq"))
             .withColumn("position", F.lit(0))
-            .withColumn("parent_id", F.lit(None).cast("string"))
-            .drop("created_at"))
+            .withColumn("parent_id", F.lit(None).cast("string")))
+
+
+def attach_messages(reports: DataFrame, msgs: DataFrame) -> DataFrame:
+    """Author, time, text and link of each report's message (one look-up for
+    parents and children alike)."""
+    m = msgs.select("message_id", "author_name", F.col("created_at").alias("message_created_at"), "content", "jump_url")
+    return reports.join(m, "message_id", "left")
 
 
 def auto_report_rows(auto: DataFrame, msgs: DataFrame) -> DataFrame:
@@ -54,38 +58,31 @@ def auto_report_rows(auto: DataFrame, msgs: DataFrame) -> DataFrame:
             .withColumn("block_user", F.array().cast("array<string>")))
 
 
-def expand_related(reports: DataFrame, msgs: DataFrame) -> DataFrame:
+def expand_related(reports: DataFrame) -> DataFrame:
     """O-F5: every extra message becomes its own report, copying type,
     subtype and safety; it blocks its own author iff the parent blocked."""
-    m = msgs.select("message_id", "author_name", "created_at", "content", "jump_url")
-    kids = (reports.select("*", F.posexplode("other_message_ids").alias("_pos", "_mid"))
-            .drop("message_id", "author_name", "message_created_at", "content", "jump_url")
-            .withColumnRenamed("_mid", "message_id")
-            .join(m, "message_id", "left")
-            .withColumnRenamed("created_at", "message_created_at")
-            .withColumn("parent_id", F.col("report_id"))
-            .withColumn("report_id", uuid_like("report_id", "_pos"))
-            .withColumn("position", F.col("_pos") + 1)
-            .withColumn("other_message_ids", F.array().cast("array<bigint>"))
-            .drop("_pos"))
-    return reports.unionByName(kids.select(*reports.columns))
-
-
-def block_sets(expanded: DataFrame, msgs: DataFrame) -> DataFrame:
-    """O-F6: blocked user names per report.
-
-    Parent: distinct authors of its message and of its extra messages;
-    child: its own author.  Both only when blocking was requested.
+    own = F.array(F.struct(F.lit(0).alias("at"), F.col("message_id").alias("mid")))
+    extra = F.transform("other_message_ids", lambda m, k: F.struct((k + 1).alias("at"), m.alias("mid")))
+    rows = reports.withColumn("_x", F.explode(F.concat(own, F.coalesce(extra, F.array().cast("array<struct<at:int,mid:bigint>>")))))
+    child = F.col("_x.at") > 0
+    return (rows.withColumn("message_id", F.col("_x.mid")).withColumn("position", F.col("_x.at"))
+            .withColumn("parent_id", F.when(child, F.col("report_id")))
+            .withColumn("report_id", F.when(child, uuid_like("report_id", F.col("_x.at") - 1)).otherwise(F.col("report_id")))
+            .withColumn("other_message_ids", F.when(child, F.array().cast("array<bigint>")).otherwise(F.col("other_message_ids")))
+            .select(*reports.columns))
+
+
+def block_sets(expanded: DataFrame) -> DataFrame:
+    """O-F6: blocked user names per report (rows with ``author_name``).
+
+    Parent: distinct authors of its message and of its extra messages, which
+    are its children's; child: its own author.  Both only when blocking was
+    requested.  A dialog files a handful of reports, so its window is small.
     """
-    m = msgs.select(F.col("message_id").alias("_id"), F.col("author_name").alias("_name"))
-    extra = (expanded.where(F.col("parent_id").isNull() & F.col("block_requested"))
-             .select("report_id", F.explode("other_message_ids").alias("_id"))
-             .join(m, "_id").select("report_id", "_name"))
-    own = expanded.where(F.col("block_requested")).select("report_id", F.col("author_name").alias("_name"))
-    sets = (own.unionByName(extra).where(F.col("_name").isNotNull())
-            .groupBy("report_id").agg(F.array_sort(F.collect_set("_name")).alias("block_user")))
-    return (expanded.join(sets, "report_id", "left")
-            .withColumn("block_user", F.coalesce("block_user", F.array().cast("array<string>"))))
+    family = Window.partitionBy(F.coalesce("parent_id", "report_id"))
+    names = F.when(F.col("parent_id").isNull(), F.array_sort(F.collect_set("author_name").over(family))).otherwise(
+        F.array_compact(F.array("author_name")))
+    return expanded.withColumn("block_user", F.when(F.col("block_requested"), names).otherwise(F.array().cast("array<string>")))
 
 
 def account_size(reports: DataFrame, accounts: DataFrame, name_col: str = "author_name") -> DataFrame:

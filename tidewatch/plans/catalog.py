@@ -883,24 +883,16 @@ def q_decode_choice(spark, sf_dir):
 @S.shared
 def completed_reports(spark, sf_dir) -> DataFrame:
     turns, guilds, chans, msgs = dm_world(spark, sf_dir)
-    prepared = DG.prepare_turns(turns, guilds, chans, msgs)
-    # The fold output (one row per finished report) feeds several branches
-    # downstream; cut lineage here so the link joins and the fold run once.
-    from ..session import checkpoint_dir
-    checkpoint_dir(spark)
-    done = DG.reports_from_turns(prepared).checkpoint()
-    names = turns.select("author_id", F.col("author_name").alias("reporter")).distinct()
-    r = RE.new_reports(done.join(names, "author_id", "left"), msgs, F.col("reporter"))
-    r = r.withColumn("report_created_at", F.timestamp_add(
+    done = DG.reports_from_turns(DG.prepare_turns(turns, guilds, chans, msgs))
+    reporter = F.concat(F.lit("Reporter#"), F.col("author_id").cast("string"))
+    return RE.new_reports(done, reporter).withColumn("report_created_at", F.timestamp_add(
         "MINUTE", F.col("end_seq"), F.lit(S.EPOCH).cast("timestamp_ntz")))
-    return r
 
 
 @S.shared
 def full_reports(spark, sf_dir) -> DataFrame:
-    msgs = S.messages(spark, sf_dir)
-    ex = RE.expand_related(completed_reports(spark, sf_dir), msgs)
-    return RE.account_size(RE.block_sets(ex, msgs), S.accounts(spark, sf_dir))
+    ex = RE.attach_messages(RE.expand_related(completed_reports(spark, sf_dir)), S.messages(spark, sf_dir))
+    return RE.account_size(RE.block_sets(ex), S.accounts(spark, sf_dir))
 
 
 @S.shared
@@ -935,15 +927,14 @@ def q_new_report(spark, sf_dir):
 
 @register("expand_related")
 def q_expand_related(spark, sf_dir):
-    ex = RE.expand_related(completed_reports(spark, sf_dir), S.messages(spark, sf_dir))
+    ex = RE.expand_related(completed_reports(spark, sf_dir))
     return ex.select("report_id", "parent_id", "message_id", "abuse_type", "harassment_type",
                      "imminent_danger", "other_details", "safety_mode", "block_requested")
 
 
 @register("block_sets")
 def q_block_sets(spark, sf_dir):
-    msgs = S.messages(spark, sf_dir)
-    b = RE.block_sets(RE.expand_related(completed_reports(spark, sf_dir), msgs), msgs)
+    b = RE.block_sets(RE.attach_messages(RE.expand_related(completed_reports(spark, sf_dir)), S.messages(spark, sf_dir)))
     return b.select("report_id", F.array_join("block_user", ",").alias("block_user"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import Scratch, arrow_rows, binary_column, read_table
+from tidewatch.llm.common import Scratch, arrow_rows, read_table
 from tidewatch.llm.components import components
 
 TILE = 4096                  # vectors of a tile

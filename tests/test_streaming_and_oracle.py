@@ -3,7 +3,7 @@ import os
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
+
 
 import __spark_entry__ as E
 from tidewatch.operators import strikes as ST

@@ -41,7 +41,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents joined by similar sets of 5-word shingles (0.8) the one
     with the smallest doc_id stays."""
-    classes = jaccard.ngram_jaccard_join(docs, width=5, percent=80)
+    classes = jaccard.ngram_jaccard_join(docs, width=5, percent=80, rounds=2)
     return _keep(docs, classes.where(F.col("id").eqNullSafe(F.col("component_id"))))
 
 

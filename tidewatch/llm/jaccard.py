@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm import textkernel as K
@@ -266,10 +266,18 @@ def able_blocks(tiles: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     among = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
     main = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda x: F.struct((-1 - F.col("own")).alias("i"), x.alias("j")))
     rows = rows.withColumn("block", F.explode(F.when(F.col("is_main"), main).otherwise(F.concat(with_main, among))))
-    rows = rows.select("tile", "block.i", "block.j", "node", "label").join(nodes.select("node", "n", "bits"), "node").select("tile", "i", "j", "node", "label", "n", "bits")
+    return able_members(rows.select("tile", "block.i", "block.j", "node", "label"), ["tile", "i", "j"], nodes, percent)
+
+
+def able_members(rows: DataFrame, group: list[str], nodes: DataFrame, percent: int) -> DataFrame:
+    """Of each group of (node, label) the members that may link with a member
+    of another label, as blocks named by their members."""
+    spark = rows.sparkSession
 
     def screen(members):
         nodes, labels, sizes, signs = (list(c) for c in zip(*members))
+        if len(set(labels)) < 2:
+            return []
         signs, labels, sizes = folded(signs), np.array(labels), np.array(sizes)
         able = np.zeros(len(nodes), bool)
         for i in range(len(nodes) - 1):
@@ -279,22 +287,23 @@ def able_blocks(tiles: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             able[hit] = True
             able[i] |= len(hit) > 0
         at = np.flatnonzero(able)
-        block = int(np.sort(np.array(nodes)[at]).view(np.uint64).dot(K.BASE + np.arange(len(at), dtype=np.uint64) * np.uint64(2)).view(np.int64)) if len(at) else 0
+        block = int(K.mix(np.sort(np.array(nodes)[at]).view(np.uint64) + K.BASE).sum().view(np.int64)) if len(at) else 0
         return [(block, nodes[k], int(labels[k])) for k in at.tolist()]
 
     def blocks(batches):
         key, members = None, []
         for b in batches:
             out = []
-            for t, i, j, node, label, n, bits in zip(*(c.to_pylist() for c in b.columns)):
-                if (t, i, j) != key:
-                    out += screen(members) if len(members) > 1 else []
-                    key, members = (t, i, j), []
+            for *own, node, label, n, bits in zip(*(c.to_pylist() for c in b.columns)):
+                if own != key:
+                    out += screen(members) if members else []
+                    key, members = own, []
                 members.append((node, label, n, np.frombuffer(bits, np.uint8)))
             yield member_batch(out)
-        yield member_batch(screen(members) if len(members) > 1 else [])
+        yield member_batch(screen(members) if members else [])
 
-    rows = rows.repartition(partitions(spark), "tile", "i", "j").sortWithinPartitions("tile", "i", "j", "node")
+    rows = rows.join(nodes.select("node", "n", "bits"), "node").select(*group, "node", "label", "n", "bits")
+    rows = rows.repartition(partitions(spark), *group).sortWithinPartitions(*group, "node")
     return rows.mapInArrow(blocks, "block long, node long, label long").distinct()
 
 
@@ -336,15 +345,18 @@ def link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80,
+                       rounds: int = 0) -> DataFrame:
     """Classes of documents under links of Jaccard index >= ``percent``/100
     between their sets of distinct ``width``-word shingles.
 
     Sets fall into bands of size, the hash range of a band into tiles: more
     tiles than linked sets can differ in, so linked sets hold the same hashes
     in at least one. Sets that share a tile are compared, first all with the
-    smallest of the tile, then, where a tile still has several classes, in
-    blocks across the classes: bitmap signatures bound the overlap from
+    smallest of the tile, then, where a tile still has several classes, with
+    the smallest of each block for ``rounds`` times, and last in blocks
+    across the classes (rounds cost more steps and need less disk; the result
+    is the same): bitmap signatures bound the overlap from
     above, and what passes is intersected exactly. Equal sets are one set.
     No links within one class are listed, and no link between classes is
     lost.
@@ -403,10 +415,21 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         scratch.free()
         if not blocks.isEmpty():
             arrays = arrays_of(blocks.select("node").distinct())
-            scratch.free()
-            more = scratch.put(block_links(blocks, arrays, percent), "more")
+            for _ in range(rounds):        # many blocks are settled by a few pivots
+                first = Window.partitionBy("block").orderBy("node")
+                with_pivot = blocks.withColumn("pivot", F.first("node").over(first)).withColumn("pivot_label", F.first("label").over(first))
+                pairs = with_pivot.where("label != pivot_label").select("pivot", "node").distinct()
+                pairs = scratch.put(able_pairs(pairs, nodes, percent), "pairs")
+                links = scratch.put(links.union(star_links(pairs, arrays, percent)), "links")
+                scratch.free()
+                roots = components(links, scratch)
+                rest = with_pivot.where("node != pivot").select("block", "node").join(roots, "node", "left")
+                rest = rest.select("block", "node", F.coalesce("root", "node").alias("label"))
+                blocks = scratch.put(able_members(rest, ["block"], nodes, percent), "blocks")
+                scratch.free()
+            links = scratch.put(links.union(block_links(blocks, arrays, percent)), "links")
             scratch.drop(arrays)
-            roots = components(links.union(more), scratch)
+            roots = components(links, scratch)
         scratch.free()
     classes = nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("id").alias("component_id"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import WORD, Scratch, read_table
 
 RANK_BINS = 65536
+BIN_BLOCK = 256
 WEIGHTS = (5, 2, 1)
 CAP = 3
 
@@ -78,8 +79,16 @@ def pareto_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
               .withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * RANK_BINS)))
 
     bins = ranked.groupBy("source", "rest", "bin").agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("source").orderBy("bin")
-    cut = (bins.withColumn("cum", F.sum("words").over(upto)).where(F.col("cum") > F.col("rest"))
+    # the cut by blocks of bins first, then by the bins of its block
+    bins = bins.withColumn("block", F.floor(F.col("bin") / BIN_BLOCK))
+    blocks = bins.groupBy("source", "rest", "block").agg(F.sum("words").alias("words"))
+    upto = Window.partitionBy("source").orderBy("block")
+    blocks = blocks.withColumn("cum", F.sum("words").over(upto)).where(F.col("cum") > F.col("rest"))
+    blocks = blocks.groupBy("source").agg(F.min_by(F.struct("block", (F.col("cum") - F.col("words")).alias("before")), "block").alias("cut"))
+    inner = Window.partitionBy("b.source").orderBy("b.bin")
+    cut = (bins.alias("b").join(blocks.alias("k"), F.col("b.source").eqNullSafe(F.col("k.source")) & (F.col("b.block") == F.col("k.cut.block")))
+           .select(F.col("b.source").alias("source"), "b.rest", "b.bin", "b.words", (F.col("k.cut.before") + F.sum("b.words").over(inner)).alias("cum"))
+           .where(F.col("cum") > F.col("rest"))
            .groupBy("source").agg(F.min_by(F.struct("bin", (F.col("cum") - F.col("words")).alias("cum")), "bin").alias("cut")))
     cut = scratch.put(cut.select("source", F.col("cut.bin").alias("cut_bin"), F.col("cut.cum").alias("cut_cum")), "cut")
 

@@ -54,6 +54,50 @@ def test_mix_comes_near_its_targets(spark):
     assert (got.taken <= 3 * got["size"]).all() and abs(sums.target.sum() - sums["size"].sum()) < 1
 
 
+def test_mix_skips_a_document_that_does_not_fit(spark):
+    # in every source one text holds a third of the words
+    rng = random.Random(3)
+    rows = [(k * 1000 + i, "w " * rng.randrange(5, 60), None, f"s{k:02d}", None) for k in range(12) for i in range(120)]
+    for k in range(12):
+        rows.append((k * 1000 + 999, "w " * (sum(len(r[1]) // 2 for r in rows if r[3] == f"s{k:02d}") // 2), None, f"s{k:02d}", None))
+    docs = edge_docs(spark, rows)
+    got = mixing.pareto_mix(docs).toPandas()
+    sums = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert len(got) == len(rows) and (abs(sums.taken - sums.target) <= 60 / 2).all()      # half the largest of the small documents
+    copies = collections.Counter(r["doc_id"] for r in corpus_pipeline.mix_sources(spark, docs, SMALL).collect())
+    assert copies == {i: n for i, n in zip(got.id, got.copies) if n}
+
+
+def test_mix_takes_what_a_walk_down_the_rank_takes(spark):
+    rng = random.Random(4)
+    rows = [(i, "w " * int(rng.paretovariate(0.7) * 3 % 5000), None, rng.choice(["a", "b", None, "d"]), None) for i in range(900)]
+    rows += [(None, "w " * 7, None, "a", None), (None, "w " * 5, None, "a", None), (3, "w " * 40, None, "b", None)]
+    got = mixing.pareto_mix(edge_docs(spark, rows)).collect()
+    sources = collections.defaultdict(lambda: collections.defaultdict(int))
+    copies, shape = {}, {}
+    for r in got:
+        sources[r["source"]][r["id"]] += r["size"]
+        shape[r["source"]] = (r["target"], r["source_size"])
+        assert copies.setdefault((r["source"], r["id"]), r["copies"]) == r["copies"]
+    for source, units in sources.items():
+        target, size = shape[source]
+        whole = int(target // size)
+        gap, want = target - whole * size, set()
+        needed = {i for i in units if size - gap < units[i] <= gap}
+
+        def rank(i):
+            u = int(hashlib.md5(f"1:{'' if i is None else i}".encode()).hexdigest()[:13], 16)
+            return i not in needed, u
+
+        for i in sorted(units, key=rank):
+            if units[i] <= gap:
+                gap -= units[i]
+                want.add(i)
+        close = [(abs(units[i] - gap), rank(i), i) for i in units if i not in want and abs(units[i] - gap) < gap]
+        want |= {min(close)[2]} if close else set()
+        assert {i for i in units if units[i] and copies[source, i] > whole} == {i for i in want if units[i]}
+
+
 def test_source_targets_match_resharing(spark):
     rng = random.Random(9)
     for _ in range(3):

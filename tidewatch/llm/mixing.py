@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import WORD, Scratch, read_table
@@ -38,15 +38,94 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap:
                                                      F.col("level") * F.col("weight")).alias("target"))
 
 
+def cut_by_rank(ranked: DataFrame, scratch: Scratch) -> DataFrame:
+    """Where the words of a source, in order of rank, pass its ``rest``.
+
+    ``ranked`` has ``source``, ``rest``, ``bin``, ``rank``, ``id`` and
+    ``size``; bins are in order of rank. Words are counted per bin, and only
+    the bin that holds the cut is ordered row by row. Columns: ``source``,
+    ``cut_bin``, ``last`` (rank and id of the last document of that bin that
+    fits) and ``filled`` (words up to there). A source that fits whole has
+    no row.
+    """
+    bins = ranked.groupBy("source", "rest", "bin").agg(F.sum("size").alias("words"))
+    # the cut by blocks of bins first, then by the bins of its block
+    bins = bins.withColumn("block", F.floor(F.col("bin") / BIN_BLOCK))
+    blocks = bins.groupBy("source", "rest", "block").agg(F.sum("words").alias("words"))
+    upto = Window.partitionBy("source").orderBy("block")
+    blocks = blocks.withColumn("cum", F.sum("words").over(upto)).where(F.col("cum") > F.col("rest"))
+    blocks = blocks.groupBy("source").agg(F.min_by(F.struct("block", (F.col("cum") - F.col("words")).alias("before")), "block").alias("cut"))
+    inner = Window.partitionBy("b.source").orderBy("b.bin")
+    cut = (bins.alias("b").join(blocks.alias("k"), F.col("b.source").eqNullSafe(F.col("k.source")) & (F.col("b.block") == F.col("k.cut.block")))
+           .select(F.col("b.source").alias("source"), "b.rest", "b.bin", "b.words", (F.col("k.cut.before") + F.sum("b.words").over(inner)).alias("cum"))
+           .where(F.col("cum") > F.col("rest"))
+           .groupBy("source").agg(F.min_by(F.struct("bin", (F.col("cum") - F.col("words")).alias("cum")), "bin").alias("cut")))
+    cut = scratch.put(cut.select("source", F.col("cut.bin").alias("cut_bin"), F.col("cut.cum").alias("cut_cum")), "cut")
+
+    by_rank = Window.partitionBy("r.source").orderBy("r.rank", "r.id")
+    edge = (ranked.alias("r").join(cut.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source"))
+                                   & (F.col("r.bin") == F.col("c.cut_bin")))
+            .withColumn("cum", F.col("c.cut_cum") + F.sum("r.size").over(by_rank))
+            .where(F.col("cum") <= F.col("r.rest"))
+            .groupBy(F.col("r.source").alias("source"))
+            .agg(F.max(F.struct(F.col("r.rank").alias("rank"), F.col("r.id").alias("id"))).alias("last"), F.max("cum").alias("cum")))
+    c, e = cut.alias("c"), edge.alias("e")
+    return scratch.put(c.join(e, F.col("c.source").eqNullSafe(F.col("e.source")), "left").select(
+        "c.source", "c.cut_bin", "e.last", F.coalesce("e.cum", "c.cut_cum").alias("filled")), "edge")
+
+
+def before_cut() -> Column:
+    """Whether a row joined with its source's cut lies before it."""
+    own = F.struct("rank", "id")
+    return F.coalesce((F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & (own <= F.col("last"))), F.lit(False))
+
+
+def fill_gaps(undrawn: DataFrame, scratch: Scratch) -> DataFrame:
+    """Documents (``source``, ``id``) that fill what the first cut leaves.
+
+    ``undrawn`` has the rows that are not drawn with ``gap``, the words their
+    source still lacks. Going on down the rank, each document that fits is
+    taken: all that fit at the start of a round come up to the next cut,
+    which makes the gap smaller than the document there, until none fits.
+    Then the document left that closes the gap best is added. Rows that
+    repeat an id are one document.
+    """
+    # uniform numbers give even bins and the order of the ranks
+    units = undrawn.groupBy("source", "id", F.col("u").alias("rank"), "gap").agg(F.sum("size").alias("size")).where("size > 0 and gap > 0")
+    units = units.withColumn("bin", F.floor(F.col("rank") * RANK_BINS))
+    left = scratch.put(units.where("size <= gap").withColumnRenamed("gap", "rest"), "left")
+    taken = left.limit(0).select("source", "id", "size")
+    while not left.isEmpty():
+        cut = cut_by_rank(left, scratch)
+        step = (left.alias("l").join(cut.alias("c"), F.col("l.source").eqNullSafe(F.col("c.source")), "left")
+                .select("l.*", "c.cut_bin", "c.last", "c.filled")
+                .withColumn("drawn", F.col("cut_bin").isNull() | before_cut()).withColumn("rest", F.col("rest") - F.col("filled")))
+        step = scratch.put(step.where("drawn or size <= rest").select("source", "id", "rank", "bin", "size", "rest", "drawn"), "step")
+        taken = taken.union(step.where("drawn").select("source", "id", "size"))
+        left = step.where("not drawn").drop("drawn")
+    taken = scratch.put(taken, "taken")
+    filled = taken.groupBy("source").agg(F.sum("size").alias("filled"))
+    gap = F.col("n.gap") - F.coalesce("f.filled", F.lit(0))
+    close = (units.alias("n").join(filled.alias("f"), F.col("n.source").eqNullSafe(F.col("f.source")), "left")
+             .where(F.abs(F.col("n.size") - gap) < gap).select("n.source", "n.id", "n.rank", F.abs(F.col("n.size") - gap).alias("miss")).alias("n")
+             .join(taken.alias("t"), F.col("n.source").eqNullSafe(F.col("t.source")) & F.col("n.id").eqNullSafe(F.col("t.id")), "left_anti")
+             .groupBy("source").agg(F.min(F.struct("miss", "rank", "id")).alias("close")))
+    return scratch.put(taken.select("source", "id").union(close.select("source", "close.id")), "filling")
+
+
 def pareto_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-               weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 1) -> DataFrame:
+               weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 1, skip: bool = True) -> DataFrame:
     """Copies of each document so that every source takes about its target.
 
     A document of a source with target / size = k + f is taken k times for
     certain; the rest of the target is a sample of fixed size in words with
     inclusion probability f, drawn by Pareto order sampling: documents are
     ranked by the odds of a uniform number (a hash of seed and id) divided by
-    the odds of f, and taken in that order while they fit. The one document
+    the odds of f, and taken in that order while they fit. With ``skip`` a
+    document that does not fit is passed over, and the sample goes on down
+    the rank until no document fits; a document so long that the others
+    cannot reach the target without it comes before them. Without ``skip``
+    the sample ends at the first document that does not fit. The one document
     left that closes the remaining gap best is added.
 
     Ranks are never sorted per source: words are counted per rank bin, and
@@ -77,38 +156,25 @@ def pareto_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
                       u.alias("u"), p.alias("p"))
               .withColumn("rank", F.col("u") / (1 - F.col("u")) / (F.col("p") / (1 - F.col("p"))))
               .withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * RANK_BINS)))
-
-    bins = ranked.groupBy("source", "rest", "bin").agg(F.sum("size").alias("words"))
-    # the cut by blocks of bins first, then by the bins of its block
-    bins = bins.withColumn("block", F.floor(F.col("bin") / BIN_BLOCK))
-    blocks = bins.groupBy("source", "rest", "block").agg(F.sum("words").alias("words"))
-    upto = Window.partitionBy("source").orderBy("block")
-    blocks = blocks.withColumn("cum", F.sum("words").over(upto)).where(F.col("cum") > F.col("rest"))
-    blocks = blocks.groupBy("source").agg(F.min_by(F.struct("block", (F.col("cum") - F.col("words")).alias("before")), "block").alias("cut"))
-    inner = Window.partitionBy("b.source").orderBy("b.bin")
-    cut = (bins.alias("b").join(blocks.alias("k"), F.col("b.source").eqNullSafe(F.col("k.source")) & (F.col("b.block") == F.col("k.cut.block")))
-           .select(F.col("b.source").alias("source"), "b.rest", "b.bin", "b.words", (F.col("k.cut.before") + F.sum("b.words").over(inner)).alias("cum"))
-           .where(F.col("cum") > F.col("rest"))
-           .groupBy("source").agg(F.min_by(F.struct("bin", (F.col("cum") - F.col("words")).alias("cum")), "bin").alias("cut")))
-    cut = scratch.put(cut.select("source", F.col("cut.bin").alias("cut_bin"), F.col("cut.cum").alias("cut_cum")), "cut")
-
-    by_rank = Window.partitionBy("r.source").orderBy("r.rank", "r.id")
-    edge = (ranked.alias("r").join(cut.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source"))
-                                   & (F.col("r.bin") == F.col("c.cut_bin")))
-            .withColumn("cum", F.col("c.cut_cum") + F.sum("r.size").over(by_rank))
-            .where(F.col("cum") <= F.col("r.rest"))
-            .groupBy(F.col("r.source").alias("source"))
-            .agg(F.max(F.struct(F.col("r.rank").alias("rank"), F.col("r.id").alias("id"))).alias("last"), F.max("cum").alias("cum")))
-    c, e = cut.alias("c"), edge.alias("e")
-    cut = scratch.put(c.join(e, F.col("c.source").eqNullSafe(F.col("e.source")), "left").select(
-        "c.source", "c.cut_bin", "e.last", F.coalesce("e.cum", "c.cut_cum").alias("filled")), "edge")
-
+    if skip:
+        needed = ranked.where((F.col("size") > F.col("source_size") - F.col("rest")) & (F.col("size") <= F.col("rest")))
+        needed = scratch.put(needed.select("source", "id").distinct().withColumn("needed", F.lit(True)), "needed")
+        ranked = (ranked.alias("r").join(needed.alias("n"), F.col("r.source").eqNullSafe(F.col("n.source")) & F.col("r.id").eqNullSafe(F.col("n.id")), "left")
+                  .select("r.*", "n.needed").withColumn("u", F.col("u") - F.when(F.col("needed"), 1).otherwise(0))
+                  .withColumn("rank", F.when(F.col("needed"), F.col("u")).otherwise(F.col("rank")))
+                  .withColumn("bin", F.when(F.col("needed"), F.floor(F.col("u") * RANK_BINS)).otherwise(F.col("bin"))))
+
+    cut = cut_by_rank(ranked, scratch)
     joined = (ranked.alias("r").join(cut.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source")), "left")
               .select("r.*", "c.cut_bin", "c.last", "c.filled"))
-    own = F.struct("rank", "id")
-    inside = F.coalesce((F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & (own <= F.col("last"))), F.lit(False))
-    joined = joined.withColumn("drawn", inside)
+    joined = joined.withColumn("drawn", before_cut())
     gap = F.col("rest") - F.col("filled")
+    if skip:
+        more = fill_gaps(joined.where(~F.col("drawn")).withColumn("gap", gap), scratch).withColumn("more", F.lit(True))
+        copies = F.col("j.whole") + (F.col("j.drawn") | F.coalesce("m.more", F.lit(False))).cast("long")
+        return (joined.alias("j").join(more.alias("m"), F.col("j.source").eqNullSafe(F.col("m.source")) & F.col("j.id").eqNullSafe(F.col("m.id")), "left")
+                .select("j.id", "j.source", "j.size", "j.source_size", "j.target", copies.alias("copies"),
+                        (copies * F.col("j.size")).alias("taken")))
     close = scratch.put(joined.where(~F.col("drawn") & (F.abs(F.col("size") - gap) < gap))
                         .groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - gap).alias("miss"), "rank", "id")).alias("close")), "close")
     copies = F.col("j.whole") + (F.col("j.drawn") | F.coalesce(F.col("k.close.id").eqNullSafe(F.col("j.id")) & F.col("k.close").isNotNull(), F.lit(False))).cast("long")
@@ -118,7 +184,8 @@ def pareto_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 
 def op5_mix_sources(spark, sf_dir):
-    return pareto_mix(read_table(spark, sf_dir, "documents")).select(
+    # SQL ends a sample at the first document that does not fit
+    return pareto_mix(read_table(spark, sf_dir, "documents"), skip=False).select(
         F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 

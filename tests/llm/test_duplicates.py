@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import SMALL, duck_dir, edge_docs, edge_rows, same
@@ -184,6 +185,18 @@ def test_suffix_passages(spark, split, monkeypatch):
     assert suffix_rows(suffixes.suffix_dedup(edge_docs(spark, rows))) == brute_suffix([r[:2] for r in rows])
 
 
+def test_suffix_parts_of_one_beginning_are_sorted_apart():
+    # one beginning in 40 parts of 50 rows, between two that are not split
+    rows = [(b"a", 0)] * 30 + [(b"b", k) for k in range(40) for _ in range(50)] + [(b"c", 0)] * 70
+    table = pa.table({"lead": [r[0] for r in rows], "salt": [r[1] for r in rows], "id": range(len(rows))})
+    for size in (1, 33, 700, len(rows)):
+        groups = [pa.Table.from_batches(g) for g in suffixes.sort_groups(table.to_batches(max_chunksize=size), 100)]
+        assert pa.concat_tables(groups).equals(table)
+        assert max(g.num_rows for g in groups) < 100 + 50
+        parts = [set(zip(g["lead"].to_pylist(), g["salt"].to_pylist())) for g in groups]
+        assert sum(map(len, parts)) == len(set().union(*parts))          # no part is cut
+
+
 def test_suffix_shared_and_null_ids(spark):
     text = " ".join(str(k * 7919) for k in range(60))
     rows = [(1, text + " one", None, None, None), (1, text + " two", None, None, None), (1, text + " two", None, None, None), (None, text, None, None, None), (0, "short", None, None, None)]

@@ -124,6 +124,32 @@ def ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first, np.nonzero(step == -1)[1] - 1
 
 
+def sort_groups(batches, limit: int):
+    """Lists of batches to sort together: whole parts of beginnings, many at a
+    time. Rows come in order of ``lead`` (column 0) and ``salt`` (column 1); a
+    list is closed at the first new pair once it holds ``limit`` rows."""
+    key, held, rows = None, [], 0
+    for b in batches:
+        lead, salt = b.column(0), b.column(1)
+        pos = 0
+        while pos < len(b):
+            end = len(b)
+            if rows + end - pos > limit:
+                end = pos + max(1, min(end - pos, limit - rows))
+                while end < len(b) and lead[end] == lead[end - 1] and salt[end] == salt[end - 1]:
+                    end += 1
+            if held and rows >= limit and (lead[pos].as_py(), salt[pos].as_py()) != key:
+                yield held
+                held, rows = [], 0
+                continue
+            held.append(b.slice(pos, end - pos))
+            rows += end - pos
+            key = lead[end - 1].as_py(), salt[end - 1].as_py()
+            pos = end
+    if held:
+        yield held
+
+
 FLAGS = "id long, lo long, hi long, start long, content long"
 
 
@@ -217,9 +243,7 @@ def repeated_starts(texts: DataFrame, scratch: Scratch, length: int, gram: int)
     pieces = pieces.select("lead", F.coalesce("salt", F.lit(0)).alias("salt"), "id", "at", "place", F.col("parts").isNotNull().alias("split"), "bytes")
 
     def sort_bucket(batches):
-        key, held = None, []
-
-        def settled():
+        def settled(held):
             t = pa.Table.from_batches(held).combine_chunks()
             ids, at, place, split = (t[c].to_numpy() for c in ("id", "at", "place", "split"))
             blob, ends = string_bytes(t["bytes"])
@@ -238,26 +262,8 @@ def repeated_starts(texts: DataFrame, scratch: Scratch, length: int, gram: int)
                 content = K.span_hashes(K.prefix_sums(blob), where, where + length).view(np.int64)
                 yield _flag_batch(ids[row], None, None, at[row] - back, content)
 
-        rows = 0
-        for b in batches:                  # whole beginnings, many at a time
-            lead = b.column(0)
-            pos = 0
-            while pos < len(b):
-                end = len(b)
-                if rows + end - pos > SPLIT:
-                    end = pos + max(1, min(end - pos, SPLIT - rows))
-                    while end < len(b) and lead[end] == lead[end - 1]:
-                        end += 1
-                if held and rows >= SPLIT and lead[pos].as_py() != key:
-                    yield from settled()
-                    held, rows = [], 0
-                    continue
-                held.append(b.slice(pos, end - pos))
-                rows += end - pos
-                key = lead[end - 1].as_py()
-                pos = end
-        if held:
-            yield from settled()
+        for held in sort_groups(batches, SPLIT):
+            yield from settled(held)
 
     ordered = pieces.repartitionByRange(n, "lead", "salt").sortWithinPartitions("lead", "salt")
     with arrow_rows(spark, 5000):

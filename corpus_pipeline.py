@@ -27,8 +27,10 @@ def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language stay; those without letters and those
-    that no language fits go."""
+    that no language fits go. Without any label to learn from all stay."""
     model = language.train_language_model(docs)
+    if model is None:
+        return docs
     found = language.language_id(docs, model)
     return _keep(docs, found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)))
 

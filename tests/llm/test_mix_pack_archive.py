@@ -251,6 +251,12 @@ def test_pipeline_edge_rows(spark):
         assert docs.count() == 0
 
 
+def test_pipeline_keeps_documents_without_any_label(spark):
+    docs = edge_docs(spark, [(r[0], r[1], None, *r[3:]) for r in edge_rows()])
+    got = corpus_pipeline.identify_language(spark, docs, SMALL)
+    assert got.columns == docs.columns and got.count() == len(edge_rows())
+
+
 def test_pipeline_against_brute_force(spark):
     docs = read_table(spark, SMALL, "documents")
     scratch = Scratch(spark, "brute")

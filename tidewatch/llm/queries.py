@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import counts, exact, jaccard, language, mixing, packing, quality, suffixes, vectors, warc
+from tidewatch.llm import counts, exact, jaccard, language, lexical, mixing, packing, quality, suffixes, topk, trie, vectors, warc
 
 QUERIES = {
     "op2_near_vectors": vectors.op2_near_vectors,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_token_counts": counts.op8_token_counts,
     "op6_packing": packing.op6_packing,
     "op7_exact_dedup": exact.op7_exact_dedup,
+    "op11_conversation_trie": trie.op11_conversation_trie,
+    "op12_exact_top_k": topk.op12_exact_top_k,
+    "op13_ranked_search": lexical.op13_ranked_search,
 }
 
 ORACLE = {
@@ -23,4 +26,7 @@ ORACLE = {
     "op5_mix_sources": mixing.SQL,
     "op7_exact_dedup": exact.SQL,
     "op10_warc": warc.SQL,
+    "op11_conversation_trie": trie.SQL,
+    "op12_exact_top_k": topk.SQL,
+    "op13_ranked_search": lexical.SQL,
 }

@@ -53,11 +53,12 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * inverse[starts])
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words, and the first word index of each text."""
+def word_spans(data: np.ndarray, offs: np.ndarray, table: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs of the bytes marked in ``table``), and
+    the first word index of each text."""
     n = len(data)
     inside = np.zeros(n + 1, bool)
-    inside[:n] = IS_WORD[data]
+    inside[:n] = table[data]
     first = inside[:n].copy()
     first[1:] &= ~inside[:n - 1]
     edges = offs[1:-1]

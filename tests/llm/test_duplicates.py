@@ -92,12 +92,13 @@ def variants(seed, n, families, size):
     return rows
 
 
-@pytest.mark.parametrize("seed,n,families,size,rounds", [(1, 260, 6, 300, 0), (2, 200, 40, 30, 2), (3, 300, 1, 400, 1)])
-def test_jaccard_families(spark, seed, n, families, size, rounds, monkeypatch):
+@pytest.mark.parametrize("seed,n,families,size,first", [(1, 260, 6, 300, 16), (2, 200, 40, 30, 1), (3, 300, 1, 400, 2)])
+def test_jaccard_families(spark, seed, n, families, size, first, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 16)
     monkeypatch.setattr(jaccard, "STAR", 8)
+    monkeypatch.setattr(jaccard, "FIRST", first)
     rows = variants(seed, n, families, size)
-    got = sorted(map(tuple, jaccard.ngram_jaccard_join(edge_docs(spark, rows), width=4, percent=85, rounds=rounds).collect()))
+    got = sorted(map(tuple, jaccard.ngram_jaccard_join(edge_docs(spark, rows), width=4, percent=85).collect()))
     assert got == brute_jaccard([r[:2] for r in rows], 4, 85)
 
 

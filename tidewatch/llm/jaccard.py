@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm import textkernel as K
@@ -15,6 +17,7 @@ BAND_RATIO = 1.6             # upper end of a size band over its lower end
 BLOCK = 256                  # sets of one side of a block of pairs
 STAR = 1024                  # partners that one copy of a pivot is compared with
 SPARE = 0.08                 # share of tiles beyond those that differences can spoil
+FIRST, FURTHER = 8, 16       # partners of an open set in the first round, growth in further ones
 
 
 class Bands:
@@ -130,25 +133,6 @@ def compare_star(pivot: np.ndarray, others: list[np.ndarray], percent: int) -> l
     return [i for i in np.flatnonzero(able).tolist() if linked(pivot, others[i], percent)]
 
 
-def compare_block(sets: list[np.ndarray], label: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that join the labels of a block: pairs whose sets are joined
-    already, by label or by a link found here, need no comparison."""
-    signs = bitmaps(sets)
-    size = np.array([len(x) for x in sets])
-    _, root = np.unique(label, return_inverse=True)
-    out = []
-    for i in range(len(sets) - 1):
-        later = np.flatnonzero(root[i + 1:] != root[i]) + i + 1
-        if not len(later):
-            continue
-        differ = np.bitwise_count(signs[later] ^ signs[i]).sum(axis=1).astype(np.int64)
-        for j in later[may_link(size[later], size[i], differ, percent)].tolist():
-            if root[i] != root[j] and linked(sets[i], sets[j], percent):
-                out.append((i, j))
-                root[root == root[j]] = root[i]
-    return out
-
-
 def _hash_sets(batches, width: int):
     for b in batches:
         for lo, hi, data, offs in text_chunks(b.column("t")):
@@ -246,16 +230,21 @@ def able_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(screen, "pivot long, node long")
 
 
-def able_blocks(tiles: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """``block``, ``node``, ``label``: of each block of pairs the members that
-    may link with a member of another label by their signatures.
+def candidates(tiles: DataFrame, nodes: DataFrame, tried: DataFrame | None, percent: int, most: int) -> DataFrame:
+    """``pivot``, ``node``, ``more``: for each open set (``node``) of a tile up
+    to ``most`` partners of another class, those with the smallest share of
+    bits that differ; ``more`` if the set has others left.
 
-    The members of a tile (``tile``, ``node``, ``label``) with the commonest
-    label are compared with the others only, in blocks of about ``BLOCK`` x
-    ``BLOCK``, and the others among each other. Blocks left with the same
-    members are one block.
+    In a tile (``tile``, ``node``, ``label``) the sets outside its commonest
+    class are open. They are compared by signature with the members of that
+    class and with each other, in blocks of about ``BLOCK`` x ``BLOCK``. In a
+    further round only the sets of ``tried`` (``node``, ``seen``) look for
+    partners, others than those seen. Only open sets give rows, and a task
+    keeps the best of what it has met of each.
     """
     spark = tiles.sparkSession
+    if tried is not None:
+        tiles = tiles.join(tiles.join(tried, "node", "left_semi").select("tile").distinct(), "tile", "left_semi")
     labels = tiles.groupBy("tile", "label").agg(F.count("*").alias("n"))
     sizes = labels.groupBy("tile").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"))
     sizes = sizes.where("n_all > n_main").select("tile", "main", F.ceil(F.col("n_main") / BLOCK).cast("int").alias("mains"),
@@ -266,100 +255,79 @@ def able_blocks(tiles: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     among = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
     main = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda x: F.struct((-1 - F.col("own")).alias("i"), x.alias("j")))
     rows = rows.withColumn("block", F.explode(F.when(F.col("is_main"), main).otherwise(F.concat(with_main, among))))
-    return able_members(rows.select("tile", "block.i", "block.j", "node", "label"), ["tile", "i", "j"], nodes, percent)
-
-
-def able_members(rows: DataFrame, group: list[str], nodes: DataFrame, percent: int) -> DataFrame:
-    """Of each group of (node, label) the members that may link with a member
-    of another label, as blocks named by their members."""
-    spark = rows.sparkSession
-
-    def screen(members):
-        nodes, labels, sizes, signs = (list(c) for c in zip(*members))
-        if len(set(labels)) < 2:
-            return []
-        signs, labels, sizes = folded(signs), np.array(labels), np.array(sizes)
-        able = np.zeros(len(nodes), bool)
-        for i in range(len(nodes) - 1):
-            later = np.flatnonzero(labels[i + 1:] != labels[i]) + i + 1
-            differ = np.bitwise_count(signs[later] ^ signs[i]).sum(axis=1).astype(np.int64)
-            hit = later[may_link(sizes[later], sizes[i], differ, percent)]
-            able[hit] = True
-            able[i] |= len(hit) > 0
-        at = np.flatnonzero(able)
-        block = int(K.mix(np.sort(np.array(nodes)[at]).view(np.uint64) + K.BASE).sum().view(np.int64)) if len(at) else 0
-        return [(block, nodes[k], int(labels[k])) for k in at.tolist()]
-
-    def blocks(batches):
-        key, members = None, []
-        for b in batches:
-            out = []
-            for *own, node, label, n, bits in zip(*(c.to_pylist() for c in b.columns)):
-                if own != key:
-                    out += screen(members) if members else []
-                    key, members = own, []
-                members.append((node, label, n, np.frombuffer(bits, np.uint8)))
-            yield member_batch(out)
-        yield member_batch(screen(members) if members else [])
-
-    rows = rows.join(nodes.select("node", "n", "bits"), "node").select(*group, "node", "label", "n", "bits")
-    rows = rows.repartition(partitions(spark), *group).sortWithinPartitions(*group, "node")
-    return rows.mapInArrow(blocks, "block long, node long, label long").distinct()
-
-
-def member_batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    cols = zip(*rows) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["block", "node", "label"])
-
-
-def block_links(blocks: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """Links that join different labels of a block."""
-    spark = blocks.sparkSession
-    rows = blocks.join(arrays, "node").select("block", "node", "label", "hashes")
+    rows = rows.select("tile", "block.i", "block.j", "is_main", "node", "label").join(nodes.select("node", "n", "bits"), "node")
+    if tried is not None:
+        rows = rows.join(tried, "node", "left").withColumn("looks", ~F.col("is_main") & F.col("seen").isNotNull())
+        rows = rows.withColumn("seen", F.when(F.col("looks"), F.col("seen")))
+    else:
+        rows = rows.withColumn("looks", ~F.col("is_main")).withColumn("seen", F.lit(None).cast("array<long>"))
 
-    def compare(batches):
-        key, nodes, labels, sets = None, [], [], []
+    def screen(batches):
+        group, members, best = None, [], {}
 
-        def links():
-            found = compare_block(sets, np.array(labels), percent) if len(sets) > 1 else []
-            return [(nodes[i], nodes[j]) for i, j in found]
+        def flush():
+            top = [heapq.nsmallest(most, found, key=lambda v: (found[v], v)) for found in best.values()]
+            out = pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), pa.array(top, pa.list_(pa.int64())),
+                                              pa.array([len(found) > most for found in best.values()], pa.bool_())], ["node", "pivots", "more"])
+            best.clear()
+            return out
 
         for b in batches:
-            out = []
-            for block, node, label, hashes in zip(*(c.to_pylist() for c in b.columns)):
-                if block != key:
-                    out += links()
-                    key, nodes, labels, sets = block, [], [], []
-                nodes.append(node)
-                labels.append(label)
-                sets.append(np.frombuffer(hashes, np.uint64))
-            yield link_batch(out)
-        yield link_batch(links())
-
-    rows = rows.repartition(partitions(spark), "block").sortWithinPartitions("block", "node")
-    return rows.mapInArrow(compare, "a long, b long").distinct()
-
-
-def link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*links) if links else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80,
-                       rounds: int = 0) -> DataFrame:
+            for *key, is_main, looks, node, label, n, bits, seen in zip(*(c.to_pylist() for c in b.columns)):
+                if key != group:
+                    best_partners(members, percent, most, best)
+                    group, members = key, []
+                members.append((is_main, looks, node, label, n, np.frombuffer(bits, np.uint8), seen))
+            if sum(map(len, best.values())) > 50_000:
+                yield flush()
+        best_partners(members, percent, most, best)
+        yield flush()
+
+    order = ["tile", "i", "j"]
+    rows = rows.select(*order, "is_main", "looks", "node", "label", "n", "bits", "seen").repartition(partitions(spark), *order).sortWithinPartitions(*order, "node")
+    # a row per open set and task; sets share many tiles, so tasks name mostly the same partners
+    found = rows.mapInArrow(screen, "node long, pivots array<long>, more boolean").groupBy("node").agg(
+        F.array_distinct(F.flatten(F.collect_list("pivots"))).alias("pivots"), F.max("more").alias("more"))
+    return found.select(F.explode("pivots").alias("pivot"), "node", "more")
+
+
+def best_partners(members: list[tuple], percent: int, most: int, best: dict[int, dict[int, int]]) -> None:
+    """Add to ``best`` (open set -> partner -> share of bits that differ) the
+    partners of one block that its looking sets may link with, one more than
+    ``most`` at the most. Of two open sets the smaller one looks."""
+    if len({m[3] for m in members}) < 2 or not any(m[1] for m in members):
+        return
+    is_main, looks, node, label, size, signs, seen = zip(*members)
+    is_main, node, label, size, signs = np.array(is_main), np.array(node), np.array(label), np.array(size), folded(list(signs))
+    for i in np.flatnonzero(looks).tolist():
+        others = np.flatnonzero((label != label[i]) & (is_main | (node > node[i])))
+        if not len(others):
+            continue
+        differ = np.bitwise_count(signs[others] ^ signs[i]).sum(axis=1).astype(np.int64)
+        able = may_link(size[others], size[i], differ, percent)
+        if seen[i] and able.any():
+            able &= ~np.isin(node[others], seen[i])
+        others, differ = others[able], differ[able]
+        if len(others):
+            share = 10**6 * differ // (size[others] + size[i])
+            top = np.argsort(share, kind="stable")[:most + 1]
+            best.setdefault(int(node[i]), {}).update(zip(node[others[top]].tolist(), share[top].tolist()))
+
+
+def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Classes of documents under links of Jaccard index >= ``percent``/100
     between their sets of distinct ``width``-word shingles.
 
     Sets fall into bands of size, the hash range of a band into tiles: more
     tiles than linked sets can differ in, so linked sets hold the same hashes
     in at least one. Sets that share a tile are compared, first all with the
-    smallest of the tile, then, where a tile still has several classes, with
-    the smallest of each block for ``rounds`` times, and last in blocks
-    across the classes (rounds cost more steps and need less disk; the result
-    is the same): bitmap signatures bound the overlap from
-    above, and what passes is intersected exactly. Equal sets are one set.
-    No links within one class are listed, and no link between classes is
-    lost.
+    smallest of the tile. Where a tile still has several classes, each set
+    outside its largest class is compared with the partners of other classes
+    that look most alike, few at first and sixteen times as many in each
+    further round, until no pair of classes can link: bitmap signatures bound
+    the overlap from above, and what passes is intersected exactly. Equal
+    sets are one set. No links within one class are listed, and no link
+    between classes is lost.
 
     Columns: ``id``, ``n_shingles``, ``component_id`` (smallest id reachable
     by links). Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text
@@ -408,29 +376,26 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         scratch.drop(arrays)
         scratch.free()
         roots = components(links, scratch)
-        rest = tiles.where("node != pivot").join(roots, "node", "left").select("tile", "node", F.coalesce("root", "node").alias("label"))
-        mixed = rest.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("tile")
-        rest = scratch.put(rest.join(mixed, "tile"), "rest")
-        blocks = scratch.put(able_blocks(rest, nodes, percent), "blocks")
-        scratch.free()
-        if not blocks.isEmpty():
-            arrays = arrays_of(blocks.select("node").distinct())
-            for _ in range(rounds):        # many blocks are settled by a few pivots
-                first = Window.partitionBy("block").orderBy("node")
-                with_pivot = blocks.withColumn("pivot", F.first("node").over(first)).withColumn("pivot_label", F.first("label").over(first))
-                pairs = with_pivot.where("label != pivot_label").select("pivot", "node").distinct()
-                pairs = scratch.put(able_pairs(pairs, nodes, percent), "pairs")
-                links = scratch.put(links.union(star_links(pairs, arrays, percent)), "links")
-                scratch.free()
-                roots = components(links, scratch)
-                rest = with_pivot.where("node != pivot").select("block", "node").join(roots, "node", "left")
-                rest = rest.select("block", "node", F.coalesce("root", "node").alias("label"))
-                blocks = scratch.put(able_members(rest, ["block"], nodes, percent), "blocks")
-                scratch.free()
-            links = scratch.put(links.union(block_links(blocks, arrays, percent)), "links")
+        tried, seen, most = None, None, FIRST
+        while True:
+            rest = tiles.where("node != pivot").join(roots, "node", "left").select("tile", "node", F.coalesce("root", "node").alias("label"))
+            mixed = rest.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("tile")
+            rest = scratch.put(rest.join(mixed, "tile"), "rest")
+            pairs = scratch.put(candidates(rest, nodes, seen, percent, most), "pairs")
+            scratch.drop(rest)
+            scratch.free()
+            if pairs.isEmpty():
+                break
+            arrays = arrays_of(pairs.select("node").union(pairs.select("pivot")).distinct())
+            links = scratch.put(links.union(star_links(pairs.select("pivot", "node"), arrays, percent)), "links")
             scratch.drop(arrays)
             roots = components(links, scratch)
-        scratch.free()
+            # a set without partners left has met all that it may link with
+            tried = pairs if tried is None else tried.union(pairs)
+            seen = tried.join(pairs.where("more").select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_set("pivot").alias("seen"))
+            if not pairs.where("more").head(1):
+                break
+            most *= FURTHER
     classes = nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("id").alias("component_id"))
     classes = scratch.put(classes.join(smallest, "root").select("node", "component_id"), "classes")

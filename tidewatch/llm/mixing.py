@@ -114,19 +114,18 @@ def fill_gaps(undrawn: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def pareto_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-               weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 1, skip: bool = True) -> DataFrame:
+               weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 1) -> DataFrame:
     """Copies of each document so that every source takes about its target.
 
     A document of a source with target / size = k + f is taken k times for
     certain; the rest of the target is a sample of fixed size in words with
     inclusion probability f, drawn by Pareto order sampling: documents are
     ranked by the odds of a uniform number (a hash of seed and id) divided by
-    the odds of f, and taken in that order while they fit. With ``skip`` a
-    document that does not fit is passed over, and the sample goes on down
-    the rank until no document fits; a document so long that the others
-    cannot reach the target without it comes before them. Without ``skip``
-    the sample ends at the first document that does not fit. The one document
-    left that closes the remaining gap best is added.
+    the odds of f, and taken in that order while they fit. A document that
+    does not fit is passed over, and the sample goes on down the rank until
+    no document fits; a document so long that the others cannot reach the
+    target without it comes before them. The one document left that closes
+    the remaining gap best is added.
 
     Ranks are never sorted per source: words are counted per rank bin, and
     only the bin that holds the cut is ordered row by row, so a source with
@@ -156,41 +155,31 @@ def pareto_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
                       u.alias("u"), p.alias("p"))
               .withColumn("rank", F.col("u") / (1 - F.col("u")) / (F.col("p") / (1 - F.col("p"))))
               .withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * RANK_BINS)))
-    if skip:
-        needed = ranked.where((F.col("size") > F.col("source_size") - F.col("rest")) & (F.col("size") <= F.col("rest")))
-        needed = scratch.put(needed.select("source", "id").distinct().withColumn("needed", F.lit(True)), "needed")
-        ranked = (ranked.alias("r").join(needed.alias("n"), F.col("r.source").eqNullSafe(F.col("n.source")) & F.col("r.id").eqNullSafe(F.col("n.id")), "left")
-                  .select("r.*", "n.needed").withColumn("u", F.col("u") - F.when(F.col("needed"), 1).otherwise(0))
-                  .withColumn("rank", F.when(F.col("needed"), F.col("u")).otherwise(F.col("rank")))
-                  .withColumn("bin", F.when(F.col("needed"), F.floor(F.col("u") * RANK_BINS)).otherwise(F.col("bin"))))
+    needed = ranked.where((F.col("size") > F.col("source_size") - F.col("rest")) & (F.col("size") <= F.col("rest")))
+    needed = scratch.put(needed.select("source", "id").distinct().withColumn("needed", F.lit(True)), "needed")
+    ranked = (ranked.alias("r").join(needed.alias("n"), F.col("r.source").eqNullSafe(F.col("n.source")) & F.col("r.id").eqNullSafe(F.col("n.id")), "left")
+              .select("r.*", "n.needed").withColumn("u", F.col("u") - F.when(F.col("needed"), 1).otherwise(0))
+              .withColumn("rank", F.when(F.col("needed"), F.col("u")).otherwise(F.col("rank")))
+              .withColumn("bin", F.when(F.col("needed"), F.floor(F.col("u") * RANK_BINS)).otherwise(F.col("bin"))))
 
     cut = cut_by_rank(ranked, scratch)
     joined = (ranked.alias("r").join(cut.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source")), "left")
               .select("r.*", "c.cut_bin", "c.last", "c.filled"))
     joined = joined.withColumn("drawn", before_cut())
     gap = F.col("rest") - F.col("filled")
-    if skip:
-        more = fill_gaps(joined.where(~F.col("drawn")).withColumn("gap", gap), scratch).withColumn("more", F.lit(True))
-        copies = F.col("j.whole") + (F.col("j.drawn") | F.coalesce("m.more", F.lit(False))).cast("long")
-        return (joined.alias("j").join(more.alias("m"), F.col("j.source").eqNullSafe(F.col("m.source")) & F.col("j.id").eqNullSafe(F.col("m.id")), "left")
-                .select("j.id", "j.source", "j.size", "j.source_size", "j.target", copies.alias("copies"),
-                        (copies * F.col("j.size")).alias("taken")))
-    close = scratch.put(joined.where(~F.col("drawn") & (F.abs(F.col("size") - gap) < gap))
-                        .groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - gap).alias("miss"), "rank", "id")).alias("close")), "close")
-    copies = F.col("j.whole") + (F.col("j.drawn") | F.coalesce(F.col("k.close.id").eqNullSafe(F.col("j.id")) & F.col("k.close").isNotNull(), F.lit(False))).cast("long")
-    return (joined.alias("j").join(close.alias("k"), F.col("j.source").eqNullSafe(F.col("k.source")), "left")
+    more = fill_gaps(joined.where(~F.col("drawn")).withColumn("gap", gap), scratch).withColumn("more", F.lit(True))
+    copies = F.col("j.whole") + (F.col("j.drawn") | F.coalesce(F.col("m.more"), F.lit(False))).cast("long")
+    return (joined.alias("j").join(more.alias("m"), F.col("j.source").eqNullSafe(F.col("m.source")) & F.col("j.id").eqNullSafe(F.col("m.id")), "left")
             .select("j.id", "j.source", "j.size", "j.source_size", "j.target", copies.alias("copies"),
                     (copies * F.col("j.size")).alias("taken")))
 
 
 def op5_mix_sources(spark, sf_dir):
-    # SQL ends a sample at the first document that does not fit
-    return pareto_mix(read_table(spark, sf_dir, "documents"), skip=False).select(
-        F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return pareto_mix(read_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 SQL = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS pos FROM d GROUP BY source),
@@ -208,11 +197,18 @@ u AS (
   SELECT d.*, p.source_size, p.target, p.whole, p.rest, p.prob,
          (('0x' || substr(md5('1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-r AS (SELECT *, u / (1 - u) / (prob / (1 - prob)) AS rnk FROM u),
-c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rnk, doc_id) AS cum FROM r),
-g AS (SELECT *, cum <= rest AS drawn, rest - coalesce(max(CASE WHEN cum <= rest THEN cum END) OVER (PARTITION BY source), 0) AS gap FROM c),
+n AS (SELECT *, u - CASE WHEN size > source_size - rest AND size <= rest THEN 1 ELSE 0 END AS place FROM u),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY place, doc_id) AS k FROM n),
+walk AS (
+  SELECT source, 0::BIGINT AS k, 0::BIGINT AS filled, NULL::BIGINT AS doc_id, false AS drawn FROM p
+  UNION ALL
+  SELECT r.source, r.k, w.filled + CASE WHEN r.size <= r.rest - w.filled THEN r.size ELSE 0 END, r.doc_id, r.size <= r.rest - w.filled
+  FROM walk w JOIN r ON r.source IS NOT DISTINCT FROM w.source AND r.k = w.k + 1),
+g AS (
+  SELECT r.*, w.drawn, r.rest - max(w.filled) OVER (PARTITION BY r.source) AS gap
+  FROM r JOIN walk w ON w.source IS NOT DISTINCT FROM r.source AND w.k = r.k),
 k AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN NOT drawn AND abs(size - gap) < gap THEN 0 ELSE 1 END, abs(size - gap), rnk, doc_id) = 1
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN NOT drawn AND abs(size - gap) < gap THEN 0 ELSE 1 END, abs(size - gap), place, doc_id) = 1
             AND NOT drawn AND abs(size - gap) < gap AS closes FROM g)
 SELECT doc_id, size, source_size, target, ((whole + CASE WHEN drawn OR closes THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM k
 """

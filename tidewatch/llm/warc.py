@@ -203,6 +203,8 @@ def read_warc(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
     names = ["record_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "bundle", "frame", "offset"]
     kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
     bundles = index.select("bundle").distinct()
+    # names are few and short, so the number of tasks follows the number of bundles
+    bundles = bundles.repartition(max(1, bundles.count()))
     return bundles.mapInArrow(read, "record_id string, url string, record_type string, payload_bytes long, payload_digest string, "
                                     "refers_to string, bundle string, frame long, offset long")
 

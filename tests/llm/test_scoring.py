@@ -10,6 +10,8 @@ import public_tokenizers
 import pytest
 import regex
 
+from pyspark.sql import functions as F
+
 from tests.llm.helpers import edge_docs, edge_rows
 from tidewatch.llm import counts, language, quality
 from tidewatch.llm.common import read_table, text_chunks
@@ -41,6 +43,24 @@ def test_language_edge_rows(spark):
     assert language.language_id(edge_docs(spark, []), model).count() == 0
 
 
+def test_language_survives_tables_of_numbers(spark):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    model = language.train_language_model(docs)
+    longer = docs.where("lang is not null and length(text) between 1500 and 4000").select("doc_id", "lang", F.concat(
+        "text", F.lit(" "), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(6000)), lambda i: (i * 7919 % 100_003).cast("string")))).alias("text"))
+    before = {r["id"]: r["lang_pred"] for r in language.language_id(docs, model).collect()}
+    got = language.language_id(longer, model).collect()
+    assert len(got) > 40 and all(r["lang_pred"] == before[r["id"]] for r in got)
+    assert np.mean([r["score"] > 0.9 for r in got]) > 0.95
+
+
+def test_language_sample_takes_copies_once(spark):
+    rows = [(i, "same text in every row", "en") for i in range(50)] + [(99, "anderer Text", "de"), (100, "12345", "fr")]
+    model = language.train_language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["de", "en", "fr"]
+    assert language.train_language_model(spark.createDataFrame([(1, "123", "fr")], "doc_id long, text string, lang string")) is None
+
+
 def test_language_blocks_of_windows_equal_one_pass():
     model = language.ByteNet(["a", "b"])
     raw = np.frombuffer(("the quick brown fox " * 900).encode(), np.uint8)

@@ -18,7 +18,7 @@ WIDTHS = (2, 3, 4)           # filter widths in bytes
 FILTERS = 16                 # filters of each width
 DIM = 8                      # embedding of a byte
 ROWS_PER_LANG = 400          # bound of the labelled sample, rows of a language
-SAMPLE_CHARS = 2048          # characters read of a sampled text, training only
+SAMPLE_WINDOWS = 8           # windows of a sampled text, spread over all of it (training only)
 EPOCHS = 6
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -130,26 +130,40 @@ class ByteNet:
 
 
 def train_language_model(df: DataFrame, text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = ROWS_PER_LANG) -> ByteNet | None:
-    """Fit on at most ``rows_per_lang`` labelled texts of each language (those
-    with the smallest text hash), the first ``SAMPLE_CHARS`` characters each;
-    a fifth of them also in upper case. None if no row has text and label."""
+    """Fit on at most ``rows_per_lang`` different labelled texts of each
+    language (those with the smallest hash), up to ``SAMPLE_WINDOWS`` windows
+    of each, spread evenly over the whole text; a fifth of them also in upper
+    case. None if no row has text and label."""
     d = df.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("t is not null and l is not null and t != ''")
-    d = d.select("l", F.xxhash64("t").alias("h"), F.substring("t", 1, SAMPLE_CHARS).alias("t"))
-    top = Window.partitionBy("l").orderBy("h", "t")
-    rows = sorted(d.withColumn("k", F.row_number().over(top)).where(F.col("k") <= rows_per_lang).select("l", "h", "t").collect())
+    step = F.greatest(F.lit(WINDOW), F.floor(F.length("t") / SAMPLE_WINDOWS)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1)), lambda i: F.substring(F.col("t"), i * step + 1, F.lit(WINDOW)))
+    d = d.select("l", F.xxhash64("t").alias("h"), F.filter(parts, lambda x: x != "").alias("parts"))
+    # copies of a text have one row
+    d = d.groupBy("l", "h").agg(F.min("parts").alias("parts"))
+    top = Window.partitionBy("l").orderBy("h")
+    rows = sorted(d.withColumn("k", F.row_number().over(top)).where(F.col("k") <= rows_per_lang).select("l", "h", "parts").collect())
     if not rows:
         return None
     langs = sorted({r["l"] for r in rows})
     xs, ys = [], []
     for i, r in enumerate(rows):
-        for text in [r["t"]] + [r["t"].upper()] * (i % 5 == 0):
-            raw = np.frombuffer(text.encode(), np.uint8)
+        for text in r["parts"] + [t.upper() for t in r["parts"]] * (i % 5 == 0):
+            raw = np.frombuffer(text.encode()[:WINDOW], np.uint8)
             x, _ = windows(raw, np.array([0, len(raw)]))
-            xs.append(x[:4])
-            ys.append(np.full(len(xs[-1]), langs.index(r["l"])))
+            if letters(x)[0]:
+                xs.append(x)
+                ys.append(np.full(len(x), langs.index(r["l"])))
+    if not xs:
+        return None
     return ByteNet(langs).fit(np.concatenate(xs), np.concatenate(ys))
 
 
+def letters(x: np.ndarray) -> np.ndarray:
+    """Bytes of each window that belong to letters (or to characters beyond
+    ASCII)."""
+    return (x[:, :WINDOW] != 32).sum(axis=1)
+
+
 def has_letter(column: pa.Array) -> np.ndarray:
     """Whether each text has a letter of any script."""
     data, offs = string_bytes(column)
@@ -167,8 +181,9 @@ def language_id(df: DataFrame, model: ByteNet | None, id_col: str = "doc_id", te
     """Language of each whole text: columns ``id``, ``lang_pred``, ``score``.
 
     A text is cut into windows of fixed length, all of which are scored; the
-    probabilities are averaged over its windows, and the language with the
-    highest mean is taken, its mean the score. A text that is null,
+    probabilities are averaged over its windows, each weighted by its letters
+    (tables of numbers do not vote), and the language with the highest mean
+    is taken, its mean the score. A text that is null,
     empty or has no letter is ``und`` with score 0, as is every text without
     a model. Repeated rows get equal results; an empty table gives none.
     """
@@ -183,9 +198,10 @@ def language_id(df: DataFrame, model: ByteNet | None, id_col: str = "doc_id", te
                 z = np.zeros((hi - lo, len(model.langs)))
                 count = np.zeros(hi - lo)
                 for x, doc in window_blocks(data, offs):
-                    np.add.at(z, doc, model.probs(x, tables))
-                    np.add.at(count, doc, 1)
-                z /= count[:, None]
+                    weight = letters(x)
+                    np.add.at(z, doc, model.probs(x, tables) * weight[:, None])
+                    np.add.at(count, doc, weight)
+                z /= np.maximum(count, 1)[:, None]
                 best[lo:hi], prob[lo:hi] = z.argmax(axis=1), z.max(axis=1)
             lang = [model.langs[k] if ok else UNKNOWN for k, ok in zip(best, known)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(np.where(known, prob, 0.0))], ["id", "lang_pred", "score"])

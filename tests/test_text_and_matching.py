@@ -73,8 +73,9 @@ def test_term_hits_equal_brute_force(spark, monkeypatch):
     clean = {t.strip().lower() for t in terms if t.strip()}
     want = {(i, *h) for i, t in texts.items() for h in brute_hits(t, clean)}
     first = {i: min(((s, -len(t), t) for t, s, _ in brute_hits(x, clean)), default=None) for i, x in texts.items()}
-    for block in (100_000, 3):
+    for block, table in ((100_000, 4_096), (3, 0)):      # a larger table goes through the index
         monkeypatch.setattr(M, "TERM_BLOCK", block)
+        monkeypatch.setattr(M, "SMALL_TABLE", table)
         for given in (terms, spark.createDataFrame([(t,) for t in terms], "term string")):
             assert {tuple(r) for r in M.term_hits(msgs, given).collect()} == want
         hits = {r.message_id: r.term_hit for r in M.match_terms(msgs, terms).collect()}
@@ -91,6 +92,38 @@ def test_terms_of_any_length_and_number(spark):
     assert set(got.values()) == {None}
 
 
+def test_term_index_equals_automaton(spark, monkeypatch):
+    import random
+    rng = random.Random(8)
+    alphabet = "abcä é日"
+    texts = ["".join(rng.choices(alphabet, k=rng.choice([0, 1, 5, 30, 90, 400]))) for _ in range(300)] + ["ab" * 30_000 + " needle in a long text indeed " + "é" * 10, None, ""]
+    df = spark.createDataFrame([(i // 2 if i > 250 else i, t, "x") for i, t in enumerate(texts)], "message_id long, lowered string, term string")
+    pool = [t for t in texts if t]
+    terms = {"a", "ä", "日", "ab", "é日", "needle in a long text indeed", "zzz", "z" * 50, "ab" * 40}
+    while len(terms) < 400:
+        t = rng.choice(pool)
+        lo = rng.randrange(len(t))
+        terms.add(t[lo:lo + rng.choice([1, 2, 3, 5, 7, 8, 9, 15, 23, 24, 25, 40, 90])].strip() or "q")
+    table = spark.createDataFrame([(t,) for t in terms], "term string")
+    for whole_word in (False, True):
+        want = sorted(map(str, M.match_terms(df, sorted(terms), whole_word=whole_word).collect()))
+        every = sorted(map(str, M.term_hits(df, sorted(terms), whole_word=whole_word).collect()))
+        monkeypatch.setattr(M, "SMALL_TABLE", 0)
+        assert sorted(map(str, M.match_terms(df, table, whole_word=whole_word).collect())) == want
+        assert sorted(map(str, M.term_hits(df, table, whole_word=whole_word).collect())) == every
+        monkeypatch.undo()
+
+
+def test_term_index_empty_tables(spark, monkeypatch):
+    monkeypatch.setattr(M, "SMALL_TABLE", -1)
+    df = spark.createDataFrame([(1, "some text"), (None, "term here")], "message_id long, lowered string")
+    none = spark.createDataFrame([], "term string")
+    assert [r.term_hit for r in M.match_terms(df, none).collect()] == [None, None]
+    one = spark.createDataFrame([("Term ",), (None,), (" ",)], "term string")
+    assert sorted((r.message_id is None, r.term_hit and r.term_hit.start) for r in M.match_terms(df, one).collect()) == [(False, None), (True, 0)]
+    assert M.match_terms(df.limit(0), one).count() == 0
+
+
 def test_patterns_validated(spark):
     import pytest
     with pytest.raises(ValueError):

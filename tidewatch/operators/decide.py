@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import render as R
 from ..functions.replies import PRODUCTION_THRESHOLDS, threshold_first, verdict_prefix
 from ..functions.text import bind, with_normalized
-from .matching import first_pattern_hit, first_term_hit, term_blocks, validate_patterns
+from .matching import first_pattern_hit, match_terms, validate_patterns
 
 DECISION_TYPE = ("struct<score:double,reason:string,stage:string,"
                  "attribute:string,chat_flag:boolean>")
@@ -81,9 +81,7 @@ def evaluate(msgs: DataFrame, terms, patterns: list[str], pii_rules: list[str],
     ``chat_content string`` (null = failed call, treated as not flagged).
     """
     validate_patterns(msgs.sparkSession, patterns)
-    blocks = term_blocks(msgs.sparkSession, terms)
-    norm = with_normalized(msgs, text_col)
-    norm = norm.withColumn("term_hit", first_term_hit(F.col("lowered"), blocks)).drop("lowered")
+    norm = match_terms(with_normalized(msgs, text_col), terms).drop("lowered")
     cols = ["stripped", "folded", "term_hit"]
     out = list(msgs.columns)
 

@@ -181,26 +181,25 @@ def list_as_of(msgs: DataFrame, changes: DataFrame, time_col: str = "created_at"
                text_col: str = "lowered", block: str = "DAY") -> DataFrame:
     """O-E6: (message, term) hits judged by the list as it stood on arrival.
 
-    Messages are matched once against every term that was ever listed.  Hits
-    and list changes of a term are put in order of time, and each hit takes
-    the last change before it: within blocks of ``block`` length first, then
-    across blocks from the last change of each, so neither a term that is
-    listed often nor one that hits often is ordered by one task, and no hit
-    meets more than one change.
+    Messages are matched once against every term that was ever listed.  The
+    changes of a term are packed, in order, by blocks of time (``block``),
+    together with the state at the start of the block; a hit looks its time
+    up in the pack of its block.  Hits are never ordered, so neither a term
+    that hits often nor a crowded day is one task; a pack holds the changes
+    of one term in one block.
     """
     hits = term_hits(msgs, changes.select("term").distinct(), text_col, keep=[time_col])
+    hits = hits.select("term", F.col(time_col).cast("timestamp_ntz").alias("_at"), "message_id").withColumn("_blk", F.date_trunc(block, "_at"))
     first = F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")
-    both = hits.select("term", F.col(time_col).cast("timestamp_ntz").alias("at"), "message_id",
-                       F.lit(None).cast(changes.schema["seq"].dataType).alias("seq"), F.lit(None).cast("boolean").alias("live"))
-    both = both.unionByName(changes.select("term", F.coalesce(F.col("at").cast("timestamp_ntz"), first).alias("at"),
-                                           F.lit(None).cast("bigint").alias("message_id"), "seq", "live"))
-    both = both.withColumn("_blk", F.date_trunc(block, "at"))
-    last = both.where("live is not null").groupBy("term", "_blk").agg(F.max_by("live", F.struct("at", "seq")).alias("_live"))
-    touched = both.select("term", "_blk").distinct().join(last, ["term", "_blk"], "left")
+    edits = changes.select("term", F.coalesce(F.col("at").cast("timestamp_ntz"), first).alias("at"), "seq", "live")
+    packs = (edits.groupBy("term", F.date_trunc(block, "at").alias("_blk"))
+             .agg(F.array_sort(F.collect_list(F.struct("at", "seq", "live"))).alias("_pack")))
+    # the days on which a term hits or changes, with the state each one begins with
+    days = hits.select("term", "_blk").distinct().join(packs, ["term", "_blk"], "full")
     earlier = Window.partitionBy("term").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = touched.select("term", "_blk", F.last("_live", ignorenulls=True).over(earlier).alias("_carry"))
-    upto = (Window.partitionBy("term", "_blk").orderBy("at", F.col("seq").asc_nulls_last())
-            .rowsBetween(Window.unboundedPreceding, 0))
-    state = both.join(carry, ["term", "_blk"]).withColumn(
-        "_on", F.coalesce(F.last("live", ignorenulls=True).over(upto), "_carry", F.lit(False)))
-    return state.where("message_id is not null and _on").select("message_id", "term").distinct()
+    days = days.withColumn("_carry", F.last(F.element_at("_pack", -1)["live"], ignorenulls=True).over(earlier))
+    state = hits.join(days, ["term", "_blk"]).withColumn(
+        "_done", F.filter("_pack", lambda c: c["at"] <= F.col("_at")))
+    on = F.when(F.size("_done") > 0, F.element_at("_done", -1)["live"])
+    state = state.withColumn("_on", F.coalesce(on, "_carry", F.lit(False)))
+    return state.where("_on").select("message_id", "term").distinct()

@@ -1,10 +1,11 @@
 """Term and pattern matching (theta joins between messages and lists).
 
-Terms of any length and any number take one path: the cleaned list is split
-into blocks of at most ``TERM_BLOCK`` terms, each block is one Aho-Corasick
-automaton on the executors, and every text is scanned once per block in
-Arrow batches.  Nothing is shuffled and no text is copied; the scan time
-does not depend on the number of terms in a block.  Patterns stay JVM
+A list that the caller holds, or a term table of checked size (at most
+``SMALL_TABLE`` terms), is broadcast: blocks of at most ``TERM_BLOCK`` terms,
+each one Aho-Corasick automaton on the executors, and every text is scanned
+once per block in Arrow batches.  A larger term table stays in Spark and is
+joined through an index of rarest grams (``term_index``); both give the same
+hits.  Patterns stay JVM
 regular expressions, ``PATTERN_BLOCK`` at a time behind one alternation.
 
 A hit is ``struct(item, start, end)`` with 0-based, end-exclusive offsets
@@ -22,8 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bind, strip_ws
+from .term_index import hits_indexed, match_indexed
 
 TERM_BLOCK = 100_000    # terms of one broadcast block and automaton
+SMALL_TABLE = 4_096     # terms of a table that is broadcast
 PATTERN_BLOCK = 100     # patterns of one alternation
 
 HIT_TYPE = "struct<item:string,start:int,end:int>"
@@ -32,19 +35,22 @@ _CANDIDATE = "struct<pos:int,neg_len:int,item:string>"
 
 # ---------------------------------------------------------------- lists ----
 
-def load_terms(df: DataFrame, col: str = "term", fold: bool = False) -> DataFrame:
-    """Clean a user term list: strip, lower, drop blanks, de-duplicate.
-
-    Blank terms are rejected: an empty term would match every message.
-    ``fold=True`` also transliterates terms like message text, so an
-    accented term can match (by default it cannot, as in the reference).
-    """
+def clean_terms(df: DataFrame, col: str = "term", fold: bool = False) -> DataFrame:
+    """Strip and lower terms and drop blank ones (an empty term would match
+    every message).  ``fold=True`` also transliterates terms like message
+    text, so an accented term can match (by default it cannot, as in the
+    reference)."""
     t = strip_ws(F.col(col))
     if fold:
         from ..functions.text import fold_ascii
         t = fold_ascii(t)
     t = F.lower(t)
-    return df.select(t.alias("term")).where(F.length("term") > 0).distinct()
+    return df.select(t.alias("term")).where(F.length("term") > 0)
+
+
+def load_terms(df: DataFrame, col: str = "term", fold: bool = False) -> DataFrame:
+    """Clean a user term list (``clean_terms``) and drop repeats."""
+    return clean_terms(df, col, fold).distinct()
 
 
 def terms_frame(spark, terms: list[str]) -> DataFrame:
@@ -80,23 +86,23 @@ def validate_patterns(spark, patterns: list[str]) -> list[str]:
 
 # --------------------------------------------------------- term matching ----
 
-def term_blocks(spark, terms, fold: bool = False) -> list:
-    """Broadcast blocks of a cleaned term list (a Python list or a DataFrame
-    with a ``term`` column; both are cleaned by ``load_terms``)."""
+def small_terms(spark, terms, fold: bool = False) -> list[str] | None:
+    """The cleaned terms of a list, or of a table if they are few; None for a
+    larger table.  Never more than ``SMALL_TABLE`` + 1 rows of a table are
+    collected; a list is cleaned by the same expressions, without a shuffle.
+    """
     if isinstance(terms, DataFrame):
-        clean = load_terms(terms, fold=fold)
-    else:
-        clean = load_terms(spark.createDataFrame([(t,) for t in terms], "term string"), fold=fold)
+        few = [r[0] for r in load_terms(terms, fold=fold).limit(SMALL_TABLE + 1).collect()]
+        return sorted(few) if len(few) <= SMALL_TABLE else None
+    given = spark.createDataFrame(pa.table({"term": pa.array(sorted(set(terms)), pa.string())}))
+    return sorted({r[0] for r in clean_terms(given, fold=fold).collect()})
+
+
+def term_blocks(spark, clean: list[str]) -> list:
+    """Broadcast blocks of a cleaned Python list of terms."""
     from ..session import ship_package
     ship_package(spark)
-    clean = clean.persist()
-    try:
-        blocks = -(-clean.count() // TERM_BLOCK)
-        number = F.pmod(F.xxhash64("term"), F.lit(max(blocks, 1)))
-        return [spark.sparkContext.broadcast(sorted(r[0] for r in clean.where(number == k).collect()))
-                for k in range(blocks)]
-    finally:
-        clean.unpersist()
+    return [spark.sparkContext.broadcast(clean[lo:lo + TERM_BLOCK]) for lo in range(0, len(clean), TERM_BLOCK)]
 
 
 @functools.lru_cache(maxsize=8)
@@ -214,12 +220,15 @@ def match_terms(msgs: DataFrame, terms, text_col: str = "lowered",
                 out: str = "term_hit", whole_word: bool = False, fold: bool = False) -> DataFrame:
     """O-C1: add the first blocked-term hit (null when none).
 
-    ``terms`` is a Python list or a DataFrame with a ``term`` column.
+    ``terms`` is a Python list or a DataFrame with a ``term`` column (then
+    ``msgs`` has a ``message_id``).
     ``whole_word`` requires non-letter/digit neighbours (option of Q2);
     ``fold`` folds terms like text (option of Q8).
     """
-    blocks = term_blocks(msgs.sparkSession, terms, fold)
-    return msgs.withColumn(out, first_term_hit(F.col(text_col), blocks, whole_word))
+    small = small_terms(msgs.sparkSession, terms, fold)
+    if small is None:
+        return match_indexed(msgs, load_terms(terms, fold=fold), text_col, out, whole_word)
+    return msgs.withColumn(out, first_term_hit(F.col(text_col), term_blocks(msgs.sparkSession, small), whole_word))
 
 
 def term_hits(msgs: DataFrame, terms, text_col: str = "lowered", whole_word: bool = False,
@@ -229,7 +238,10 @@ def term_hits(msgs: DataFrame, terms, text_col: str = "lowered", whole_word: boo
     ``keep`` columns of the message row travel with each hit (no join back).
     """
     keep = keep or []
-    hits = all_term_hits(F.col(text_col), term_blocks(msgs.sparkSession, terms), whole_word)
+    small = small_terms(msgs.sparkSession, terms)
+    if small is None:
+        return hits_indexed(msgs, load_terms(terms), text_col, keep, whole_word)
+    hits = all_term_hits(F.col(text_col), term_blocks(msgs.sparkSession, small), whole_word)
     return (msgs.select("message_id", *keep, F.explode(hits).alias("h"))
             .select("message_id", *keep, F.col("h.item").alias("term"),
                     F.col("h.start").alias("start"), F.col("h.end").alias("end")))

@@ -220,3 +220,73 @@ def test_both_kinds_in_one_pass(spark):
         got = {r.seq: (r.strike_kind, r.n_strikes) for r in ST.multi_horizon_strikes(df, kinds, "seq", "at", mode=mode).collect()}
         late = 3 if mode == "replay" else 2
         assert got == {1: ("abuse", 1), 2: ("false", 1), 3: ("abuse", 2 if mode == "replay" else 3), 4: ("abuse", late), 5: (None, None), 6: (None, None)}
+
+
+def _fold(rows, horizon):
+    """Counts by literal head-only eviction; rows (user, seq, time)."""
+    lists, out = {}, []
+    for user, seq, t in sorted(rows, key=lambda r: (r[1], r[2])):
+        own = lists.setdefault(user, [])
+        while own and t - own[0] >= horizon:
+            own.pop(0)
+        own.append(t)
+        out.append((user, seq, t, len(own)))
+    return sorted(out)
+
+
+def test_replay_equals_fold_on_any_arrival_order(spark, monkeypatch):
+    import random
+    monkeypatch.setattr(ST, "BLOCKS", 7)
+    rng = random.Random(3)
+    start, day = dt.datetime(2020, 1, 1), dt.timedelta(days=1)
+    rows, base = [], 1 << 60
+    for user in range(12):
+        n, spread, drift = rng.choice([(1, 5, 0), (40, 30, 1), (120, 400, 0), (200, 15, 2), (90, 1, 0)])
+        at = 0
+        for _ in range(n):
+            at += rng.choice([0, drift, drift * 40])
+            rows.append((user, base + rng.randrange(4000) * rng.choice([1, 1_000_003]), start + (at + rng.randrange(spread + 1)) * day))
+    rows += [(1, rows[0][1], rows[0][2])] * 2 + [(0, 5, start + 3 * day)] * 3        # repeated rows
+    df = spark.createDataFrame([*rows, (None, 1, start), (3, 2, None)], "u long, seq long, created timestamp_ntz")
+    got = ST.strikes_replay(df, "u", "created", "seq", 30).collect()
+    assert sorted((r.u, r.seq, r.created, r.n_strikes) for r in got if r.n_strikes) == _fold(rows, 30 * day)
+    assert sorted(str(r.u) for r in got if r.n_strikes is None) == ["3", "None"]
+    assert ST.strikes_replay(df.limit(0), "u", "created", "seq", 30).count() == 0
+    # a look-up evicts like a strike at its time
+    users = spark.createDataFrame([(u,) for u in range(14)], "u long")
+    for as_of in ("2019-06-01 00:00:00", "2020-01-20 00:00:00", "2030-01-01 00:00:00"):
+        left = {r.u: r.n for r in ST.strike_balance_replay(users, df, "u", "created", "seq", as_of, 30, "n").collect()}
+        t = dt.datetime.fromisoformat(as_of)
+        for u in range(14):
+            mine = [(u, s, x) for v, s, x in rows if v == u]
+            asked = _fold([*mine, (u, 1 << 62, t)], 30 * day)
+            assert left[u] == (max(asked, key=lambda r: r[1])[3] - 1 if mine else 0), (u, as_of)
+
+
+def test_repeated_sequence_numbers_keep_their_rows(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [(1, 7, "a", t), (2, 7, "a", t + dt.timedelta(days=1)), (2, 7, "b", t + dt.timedelta(days=1)), (1, 7, "a", t), (1, 8, "a", t), (None, 9, "a", t)]
+    df = spark.createDataFrame(rows, "seq long, who long, kind string, at timestamp_ntz")
+    kinds = {"a": (F.col("kind") == "a", F.col("who"), 30), "b": (F.col("kind") == "b", F.col("who"), 30)}
+    for mode in ("window", "replay"):
+        got = sorted((r.seq or 0, r.who, r.kind, r.n_strikes) for r in ST.multi_horizon_strikes(df, kinds, "seq", "at", mode=mode).collect())
+        assert got[1:] == [(1, 7, "a", 2), (1, 7, "a", 2), (1, 8, "a", 1), (2, 7, "a", 3), (2, 7, "b", 1)] and len(got) == 6, mode
+
+
+def test_hot_user_without_gaps_is_many_tasks(spark):
+    # one user, a strike a minute, out of order by up to a day: no gap of a horizon anywhere
+    n = 200_000
+    df = spark.range(n).select(F.lit(1).cast("long").alias("u"), F.col("id").alias("seq"), F.timestamp_add(
+        "MINUTE", F.col("id") - F.pmod(F.xxhash64("id"), F.lit(1440)), F.lit("2024-01-01").cast("timestamp")).cast("timestamp_ntz").alias("created"))
+    order, _ = ST._edges(df.withColumn("_t", ST._micros("created")).withColumn("_h", F.lit(30 * ST.DAY_US)), "seq")
+    assert len(order) > 200
+    got = [r.n_strikes for r in ST.strikes_replay(df, "u", "created", "seq", 30).orderBy("seq").collect()]
+    times = [r[0] for r in df.orderBy("seq").select(ST._micros("created")).collect()]
+    from collections import deque
+    live, want = deque(), []
+    for t in times:
+        while live and t - live[0] >= 30 * ST.DAY_US:
+            live.popleft()
+        live.append(t)
+        want.append(len(live))
+    assert got == want

@@ -9,8 +9,7 @@ CHUNK = 1 << 20          # bytes hashed together; a longer text comes alone
 # (gram, windows): a string of gram + windows - 1 bytes or more has at least
 # one window of grams, and the smallest hash of each of its windows is also
 # the smallest of a window of any text that holds the string.
-LONG, MEDIUM = (12, 13), (4, 5)
-LONG_BYTES, MEDIUM_BYTES = sum(LONG) - 1, sum(MEDIUM) - 1
+KINDS = {"long": (12, 13), "medium": (8, 5), "brief": (7, 2)}
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -30,6 +29,8 @@ def _packed(data: np.ndarray, width: int) -> np.ndarray:
 
 
 def _gram_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    if width < 8:
+        return _mix(_packed(data, width) ^ _K[0])
     words = _packed(data, 4)
     n = max(len(data) - width + 1, 0)
     out = np.full(n, width, np.uint64)
@@ -46,16 +47,19 @@ def _window_minima(data: np.ndarray, gram: int, windows: int) -> np.ndarray:
 
 
 def gram_kinds(size: int) -> int | str:
-    """The kind of grams that a term of so many bytes is filed under."""
-    return "long" if size >= LONG_BYTES else "medium" if size >= MEDIUM_BYTES else size
+    """The kind of grams that a term of so many bytes is filed under; the
+    whole of a term of at most seven bytes is its gram."""
+    for kind, (gram, windows) in KINDS.items():
+        if size >= gram + windows - 1:
+            return kind
+    return size
 
 
 def _values(data: np.ndarray, kind) -> tuple[np.ndarray, int]:
     """Hashes from each position and the bytes that each one covers."""
-    if kind == "long":
-        return _window_minima(data, *LONG), LONG_BYTES
-    if kind == "medium":
-        return _window_minima(data, *MEDIUM), MEDIUM_BYTES
+    if kind in KINDS:
+        gram, windows = KINDS[kind]
+        return _window_minima(data, gram, windows), gram + windows - 1
     return _mix(_packed(data, kind) | np.uint64(kind << 56)), kind
 
 

@@ -1,7 +1,7 @@
 """Term and pattern matching (theta joins between messages and lists).
 
 A list that the caller holds, or a term table of checked size (at most
-``SMALL_TABLE`` terms), is broadcast: blocks of at most ``TERM_BLOCK`` terms,
+``SMALL_TABLE`` terms and ``SMALL_BYTES`` bytes), is broadcast: blocks of at most ``TERM_BLOCK`` terms,
 each one Aho-Corasick automaton on the executors, and every text is scanned
 once per block in Arrow batches.  A larger term table stays in Spark and is
 joined through an index of rarest grams (``term_index``); both give the same
@@ -26,7 +26,8 @@ from ..functions.text import bind, strip_ws
 from .term_index import hits_indexed, match_indexed
 
 TERM_BLOCK = 100_000    # terms of one broadcast block and automaton
-SMALL_TABLE = 4_096     # terms of a table that is broadcast
+SMALL_TABLE = 200_000   # terms of a table that is broadcast, at most,
+SMALL_BYTES = 32 << 20  # and their bytes
 PATTERN_BLOCK = 100     # patterns of one alternation
 
 HIT_TYPE = "struct<item:string,start:int,end:int>"
@@ -87,13 +88,17 @@ def validate_patterns(spark, patterns: list[str]) -> list[str]:
 # --------------------------------------------------------- term matching ----
 
 def small_terms(spark, terms, fold: bool = False) -> list[str] | None:
-    """The cleaned terms of a list, or of a table if they are few; None for a
-    larger table.  Never more than ``SMALL_TABLE`` + 1 rows of a table are
-    collected; a list is cleaned by the same expressions, without a shuffle.
-    """
+    """The cleaned terms of a list, or of a table if they are few and short;
+    None for a larger table, of which nothing is collected.  A list is
+    cleaned by the same expressions, without a shuffle."""
     if isinstance(terms, DataFrame):
-        few = [r[0] for r in load_terms(terms, fold=fold).limit(SMALL_TABLE + 1).collect()]
-        return sorted(few) if len(few) <= SMALL_TABLE else None
+        clean = load_terms(terms, fold=fold).persist()
+        try:
+            count, size = clean.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+            small = count <= SMALL_TABLE and size <= SMALL_BYTES
+            return sorted(r[0] for r in clean.collect()) if small else None
+        finally:
+            clean.unpersist()
     given = spark.createDataFrame(pa.table({"term": pa.array(sorted(set(terms)), pa.string())}))
     return sorted({r[0] for r in clean_terms(given, fold=fold).collect()})
 

@@ -4,31 +4,36 @@ Semantics: a strike list per user, in action order; on each new strike the
 head of the list is evicted while it is at least ``H`` days older (by report
 creation time) than the new strike's report; then the strike is appended and
 the list length is the count.  A strike exactly H days old is expired.
-Strikes with a null key belong to nobody: their count is null.
+Strikes with a null key or time belong to nobody: their count is null.
 
 Two modes:
 
 * ``replay`` (default): the head-only eviction itself, exact for any arrival
-  order.  A strike at least H after all earlier ones of its user empties the
-  list, so a history splits there; each part is one ordered pass over Arrow
-  columns that keeps only the live list.
+  order.  A strike leaves with the first later one whose time is at least H
+  after the largest time up to it: earlier heads with larger times hold it
+  back, and whatever moves them moves it too.  So with P the running maximum
+  of the times, the list after strike i holds the strikes j <= i with
+  P(j) > P(i) - H.  Running maxima, positions and the last strike gone are
+  taken in blocks and carried over, so a user with most of the strikes is
+  split over many tasks.
 * ``window``: for strikes that arrive in creation order.  Every strike adds
   one at its time and takes it back H later (before a strike at that very
   time), and the count is the running sum.  Sums are taken per block of time
   and carried over, so a user with most of the rows is split.
+
+Strikes of a user with the same sequence number are ordered by time.
 """
 
 from __future__ import annotations
 
-from collections import deque
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..session import stored
 
 DAY_US = 86_400_000_000
 TIME_BLOCKS = 64        # blocks of a horizon in window mode
+BLOCKS = 256            # blocks of the sequence, and of time, in replay mode
 
 
 def _micros(col):
@@ -62,74 +67,73 @@ def strikes_window(events: DataFrame, key: str, created: str, seq: str,
     return known.unionByName(rest).drop("_t")
 
 
-def _parts(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """Add ``_part``: the seq of the last row (itself included) that empties
-    its list.  ``rows`` has ``_t`` and the horizon ``_h``.
+def _block(col: str, edges: list[int]) -> Column:
+    """Number of the block of ``col`` between sorted ``edges``: first among
+    every sixteenth of them, then among the sixteen that follow."""
+    step, last = 16, (1 << 63) - 1
+    edges = edges + [last] * (-len(edges) % step)
 
-    The largest earlier time is taken in blocks of the sequence and carried
-    over, so no task holds a whole history.
-    """
-    spark = rows.sparkSession
-    ends = rows.agg(F.min(seq), F.max(seq)).first()
-    lo, hi = ends[0] or 0, ends[1] or 0
-    blocks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.withColumn("_blk", F.floor((F.col(seq) - lo) / max(1, (hi - lo) // blocks + 1)))
-    inside = Window.partitionBy(*keys, "_blk").orderBy(seq)
+    def upto(values: Column) -> Column:
+        return F.size(F.filter(values, lambda x: x <= F.col(col)))
+
+    if not edges:
+        return F.lit(0)
+    whole = F.expr(f"array({', '.join(f'{e}L' for e in edges)})")
+    first = upto(F.expr(f"array({', '.join(f'{e}L' for e in edges[step - 1::step])})")) * step
+    return first + upto(F.slice(whole, first + 1, step))
+
+
+def _edges(rows: DataFrame, seq: str) -> tuple[list[int], list[int]]:
+    """Sampled quantiles of the sequence, and of the times and expiries."""
+    shares = F.array(*[F.lit(k / BLOCKS) for k in range(1, BLOCKS)])
+    found = rows.agg(*[F.percentile_approx(c, shares, 4 * BLOCKS) for c in (F.col(seq).cast("long"), F.col("_t"), F.col("_t") + F.col("_h"))]).first()
+    order, times, expiries = (sorted(set(x or [])) for x in found)
+    return order, sorted({*times[::2], *expiries[::2]})
+
+
+def _running_max(rows: DataFrame, keys: list[str], seq: str, edges: list[int]) -> DataFrame:
+    """Add ``_p``, the largest time up to each row, and ``_i``, its position,
+    by (``seq``, ``_t``) within the keys."""
+    rows = rows.withColumn("_blk", _block(seq, edges))
+    sums = rows.groupBy(*keys, "_blk").agg(F.max("_t").alias("_top"), F.count("*").alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    tops = rows.groupBy(*keys, "_blk").agg(F.max("_t").alias("_top"))
-    tops = tops.select(*keys, "_blk", F.max("_top").over(earlier).alias("_top"))
-    rows = rows.join(tops, [*keys, "_blk"]).withColumn(
-        "_top", F.greatest("_top", F.max("_t").over(inside.rowsBetween(Window.unboundedPreceding, -1))))
-    empties = F.col("_top").isNull() | (F.col("_t") - F.col("_top") >= F.col("_h"))
-    rows = rows.withColumn("_cut", F.when(empties, F.col(seq))).drop("_top")
-    cuts = rows.groupBy(*keys, "_blk").agg(F.max("_cut").alias("_last"))
-    cuts = cuts.select(*keys, "_blk", F.max("_last").over(earlier).alias("_last"))
-    return (rows.join(cuts, [*keys, "_blk"])
-            .withColumn("_part", F.greatest("_last", F.max("_cut").over(inside.rowsBetween(Window.unboundedPreceding, 0))))
-            .drop("_blk", "_cut", "_last"))
-
-
-def _replay_batches(batches):
-    """Head-only eviction over rows sorted by (keys, part, seq): the columns
-    after the last three (``_part``, ``_t``, ``_h``) are the group's keys."""
-    cur, live = None, deque()
-    for b in batches:
-        names = b.schema.names
-        at = names.index("_part")
-        counts = []
-        for *group, t, h in zip(*(b.column(i).to_pylist() for i in range(at + 3, len(names))),
-                                b.column(at).to_pylist(), b.column(at + 1).to_pylist(), b.column(at + 2).to_pylist()):
-            if group != cur:
-                cur, live = group, deque()
-            while live and t - live[0] >= h:      # expired heads only
-                live.popleft()
-            live.append(t)
-            counts.append(len(live))
-        kept = [b.column(i) for i in range(at)]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64())], names=[*names[:at], "_n"])
+    sums = sums.select(*keys, "_blk", F.max("_top").over(earlier).alias("_top"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n"))
+    inside = Window.partitionBy(*keys, "_blk").orderBy(seq, "_t")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    return (rows.withColumn("_p", F.max("_t").over(upto)).withColumn("_i", F.row_number().over(inside))
+            .join(sums, [*keys, "_blk"]).withColumn("_p", F.greatest("_p", "_top")).withColumn("_i", F.col("_i") + F.col("_n"))
+            .drop("_blk", "_top", "_n"))
 
 
 def replay_counts(rows: DataFrame, keys: list[str], seq: str, out: str) -> DataFrame:
     """Live strikes after each row, by head-only eviction; ``rows`` has
-    non-null keys, ``_t`` and the horizon ``_h``, both in microseconds."""
-    from ..session import ship_package
-    ship_package(rows.sparkSession)
-    cols = [c for c in rows.columns if c not in ("_t", "_h")]
-    copies = [F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]
-    parts = _parts(rows, keys, seq).select(*cols, "_part", "_t", "_h", *copies)
-    group = [*[f"_key{i}" for i in range(len(keys))], "_part"]
-    ordered = parts.repartition(*group).sortWithinPartitions(*group, seq)
-    fields = [f for f in rows.schema.fields if f.name in cols]
-    schema = T.StructType([*fields, T.StructField("_n", T.LongType())])
-    return ordered.mapInArrow(_replay_batches, schema).withColumnRenamed("_n", out)
+    non-null keys, ``_t`` and the horizon ``_h`` (one for each key), both in
+    microseconds."""
+    rows = stored(rows, "strikes")
+    order, times = _edges(rows, seq)
+    rows = _running_max(rows, keys, seq, order)
+    # a value of the running maximum takes away all rows up to its last one, H later
+    values = rows.groupBy(*keys, "_p", "_h").agg(F.max("_i").alias("_last"))
+    gone = values.select(*keys, (F.col("_p") + F.col("_h")).alias("_at"), F.col("_last").alias("_gone"), F.lit(None).cast("long").alias("_p"))
+    asked = values.select(*keys, F.col("_p").alias("_at"), F.lit(None).cast("long").alias("_gone"), "_p")
+    both = gone.unionByName(asked).withColumn("_blk", _block("_at", times))
+    tops = both.groupBy(*keys, "_blk").agg(F.max("_gone").alias("_before"))
+    earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*keys, "_blk", F.max("_before").over(earlier).alias("_before"))
+    upto = Window.partitionBy(*keys, "_blk").orderBy("_at", F.col("_gone").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_gone", F.max("_gone").over(upto)).where(F.col("_p").isNotNull()).join(tops, [*keys, "_blk"])
+    found = found.select(*keys, "_p", F.coalesce(F.greatest("_gone", "_before"), F.lit(0)).alias("_gone"))
+    counted = rows.join(found, [*keys, "_p"]).withColumn(out, F.col("_i") - F.col("_gone"))
+    return counted.drop("_p", "_i", "_gone", "_t", "_h")
 
 
 def strikes_replay(events: DataFrame, key: str, created: str, seq: str,
                    horizon_days: int, out: str = "n_strikes") -> DataFrame:
     """Active strikes after each strike event, by literal head-only eviction."""
     t = events.withColumn("_t", _micros(created)).withColumn("_h", F.lit(horizon_days * DAY_US))
-    known = replay_counts(t.where(F.col(key).isNotNull()), [key], seq, out)
-    rest = events.where(F.col(key).isNull()).withColumn(out, F.lit(None).cast("bigint"))
+    mine = F.col(key).isNotNull() & F.col("_t").isNotNull()
+    known = replay_counts(t.where(mine), [key], seq, out)
+    rest = t.where(~mine).drop("_t", "_h").withColumn(out, F.lit(None).cast("bigint"))
     return known.unionByName(rest)
 
 
@@ -149,24 +153,28 @@ def multi_horizon_strikes(df: DataFrame, kinds: dict[str, tuple], seq: str, crea
 
     ``kinds = {name: (condition Column, key Column, horizon_days)}``.  Only
     kind, key, time and ``seq`` go through the count; the result is attached
-    by ``seq``.  Adds ``strike_kind`` and ``out`` (null for rows of no kind).
+    by all four (strikes equal in all of them get the count after the last
+    one).  Adds ``strike_kind`` and ``out`` (null for rows of no kind).
     """
     kind, key, h = F.lit(None).cast("string"), F.lit(None).cast("bigint"), F.lit(None).cast("bigint")
     for name, (cond, k, d) in reversed(list(kinds.items())):
         kind = F.when(cond, F.lit(name)).otherwise(kind)
         key = F.when(cond, k.cast("bigint")).otherwise(key)
         h = F.when(cond, F.lit(d * DAY_US)).otherwise(h)
-    slim = df.select(F.col(seq).alias("_seq"), kind.alias("strike_kind"), key.alias("_key"),
-                     _micros(created).alias("_t"), h.alias("_h")).where("strike_kind is not null and _key is not null")
+    df = df.withColumn("_key", F.when(kind.isNotNull(), key)).withColumn("_t", _micros(created))
+    df = df.withColumn("strike_kind", F.when(F.col("_key").isNotNull() & F.col("_t").isNotNull(), kind))
+    slim = df.select(F.col(seq).alias("_seq"), "strike_kind", "_key", "_t", F.col("_t").alias("_time"),
+                     h.alias("_h")).where("strike_kind is not null and _key is not null and _t is not null")
     if mode == "replay":
         counted = replay_counts(slim, ["strike_kind", "_key"], "_seq", out)
     else:
         counted = None
         for name, (_, _, d) in kinds.items():
             one = window_counts(slim.where(F.col("strike_kind") == name).drop("_h"), ["_key"], "_t", "_seq", d * DAY_US, out)
+            one = one.drop("_t")
             counted = one if counted is None else counted.unionByName(one)
-    counted = counted.select("_seq", "strike_kind", out)
-    return df.join(counted, df[seq] == counted["_seq"], "left").drop("_seq")
+    counted = counted.groupBy(F.col("_seq").alias(seq), "strike_kind", "_key", F.col("_time").alias("_t")).agg(F.max(out).alias(out))
+    return df.join(counted, [seq, "strike_kind", "_key", "_t"], "left").drop("_key", "_t")
 
 
 # Escalation outcomes.
@@ -203,51 +211,20 @@ def strike_balance(users: DataFrame, strike_events: DataFrame, user_key: str, cr
                  .withColumn(out, F.coalesce(F.col(out), F.lit(0))))
 
 
-def _balance_batches(as_of: int):
-    """Per key: replay the strikes, then evict expired heads at ``as_of``."""
-    def fold(batches):
-        cur, live, horizon = None, deque(), 0
-
-        def close():
-            while live and as_of - live[0] >= horizon:
-                live.popleft()
-            return cur, len(live)
-        for b in batches:
-            keys, counts = [], []
-            for k, t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if k != cur:
-                    if cur is not None:
-                        for x, y in zip((keys, counts), close()):
-                            x.append(y)
-                    cur, live, horizon = k, deque(), h
-                while live and t - live[0] >= h:
-                    live.popleft()
-                live.append(t)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), pa.array(counts, pa.int64())], ["_k", "_n"])
-            kind = b.column(0).type
-        if cur is not None:
-            k, n = close()
-            yield pa.RecordBatch.from_arrays([pa.array([k], kind), pa.array([n], pa.int64())], ["_k", "_n"])
-    return fold
-
-
 def strike_balance_replay(users: DataFrame, strike_events: DataFrame, user_key: str,
                           created: str, seq: str, as_of: str, horizon_days: int,
                           out: str) -> DataFrame:
     """O-G7 in replay mode: the list left after replaying every strike in
     action order and evicting expired heads at ``as_of`` (a timestamp
-    literal); 0 for users without strikes.  Only the strikes since the last
-    one that emptied a user's list are replayed."""
-    from ..session import ship_package
-    spark = strike_events.sparkSession
-    ship_package(spark)
-    as_of_us = spark.range(1).select(_micros(F.lit(as_of))).first()[0]
+    literal); 0 for users without strikes.  A look-up evicts like a strike
+    at its time: the strikes whose running maximum lies within the horizon of
+    the largest time of all are left."""
     rows = strike_events.where(F.col(user_key).isNotNull()).select(
-        F.col(user_key).alias("_k"), F.col(seq).alias("_seq"), _micros(created).alias("_t"), F.lit(horizon_days * DAY_US).alias("_h"))
-    parts = _parts(rows, ["_k"], "_seq")
-    last = parts.groupBy("_k").agg(F.max("_part").alias("_part"))
-    live = parts.join(last, ["_k", "_part"]).select("_k", "_t", "_h", "_seq").repartition("_k").sortWithinPartitions("_k", "_seq")
-    key_type = strike_events.schema[user_key].dataType.simpleString()
-    bal = live.select("_k", "_t", "_h").mapInArrow(_balance_batches(as_of_us), f"_k {key_type}, _n long")
-    return (users.join(bal, users[user_key] == bal["_k"], "left").drop("_k")
+        F.col(user_key).alias("_k"), F.col(seq).alias("_seq"), _micros(created).alias("_t"), F.lit(horizon_days * DAY_US).alias("_h")).where("_t is not null")
+    rows = stored(rows, "strikes")
+    order, _ = _edges(rows, "_seq")
+    ends = rows.groupBy("_k").agg(F.greatest(F.max("_t"), _micros(F.lit(as_of))).alias("_end"))
+    live = _running_max(rows, ["_k"], "_seq", order).join(ends, "_k").groupBy("_k").agg(
+        F.count_if(F.col("_p") > F.col("_end") - F.col("_h")).alias("_n"))
+    return (users.join(live, users[user_key] == live["_k"], "left").drop("_k")
                  .withColumn(out, F.coalesce("_n", F.lit(0))).drop("_n"))

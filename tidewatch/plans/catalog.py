@@ -91,6 +91,15 @@ def q_large_blocklist_match(spark, sf_dir):
                     F.col("h.start").alias("hit_start"), F.col("h.end").alias("hit_end")))
 
 
+@register("indexed_blocklist_match", Q.with_(Q.MESSAGES, Q.NORM, Q.LARGE_HITS, Q.FIRST_TERM)
+          + "SELECT message_id, term, hit_start, hit_end FROM first_term")
+def q_indexed_blocklist_match(spark, sf_dir):
+    m = M.match_indexed(normalized_messages(spark, sf_dir), M.load_terms(S.large_terms(spark, sf_dir)), "lowered", "term_hit")
+    return (present(m, "term_hit")
+            .select("message_id", F.col("h.item").alias("term"),
+                    F.col("h.start").alias("hit_start"), F.col("h.end").alias("hit_end")))
+
+
 @register("match_all_terms", Q.with_(Q.MESSAGES, Q.NORM, Q.TERM_HITS)
           + "SELECT message_id, term, hit_start, hit_end FROM term_hits")
 def q_match_all_terms(spark, sf_dir):

@@ -238,8 +238,8 @@ def candidates(tiles: DataFrame, nodes: DataFrame, tried: DataFrame | None, perc
     In a tile (``tile``, ``node``, ``label``) the sets outside its commonest
     class are open. They are compared by signature with the members of that
     class and with each other, in blocks of about ``BLOCK`` x ``BLOCK``. In a
-    further round only the sets of ``tried`` (``node``, ``seen``) look for
-    partners, others than those seen. Only open sets give rows, and a task
+    further round the sets of ``tried`` (``node``, ``seen``) look for partners,
+    others than those seen. Only looking sets give rows, and a task
     keeps the best of what it has met of each.
     """
     spark = tiles.sparkSession
@@ -257,8 +257,8 @@ def candidates(tiles: DataFrame, nodes: DataFrame, tried: DataFrame | None, perc
     rows = rows.withColumn("block", F.explode(F.when(F.col("is_main"), main).otherwise(F.concat(with_main, among))))
     rows = rows.select("tile", "block.i", "block.j", "is_main", "node", "label").join(nodes.select("node", "n", "bits"), "node")
     if tried is not None:
-        rows = rows.join(tried, "node", "left").withColumn("looks", ~F.col("is_main") & F.col("seen").isNotNull())
-        rows = rows.withColumn("seen", F.when(F.col("looks"), F.col("seen")))
+        # classes have grown: a set may belong to the main class by now and still has to look
+        rows = rows.join(tried, "node", "left").withColumn("looks", F.col("seen").isNotNull())
     else:
         rows = rows.withColumn("looks", ~F.col("is_main")).withColumn("seen", F.lit(None).cast("array<long>"))
 
@@ -294,13 +294,14 @@ def candidates(tiles: DataFrame, nodes: DataFrame, tried: DataFrame | None, perc
 def best_partners(members: list[tuple], percent: int, most: int, best: dict[int, dict[int, int]]) -> None:
     """Add to ``best`` (open set -> partner -> share of bits that differ) the
     partners of one block that its looking sets may link with, one more than
-    ``most`` at the most. Of two open sets the smaller one looks."""
+    ``most`` at the most. Of two open sets the smaller one looks at first; a
+    set with partners left (``seen``) looks at all others again."""
     if len({m[3] for m in members}) < 2 or not any(m[1] for m in members):
         return
     is_main, looks, node, label, size, signs, seen = zip(*members)
     is_main, node, label, size, signs = np.array(is_main), np.array(node), np.array(label), np.array(size), folded(list(signs))
     for i in np.flatnonzero(looks).tolist():
-        others = np.flatnonzero((label != label[i]) & (is_main | (node > node[i])))
+        others = np.flatnonzero((label != label[i]) & (is_main | (node > node[i]) | (seen[i] is not None)))
         if not len(others):
             continue
         differ = np.bitwise_count(signs[others] ^ signs[i]).sum(axis=1).astype(np.int64)

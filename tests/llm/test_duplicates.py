@@ -54,6 +54,21 @@ def test_exact_common_opening_and_large_group(spark):
     assert {r["keep_id"] for r in got} == {1} and len(got) == 200
 
 
+def test_exact_hot_texts_below_one_opening(spark):
+    """Two hot texts and many rare ones share an opening; runs join across parts."""
+    tails = ["one"] * 120 + ["two"] * 90 + [str(i // 2) for i in range(60)]
+    rows = [(i, "y" * 80 + tail + ("Z" if i % 5 else "z"), None, None, None) for i, tail in enumerate(tails)]
+    rows += [(1000 + i, f"text {i}", None, None, None) for i in range(40)] + [(0, rows[0][1], None, None, None)]
+    groups = {}
+    for i, text, *_ in rows:
+        groups.setdefault(text.lower(), []).append(i)
+    got = sorted((r["id"], r["keep_id"], r["group_size"]) for r in exact.exact_dedup(edge_docs(spark, rows)).collect())
+    assert got == sorted((i, min(g), len(g)) for g in groups.values() for i in g)
+    leads, texts = exact.hot_openings(spark.createDataFrame([("a", 1)] * 9 + [("b", k) for k in range(9)], "lead string, h long"),
+                                      exact.Scratch(spark, "test"), 1)
+    assert sorted(map(tuple, leads.collect())) == [("a", 3), ("b", 3)] and list(map(tuple, texts.collect())) == [("a", 1, 3)]
+
+
 def test_exact_equals_sql(spark):
     same(exact.op7_exact_dedup(spark, SMALL), duck_dir(SMALL), exact.SQL)
 

@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import Scratch, ascii_lower, partitions, read_table
 
 SPLIT_CHARS = 64
+#: A key with more rows than this share of an average partition is split.
+SHARE = 4
+
+
+def hot_openings(base: DataFrame, scratch: Scratch, n: int) -> tuple[DataFrame, DataFrame]:
+    """Openings, and texts (opening, hash), with more than 1/(``SHARE`` n) of
+    all rows, each with the number of parts to split it into. Less than
+    ``SHARE`` n keys can have so many rows, which bounds both tables."""
+    counts = scratch.put(base.groupBy("lead", "h").agg(F.count("*").alias("n")), "counts")
+    limit = max((counts.agg(F.sum("n")).first()[0] or 0) // (SHARE * n), 1)
+    parts = F.ceil(F.col("n") / limit)
+    texts = counts.where(F.col("n") > limit).select("lead", "h", parts.alias("text_parts"))
+    leads = counts.groupBy("lead").agg(F.sum("n").alias("n")).where(F.col("n") > limit).select("lead", parts.alias("lead_parts"))
+    return leads, texts
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -16,41 +30,54 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when identical after lower-casing A-Z. The rows are
     range-partitioned by sampled splitters over the leading ``split_chars``
-    of the text and a salt of the identifier, then sorted by the whole text
-    on disk, where equal texts are neighbours; each row is compared in full
-    with the row before it. The salt spreads one large group (or one very
-    common opening) over all partitions; the runs a group leaves there are
-    joined by their SHA-256.
+    of the text, then sorted by the whole text on disk, where equal texts are
+    neighbours; each row is compared in full with the row before it.
+
+    An opening measured as hot (``hot_openings``) is dealt by a hash of the
+    whole text too, so its equal texts stay neighbours. Only a text that is
+    hot itself is dealt by the identifier: its runs are sorted once more, one
+    row for each, and neighbouring heads are compared in full.
 
     Columns: ``id``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
     Null texts count as empty and are equal to each other. Of repeated rows
-    with one id each is counted and they share the decision. A null id sorts
-    below all others. An empty table gives an empty result.
+    with one id each is counted and they share the decision. A null id is
+    kept only if all of its group are null. An empty table gives an empty
+    result.
     """
     spark = df.sparkSession
     n = partitions(spark)
-    low = keep == "smallest"
-    base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).select(
-        "id", F.substring(ascii_lower(F.substring("t", 1, split_chars)), 1, split_chars).alias("lead"),
-        F.pmod(F.xxhash64("id"), F.lit(n)).alias("salt"), ascii_lower(F.col("t")).alias("norm"))
-    order = F.col("id").asc_nulls_last() if low else F.col("id").desc_nulls_last()
-    run = Window.partitionBy("lead", "salt").orderBy("norm", order)
-    first = (F.row_number().over(run) == 1) | (F.lag("norm").over(run) != F.col("norm"))
-    rows = (base.repartitionByRange(n, "lead", "salt")
-            .withColumn("head", F.when(first, F.struct("id")))
-            .withColumn("head", F.last("head", ignorenulls=True).over(run))
-            .select("id", F.col("head.id").alias("head"),
-                    F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha")))
+    best = F.min if keep == "smallest" else F.max
     scratch = Scratch(spark, "exact")
+    base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).select(
+        "id", F.substring(ascii_lower(F.substring("t", 1, split_chars)), 1, split_chars).alias("lead"), ascii_lower(F.col("t")).alias("norm"))
+    base = base.withColumn("h", F.xxhash64("norm"))
+    leads, texts = hot_openings(base, scratch, n)
+    dealt = base.join(F.broadcast(leads), "lead", "left").join(F.broadcast(texts), ["lead", "h"], "left")
+    salt = (F.when(F.col("text_parts").isNotNull(), F.pmod(F.xxhash64("id"), F.col("text_parts")))
+            .when(F.col("lead_parts").isNotNull(), F.pmod(F.col("h"), F.col("lead_parts"))).otherwise(F.lit(0)))
+    dealt = dealt.select("id", "lead", "norm", "h", F.col("text_parts").isNotNull().alias("hot"), salt.alias("salt"))
+
+    order = Window.partitionBy("lead", "salt").orderBy("norm")
+    first = (F.row_number().over(order) == 1) | (F.lag("norm").over(order) != F.col("norm"))
+    run = Window.partitionBy("lead", "salt", "run")
+    rows = (dealt.repartitionByRange(n, "lead", "salt").withColumn("first", first)
+            .withColumn("run", F.sum(F.col("first").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+            .select("id", "lead", "h", "hot", "salt", "run", F.when(F.col("hot") & F.col("first"), F.col("norm")).alias("head"),
+                    F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"))
+            .withColumn("keep_id", best("id").over(run)).withColumn("group_size", F.count("*").over(run)))
     rows = scratch.put(rows, "rows")
-    runs = rows.groupBy("sha", "head").agg(F.count("*").alias("n"))
-    best = F.min("head") if low else F.max("head")
-    groups = runs.groupBy("sha").agg(best.alias("keep_id"), F.sum("n").alias("group_size"))
-    heads = runs.select("sha", "head").join(groups, "sha")
-    return (rows.alias("r").join(heads.alias("h"), (F.col("r.sha") == F.col("h.sha"))
-                                 & F.col("r.head").eqNullSafe(F.col("h.head")))
-            .select("r.id", "h.keep_id", "h.group_size", F.col("r.id").eqNullSafe(F.col("h.keep_id")).alias("kept"),
-                    F.lower(F.hex("r.sha")).alias("text_sha256")))
+
+    # runs of one hot text lie in several parts: their heads are neighbours here
+    key = ["lead", "h", "salt", "run"]
+    heads = rows.where(F.col("head").isNotNull()).select(*key, "head", "keep_id", "group_size")
+    order = Window.partitionBy("lead", "h").orderBy("head")
+    heads = heads.withColumn("first", (F.row_number().over(order) == 1) | (F.lag("head").over(order) != F.col("head")))
+    heads = heads.withColumn("class", F.sum(F.col("first").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("lead", "h", "class")
+    heads = heads.select(*key, best("keep_id").over(whole).alias("keep_id"), F.sum("group_size").over(whole).alias("group_size"))
+    hot = rows.where("hot").drop("keep_id", "group_size").join(heads, key)
+    out = ["id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"]
+    return rows.where("not hot").select(*out).unionByName(hot.select(*out))
 
 
 def op7_exact_dedup(spark, sf_dir):

@@ -230,37 +230,43 @@ def able_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(screen, "pivot long, node long")
 
 
-def candidates(tiles: DataFrame, nodes: DataFrame, tried: DataFrame | None, percent: int, most: int) -> DataFrame:
-    """``pivot``, ``node``, ``more``: for each open set (``node``) of a tile up
-    to ``most`` partners of another class, those with the smallest share of
+def main_classes(tiles: DataFrame) -> DataFrame:
+    """``tile``, ``main``: the commonest class of each tile, by its label,
+    which is a set of that class."""
+    labels = tiles.groupBy("tile", "label").agg(F.count("*").alias("n"))
+    return labels.groupBy("tile").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+
+
+def candidates(tiles: DataFrame, mains: DataFrame, nodes: DataFrame, tried: DataFrame | None, percent: int, most: int) -> DataFrame:
+    """``pivot``, ``node``, ``more``: for each looking set (``node``) of a tile
+    up to ``most`` partners of another class, those with the smallest share of
     bits that differ; ``more`` if the set has others left.
 
-    In a tile (``tile``, ``node``, ``label``) the sets outside its commonest
-    class are open. They are compared by signature with the members of that
-    class and with each other, in blocks of about ``BLOCK`` x ``BLOCK``. In a
-    further round the sets of ``tried`` (``node``, ``seen``) look for partners,
-    others than those seen. Only looking sets give rows, and a task
-    keeps the best of what it has met of each.
+    In a tile (``tile``, ``node``, ``label``) the sets outside its main class
+    (``mains``: ``tile``, ``main``) are open. In the first round all open sets
+    look, in a further round those of ``tried`` (``node``, ``seen``), for
+    partners others than those seen. They are compared by signature with all
+    other sets of the tile, in blocks of about ``BLOCK`` x ``BLOCK``. Only
+    looking sets give rows, and a task keeps the best of what it has met of
+    each. The main class of a tile only grows, so an open set was open in all
+    earlier rounds: of two sets of different classes one has looked each time.
     """
     spark = tiles.sparkSession
+    rows = tiles.join(mains, "tile").withColumn("open", F.col("label") != F.col("main")).drop("main")
     if tried is not None:
-        tiles = tiles.join(tiles.join(tried, "node", "left_semi").select("tile").distinct(), "tile", "left_semi")
-    labels = tiles.groupBy("tile", "label").agg(F.count("*").alias("n"))
-    sizes = labels.groupBy("tile").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"))
-    sizes = sizes.where("n_all > n_main").select("tile", "main", F.ceil(F.col("n_main") / BLOCK).cast("int").alias("mains"),
-                                                 F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK).cast("int").alias("rests"))
-    rows = tiles.join(sizes, "tile").withColumn("is_main", F.col("label") == F.col("main"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("rests"))).cast("int"))
-    with_main = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda x: F.struct((-1 - x).alias("i"), F.col("own").alias("j")))
-    among = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
-    main = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda x: F.struct((-1 - F.col("own")).alias("i"), x.alias("j")))
-    rows = rows.withColumn("block", F.explode(F.when(F.col("is_main"), main).otherwise(F.concat(with_main, among))))
-    rows = rows.select("tile", "block.i", "block.j", "is_main", "node", "label").join(nodes.select("node", "n", "bits"), "node")
-    if tried is not None:
-        # classes have grown: a set may belong to the main class by now and still has to look
-        rows = rows.join(tried, "node", "left").withColumn("looks", F.col("seen").isNotNull())
+        rows = rows.join(tried, "node", "left").withColumn("looks", F.col("open") & F.col("seen").isNotNull())
     else:
-        rows = rows.withColumn("looks", ~F.col("is_main")).withColumn("seen", F.lit(None).cast("array<long>"))
+        rows = rows.withColumn("looks", F.col("open")).withColumn("seen", F.lit(None).cast("array<long>"))
+    sizes = rows.groupBy("tile").agg(F.ceil(F.count_if(~F.col("looks")) / BLOCK).cast("int").alias("others"),
+                                     F.ceil(F.count_if("looks") / BLOCK).cast("int").alias("lookers")).where("lookers > 0")
+    rows = rows.join(sizes, "tile")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("looks"), F.col("lookers")).otherwise(F.col("others"))).cast("int"))
+    with_others = F.transform(F.when(F.col("others") > 0, F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.array().cast("array<int>")),
+                              lambda x: F.struct((-1 - x).alias("i"), F.col("own").alias("j")))
+    among = F.transform(F.sequence(F.lit(0), F.col("lookers") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
+    other = F.transform(F.sequence(F.lit(0), F.col("lookers") - 1), lambda x: F.struct((-1 - F.col("own")).alias("i"), x.alias("j")))
+    rows = rows.withColumn("block", F.explode(F.when(F.col("looks"), F.concat(with_others, among)).otherwise(other)))
+    rows = rows.select("tile", "block.i", "block.j", "looks", "seen", "node", "label").join(nodes.select("node", "n", "bits"), "node")
 
     def screen(batches):
         group, members, best = None, [], {}
@@ -273,18 +279,18 @@ def candidates(tiles: DataFrame, nodes: DataFrame, tried: DataFrame | None, perc
             return out
 
         for b in batches:
-            for *key, is_main, looks, node, label, n, bits, seen in zip(*(c.to_pylist() for c in b.columns)):
+            for *key, looks, node, label, n, bits, seen in zip(*(c.to_pylist() for c in b.columns)):
                 if key != group:
                     best_partners(members, percent, most, best)
                     group, members = key, []
-                members.append((is_main, looks, node, label, n, np.frombuffer(bits, np.uint8), seen))
+                members.append((looks, node, label, n, np.frombuffer(bits, np.uint8), seen))
             if sum(map(len, best.values())) > 50_000:
                 yield flush()
         best_partners(members, percent, most, best)
         yield flush()
 
     order = ["tile", "i", "j"]
-    rows = rows.select(*order, "is_main", "looks", "node", "label", "n", "bits", "seen").repartition(partitions(spark), *order).sortWithinPartitions(*order, "node")
+    rows = rows.select(*order, "looks", "node", "label", "n", "bits", "seen").repartition(partitions(spark), *order).sortWithinPartitions(*order, "node")
     # a row per open set and task; sets share many tiles, so tasks name mostly the same partners
     found = rows.mapInArrow(screen, "node long, pivots array<long>, more boolean").groupBy("node").agg(
         F.array_distinct(F.flatten(F.collect_list("pivots"))).alias("pivots"), F.max("more").alias("more"))
@@ -292,16 +298,15 @@ def candidates(tiles: DataFrame, nodes: DataFrame, tried: DataFrame | None, perc
 
 
 def best_partners(members: list[tuple], percent: int, most: int, best: dict[int, dict[int, int]]) -> None:
-    """Add to ``best`` (open set -> partner -> share of bits that differ) the
-    partners of one block that its looking sets may link with, one more than
-    ``most`` at the most. Of two open sets the smaller one looks at first; a
-    set with partners left (``seen``) looks at all others again."""
-    if len({m[3] for m in members}) < 2 or not any(m[1] for m in members):
+    """Add to ``best`` (looking set -> partner -> share of bits that differ)
+    the partners of one block that its looking sets may link with and have
+    not seen, one more than ``most`` at the most."""
+    if len({m[2] for m in members}) < 2 or not any(m[0] for m in members):
         return
-    is_main, looks, node, label, size, signs, seen = zip(*members)
-    is_main, node, label, size, signs = np.array(is_main), np.array(node), np.array(label), np.array(size), folded(list(signs))
+    looks, node, label, size, signs, seen = zip(*members)
+    node, label, size, signs = np.array(node), np.array(label), np.array(size), folded(list(signs))
     for i in np.flatnonzero(looks).tolist():
-        others = np.flatnonzero((label != label[i]) & (is_main | (node > node[i]) | (seen[i] is not None)))
+        others = np.flatnonzero(label != label[i])
         if not len(others):
             continue
         differ = np.bitwise_count(signs[others] ^ signs[i]).sum(axis=1).astype(np.int64)
@@ -377,18 +382,22 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         scratch.drop(arrays)
         scratch.free()
         roots = components(links, scratch)
-        tried, seen, most = None, None, FIRST
+        tried, seen, mains, most = None, None, None, FIRST
         while True:
             rest = tiles.where("node != pivot").join(roots, "node", "left").select("tile", "node", F.coalesce("root", "node").alias("label"))
             mixed = rest.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("tile")
             rest = scratch.put(rest.join(mixed, "tile"), "rest")
-            pairs = scratch.put(candidates(rest, nodes, seen, percent, most), "pairs")
+            if mains is None:
+                mains = scratch.put(main_classes(rest), "mains")
+            grown = mains.join(roots, mains["main"] == roots["node"], "left").select("tile", F.coalesce("root", "main").alias("main"))
+            pairs = scratch.put(candidates(rest, grown, nodes, seen, percent, most), "pairs")
             scratch.drop(rest)
             scratch.free()
             if pairs.isEmpty():
                 break
             arrays = arrays_of(pairs.select("node").union(pairs.select("pivot")).distinct())
-            links = scratch.put(links.union(star_links(pairs.select("pivot", "node"), arrays, percent)), "links")
+            named = pairs.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node")).distinct()
+            links = scratch.put(links.union(star_links(named, arrays, percent)), "links")
             scratch.drop(arrays)
             roots = components(links, scratch)
             # a set without partners left has met all that it may link with

@@ -397,11 +397,12 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 break
             arrays = arrays_of(pairs.select("node").union(pairs.select("pivot")).distinct())
             named = pairs.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node")).distinct()
-            links = scratch.put(links.union(star_links(named, arrays, percent)), "links")
+            links = scratch.put(links.union(star_links(scratch.put(named, "named"), arrays, percent)), "links")
             scratch.drop(arrays)
             roots = components(links, scratch)
-            # a set without partners left has met all that it may link with
-            tried = pairs if tried is None else tried.union(pairs)
+            # a set without partners left has met all that it may link with; stored, as
+            # a semi-join pushed below a union can leave a join with unequal partitions
+            tried = pairs if tried is None else scratch.put(tried.union(pairs), "tried")
             seen = tried.join(pairs.where("more").select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_set("pivot").alias("seen"))
             if not pairs.where("more").head(1):
                 break

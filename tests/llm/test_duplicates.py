@@ -112,6 +112,7 @@ def test_jaccard_families(spark, seed, n, families, size, first, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 16)
     monkeypatch.setattr(jaccard, "STAR", 8)
     monkeypatch.setattr(jaccard, "FIRST", first)
+    monkeypatch.setattr(jaccard, "HELD", 20)
     rows = variants(seed, n, families, size)
     got = sorted(map(tuple, jaccard.ngram_jaccard_join(edge_docs(spark, rows), width=4, percent=85).collect()))
     assert got == brute_jaccard([r[:2] for r in rows], 4, 85)

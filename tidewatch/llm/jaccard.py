@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,8 @@ from tidewatch.llm.common import Scratch, arrow_rows, binary_column, partitions,
 from tidewatch.llm.components import components
 
 BAND_RATIO = 1.6             # upper end of a size band over its lower end
-BLOCK = 256                  # sets of one side of a block of pairs
+BLOCK = 1024                 # sets of one side of a block of pairs: at most 16 MB of signatures a block
+HELD = 50_000                # partners of open sets that a task holds before it gives them out
 STAR = 1024                  # partners that one copy of a pivot is compared with
 SPARE = 0.08                 # share of tiles beyond those that differences can spoil
 FIRST, FURTHER = 8, 16       # partners of an open set in the first round, growth in further ones
@@ -236,31 +238,32 @@ def candidates(tiles: DataFrame, nodes: DataFrame, tried: DataFrame | None, perc
     bits that differ; ``more`` if the set has others left.
 
     In a tile (``tile``, ``node``, ``label``) the sets outside its commonest
-    class are open. They are compared by signature with the members of that
-    class and with each other, in blocks of about ``BLOCK`` x ``BLOCK``. In a
-    further round the sets of ``tried`` (``node``, ``seen``) look for partners,
-    others than those seen. Only looking sets give rows, and a task
-    keeps the best of what it has met of each.
+    class are open and look for partners; in a further round the sets of
+    ``tried`` (``node``, ``seen``) do, for others than those seen. Sets that
+    look are compared by signature with those that do not and with each
+    other, in blocks of about ``BLOCK`` x ``BLOCK``; two sets that do not look
+    never meet. Only looking sets give rows, and a task keeps the best of
+    what it has met of each.
     """
     spark = tiles.sparkSession
-    if tried is not None:
-        tiles = tiles.join(tiles.join(tried, "node", "left_semi").select("tile").distinct(), "tile", "left_semi")
-    labels = tiles.groupBy("tile", "label").agg(F.count("*").alias("n"))
-    sizes = labels.groupBy("tile").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"))
-    sizes = sizes.where("n_all > n_main").select("tile", "main", F.ceil(F.col("n_main") / BLOCK).cast("int").alias("mains"),
-                                                 F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK).cast("int").alias("rests"))
-    rows = tiles.join(sizes, "tile").withColumn("is_main", F.col("label") == F.col("main"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("rests"))).cast("int"))
-    with_main = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda x: F.struct((-1 - x).alias("i"), F.col("own").alias("j")))
-    among = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
-    main = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda x: F.struct((-1 - F.col("own")).alias("i"), x.alias("j")))
-    rows = rows.withColumn("block", F.explode(F.when(F.col("is_main"), main).otherwise(F.concat(with_main, among))))
-    rows = rows.select("tile", "block.i", "block.j", "is_main", "node", "label").join(nodes.select("node", "n", "bits"), "node")
-    if tried is not None:
-        # classes have grown: a set may belong to the main class by now and still has to look
-        rows = rows.join(tried, "node", "left").withColumn("looks", F.col("seen").isNotNull())
+    if tried is None:
+        labels = tiles.groupBy("tile", "label").agg(F.count("*").alias("n"))
+        sizes = labels.groupBy("tile").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("still"), F.sum("n").alias("n_all"))
+        rows = tiles.join(sizes.where("n_all > still"), "tile").withColumn("looks", F.col("label") != F.col("main"))
+        rows = rows.withColumn("seen", F.lit(None).cast("array<long>"))
     else:
-        rows = rows.withColumn("looks", ~F.col("is_main")).withColumn("seen", F.lit(None).cast("array<long>"))
+        # classes have grown: a set may belong to the main class by now and still has to look
+        rows = tiles.join(tried, "node", "left").withColumn("looks", F.col("seen").isNotNull())
+        sizes = rows.groupBy("tile").agg(F.count_if(~F.col("looks")).alias("still"), F.count("*").alias("n_all"))
+        rows = rows.join(sizes.where("n_all > still"), "tile")
+    rows = rows.withColumn("stills", F.greatest(F.ceil(F.col("still") / BLOCK), F.lit(1)).cast("int"))
+    rows = rows.withColumn("lookers", F.ceil((F.col("n_all") - F.col("still")) / BLOCK).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("looks"), F.col("lookers")).otherwise(F.col("stills"))).cast("int"))
+    with_still = F.transform(F.sequence(F.lit(0), F.col("stills") - 1), lambda x: F.struct((-1 - x).alias("i"), F.col("own").alias("j")))
+    among = F.transform(F.sequence(F.lit(0), F.col("lookers") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
+    still = F.transform(F.sequence(F.lit(0), F.col("lookers") - 1), lambda x: F.struct((-1 - F.col("own")).alias("i"), x.alias("j")))
+    rows = rows.withColumn("block", F.explode(F.when(F.col("looks"), F.concat(with_still, among)).otherwise(still)))
+    rows = rows.select("tile", "block.i", "block.j", "looks", "node", "label", "seen").join(nodes.select("node", "n", "bits"), "node")
 
     def screen(batches):
         group, members, best = None, [], {}
@@ -273,35 +276,37 @@ def candidates(tiles: DataFrame, nodes: DataFrame, tried: DataFrame | None, perc
             return out
 
         for b in batches:
-            for *key, is_main, looks, node, label, n, bits, seen in zip(*(c.to_pylist() for c in b.columns)):
+            for *key, looks, node, label, n, bits, seen in zip(*(c.to_pylist() for c in b.columns)):
                 if key != group:
-                    best_partners(members, percent, most, best)
+                    for _ in best_partners(members, percent, most, best):
+                        yield flush()
                     group, members = key, []
-                members.append((is_main, looks, node, label, n, np.frombuffer(bits, np.uint8), seen))
-            if sum(map(len, best.values())) > 50_000:
-                yield flush()
-        best_partners(members, percent, most, best)
+                members.append((looks, node, label, n, np.frombuffer(bits, np.uint8), seen))
+        for _ in best_partners(members, percent, most, best):
+            yield flush()
         yield flush()
 
     order = ["tile", "i", "j"]
-    rows = rows.select(*order, "is_main", "looks", "node", "label", "n", "bits", "seen").repartition(partitions(spark), *order).sortWithinPartitions(*order, "node")
+    rows = rows.select(*order, "looks", "node", "label", "n", "bits", "seen").repartition(partitions(spark), *order).sortWithinPartitions(*order, "node")
     # a row per open set and task; sets share many tiles, so tasks name mostly the same partners
     found = rows.mapInArrow(screen, "node long, pivots array<long>, more boolean").groupBy("node").agg(
         F.array_distinct(F.flatten(F.collect_list("pivots"))).alias("pivots"), F.max("more").alias("more"))
     return found.select(F.explode("pivots").alias("pivot"), "node", "more")
 
 
-def best_partners(members: list[tuple], percent: int, most: int, best: dict[int, dict[int, int]]) -> None:
+def best_partners(members: list[tuple], percent: int, most: int, best: dict[int, dict[int, int]]) -> Iterator[None]:
     """Add to ``best`` (open set -> partner -> share of bits that differ) the
     partners of one block that its looking sets may link with, one more than
     ``most`` at the most. Of two open sets the smaller one looks at first; a
-    set with partners left (``seen``) looks at all others again."""
-    if len({m[3] for m in members}) < 2 or not any(m[1] for m in members):
+    set with partners left (``seen``) looks at all others again. Yields
+    whenever ``best`` holds ``HELD`` partners and has to be emptied."""
+    if len({m[2] for m in members}) < 2 or not any(m[0] for m in members):
         return
-    is_main, looks, node, label, size, signs, seen = zip(*members)
-    is_main, node, label, size, signs = np.array(is_main), np.array(node), np.array(label), np.array(size), folded(list(signs))
+    looks, node, label, size, signs, seen = zip(*members)
+    looks, node, label, size, signs = np.array(looks), np.array(node), np.array(label), np.array(size), folded(list(signs))
+    held = sum(map(len, best.values()))
     for i in np.flatnonzero(looks).tolist():
-        others = np.flatnonzero((label != label[i]) & (is_main | (node > node[i]) | (seen[i] is not None)))
+        others = np.flatnonzero((label != label[i]) & (~looks | (node > node[i]) | (seen[i] is not None)))
         if not len(others):
             continue
         differ = np.bitwise_count(signs[others] ^ signs[i]).sum(axis=1).astype(np.int64)
@@ -312,7 +317,13 @@ def best_partners(members: list[tuple], percent: int, most: int, best: dict[int,
         if len(others):
             share = 10**6 * differ // (size[others] + size[i])
             top = np.argsort(share, kind="stable")[:most + 1]
-            best.setdefault(int(node[i]), {}).update(zip(node[others[top]].tolist(), share[top].tolist()))
+            own = best.setdefault(int(node[i]), {})
+            before = len(own)
+            own.update(zip(node[others[top]].tolist(), share[top].tolist()))
+            held += len(own) - before
+            if held > HELD:
+                yield
+                held = 0
 
 
 def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -394,7 +405,8 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             # a set without partners left has met all that it may link with
             tried = pairs if tried is None else scratch.put(tried.union(pairs), "tried")
             seen = tried.join(pairs.where("more").select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_set("pivot").alias("seen"))
-            if not pairs.where("more").head(1):
+            seen = scratch.put(seen, "seen")
+            if seen.isEmpty():
                 break
             most *= FURTHER
     classes = nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))

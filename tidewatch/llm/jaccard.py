@@ -375,17 +375,15 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             rows = binary_column(h.view(np.uint8), bounds * 8)
             yield pa.RecordBatch.from_arrays([pa.array(ids), rows], ["node", "hashes"]).filter(right)
 
-    def arrays_of(used):
-        """The sorted sets of some nodes, from the text of one document each."""
-        wanted = nodes.join(used, "node").select(F.col("node").alias("want"), F.col("id").alias("want_id"))
-        found = texts.join(wanted, texts["id"].eqNullSafe(wanted["want_id"])).select("t", "want")
-        return scratch.put(found.mapInArrow(hashes, "node long, hashes binary"), "arrays")
-
     with arrow_rows(spark, 500):
-        arrays = arrays_of(pairs.select("node").union(pairs.select("pivot")).distinct())
+        # the sorted sets of all nodes with a tile, from the text of one document each: texts move once,
+        # or not at all where the stored list of documents is small enough for Spark to broadcast it
+        wanted = nodes.join(tiles.select("node").distinct(), "node").select(F.col("node").alias("want"), F.col("id").alias("want_id"))
+        wanted = scratch.put(wanted, "wanted")
+        found = texts.join(wanted, texts["id"].eqNullSafe(wanted["want_id"])).select("t", "want")
+        arrays = scratch.put(found.mapInArrow(hashes, "node long, hashes binary"), "arrays")
         scratch.free()
         links = scratch.put(star_links(pairs, arrays, percent), "links")
-        scratch.drop(arrays)
         scratch.free()
         roots = components(links, scratch)
         tried, seen, most = None, None, FIRST
@@ -398,9 +396,7 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             scratch.free()
             if pairs.isEmpty():
                 break
-            arrays = arrays_of(pairs.select("node").union(pairs.select("pivot")).distinct())
             links = scratch.put(links.union(star_links(pairs.select("pivot", "node"), arrays, percent)), "links")
-            scratch.drop(arrays)
             roots = components(links, scratch)
             # a set without partners left has met all that it may link with
             tried = pairs if tried is None else scratch.put(tried.union(pairs), "tried")
@@ -409,6 +405,7 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             if seen.isEmpty():
                 break
             most *= FURTHER
+        scratch.drop(arrays)
     classes = nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("id").alias("component_id"))
     classes = scratch.put(classes.join(smallest, "root").select("node", "component_id"), "classes")

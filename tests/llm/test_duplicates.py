@@ -273,3 +273,11 @@ def test_vectors_brute_force(spark, dim, tile):
 def test_vectors_empty_table_and_sql(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     same(vectors.op2_near_vectors(spark, SMALL), duck_dir(SMALL), vectors.SQL)
+
+
+def test_vectors_repeated_and_null_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.01]), (5, [0.0, 1.0]), (None, None)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    by_id = {i: sorted(((r.n_links, r.component_id) for r in got if r.id == i), key=str) for i in (1, 5, None)}
+    assert len(got) == 5 and by_id[1] == [(2, 1)] * 2 and by_id[5] == [(0, 5)]
+    assert by_id[None] == [(0, None), (2, 1)]

@@ -114,6 +114,33 @@ def test_term_index_equals_automaton(spark, monkeypatch):
         monkeypatch.undo()
 
 
+def test_first_hit_of_table_lists_no_later_hits(spark, monkeypatch):
+    """Terms that occur everywhere give work up to the first hit only."""
+    from tidewatch.operators import term_index as TI
+    written = []
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name == "first-hits":
+            written.append(out.count())
+        return out
+
+    def never(*args):
+        raise AssertionError("every hit of every text would be listed")
+    stored = TI.stored
+    monkeypatch.setattr(TI, "stored", counted)
+    monkeypatch.setattr(TI, "candidate_terms", never)
+    body = "".join(chr(97 + (i * i // 7) % 26) for i in range(6000))
+    early = [(i, "é" * (i % 3) + body[i:i + 3000]) for i in range(40)]
+    late = [(100, "é" * 5 + "0" * 300 + body), (101, "0" * 4000 + body[:50]), (101, "0" * 4000 + body[:50]), (None, "0" * 20 + body[-9:]), (102, "0" * 9000)]
+    df = spark.createDataFrame(early + late, "message_id long, lowered string")
+    terms = sorted({body[i:i + n] for i in range(0, 5990) for n in (1, 3, 6, 9)})
+    table = spark.createDataFrame([(t,) for t in terms], "term string")
+    got = TI.match_indexed(df, table, "lowered", "hit")
+    assert sorted(map(str, got.collect())) == sorted(map(str, M.match_terms(df, terms, out="hit").collect()))
+    assert written[0] == 40 and sum(written) == 43
+
+
 def test_term_index_empty_tables(spark, monkeypatch):
     monkeypatch.setattr(M, "SMALL_TABLE", -1)
     df = spark.createDataFrame([(1, "some text"), (None, "term here")], "message_id long, lowered string")

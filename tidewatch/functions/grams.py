@@ -93,3 +93,91 @@ def text_grams(column: pa.Array, kinds: list, bits: np.ndarray | None = None) ->
     owner, gram = owner[new], gram[new]
     bounds = np.searchsorted(owner, np.arange(len(column) + 1))
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(gram.view(np.int64)))
+
+
+def prefix_widths(longest: int) -> list[int]:
+    """Widths of the beginnings that terms are known by: each one up to eight
+    bytes, then four to an octave."""
+    out, step = list(range(1, min(longest, 8) + 1)), 2
+    while out and out[-1] + step <= longest:
+        out.append(out[-1] + step)
+        if out[-1] >= 8 * step:
+            step *= 2
+    return out
+
+
+class PieceHashes:
+    """Hashes of any pieces of a row of bytes, from one running sum."""
+
+    _B = 0x9E3779B97F4A7C15
+    _BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        power = np.full(n + 1, self._B, np.uint64)
+        self.back = np.full(n + 1, pow(self._B, -1, 1 << 64), np.uint64)
+        power[0] = self.back[0] = 1
+        power, self.back = np.cumprod(power, dtype=np.uint64), np.cumprod(self.back, dtype=np.uint64)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self._BYTES[data] * power[:n], out=self.sums[1:])
+
+    def of(self, start: np.ndarray, size, whole: bool) -> np.ndarray:
+        """A whole term and the beginning of one have different hashes."""
+        salt = (np.atleast_1d(size).astype(np.uint64) << np.uint64(1) | np.uint64(whole)) * _K[1]
+        return _mix(_mix((self.sums[start + size] - self.sums[start]) * self.back[start]) ^ salt)
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1 + column.offset)[column.offset:]
+    body = column.buffers()[2]
+    return np.frombuffer(body, np.uint8) if body is not None and body.size else np.zeros(0, np.uint8), offsets
+
+
+def term_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The size in bytes of each term, and the hashes of all terms and of
+    their beginnings."""
+    data, offsets = _bytes_of(column)
+    data, offsets = data[offsets[0]:offsets[-1]], offsets - offsets[0]
+    size, sums = np.diff(offsets), PieceHashes(data)
+    widths = np.array(prefix_widths(int(size.max(initial=0))), np.int64)
+    start, size = offsets[:-1][size > 0], size[size > 0]
+    begun = widths[np.searchsorted(widths, size, side="right") - 1] if len(size) else size
+    return size, np.concatenate((sums.of(start, size, True), sums.of(start, begun, False)))
+
+
+def bits_set(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the bit of each hash (of its low bits) is set."""
+    at = h & np.uint64(8 * len(bits) - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def text_pieces(column: pa.Array, lo: int, hi: int | None, sizes: np.ndarray, bits: np.ndarray):
+    """(row, first character, piece, characters beside it) of the pieces of
+    the texts that start at the bytes ``lo:hi`` and may be terms: of one of
+    the ``sizes`` and, like their beginning, with the bit of their hash set."""
+    body, offsets = _bytes_of(column)
+    widths = np.array(prefix_widths(int(sizes.max(initial=0))), np.int64)
+    group = np.searchsorted(widths, sizes, side="right") - 1
+    row = 0
+    while row < len(column):
+        last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, side="right")) - 1)
+        data, bounds = body[offsets[row]:offsets[last]], offsets[row:last + 1] - offsets[row]
+        first = np.minimum(bounds[:-1] + lo, bounds[1:])
+        count = (bounds[1:] if hi is None else np.minimum(bounds[:-1] + hi, bounds[1:])) - first
+        owner = np.repeat(np.arange(last - row), count)
+        start = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+        end, sums = bounds[1:][owner], PieceHashes(data)
+        chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+        for g in np.unique(group).tolist():
+            able = np.flatnonzero(start + widths[g] <= end)
+            able = able[bits_set(bits, sums.of(start[able], widths[g], False))]
+            for size in sizes[group == g].tolist() if len(able) else ():
+                at = able[start[able] + size <= end[able]]
+                at = at[bits_set(bits, sums.of(start[at], size, True))]
+                for o, s in zip(owner[at].tolist(), start[at].tolist()):
+                    b0, b1 = int(bounds[o]), int(bounds[o + 1])
+                    near = (data[max(b0, s - 4):s].tobytes().decode(errors="ignore")[-1:]
+                            + data[s + size:min(b1, s + size + 4)].tobytes().decode(errors="ignore")[:1])
+                    yield row + o, int(chars[s] - chars[b0]), data[s:s + size].tobytes(), near
+        row = last

@@ -157,6 +157,19 @@ def test_patterns_validated(spark):
         M.validate_patterns(spark, ["ok[0-9]", "foo(bar"])
 
 
+def test_unmatched_matches_each_text_once(spark, monkeypatch):
+    """The folded text is computed once a row, and no place of a pattern hit."""
+    monkeypatch.setattr(M, "PATTERN_BLOCK", 2)
+    rows = [(1, "fine"), (2, "an idiöt"), (3, "x 123 y"), (4, None), (5, "mail a@b"), (6, ""), (6, "zz"), (None, "fine too")]
+    df = TX.with_normalized(spark.createDataFrame(rows, "message_id long, content string"))
+    out = M.unmatched(df, ["idiot"], ["[0-9]+", "a@b", "q{3}", "z+"])
+    assert out.columns == df.columns
+    assert sorted((r[0] or 0, r[1] or "") for r in out.collect()) == [(0, "fine too"), (1, "fine"), (4, ""), (6, "")]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_instr" not in plan and "regexp_substr" not in plan
+    assert plan.count("translate(") == 1
+
+
 def test_whole_word_and_folded_terms(spark):
     df = spark.createDataFrame([(1, "stupidity is not stupid"), (2, "idiot!"), (3, "große dummheit")],
                                "message_id long, lowered string")

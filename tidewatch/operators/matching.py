@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bind, strip_ws
+from ..functions.text import bind, present, strip_ws
 from .term_index import hits_indexed, match_indexed
 
 TERM_BLOCK = 100_000    # terms of one broadcast block and automaton
@@ -259,11 +259,22 @@ def match_regexes(msgs: DataFrame, patterns: list[str], text_col: str = "folded"
     return msgs.withColumn(out, bind(text_col, lambda x: first_pattern_hit(x, pats)))
 
 
+def any_pattern(text: Column, patterns: list[str]) -> Column:
+    """Whether any pattern is found: ``first_pattern_hit`` without its place."""
+    found = F.lit(False)
+    for lo in range(0, len(patterns), PATTERN_BLOCK):
+        own = patterns[lo:lo + PATTERN_BLOCK]
+        single = functools.reduce(Column.__or__, [text.rlike(p) for p in own])
+        found = found | (text.rlike("|".join(f"(?:{p})" for p in own)) & single)
+    return F.coalesce(found, F.lit(False))
+
+
 def unmatched(msgs: DataFrame, terms, patterns: list[str] | None = None) -> DataFrame:
-    """O-C5: messages with neither a term nor a pattern hit."""
-    m = match_terms(msgs, terms)
-    cond = F.col("term_hit").isNull()
+    """O-C5: messages with neither a term nor a pattern hit.  No place of a
+    pattern hit is looked for, and patterns only where no term is found."""
+    miss = F.col("term_hit").isNull()
     if patterns:
-        m = match_regexes(m, patterns)
-        cond = cond & F.col("regex_hit").isNull()
-    return m.where(cond).drop("term_hit", "regex_hit")
+        miss = miss & ~any_pattern(F.col("folded"), list(patterns))
+    # (a generator: a filter would be pushed down and fold the text again)
+    m = match_terms(msgs, terms).withColumn("_miss", F.when(miss, F.lit(True)))
+    return present(m, "_miss", "_one").drop("term_hit", "_miss", "_one")

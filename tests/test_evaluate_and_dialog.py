@@ -200,6 +200,16 @@ def test_removal_without_time_ends_its_own_version(spark):
     assert got == [("2024-01-01 00:00:00", None)]
 
 
+def test_list_as_of_matches_the_texts_once(spark):
+    msgs = spark.createDataFrame([(1, "a jerk", "2024-01-02 00:00:00")], "message_id long, lowered string, t string")
+    msgs = msgs.select("message_id", "lowered", F.col("t").cast("timestamp_ntz").alias("created_at"))
+    edits = spark.createDataFrame([(1, "2024-01-01 00:00:00", "word", "add", "jerk")], "edit_seq long, t string, list_kind string, op string, content string")
+    edits = edits.withColumn("edited_at", F.col("t").cast("timestamp_ntz")).drop("t")
+    out = L.list_as_of(msgs, L.list_changes(edits))
+    assert [tuple(r) for r in out.collect()] == [(1, "jerk")]
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_list_as_of_across_blocks_and_ties(spark):
     log = spark.createDataFrame(
         [(1, "2024-01-05 10:00:00", "word", "add", "bad"), (2, "2024-01-09 10:00:00", "word", "remove", "bad"),

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_ws
+from ..session import stored
 from .matching import term_hits
 
 # Line separators of str.splitlines(), as a JVM / RE2 pattern.
@@ -190,6 +191,8 @@ def list_as_of(msgs: DataFrame, changes: DataFrame, time_col: str = "created_at"
     """
     hits = term_hits(msgs, changes.select("term").distinct(), text_col, keep=[time_col])
     hits = hits.select("term", F.col(time_col).cast("timestamp_ntz").alias("_at"), "message_id").withColumn("_blk", F.date_trunc(block, "_at"))
+    # read twice below, and the texts are to be matched once
+    hits = stored(hits, "list-hits")
     first = F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")
     edits = changes.select("term", F.coalesce(F.col("at").cast("timestamp_ntz"), first).alias("at"), "seq", "live")
     packs = (edits.groupBy("term", F.date_trunc(block, "at").alias("_blk"))

@@ -94,6 +94,26 @@ def test_jaccard_edge_rows(spark, width, percent):
     assert sorted(got) == brute_jaccard(dict((r[0], r[1]) for r in rows).items(), width, percent)
 
 
+def test_jaccard_sets_are_picked_in_place(spark):
+    """Only wanted sets are taken, and no shuffle moves texts or sets before."""
+    rows = [(i % 50, f"{'Same words here again' if i % 2 else f'w{i % 7} b c d e f'} x{i % 10}") for i in range(100)] + [(None, "a b c d e"), (7, None), (8, " ")]
+    texts = spark.createDataFrame(rows, "id long, t string")
+    parts = [b for b in jaccard._hash_sets([pa.record_batch({"id": [r[0] for r in rows], "t": [r[1] for r in rows]})], 4)]
+    ids = [int(v) for _, _, _, v in parts for v in v]
+    least = {}
+    for (i, t), node in zip(rows, ids):
+        if t and t.strip():
+            least[node] = i if least.get(node) is None else min(i, least[node])
+    some = sorted(least)[::2]
+    wanted = spark.createDataFrame([(n, least[n]) for n in some], "node long, id long")
+    got = jaccard.set_arrays(texts, wanted, 4)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    found = [r.node for r in got.collect()]
+    assert set(some) <= set(found) and len(set(found) - set(some)) <= 2
+    picked = jaccard.arrays_of(wanted.select("node").limit(1), got)
+    assert {r.node for r in wanted.select("node").limit(1).collect()} <= {r.node for r in picked.collect()}
+
+
 def variants(seed, n, families, size):
     """Texts of a few families with a random number of edited words."""
     rng = random.Random(seed)

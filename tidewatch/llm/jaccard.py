@@ -10,9 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.grams import bits_set
 from tidewatch.llm import textkernel as K
 from tidewatch.llm.common import Scratch, arrow_rows, binary_column, partitions, read_table, text_chunks
 from tidewatch.llm.components import components
+from tidewatch.operators.term_index import gram_bitmap
 
 BAND_RATIO = 1.6             # upper end of a size band over its lower end
 BLOCK = 1024                 # sets of one side of a block of pairs: at most 16 MB of signatures a block
@@ -181,11 +183,41 @@ def find_tiles(texts: DataFrame, width: int, percent: int) -> DataFrame:
     return found.mapInArrow(group, "tile long, pivot long, node long").distinct()
 
 
+def set_arrays(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``node``, ``hashes``: the sorted sets of the wanted nodes (``node``,
+    ``id`` of a document that has it). Nothing is moved: a bitmap of fixed
+    greatest size tells a task which documents to take. A few sets that are
+    not wanted, or twice, may be among them."""
+    key = F.xxhash64("id").bitwiseXOR(F.col("node")).alias("gram")
+    bits = texts.sparkSession.sparkContext.broadcast(gram_bitmap(wanted.select(key), per_gram=32))
+
+    def hashes(batches):
+        for b, h, bounds, ids in _hash_sets(batches, width):
+            able = bits_set(bits.value, (ids ^ b.column("k").to_numpy()).view(np.uint64))
+            rows = binary_column(h.view(np.uint8), bounds * 8)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), rows], ["node", "hashes"]).filter(pa.array(able & (np.diff(bounds) > 0)))
+
+    return texts.select("t", F.xxhash64("id").alias("k")).mapInArrow(hashes, "node long, hashes binary")
+
+
+def arrays_of(nodes: DataFrame, arrays: DataFrame) -> DataFrame:
+    """The sets of ``nodes`` (``node``) and a few more, picked in place, so
+    that only they are moved by a join. The join moves them at any size."""
+    bits = arrays.sparkSession.sparkContext.broadcast(gram_bitmap(nodes.select(F.col("node").alias("gram")), per_gram=32))
+
+    def pick(batches):
+        for b in batches:
+            yield b.filter(pa.array(bits_set(bits.value, b.column(0).to_numpy().view(np.uint64))))
+
+    return arrays.mapInArrow(pick, "node long, hashes binary").hint("merge")
+
+
 def star_links(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     """Links of each pivot with the sets paired with it. A pivot with many
     partners is copied, so that no task compares more than about ``STAR``
-    of them at a time."""
+    of them at a time. A set may come twice (``arrays``)."""
     spark = pairs.sparkSession
+    arrays = arrays_of(pairs.select("node").union(pairs.select("pivot")).distinct(), arrays)
     slots = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / STAR).cast("int").alias("slots"))
     left = (slots.join(arrays.withColumnRenamed("node", "pivot"), "pivot")
             .select("pivot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.lit(None).cast("long").alias("node"), "hashes"))
@@ -351,6 +383,7 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "jaccard")
+    scratch.free()
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     kind = texts.schema["id"].dataType.simpleString()
 
@@ -369,19 +402,8 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     pairs = tiles.where("node != pivot").select("pivot", "node").distinct()
     pairs = scratch.put(able_pairs(pairs, nodes, percent), "pairs")
 
-    def hashes(batches):
-        for b, h, bounds, ids in _hash_sets(batches, width):
-            right = pa.array(ids == b.column("want").to_numpy())
-            rows = binary_column(h.view(np.uint8), bounds * 8)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), rows], ["node", "hashes"]).filter(right)
-
     with arrow_rows(spark, 500):
-        # the sorted sets of all nodes with a tile, from the text of one document each: texts move once,
-        # or not at all where the stored list of documents is small enough for Spark to broadcast it
-        wanted = nodes.join(tiles.select("node").distinct(), "node").select(F.col("node").alias("want"), F.col("id").alias("want_id"))
-        wanted = scratch.put(wanted, "wanted")
-        found = texts.join(wanted, texts["id"].eqNullSafe(wanted["want_id"])).select("t", "want")
-        arrays = scratch.put(found.mapInArrow(hashes, "node long, hashes binary"), "arrays")
+        arrays = scratch.put(set_arrays(texts, nodes.join(tiles.select("node").distinct(), "node", "left_semi"), width), "arrays")
         scratch.free()
         links = scratch.put(star_links(pairs, arrays, percent), "links")
         scratch.free()
@@ -406,6 +428,7 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 break
             most *= FURTHER
         scratch.drop(arrays)
+        scratch.free()
     classes = nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("id").alias("component_id"))
     classes = scratch.put(classes.join(smallest, "root").select("node", "component_id"), "classes")

@@ -203,7 +203,7 @@ def set_arrays(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 def arrays_of(nodes: DataFrame, arrays: DataFrame) -> DataFrame:
     """The sets of ``nodes`` (``node``) and a few more, picked in place, so
     that only they are moved by a join. The join moves them at any size."""
-    bits = arrays.sparkSession.sparkContext.broadcast(gram_bitmap(nodes.select(F.col("node").alias("gram")), per_gram=32))
+    bits = arrays.sparkSession.sparkContext.broadcast(gram_bitmap(nodes.select(F.col("node").alias("gram")), per_gram=16))
 
     def pick(batches):
         for b in batches:
@@ -217,7 +217,7 @@ def star_links(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     partners is copied, so that no task compares more than about ``STAR``
     of them at a time. A set may come twice (``arrays``)."""
     spark = pairs.sparkSession
-    arrays = arrays_of(pairs.select("node").union(pairs.select("pivot")).distinct(), arrays)
+    arrays = arrays_of(pairs.select("node").union(pairs.select("pivot")), arrays)
     slots = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / STAR).cast("int").alias("slots"))
     left = (slots.join(arrays.withColumnRenamed("node", "pivot"), "pivot")
             .select("pivot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.lit(None).cast("long").alias("node"), "hashes"))

@@ -141,6 +141,50 @@ def test_first_hit_of_table_lists_no_later_hits(spark, monkeypatch):
     assert written[0] == 40 and sum(written) == 43
 
 
+def test_more_terms_than_a_bitmap_holds(spark, monkeypatch):
+    """Terms come in parts, whose bitmaps never fill up; pieces come a bounded lot at a time."""
+    import random
+    import numpy as np
+    import pyarrow as pa
+    from tidewatch.functions import grams as G
+    from tidewatch.operators import term_index as TI
+    rng, full, joins = random.Random(3), [], []
+    texts = ["".join(rng.choices("abcdeé 日", k=rng.choice([1, 7, 40, 300]))) for _ in range(60)] + [None, "", "é" * 400 + "abc"]
+    df = spark.createDataFrame([(i % 50, t) for i, t in enumerate(texts)], "message_id long, lowered string")
+    terms = {"".join(rng.choices("abcdefgé", k=rng.choice([4, 6, 8, 9, 17, 40]))) for _ in range(3000)}
+    terms |= {t[k:k + n] for t in texts[:40] if t for k, n in ((5, 9), (9, 16), (20, 70))} - {""}
+    terms = {t.strip().lower() for t in terms if t.strip()}
+
+    def filled(*args):
+        bits = bitmap(*args)
+        full.append(np.unpackbits(bits).mean())
+        return bits
+
+    def kept(df, name):
+        out = stored(df, name)
+        if name == "first-hits":
+            joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join LeftSemi"))
+        return out
+    bitmap, stored = TI.gram_bitmap, TI.stored
+    monkeypatch.setattr(TI, "gram_bitmap", filled)
+    monkeypatch.setattr(TI, "stored", kept)
+    monkeypatch.setattr(TI, "PIECE_BITS", 1 << 15)
+    table = spark.createDataFrame([(t,) for t in sorted(terms)], "term string")
+    for whole_word in (False, True):
+        want = sorted(map(str, M.match_terms(df, sorted(terms), out="hit", whole_word=whole_word).collect()))
+        assert sorted(map(str, TI.match_indexed(df, table, "lowered", "hit", whole_word).collect())) == want
+    assert len(full) > 2 and max(full) < 0.2 and set(joins) == {1}
+
+    monkeypatch.setattr(G, "STRETCH", 1 << 12)
+    body, offsets = G.bytes_of(pa.array(["ab" * 50_000, None, "é" + "ab" * 9], pa.string()))
+    sizes, every = np.array([1, 2, 5, 100]), np.full(1 << 12, 255, np.uint8)
+    lots = [(row, char, G.cut_out(body, at, size).to_pylist()) for row, char, at, size in G.text_pieces(body, offsets, 0, None, sizes, every)]
+    assert max(sum(map(len, x[2])) for x in lots) <= 1 << 12
+    got = [(r, c, p) for x in lots for r, c, p in zip(x[0].tolist(), x[1].tolist(), x[2])]
+    assert len(got) == len(set(got)) == sum(100_000 - n + 1 for n in (1, 2, 5, 100)) + (18 + 1) + (17 + 1) + (14 + 1)
+    assert all(p == (b"ab" * 51)[c % 2:c % 2 + len(p)] for r, c, p in got if r == 0)
+
+
 def test_term_index_empty_tables(spark, monkeypatch):
     monkeypatch.setattr(M, "SMALL_TABLE", -1)
     df = spark.createDataFrame([(1, "some text"), (None, "term here")], "message_id long, lowered string")

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK = 1 << 20          # bytes hashed together; a longer text comes alone
+STRETCH = 1 << 19        # bytes of terms, or starts of a text, looked at together
 # (gram, windows): a string of gram + windows - 1 bytes or more has at least
 # one window of grams, and the smallest hash of each of its windows is also
 # the smallest of a window of any text that holds the string.
@@ -95,15 +96,9 @@ def text_grams(column: pa.Array, kinds: list, bits: np.ndarray | None = None) ->
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(gram.view(np.int64)))
 
 
-def prefix_widths(longest: int) -> list[int]:
-    """Widths of the beginnings that terms are known by: each one up to eight
-    bytes, then four to an octave."""
-    out, step = list(range(1, min(longest, 8) + 1)), 2
-    while out and out[-1] + step <= longest:
-        out.append(out[-1] + step)
-        if out[-1] >= 8 * step:
-            step *= 2
-    return out
+def prefix_widths(size: int) -> list[int]:
+    """Widths of the beginnings that a term of so many bytes is known by."""
+    return [w for k in range(3, 63) if (w := 1 << k) <= size]
 
 
 class PieceHashes:
@@ -127,23 +122,35 @@ class PieceHashes:
         return _mix(_mix((self.sums[start + size] - self.sums[start]) * self.back[start]) ^ salt)
 
 
-def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     column = column.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1 + column.offset)[column.offset:]
     body = column.buffers()[2]
     return np.frombuffer(body, np.uint8) if body is not None and body.size else np.zeros(0, np.uint8), offsets
 
 
-def term_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The size in bytes of each term, and the hashes of all terms and of
-    their beginnings."""
-    data, offsets = _bytes_of(column)
-    data, offsets = data[offsets[0]:offsets[-1]], offsets - offsets[0]
-    size, sums = np.diff(offsets), PieceHashes(data)
-    widths = np.array(prefix_widths(int(size.max(initial=0))), np.int64)
-    start, size = offsets[:-1][size > 0], size[size > 0]
-    begun = widths[np.searchsorted(widths, size, side="right") - 1] if len(size) else size
-    return size, np.concatenate((sums.of(start, size, True), sums.of(start, begun, False)))
+def _part(h: np.ndarray, parts: int) -> np.ndarray:
+    """Which of ``parts`` (a power of two) equal shares of all terms each
+    whole term belongs to."""
+    return (_mix(h ^ _K[2]) & np.uint64(parts - 1)).astype(np.int32)
+
+
+def term_hashes(column: pa.Array, parts: int = 1):
+    """(part, hash) of all terms, a stretch of them at a time: of a whole term
+    its hash and, once more, the upper half of it, and of its beginnings."""
+    body, offsets = bytes_of(column)
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + STRETCH, side="right")) - 1)
+        start, size = offsets[lo:hi] - offsets[lo], np.diff(offsets[lo:hi + 1])
+        sums = PieceHashes(body[offsets[lo]:offsets[hi]])
+        whole = sums.of(start, size, True)
+        part = _part(whole, parts)
+        yield np.concatenate((part, part)), np.concatenate((whole, whole >> np.uint64(32)))
+        for width in prefix_widths(int(size.max(initial=0))):
+            able = size >= width
+            yield part[able], sums.of(start[able], width, False)
+        lo = hi
 
 
 def bits_set(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -152,32 +159,66 @@ def bits_set(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def text_pieces(column: pa.Array, lo: int, hi: int | None, sizes: np.ndarray, bits: np.ndarray):
-    """(row, first character, piece, characters beside it) of the pieces of
-    the texts that start at the bytes ``lo:hi`` and may be terms: of one of
-    the ``sizes`` and, like their beginning, with the bit of their hash set."""
-    body, offsets = _bytes_of(column)
-    widths = np.array(prefix_widths(int(sizes.max(initial=0))), np.int64)
-    group = np.searchsorted(widths, sizes, side="right") - 1
-    row = 0
-    while row < len(column):
-        last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, side="right")) - 1)
-        data, bounds = body[offsets[row]:offsets[last]], offsets[row:last + 1] - offsets[row]
-        first = np.minimum(bounds[:-1] + lo, bounds[1:])
-        count = (bounds[1:] if hi is None else np.minimum(bounds[:-1] + hi, bounds[1:])) - first
-        owner = np.repeat(np.arange(last - row), count)
-        start = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
-        end, sums = bounds[1:][owner], PieceHashes(data)
-        chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-        for g in np.unique(group).tolist():
-            able = np.flatnonzero(start + widths[g] <= end)
-            able = able[bits_set(bits, sums.of(start[able], widths[g], False))]
-            for size in sizes[group == g].tolist() if len(able) else ():
-                at = able[start[able] + size <= end[able]]
-                at = at[bits_set(bits, sums.of(start[at], size, True))]
-                for o, s in zip(owner[at].tolist(), start[at].tolist()):
-                    b0, b1 = int(bounds[o]), int(bounds[o + 1])
-                    near = (data[max(b0, s - 4):s].tobytes().decode(errors="ignore")[-1:]
-                            + data[s + size:min(b1, s + size + 4)].tobytes().decode(errors="ignore")[:1])
-                    yield row + o, int(chars[s] - chars[b0]), data[s:s + size].tobytes(), near
-        row = last
+def _stretches(body: np.ndarray, offsets: np.ndarray, lo: int, hi: int | None, reach: int):
+    """(row, first and last start, end of the bytes to read, characters before
+    the first start) of the starts ``lo:hi`` of the texts, ``STRETCH`` at most."""
+    for row, (begin, end) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        at, last, seen, before = begin + lo, end if hi is None else min(begin + hi, end), begin, 0
+        while at < last:
+            before += int(np.count_nonzero((body[seen:at] & 0xC0) != 0x80))
+            stop = min(at + STRETCH, last)
+            yield row, at, stop, min(stop + reach, end), before
+            seen, at = at, stop
+
+
+def _pieces_of(body: np.ndarray, stretches: list, sizes: np.ndarray, bits: np.ndarray, part: int, parts: int):
+    row, first, last, end, before = np.array(stretches, np.int64).T
+    data = np.concatenate([body[a:b] for a, b in zip(first.tolist(), end.tolist())])
+    shift = np.cumsum(end - first) - end            # from a place in the body to one in the data
+    count = last - first
+    owner = np.repeat(np.arange(len(row)), count)
+    start = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + (first + shift)[owner]
+    leads = (data & 0xC0) != 0x80                   # a term starts where a character does
+    owner, start = owner[leads[start]], start[leads[start]]
+    stop, sums = (end + shift)[owner], PieceHashes(data)
+    chars = np.concatenate(([0], np.cumsum(leads)))
+    able, width = np.arange(len(start)), 0
+    while len(able):
+        further = max(8, 2 * width)
+        for size in sizes[(sizes >= width) & (sizes < further)].tolist():
+            at = able[start[able] + size <= stop[able]]
+            h = sums.of(start[at], size, True)
+            keep = bits_set(bits, h) & bits_set(bits, h >> np.uint64(32))
+            at = at[keep & (_part(h, parts) == part)]
+            for k in range(0, len(at), step := max(1, STRETCH // size)):
+                o, s = owner[at[k:k + step]], start[at[k:k + step]]
+                yield row[o], before[o] + chars[s] - chars[(first + shift)[o]], s - shift[o], np.full(len(o), size)
+        width = further
+        able = able[start[able] + width <= stop[able]]
+        if width > sizes.max(initial=0):
+            return
+        able = able[bits_set(bits, sums.of(start[able], width, False))]
+
+
+def text_pieces(body: np.ndarray, offsets: np.ndarray, lo: int, hi: int | None, sizes: np.ndarray, bits: np.ndarray, part: int = 0, parts: int = 1):
+    """(row, first character, place in the body, size) of the pieces of the
+    texts that start at the bytes ``lo:hi`` and may be terms of a part: of one
+    of the ``sizes`` and, like their beginnings, with the bits of their hashes
+    set.  Some at a time, at most ``STRETCH`` bytes."""
+    held, room = [], 0
+    for one in _stretches(body, offsets, lo, hi, int(sizes.max(initial=0))):
+        if held and room + one[3] - one[1] > STRETCH:
+            yield from _pieces_of(body, held, sizes, bits, part, parts)
+            held, room = [], 0
+        held.append(one)
+        room += one[3] - one[1]
+    if held:
+        yield from _pieces_of(body, held, sizes, bits, part, parts)
+
+
+def cut_out(body: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The pieces of the body at the given places."""
+    ends = np.cumsum(size)
+    data = body[np.repeat(at - ends + size, size) + np.arange(size.sum())]
+    offsets = np.concatenate(([0], ends)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data)])

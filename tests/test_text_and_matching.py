@@ -155,24 +155,25 @@ def test_more_terms_than_a_bitmap_holds(spark, monkeypatch):
     terms |= {t[k:k + n] for t in texts[:40] if t for k, n in ((5, 9), (9, 16), (20, 70))} - {""}
     terms = {t.strip().lower() for t in terms if t.strip()}
 
-    def filled(*args):
-        bits = bitmap(*args)
-        full.append(np.unpackbits(bits).mean())
-        return bits
+    def filled(context, value):
+        full.append(np.unpackbits(value[1]).mean())
+        return broadcast(context, value)
 
     def kept(df, name):
         out = stored(df, name)
         if name == "first-hits":
             joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join LeftSemi"))
         return out
-    bitmap, stored = TI.gram_bitmap, TI.stored
-    monkeypatch.setattr(TI, "gram_bitmap", filled)
+    context, stored = type(spark.sparkContext), TI.stored
+    broadcast = context.broadcast
     monkeypatch.setattr(TI, "stored", kept)
     monkeypatch.setattr(TI, "PIECE_BITS", 1 << 15)
     table = spark.createDataFrame([(t,) for t in sorted(terms)], "term string")
     for whole_word in (False, True):
         want = sorted(map(str, M.match_terms(df, sorted(terms), out="hit", whole_word=whole_word).collect()))
-        assert sorted(map(str, TI.match_indexed(df, table, "lowered", "hit", whole_word).collect())) == want
+        with monkeypatch.context() as own:
+            own.setattr(context, "broadcast", filled)
+            assert sorted(map(str, TI.match_indexed(df, table, "lowered", "hit", whole_word).collect())) == want
     assert len(full) > 2 and max(full) < 0.2 and set(joins) == {1}
 
     monkeypatch.setattr(G, "STRETCH", 1 << 12)
@@ -185,6 +186,16 @@ def test_more_terms_than_a_bitmap_holds(spark, monkeypatch):
     assert all(p == (b"ab" * 51)[c % 2:c % 2 + len(p)] for r, c, p in got if r == 0)
 
 
+def test_large_term_table_is_not_held_in_memory(spark, monkeypatch):
+    frame, levels = type(spark.range(1)), []
+    persist = frame.persist
+    monkeypatch.setattr(frame, "persist", lambda df, *level: levels.append(level) or persist(df, *level))
+    monkeypatch.setattr(M, "SMALL_TABLE", 2)
+    for n, want in ((2, ["t0", "t1"]), (3, None)):
+        assert M.small_terms(spark, spark.createDataFrame([(f"T{i} ",) for i in range(n)], "term string")) == want
+    assert [[x.useDisk and not x.useMemory for x in level] for level in levels] == [[True], [True]]
+
+
 def test_term_index_empty_tables(spark, monkeypatch):
     monkeypatch.setattr(M, "SMALL_TABLE", -1)
     df = spark.createDataFrame([(1, "some text"), (None, "term here")], "message_id long, lowered string")

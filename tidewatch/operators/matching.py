@@ -19,6 +19,7 @@ import functools
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,7 +93,7 @@ def small_terms(spark, terms, fold: bool = False) -> list[str] | None:
     None for a larger table, of which nothing is collected.  A list is
     cleaned by the same expressions, without a shuffle."""
     if isinstance(terms, DataFrame):
-        clean = load_terms(terms, fold=fold).persist()
+        clean = load_terms(terms, fold=fold).persist(StorageLevel.DISK_ONLY)   # it may be large
         try:
             count, size = clean.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
             small = count <= SMALL_TABLE and size <= SMALL_BYTES
